@@ -1,0 +1,2 @@
+"""No streaming operators: every text, normalisation and row-level de-identification
+expression of this package is stateless and applies to a streaming DataFrame as it is."""
