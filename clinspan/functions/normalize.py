@@ -93,7 +93,7 @@ def age_on(birth: Column, as_of: dt.date) -> Column:
 
 
 def percent_text(part: Column, whole: Column) -> Column:
-    return F.format_string("%.1f%%", part / whole * 100)
+    return F.concat(percent(part, whole).cast("string"), F.lit("%"))
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -107,3 +107,8 @@ def word_count(text: Column) -> Column:
 def number_text(value: Column) -> Column:
     """A double the way findings print it: shortest form, always with a decimal point."""
     return value.cast("string")
+
+
+def gender_label(concept: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in fixed.GENDER_LABELS for x in pair])
+    return F.coalesce(F.try_element_at(known, concept.cast("int")), F.lit("Unknown"))

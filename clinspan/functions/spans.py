@@ -7,6 +7,8 @@ Offsets count code points from 0 and the end is exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ OPEN, CLOSE = "\x01", "\x02"
 SPAN_TYPE = "array<struct<start:int,end:int,text:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` evaluated once, however often the body (or a lambda in it) uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unmarked(text: Column) -> Column:
     """The text with stray marker characters swapped for others of the same regex class."""
     return F.translate(text, OPEN + CLOSE, "\x03\x04")
@@ -24,27 +31,30 @@ def _pieces(text: Column, pattern: str, bracketed: str) -> Column:
     return F.split(marked, OPEN, -1)
 
 
-def find_spans(text: Column, pattern: str) -> Column:
-    """All non-overlapping matches of ``pattern`` as an array of (start, end, text)."""
-    pieces = _pieces(text, pattern, f"{OPEN}$0{CLOSE}")
+def _located(pieces: Column, inserted: bool) -> Column:
+    """Spans out of pieces of the form ``match CLOSE rest``; the first piece precedes any match.
+    ``inserted`` matches are copies in front of the text they were found in."""
     empty = F.array().cast(SPAN_TYPE)
 
     def step(state: Column, piece: Column) -> Column:
         width = F.instr(piece, CLOSE) - 1
-        span = F.struct(
-            state["at"].alias("start"),
-            (state["at"] + width).alias("end"),
-            F.substring_index(piece, CLOSE, 1).alias("text"),
-        )
-        return F.struct(
-            (state["at"] + F.length(piece) - 1).alias("at"),
-            F.concat(state["found"], F.array(span)).alias("found"),
-        )
+        span = F.struct(state["at"].alias("start"), (state["at"] + width).alias("end"),
+                        F.substring_index(piece, CLOSE, 1).alias("text"))
+        moved = F.length(piece) - 1 - (width if inserted else F.lit(0))
+        return F.struct((state["at"] + moved).alias("at"),
+                        F.concat(state["found"], F.array(span)).alias("found"))
+
+    def walk(parts: Column) -> Column:
+        start = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), empty.alias("found"))
+        found = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda s: s["found"])
+        return F.when(F.size(parts) > 1, found).otherwise(empty)
 
-    start = F.struct(F.length(F.element_at(pieces, 1)).alias("at"), empty.alias("found"))
-    found = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step,
-                        lambda s: s["found"])
-    return F.when(F.size(pieces) > 1, found).otherwise(empty)
+    return let(pieces, walk)
+
+
+def find_spans(text: Column, pattern: str) -> Column:
+    """All non-overlapping matches of ``pattern`` as an array of (start, end, text)."""
+    return _located(_pieces(text, pattern, f"{OPEN}$0{CLOSE}"), inserted=False)
 
 
 def find_starts(text: Column, pattern: str) -> Column:
@@ -52,25 +62,7 @@ def find_starts(text: Column, pattern: str) -> Column:
 
     The pattern matches the empty string, so captured texts may overlap each other.
     """
-    pieces = _pieces(text, pattern, f"{OPEN}$1{CLOSE}")
-    empty = F.array().cast(SPAN_TYPE)
-
-    def step(state: Column, piece: Column) -> Column:
-        width = F.instr(piece, CLOSE) - 1
-        span = F.struct(
-            state["at"].alias("start"),
-            (state["at"] + width).alias("end"),
-            F.substring_index(piece, CLOSE, 1).alias("text"),
-        )
-        return F.struct(
-            (state["at"] + F.length(piece) - 1 - width).alias("at"),
-            F.concat(state["found"], F.array(span)).alias("found"),
-        )
-
-    start = F.struct(F.length(F.element_at(pieces, 1)).alias("at"), empty.alias("found"))
-    found = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step,
-                        lambda s: s["found"])
-    return F.when(F.size(pieces) > 1, found).otherwise(empty)
+    return _located(_pieces(text, pattern, f"{OPEN}$1{CLOSE}"), inserted=True)
 
 
 def split_after(text: Column, pattern: str) -> Column:

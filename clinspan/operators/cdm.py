@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -182,17 +183,18 @@ def drug_exposure(deid_observations: DataFrame, index: DataFrame | None = None)
         F.col("observation_code").alias("drug_source_value"))
 
 
-def build(deid_patients: DataFrame, deid_encounters: DataFrame,
-          deid_observations: DataFrame) -> Cdm:
+def build(deid_patients: DataFrame, deid_encounters: DataFrame, deid_observations: DataFrame,
+          keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Cdm:
     """The five populated tables. Inputs may already carry ``person_id``; otherwise it is assigned
-    over the tokens of all three."""
+    over the tokens of all three. ``keep`` may store the numbered encounters, which visits and
+    conditions share."""
     inputs = (deid_patients, deid_encounters, deid_observations)
     index = None
     if not all("person_id" in t.columns for t in inputs):
         index = person_index(*inputs)
         inputs = tuple(t.drop("person_id") for t in inputs)
     patients, encounters, observations = inputs
-    visits = _visits(encounters, index)
+    visits = keep("numbered_encounter", _visits(encounters, index))
     return Cdm(person(patients, index), _visit_rows(visits), _condition_rows(visits),
                measurement(observations, index), drug_exposure(observations, index))
 

@@ -12,6 +12,7 @@ from clinspan.functions.redact import redact_note
 from clinspan.functions.secure import hashed_id, shift_datetime, shift_days
 from clinspan.operators.ids import dense_id, first_row
 from clinspan.operators.linkage import attach
+from clinspan.operators.tables import side_by_side
 
 VITALS = [
     "temperature_celsius", "heart_rate_bpm", "blood_pressure_systolic",
@@ -68,32 +69,43 @@ def deid_patient(patients: DataFrame, links: DataFrame, config: DeidConfig) -> D
         "gender", region.alias("region"))
 
 
-def deid_encounter(encounters: DataFrame, links: DataFrame, config: DeidConfig) -> DataFrame:
-    """Encounters with hashed id, shifted dates and masked notes, without the provider."""
-    rows = attach(encounters, links)
+def _shifted(rows: DataFrame, links: DataFrame, config: DeidConfig, *times: str) -> DataFrame:
+    """Attach tokens and move the named datetimes by the days of their source id (or token)."""
+    rows = attach(rows, links)
     days = _shift(config)
+    return rows.withColumns({t: shift_datetime(F.col(t), days) for t in times})
+
+
+def deid_encounter(encounters: DataFrame, links: DataFrame, config: DeidConfig) -> DataFrame:
+    """Encounters with hashed id, shifted dates and masked notes, without the provider.
+
+    Hashing and masking happen before the join, at the parallelism of the scan, so only reduced
+    rows are shuffled.
+    """
     note = F.lit(None).cast("string")
     if config.redact_clinical_notes:
         note = F.nullif(redact_note(F.col("clinical_notes"), config.redact_order, config.strict_case),
                         F.lit(""))
-    return rows.select(
-        *_extra(links), "patient_token", hashed_id(F.col("encounter_id")).alias("encounter_id"),
-        "source_system", "encounter_type",
-        shift_datetime(F.col("admission_date"), days).alias("admission_date"),
-        shift_datetime(F.col("discharge_date"), days).alias("discharge_date"),
-        "department", "chief_complaint", "admission_diagnosis", "discharge_diagnosis",
+    reduced = encounters.select(
+        "source_patient_id", hashed_id(F.col("encounter_id")).alias("encounter_id"),
+        "source_system", "encounter_type", "admission_date", "discharge_date", "department",
+        "chief_complaint", "admission_diagnosis", "discharge_diagnosis",
         note.alias("clinical_notes"), F.struct(*VITALS).alias("vitals"))
+    kept = [c for c in reduced.columns if c != "source_patient_id"]
+    return _shifted(reduced, links, config, "admission_date", "discharge_date").select(
+        *_extra(links), "patient_token", *kept)
 
 
 def deid_observation(observations: DataFrame, links: DataFrame, config: DeidConfig) -> DataFrame:
     """Observations with hashed id and shifted time, without encounter and provider."""
-    return attach(observations, links).select(
-        *_extra(links), "patient_token", hashed_id(F.col("observation_id")).alias("observation_id"),
+    reduced = observations.select(
+        "source_patient_id", hashed_id(F.col("observation_id")).alias("observation_id"),
         "source_system", "observation_type", "observation_code", "observation_code_system",
-        "observation_name",
-        shift_datetime(F.col("observation_datetime"), _shift(config)).alias("observation_datetime"),
-        "value_numeric", "value_text", "value_unit", "reference_range_low", "reference_range_high",
-        "abnormal_flag", "dose", "route", "frequency")
+        "observation_name", "observation_datetime", "value_numeric", "value_text", "value_unit",
+        "reference_range_low", "reference_range_high", "abnormal_flag", "dose", "route", "frequency")
+    kept = [c for c in reduced.columns if c != "source_patient_id"]
+    return _shifted(reduced, links, config, "observation_datetime").select(
+        *_extra(links), "patient_token", *kept)
 
 
 def patient_actions(deid_patients: DataFrame, config: DeidConfig) -> DataFrame:
@@ -131,8 +143,7 @@ def deid_report(patients: DataFrame, encounters: DataFrame, observations: DataFr
         sexes = sexes.select(F.lit(0).cast("bigint").alias("male_surrogates"),
                              F.lit(0).cast("bigint").alias("female_surrogates"))
     low, high = config.date_shift_range
-    # three one-row tables side by side
-    return totals.crossJoin(shifted).crossJoin(sexes).select(
+    return side_by_side(totals, shifted, sexes).select(
         "*", F.lit(fixed.DEID_METHOD).alias("method"),
         F.lit(len(fixed.SENSITIVE_IDENTIFIERS)).alias("identifier_categories"),
         F.lit(low).alias("date_shift_low"), F.lit(high).alias("date_shift_high"),

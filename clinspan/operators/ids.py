@@ -30,8 +30,10 @@ def dense_id(df: DataFrame, key_hash: Column, out: str, within: str | None = Non
     """
     columns = df.columns
     flags = {out: F.lit(True), **(also or {})}
-    keyed = (df.withColumn("_hash", key_hash)
-               .withColumn("_bucket", F.substring("_hash", 1, digits)))
+    # never NULL: an inferred null filter on one side of the join below would keep Spark from
+    # computing the rows once for both sides
+    keyed = (df.withColumn("_hash", F.coalesce(key_hash, F.lit("")))
+               .withColumn("_bucket", F.coalesce(F.substring("_hash", 1, digits), F.lit(""))))
     if unique:
         rows = keyed.withColumns({"_n": F.lit(1), "_block": F.lit(0), "_group": F.lit(0)})
     else:
@@ -40,7 +42,8 @@ def dense_id(df: DataFrame, key_hash: Column, out: str, within: str | None = Non
         rows = copies.select("*", F.explode(F.sequence(F.lit(0), last_block)).alias("_block")).select(
             *keyed.columns, "_block",
             F.least(F.lit(block_rows), F.col("_copies") - F.col("_block") * block_rows).alias("_n"),
-            F.when(F.col("_copies") > block_rows, F.col("_block") % BLOCK_GROUPS + 1)
+            F.when(F.col("_copies") > block_rows,
+                   F.coalesce(F.col("_block") % BLOCK_GROUPS + 1, F.lit(0)))
              .otherwise(0).alias("_group"))
 
     part = ([within] if within else []) + ["_bucket", "_group"]
@@ -73,18 +76,33 @@ def first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return ranked.where(F.col("_rank") == 1).drop("_rank")
 
 
-def record_ordinal(df: DataFrame, out: str, start: int = 2) -> DataFrame:
+def record_ordinal(df: DataFrame, file: str, out: str, start: int = 2) -> DataFrame:
     """Add the position of a record in its file, counted from ``start`` (the header is row 1).
 
-    ``df`` must read its partitions in file order, as a file scan does. One small row per partition
-    (its row count) is gathered to shift the positions; the records themselves never move.
+    For files that are read unsplit, as multi-line CSV is: the records of a file then have
+    consecutive numbers, and only the first number of each file is gathered.
     """
-    placed = df.withColumn("_mid", F.monotonically_increasing_id())
-    part, place = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = (placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size")))
-    running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = sizes.select("_part", (F.sum("_size").over(running) - F.col("_size")).alias("_offset"))
-    return (placed.withColumn("_part", part).withColumn("_place", place)
-            .join(F.broadcast(offsets), "_part")
-            .withColumn(out, F.col("_offset") + F.col("_place") + start)
-            .drop("_mid", "_part", "_place", "_offset"))
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    first = placed.groupBy(file).agg(F.min("_place").alias("_first"))
+    return placed.join(first, file).withColumn(
+        out, F.col("_place") - F.col("_first") + start).drop("_place", "_first")
+
+
+def number_in_order(df: DataFrame, group: str, position: str, flag: Column, out: str,
+                    rows_per_bucket: int = 100_000) -> DataFrame:
+    """Number the flagged rows 1..N by (group, position); other rows get NULL.
+
+    Rows are cut into buckets of consecutive positions, numbered inside and shifted by the flagged
+    rows of earlier buckets (one small row per bucket).
+    """
+    bucketed = df.withColumn("_flag", F.coalesce(flag, F.lit(False))).withColumn(
+        "_bucket", F.floor(F.col(position) / rows_per_bucket))
+    part = [group, "_bucket"]
+    sizes = bucketed.groupBy(*part).agg(F.count_if("_flag").alias("_size"))
+    running = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = sizes.select(*part, (F.sum("_size").over(running) - F.col("_size")).alias("_offset"))
+    inside = Window.partitionBy(*part).orderBy(position).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    placed = bucketed.withColumn("_place", F.count_if("_flag").over(inside)).join(offsets, part)
+    return placed.withColumn(out, F.when(F.col("_flag"), F.col("_offset") + F.col("_place"))).drop(
+        "_flag", "_bucket", "_place", "_offset")

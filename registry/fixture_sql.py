@@ -167,3 +167,48 @@ def note_sql(newline: str) -> str:
 
 
 NOTE = note_sql("chr(10)")
+
+
+# an upload: one row per order; every 23rd without a first name, every 29th with a bad birth date,
+# every 17th without a patient id, every 19th without any encounter column
+INSTITUTES = ["KFSHRC", "King Fahd Medical City", "riyadh military hospital", "Unknown Clinic"]
+NO_ENCOUNTER = "o_orderkey % 19 = 0"
+CSV = f"""
+SELECT o_orderkey AS row_key,
+       CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE 'P' || cast(o_custkey AS string) END AS patient_id,
+       cast(1000000000 + o_custkey AS string) AS national_id,
+       CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE {pick(FIRST_NAMES, 'o_custkey % 8')} END AS first_name,
+       {pick(LAST_NAMES, 'o_custkey % 7')} AS last_name,
+       CASE WHEN o_orderkey % 29 = 0 THEN '31/31/1999' WHEN o_orderkey % 31 = 0 THEN ''
+            WHEN o_orderkey % 2 = 0
+            THEN cast(date '1940-01-01' + cast((o_custkey * 37) % 20000 AS int) AS string)
+            ELSE substr(cast(date '1940-01-01' + cast((o_custkey * 37) % 20000 AS int) AS string), 9, 2) || '/'
+              || substr(cast(date '1940-01-01' + cast((o_custkey * 37) % 20000 AS int) AS string), 6, 2) || '/'
+              || substr(cast(date '1940-01-01' + cast((o_custkey * 37) % 20000 AS int) AS string), 1, 4) END AS date_of_birth,
+       date '1940-01-01' + cast((o_custkey * 37) % 20000 AS int) AS born,
+       CASE WHEN o_custkey % 2 = 0 THEN 'M' ELSE 'Woman' END AS gender,
+       CASE WHEN o_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS sex,
+       {pick(INSTITUTES, 'o_custkey % 4')} AS source_system,
+       {pick(['HIS', 'LAB', 'EMR', 'HIS'], 'o_custkey % 4')} AS sys,
+       CASE WHEN {NO_ENCOUNTER} OR o_orderkey % 5 = 0 THEN '' ELSE 'E' || cast(o_orderkey AS string) END AS encounter_id,
+       CASE WHEN {NO_ENCOUNTER} OR o_orderkey % 4 = 0 THEN '' ELSE 'inpatient' END AS encounter_type,
+       CASE WHEN {NO_ENCOUNTER} OR o_orderkey % 7 = 0 THEN ''
+            ELSE substr(cast(o_orderdate AS string), 1, 10) || ' 08:30:00' END AS admission_date,
+       CASE WHEN {NO_ENCOUNTER} OR o_orderkey % 3 = 0 THEN ''
+            ELSE substr(cast(o_orderdate AS string), 1, 10) END AS discharge_date,
+       CASE WHEN {NO_ENCOUNTER} OR o_orderkey % 6 = 0 THEN '' ELSE 'Cardiology' END AS department,
+       CASE WHEN {NO_ENCOUNTER} OR o_orderkey % 2 = 0 THEN '' ELSE 'I50.9' END AS diagnosis_code,
+       CASE WHEN {NO_ENCOUNTER} OR o_orderkey % 9 < 4 THEN '' ELSE 'Heart failure, "acute"' END AS diagnosis_description,
+       CASE WHEN o_orderkey % 8 = 0 THEN 'Fatigue' ELSE '' END AS chief_complaint,
+       CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'First line, with comma' || chr(10) || 'second "line" '
+            || cast(o_orderkey AS string) END AS clinical_notes
+FROM {{orders}}
+"""
+# canonical column -> header the file uses
+CSV_HEADERS = {
+    "patient_id": "ID", "national_id": "NID", "first_name": "First", "last_name": "Last-Name",
+    "date_of_birth": "DOB", "gender": " Sex ", "source_system": "Source System",
+    "encounter_id": "Encounter ID", "encounter_type": "encounter_type", "admission_date": "Admit Date",
+    "discharge_date": "Discharge", "department": "Dept", "diagnosis_code": "ICD10",
+    "diagnosis_description": "Diagnosis", "chief_complaint": "Chief Complaint", "clinical_notes": "Notes",
+}

@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinspan.config import DEFAULT_AS_OF, DeidConfig, TokenConfig
-from clinspan.operators import cdm, deid, linkage
+from clinspan.operators import cdm, deid, ingest, linkage, notes
+from clinspan.plans import pipeline
+from clinspan.session import shared_dir
+from clinspan.sources import csv_in
 from registry import fixture_sql as fx
 
+SPREAD_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "documents": "doc_id"}
+
 
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -20,7 +25,13 @@ class Inputs:
         self.deid_config = DeidConfig()
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A given table. One file with one row group is read by one task, so a table of fewer
+        files than cores is spread by its key first; a large table keeps its own splits."""
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        key = SPREAD_KEYS.get(name)
+        if key and len(table.inputFiles()) < self.spark.sparkContext.defaultParallelism:
+            table = table.repartition(self.spark.sparkContext.defaultParallelism, F.col(key))
+        return table
 
     def _derive(self, sql: str, *names: str) -> DataFrame:
         return self.spark.sql(sql, **{n: self.table(n) for n in names})
@@ -41,35 +52,66 @@ class Inputs:
     def note(self) -> DataFrame:
         return self._derive(fx.NOTE, "documents")
 
+    @cached_property
+    def csv_rows(self) -> DataFrame:
+        return self._derive(fx.CSV, "orders")
+
+    @cached_property
+    def csv(self) -> csv_in.RawCsv:
+        """The CSV rows written as files with informal headers and read back."""
+        folder = shared_dir("upload")
+        self.csv_rows.select(*[F.col(c).alias(h) for c, h in fx.CSV_HEADERS.items()]).write.option(
+            "escape", '"').csv(folder, header=True)
+        return csv_in.read_csv(folder)
+
+    @cached_property
+    def ingested(self) -> ingest.Ingested:
+        return ingest.ingest(self.csv, self.as_of)
+
+    @cached_property
+    def extracted(self) -> DataFrame:
+        return notes.extract(self.note.select("doc_id", "text"))
+
     @cached_property
     def tokened(self) -> DataFrame:
         return linkage.with_token(self.patient, self.tokens_config)
 
     @cached_property
     def links(self) -> DataFrame:
-        return linkage.token_map(self.tokened)
-
-    @cached_property
-    def person_links(self) -> DataFrame:
-        """source_patient_id, patient_token and person_id: one shuffle attaches both to a fact."""
-        return self.links.join(cdm.person_index(self.links), "patient_token")
+        return pipeline.person_links(self.patient, self.tokens_config)
 
     @cached_property
     def deid_patient(self) -> DataFrame:
-        return deid.deid_patient(self.patient, self.person_links, self.deid_config)
+        return deid.deid_patient(self.patient, self.links, self.deid_config)
 
     @cached_property
     def deid_encounter(self) -> DataFrame:
-        return deid.deid_encounter(self.encounter, self.person_links, self.deid_config)
+        return deid.deid_encounter(self.encounter, self.links, self.deid_config)
 
     @cached_property
     def deid_observation(self) -> DataFrame:
-        return deid.deid_observation(self.observation, self.person_links, self.deid_config)
+        return deid.deid_observation(self.observation, self.links, self.deid_config)
 
     @cached_property
-    def cdm(self) -> cdm.Cdm:
+    def mapped(self) -> cdm.Cdm:
+        """The CDM tables computed from the given tables, not stored."""
         return cdm.build(self.deid_patient, self.deid_encounter, self.deid_observation)
 
+    @cached_property
+    def _stored(self) -> tuple[cdm.Cdm, DataFrame]:
+        return pipeline.run(self.patient, self.encounter, self.observation, self.tokens_config,
+                            self.deid_config)
+
+    @property
+    def cdm(self) -> cdm.Cdm:
+        """The CDM tables as the pipeline stored them in the shared folder."""
+        return self._stored[0]
+
+    @property
+    def people(self) -> DataFrame:
+        """The stored de-identified patient records."""
+        return self._stored[1]
+
 
 def portable(df: DataFrame) -> DataFrame:
     """Dates and timestamps as ISO text, so both engines return the same values."""
@@ -78,3 +120,14 @@ def portable(df: DataFrame) -> DataFrame:
         F.col(f"`{f.name}`").cast("string").alias(f.name)
         if f.dataType.simpleString() in kinds else F.col(f"`{f.name}`")
         for f in df.schema.fields])
+
+
+_CACHE: dict[tuple[str, str], Inputs] = {}
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    """One set of inputs per application and data folder, so the stored CDM is written once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CACHE:
+        _CACHE[key] = Inputs(spark, sf_dir)
+    return _CACHE[key]
