@@ -83,6 +83,16 @@ PHI_PATTERNS = [
     ("unique_id", r'\b[A-F0-9]{8}-[A-F0-9]{4}-[A-F0-9]{4}-[A-F0-9]{4}-[A-F0-9]{12}\b'),
 ]
 
+# Two of the patterns above repeat a group of words. The regex engine recurses once per repetition, so
+# a long text without punctuation would exhaust its stack. These forms give the same matches:
+# words and blanks as one character class, and a word run that never gives a word back (nothing
+# but its end can precede the comma). The second is only tried on texts that hold its tail at all.
+PHI_FLAT_FORMS = {
+    PHI_PATTERNS[3][1]: r'\b\d{1,5}\s+[A-Za-z][A-Za-z\s]*\s(?:Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Way|Boulevard|Blvd|Court|Ct)\b',
+    PHI_PATTERNS[4][1]: r'\b[A-Z][a-z]++(?:\s++[A-Z][a-z]++)*+,\s*[A-Z]{2}\s+\d{5}(?:-\d{4})?\b',
+}
+PHI_REQUIRED_TAILS = {PHI_PATTERNS[4][1]: r',\s*[A-Z]{2}\s+\d{5}'}
+
 # clinical entity class, confidence, pattern, in extraction order
 ENTITY_PATTERNS = [
     ("medication", 0.9, r'\b(metformin|lisinopril|atorvastatin|aspirin|amlodipine|carvedilol|furosemide|warfarin|apixaban|clopidogrel|heparin|morphine|omeprazole|nitroglycerin|insulin|ondansetron)\b'),

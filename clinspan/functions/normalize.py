@@ -101,7 +101,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)))
+    return F.size(F.regexp_extract_all(text, F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0)))
 
 
 def number_text(value: Column) -> Column:

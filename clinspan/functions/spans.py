@@ -1,19 +1,25 @@
-"""Span expressions over one text column, evaluated row by row inside Spark.
+"""Span expressions over one text, evaluated row by row inside Spark.
 
 One ``regexp_replace`` brackets every match with two marker characters; splitting at the marker
 then yields the matches with their offsets, so each pattern costs a single pass over the text.
 Offsets count code points from 0 and the end is exclusive.
+
+The expressions are stated as SQL text: a query may hold dozens of them, and parsing one string is
+far cheaper than assembling it call by call. ``text`` arguments are SQL expressions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clinspan.session import sql_literal
+
 OPEN, CLOSE = "\x01", "\x02"
-SPAN_TYPE = "array<struct<start:int,end:int,text:string>>"
+SPAN = "struct<start:int,`end`:int,text:string>"
+SPAN_FIELDS = "named_struct('start', {start}, 'end', {end}, 'text', {text})"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,77 +27,111 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def unmarked(text: Column) -> Column:
+def unmarked(text: str) -> str:
     """The text with stray marker characters swapped for others of the same regex class."""
-    return F.translate(text, OPEN + CLOSE, "\x03\x04")
+    for marker, other in ((OPEN, chr(3)), (CLOSE, chr(4))):
+        text = f"replace({text}, {sql_literal(marker)}, {sql_literal(other)})"
+    return text
 
 
-def _pieces(text: Column, pattern: str, bracketed: str) -> Column:
-    marked = F.regexp_replace(unmarked(text), F.lit(pattern), F.lit(bracketed))
-    return F.split(marked, OPEN, -1)
+def _let(value: str, name: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _located(pieces: Column, inserted: bool) -> Column:
-    """Spans out of pieces of the form ``match CLOSE rest``; the first piece precedes any match.
-    ``inserted`` matches are copies in front of the text they were found in."""
-    empty = F.array().cast(SPAN_TYPE)
+def _starts(pieces: str, length: str) -> str:
+    """Running start of each piece ``q`` of an array, as texts.
 
-    def step(state: Column, piece: Column) -> Column:
-        width = F.instr(piece, CLOSE) - 1
-        span = F.struct(state["at"].alias("start"), (state["at"] + width).alias("end"),
-                        F.substring_index(piece, CLOSE, 1).alias("text"))
-        moved = F.length(piece) - 1 - (width if inserted else F.lit(0))
-        return F.struct((state["at"] + moved).alias("at"),
-                        F.concat(state["found"], F.array(span)).alias("found"))
+    The starts are collected in one comma-separated text: appending to an array would copy all its
+    elements at every step.
+    """
+    return f"""split(aggregate({pieces}, named_struct('at', 0, 'all', ''),
+        (s, q) -> named_struct('at', s.at + {length}, 'all', concat(s.all, s.at, ',')), s -> s.all), ',')"""
 
-    def walk(parts: Column) -> Column:
-        start = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), empty.alias("found"))
-        found = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda s: s["found"])
-        return F.when(F.size(parts) > 1, found).otherwise(empty)
 
-    return let(pieces, walk)
+def _located(text: str, pattern: str, group: int, inserted: bool, fields: str, kind: str) -> str:
+    close = sql_literal(CLOSE)
+    marked = (f"regexp_replace({unmarked(text)}, {sql_literal(pattern)}, "
+              f"{sql_literal(f'{OPEN}${group}{CLOSE}')})")
+    width = f"(instr(q, {close}) - 1)"
+    # the first piece has no bracket; an inserted match is a copy that takes no room
+    room = f"if(instr(q, {close}) = 0, length(q), length(q) - " + (f"1 - {width})" if inserted else "1)")
+    start = "cast(b.at[i + 1] AS int)"
+    made = fields.format(start=start, end=f"({start} + {width})", text=f"substring_index(q, {close}, 1)")
+    found = _let(f"named_struct('p', p, 'at', {_starts('p', room)})", "b",
+                 f"transform(slice(b.p, 2, size(b.p)), (q, i) -> {made})")
+    return _let(f"split({marked}, {sql_literal(OPEN)}, -1)", "p",
+                f"if(size(p) > 1, {found}, cast(array() AS array<{kind}>))")
 
 
-def find_spans(text: Column, pattern: str) -> Column:
-    """All non-overlapping matches of ``pattern`` as an array of (start, end, text)."""
-    return _located(_pieces(text, pattern, f"{OPEN}$0{CLOSE}"), inserted=False)
+def find_sql(text: str, pattern: str, fields: str = SPAN_FIELDS, kind: str = SPAN) -> str:
+    """All non-overlapping matches as an array; ``fields`` builds one element from its offsets."""
+    return _located(text, pattern, 0, False, fields, kind)
 
 
-def find_starts(text: Column, pattern: str) -> Column:
+def starts_sql(text: str, pattern: str) -> str:
     """Positions where the look-ahead ``pattern`` holds, with the text its group 1 captured.
 
     The pattern matches the empty string, so captured texts may overlap each other.
     """
-    return _located(_pieces(text, pattern, f"{OPEN}$1{CLOSE}"), inserted=True)
-
+    return _located(text, pattern, 1, True, SPAN_FIELDS, SPAN)
 
-def split_after(text: Column, pattern: str) -> Column:
-    """Contiguous (start, end, text) pieces that each end with a match of ``pattern``."""
-    pieces = F.split(F.regexp_replace(unmarked(text), F.lit(pattern), F.lit(f"$0{OPEN}")), OPEN, -1)
 
-    def step(state: Column, piece: Column) -> Column:
-        end = state["at"] + F.length(piece)
-        span = F.struct(state["at"].alias("start"), end.alias("end"), piece.alias("text"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
+def find_spans(text: str, pattern: str) -> Column:
+    """All non-overlapping matches of ``pattern`` as an array of (start, end, text)."""
+    return F.expr(find_sql(text, pattern))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN_TYPE).alias("found"))
-    return F.aggregate(pieces, start, step, lambda s: s["found"])
 
+def pieces_sql(text: str, pattern: str) -> str:
+    """Contiguous (start, end, text) pieces that each end with a match of ``pattern``."""
+    cut = (f"split(regexp_replace({unmarked(text)}, {sql_literal(pattern)}, "
+           f"{sql_literal('$0' + OPEN)}), {sql_literal(OPEN)}, -1)")
+    start = "cast(b.at[i] AS int)"
+    made = SPAN_FIELDS.format(start=start, end=f"({start} + length(q))", text="q")
+    return _let(cut, "p", _let(f"named_struct('p', p, 'at', {_starts('p', 'length(q)')})", "b",
+                               f"transform(b.p, (q, i) -> {made})"))
 
-def keep_disjoint(sorted_spans: Column, element_type: str) -> Column:
-    """Walk spans in their given order and keep each that starts at or after the last kept end."""
 
-    def step(state: Column, span: Column) -> Column:
-        free = span["start"] >= state["end"]
-        return F.struct(
-            F.when(free, span["end"]).otherwise(state["end"]).alias("end"),
-            F.when(free, F.concat(state["kept"], F.array(span))).otherwise(state["kept"]).alias("kept"),
-        )
+def disjoint_sql(sorted_spans: str, kind: str) -> str:
+    """Walk spans in their given order and keep each that starts at or after the last kept end.
 
-    start = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{element_type}>").alias("kept"))
-    return F.aggregate(sorted_spans, start, step, lambda s: s["kept"])
+    The walk notes one character per span, kept or not, and the spans are filtered by it.
+    """
+    flags = """split(aggregate(xs, named_struct('stop', 0, 'f', ''), (s, x) -> if(x.start >= s.stop,
+        named_struct('stop', x.`end`, 'f', concat(s.f, '1')),
+        named_struct('stop', s.stop, 'f', concat(s.f, '0'))), s -> s.f), '')"""
+    kept = _let(f"named_struct('xs', xs, 'f', {flags})", "b", "filter(b.xs, (x, i) -> b.f[i] = '1')")
+    return _let(f"cast({sorted_spans} AS array<{kind}>)", "xs", kept)
 
 
 def slice_text(text: Column, start: Column, end: Column) -> Column:
     """Characters from ``start`` up to ``end`` (0-based, end exclusive)."""
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
+
+
+def rows_of(df: DataFrame, spans: str, *keep: str) -> DataFrame:
+    """One row per element of a struct array, next to the columns to keep.
+
+    The outer form plus a filter on the result: for the plain form Spark adds a "not empty" filter
+    below, which would compute the whole array a second time.
+    """
+    fields = df.schema[spans].dataType.elementType.names
+    rows = df.select(*keep, F.explode_outer(spans).alias("_row")).where(F.col("_row").isNotNull())
+    return rows.select(*keep, *[F.col("_row")[f].alias(f) for f in fields])
+
+
+def struct_sql(names: str, row: tuple) -> str:
+    """A constant struct as SQL text."""
+    pairs = zip(names.split(", "), row)
+    return "named_struct(" + ", ".join(f"'{n}', {sql_literal(v)}" for n, v in pairs) + ")"
+
+
+def struct_array(names: str, rows: list[tuple]) -> Column:
+    """A constant array of structs."""
+    return F.expr("array(" + ", ".join(struct_sql(names, r) for r in rows) + ")")
+
+
+def constant_map(pairs: dict) -> Column:
+    """A constant map; values are SQL texts or plain values in a one-tuple."""
+    return F.expr("map(" + ", ".join(
+        f"{sql_literal(k)}, {sql_literal(v[0]) if isinstance(v, tuple) else v}"
+        for k, v in pairs.items()) + ")")

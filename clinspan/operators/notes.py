@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from clinspan.fixed import lexicon as fixed
 from clinspan.functions import spans
 from clinspan.functions.normalize import word_count
+from clinspan.session import sql_literal
 
 _CLASS = {name: (label, layer, colour) for name, label, layer, colour in fixed.ENTITY_CLASSES}
 _BORDER = "A-Za-z0-9"
@@ -55,29 +56,25 @@ def _confidence(phrase: str) -> float:
 
 def _concept_table() -> Column:
     """phrase -> linked concept, as one constant map."""
-    entries = []
-    for phrase, (_, kind, vocabulary, code, term, tag, _, note) in TRIGGERS.items():
-        label, layer, colour = _CLASS[kind]
-        entries += [F.lit(phrase), F.struct(
-            F.lit(kind).alias("entity_type"), F.lit(label).alias("entity_type_label"),
-            F.lit(layer).alias("layer"), F.lit(colour).alias("color"),
-            F.lit(vocabulary).alias("vocabulary"), F.lit(code).alias("code"),
-            F.lit(term).alias("concept"), F.lit(tag).alias("semantic_tag"),
-            F.lit(_confidence(phrase)).alias("confidence"), F.lit(note).alias("note"))]
-    return F.create_map(*entries)
+    names = ("entity_type, entity_type_label, layer, color, vocabulary, code, concept, semantic_tag,"
+             " confidence, note")
+    return spans.constant_map({
+        phrase: spans.struct_sql(names, (kind, *_CLASS[kind], vocabulary, code, term, tag,
+                                         _confidence(phrase), note))
+        for phrase, (_, kind, vocabulary, code, term, tag, _, note) in TRIGGERS.items()})
 
 
 def phrase_key(text: Column) -> Column:
     return F.lower(F.upper(text))
 
 
-def sentences(text: Column) -> Column:
+def sentences(text: str) -> Column:
     """Sentence spans: up to a run of ``.!?`` before white space, or a blank line."""
-    return F.filter(spans.split_after(text, "(?dU)" + fixed.SENTENCE_END),
+    return F.filter(F.expr(spans.pieces_sql(text, "(?dU)" + fixed.SENTENCE_END)),
                     lambda s: s["text"].rlike(r"(?U)\S"))
 
 
-def sections(text: Column) -> Column:
+def sections(text: str) -> Column:
     """Upper-case header lines as (start, end, name)."""
     found = spans.find_spans(text, "(?dmU)" + fixed.SECTION_HEADER)
     return F.transform(found, lambda s: F.struct(
@@ -85,39 +82,43 @@ def sections(text: Column) -> Column:
         F.regexp_replace(s["text"], F.lit(r"(?U)^\s+|\s*:$"), F.lit("")).alias("name")))
 
 
-def phrase_starts(text: Column) -> Column:
+def phrase_starts(text: str) -> Column:
     """The longest dictionary phrase at every position where one starts."""
-    return spans.find_starts(text, TRIGGER_PATTERN)
+    return F.expr(spans.starts_sql(text, TRIGGER_PATTERN))
 
 
 def candidate_count(starts: Column) -> Column:
-    counts = F.create_map(*[x for p in TRIGGERS for x in (F.lit(p), F.lit(len(candidates_within(p))))])
-    return F.aggregate(starts, F.lit(0), lambda n, s: n + F.element_at(counts, phrase_key(s["text"])))
+    counts = spans.constant_map({p: (len(candidates_within(p)),) for p in TRIGGERS})
+    return F.aggregate(starts, F.lit(0).cast("bigint"),
+                       lambda n, s: n + F.element_at(counts, phrase_key(s["text"])))
 
 
 def candidates(notes: DataFrame) -> DataFrame:
     """Every phrase occurrence before overlaps are resolved, one row each."""
-    table = F.create_map(*[
-        x for p in TRIGGERS for x in (F.lit(p), F.array(*[
-            F.struct(F.lit(c).alias("trigger"), F.lit(len(c)).alias("length"),
-                     F.lit(_confidence(c)).alias("confidence")) for c in candidates_within(p)]))])
-    starts = notes.select("doc_id", F.inline(phrase_starts(F.col("text"))))
-    return starts.select("doc_id", "start", F.inline(F.element_at(table, phrase_key(F.col("text"))))).select(
+    table = spans.constant_map({
+        p: "array(" + ", ".join(spans.struct_sql("trigger, length, confidence", (c, len(c), _confidence(c)))
+                                for c in candidates_within(p)) + ")" for p in TRIGGERS})
+    starts = spans.rows_of(notes.select("doc_id", phrase_starts("text").alias("found")), "found", "doc_id")
+    within = starts.select("doc_id", "start", F.element_at(table, phrase_key(F.col("text"))).alias("within"))
+    return spans.rows_of(within, "within", "doc_id", "start").select(
         "doc_id", "start", (F.col("start") + F.col("length")).alias("end"), "trigger", "confidence")
 
 
+def _flat(text: Column) -> Column:
+    return F.lower(F.replace(text, F.lit("\n"), F.lit(" ")))
+
+
 def _any_cue(text: Column, cues: list[str]) -> Column:
-    return F.exists(F.array(*[F.lit(c) for c in cues]), lambda cue: F.contains(text, cue))
+    return F.exists(F.expr(sql_literal(cues)), lambda cue: F.contains(text, cue))
 
 
 def _flags(span: Column, sentence: Column, section: Column, concept: Column) -> list[Column]:
     """negated, historical and subject of one entity inside its sentence and section."""
     text, at = sentence["text"], span["start"] - sentence["start"]
-    flat = F.lower(F.translate(text, "\n", " "))
+    flat = _flat(text)
     width = span["end"] - span["start"]
-    before = F.lower(F.translate(spans.slice_text(text, F.greatest(at - fixed.CHARS_BEFORE, F.lit(0)), at),
-                                 "\n", " "))
-    after = F.lower(F.translate(spans.slice_text(text, at + width, at + width + fixed.CHARS_AFTER), "\n", " "))
+    before = _flat(spans.slice_text(text, F.greatest(at - fixed.CHARS_BEFORE, F.lit(0)), at))
+    after = _flat(spans.slice_text(text, at + width, at + width + fixed.CHARS_AFTER))
     header = F.lower(section)
     family = F.contains(header, F.lit("family history")) | _any_cue(flat, fixed.FAMILY_CUES)
     present = F.contains(header, F.lit("present illness")) | F.contains(flat, F.lit("present illness"))
@@ -157,8 +158,7 @@ def _linked(found: Column, sentence_spans: Column, section_spans: Column) -> Col
             F.regexp_replace(e["sentence"]["text"], F.lit(r"(?U)^\s+|\s+$"), F.lit("")).alias("context"),
             concept["note"].alias("note"))
 
-    kept = spans.keep_disjoint(found, "struct<start:int,end:int,text:string>")
-    return F.transform(F.transform(kept, placed), entity)
+    return F.transform(F.transform(found, placed), entity)
 
 
 def extract(notes: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -168,15 +168,16 @@ def extract(notes: DataFrame, threshold: float = 0.5) -> DataFrame:
     ``sentence_count``, ``section_count``, ``candidate_spans`` and ``entities_linked``.
     """
     threshold = max(0.0, min(float(threshold), 1.0))
-    text = F.col("text")
-    parts = F.struct(sentences(text).alias("sentences"), sections(text).alias("sections"),
-                     phrase_starts(text).alias("starts"))
+    starts = spans.starts_sql("text", TRIGGER_PATTERN)
+    kept = f"get(transform(array({starts}), f -> named_struct('starts', f, 'kept', {spans.disjoint_sql('f', spans.SPAN)})), 0)"
+    parts = F.struct(sentences("text").alias("sentences"), sections("text").alias("sections"),
+                     F.expr(kept).alias("phrases"))
 
     def result(p: Column) -> Column:
         return F.struct(
             F.size(p["sentences"]).alias("sentence_count"), F.size(p["sections"]).alias("section_count"),
-            candidate_count(p["starts"]).alias("candidate_spans"),
-            _linked(p["starts"], p["sentences"], p["sections"]).alias("linked"))
+            candidate_count(p["phrases"]["starts"]).alias("candidate_spans"),
+            _linked(p["phrases"]["kept"], p["sentences"], p["sections"]).alias("linked"))
 
     found = notes.withColumn("_note", spans.let(parts, result))
     return found.select(
@@ -190,7 +191,7 @@ def extract(notes: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def entity_rows(extracted: DataFrame) -> DataFrame:
     """One row per entity, confidence rounded for display."""
-    return extracted.select("doc_id", F.inline("entities")).withColumn(
+    return spans.rows_of(extracted, "entities", "doc_id").withColumn(
         "confidence", F.round("confidence", 2))
 
 

@@ -9,25 +9,27 @@ from pyspark.sql import functions as F
 
 from clinspan.fixed import patterns as fixed
 from clinspan.functions import spans
+from clinspan.session import sql_literal
 
-HIT = "struct<start:int,rank:double,place:int,end:int,type:string,text:string,confidence:double>"
+HIT = "struct<start:int,rank:double,place:int,`end`:int,type:string,text:string,confidence:double>"
 
 
-def _hits(text: Column) -> list[tuple[bool, Column]]:
-    """Raw hits per pattern in detection order; the flag tells known names apart."""
-    kinds = [("name", "(?iu)" + re.sub(r"([.\-])", r"\\\1", name), fixed.KNOWN_NAME_CONFIDENCE, True)
+def _hits(text: str) -> list[tuple[bool, str]]:
+    """Raw hits per pattern in detection order, as SQL; the flag tells known names apart."""
+    kinds = [("name", "(?iu)" + re.sub(r"([.\-])", r"\\\1", name), fixed.KNOWN_NAME_CONFIDENCE, None)
              for name in fixed.KNOWN_NAMES]
-    kinds += [(kind, "(?iuU)" + pattern, fixed.PHI_CONFIDENCE, False)
+    known = len(kinds)
+    kinds += [(kind, "(?iuU)" + fixed.PHI_FLAT_FORMS.get(pattern, pattern), fixed.PHI_CONFIDENCE,
+               fixed.PHI_REQUIRED_TAILS.get(pattern))
               for kind, pattern in fixed.PHI_PATTERNS]
     found = []
-    for place, (kind, pattern, confidence, known) in enumerate(kinds):
-        def hit(s: Column, place=place, kind=kind, confidence=confidence) -> Column:
-            return F.struct(
-                s["start"].alias("start"), F.lit(-confidence).alias("rank"), F.lit(place).alias("place"),
-                s["end"].alias("end"), F.lit(kind).alias("type"), s["text"].alias("text"),
-                F.lit(confidence).alias("confidence"))
-
-        found.append((known, F.transform(spans.find_spans(text, pattern), hit)))
+    for place, (kind, pattern, confidence, tail) in enumerate(kinds):
+        fields = (f"named_struct('start', {{start}}, 'rank', {-confidence!r}D, 'place', {place}, "
+                  f"'end', {{end}}, 'type', '{kind}', 'text', {{text}}, 'confidence', {confidence!r}D)")
+        sql = spans.find_sql(text, pattern, fields, HIT)
+        if tail:
+            sql = f"if(rlike({text}, {sql_literal('(?iuU)' + tail)}), {sql}, cast(array() AS array<{HIT}>))"
+        found.append((place < known, sql))
     return found
 
 
@@ -38,23 +40,21 @@ def detect(notes: DataFrame, text: str = "text", out: str = "phi") -> DataFrame:
     hit lies in a kept one, so it is enough to compare with the raw earlier hits. Of the rest, hits
     are taken by start, then confidence, then pattern order, as long as they do not overlap.
     """
-    hits = _hits(F.col(text))
+    hits = _hits(text)
     names = [f"_hits_{i}" for i in range(len(hits))]
     # a projection of its own: each pattern runs once, whatever refers to its hits below
-    raw = notes.select(*notes.columns, *[column.alias(n) for n, (_, column) in zip(names, hits)])
+    raw = notes.select(*notes.columns, *[F.expr(sql).alias(n) for n, (_, sql) in zip(names, hits)])
     kept = []
     for i, (known, _) in enumerate(hits):
         if known:
-            kept.append(F.col(names[i]))
-            continue
-        earlier = F.flatten(F.array(*names[:i]))
-        outside = spans.let(
-            F.struct(F.col(names[i]).alias("mine"), earlier.alias("earlier")),
-            lambda both: F.filter(both["mine"], lambda h: ~F.exists(
-                both["earlier"], lambda e: (e["start"] <= h["start"]) & (h["end"] <= e["end"]))))
-        kept.append(F.when(F.size(names[i]) > 0, outside).otherwise(F.col(names[i])))
-    merged = F.array_sort(F.flatten(F.array(*kept)))
-    return raw.select(*notes.columns, spans.keep_disjoint(merged, HIT).alias(out))
+            kept.append(names[i])
+        else:
+            kept.append(f"""if(size({names[i]}) = 0, {names[i]}, get(transform(
+                array(named_struct('mine', {names[i]}, 'earlier', flatten(array({', '.join(names[:i])})))),
+                b -> filter(b.mine, h -> not exists(b.earlier,
+                    e -> e.start <= h.start and h.`end` <= e.`end`))), 0))""")
+    merged = f"array_sort(flatten(array({', '.join(kept)})))"
+    return raw.select(*notes.columns, F.expr(spans.disjoint_sql(merged, HIT)).alias(out))
 
 
 def _masks() -> Column:
@@ -76,7 +76,7 @@ def mask(text: Column, detections: Column) -> Column:
 
 def phi_rows(detected: DataFrame) -> DataFrame:
     """One row per detection with its replacement."""
-    return detected.select("doc_id", F.inline("phi")).select(
+    return spans.rows_of(detected, "phi", "doc_id").select(
         "doc_id", "text", "type", "start", "end", "confidence",
         F.element_at(_masks(), F.col("type")).alias("replacement"))
 
@@ -98,6 +98,6 @@ def summary(detected: DataFrame) -> DataFrame:
 
 def type_counts(detected: DataFrame) -> DataFrame:
     """Detections and notes per identifier type over the corpus."""
-    per_note = detected.select("doc_id", F.explode("phi.type").alias("type")).groupBy("doc_id", "type").agg(
+    per_note = spans.rows_of(detected, "phi", "doc_id").groupBy("doc_id", "type").agg(
         F.count("*").alias("n"))
     return per_note.groupBy("type").agg(F.sum("n").alias("detections"), F.count("*").alias("notes"))

@@ -10,7 +10,7 @@ from clinspan.functions import spans
 from clinspan.functions.normalize import word_count
 from clinspan.operators import phi, terminology
 
-ENTITY = "struct<start:int,shorter:int,place:int,end:int,type:string,text:string,confidence:double>"
+ENTITY = "struct<start:int,shorter:int,place:int,`end`:int,type:string,text:string,confidence:double>"
 # FIXED VALUES: mapping bucket per entity class
 BUCKETS = [("condition", "conditions"), ("diagnosis", "conditions"), ("medication", "medications"),
            ("procedure", "procedures"), ("lab_test", "lab_tests"), ("lab_value", "lab_tests"),
@@ -20,30 +20,26 @@ BUCKETS = [("condition", "conditions"), ("diagnosis", "conditions"), ("medicatio
 def clinical_entities(records: DataFrame, text: str = "text", out: str = "entities") -> DataFrame:
     """Add the entities of a text: hits of all class patterns by start, longest first, without
     overlaps; equal hits go to the earlier pattern."""
-    body = F.col(text)
     hits = []
     for place, (kind, confidence, pattern) in enumerate(fixed.ENTITY_PATTERNS):
-        def hit(s: Column, place=place, kind=kind, confidence=confidence) -> Column:
-            return F.struct(
-                s["start"].alias("start"), (s["start"] - s["end"]).alias("shorter"),
-                F.lit(place).alias("place"), s["end"].alias("end"), F.lit(kind).alias("type"),
-                s["text"].alias("text"), F.lit(confidence).alias("confidence"))
-
-        hits.append(F.transform(spans.find_spans(body, "(?iuU)" + pattern), hit))
-    merged = F.array_sort(F.flatten(F.array(*hits)))
-    return records.select(*records.columns, spans.keep_disjoint(merged, ENTITY).alias(out))
+        fields = (f"named_struct('start', {{start}}, 'shorter', {{start}} - {{end}}, 'place', {place}, "
+                  f"'end', {{end}}, 'type', '{kind}', 'text', {{text}}, 'confidence', {confidence!r}D)")
+        hits.append(spans.find_sql(text, "(?iuU)" + pattern, fields, ENTITY))
+    merged = f"array_sort(flatten(array({', '.join(hits)})))"
+    return records.select(*records.columns, F.expr(spans.disjoint_sql(merged, ENTITY)).alias(out))
 
 
 def entity_rows(records: DataFrame) -> DataFrame:
     """One row per entity with the characters around it."""
     found = clinical_entities(records)
     reach = fixed.ENTITY_CONTEXT_CHARS
-    return found.select("doc_id", F.col("text").alias("_text"), F.explode("entities").alias("e")).select(
-        "doc_id", F.col("e.text").alias("text"), F.col("e.type").alias("type"),
-        F.col("e.start").alias("start"), F.col("e.end").alias("end"),
-        F.col("e.confidence").alias("confidence"),
-        spans.slice_text(F.col("_text"), F.greatest(F.col("e.start") - reach, F.lit(0)),
-                         F.col("e.end") + reach).alias("context"))
+    # the context is cut inside the row, so the text is not copied to every entity
+    cut = found.select("doc_id", F.transform("entities", lambda e: F.struct(
+        e["text"].alias("text"), e["type"].alias("type"), e["start"].alias("start"), e["end"].alias("end"),
+        e["confidence"].alias("confidence"),
+        spans.slice_text(F.col("text"), F.greatest(e["start"] - reach, F.lit(0)),
+                         e["end"] + reach).alias("context"))).alias("found"))
+    return spans.rows_of(cut, "found", "doc_id")
 
 
 def process(records: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clinspan.fixed import patterns, vocabularies as fixed
 from clinspan.functions import spans
-from clinspan.session import active, constant_table
+from clinspan.session import active, constant_table, sql_literal
 
 MATCH = "struct<code:string,term:string,system:string>"
 
@@ -20,17 +20,19 @@ def _lower(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), F.lit(r"(?U)^\s+|\s+$"), F.lit(""))
 
 
-def _entry(code: str, term: str, system: str, **keys) -> Column:
-    return F.struct(
-        F.struct(F.lit(code).alias("code"), F.lit(term).alias("term"),
-                 F.lit(system).alias("system")).alias("match"),
-        *[(F.array(*[F.lit(x) for x in v]).cast("array<string>") if isinstance(v, (list, set, tuple))
-           else F.lit(v)).alias(k) for k, v in keys.items()])
+def _entries(names: str, rows: list[tuple]) -> Column:
+    """Vocabulary entries (code, term, system, then what they are compared by) as a constant array."""
+    def entry(row: tuple) -> str:
+        match = spans.struct_sql("code, term, system", row[:3])
+        keys = ", ".join(f"'{n}', {sql_literal(v)}" for n, v in zip(names.split(", "), row[3:]))
+        return f"named_struct('match', {match}, {keys})"
 
+    return F.expr("array(" + ", ".join(entry(r) for r in rows) + ")")
 
-def _first(entries: list[Column], condition) -> Column:
+
+def _first(entries: Column, condition) -> Column:
     """Match of the first entry, in vocabulary order, that meets the condition."""
-    return F.get(F.filter(F.array(*entries), condition), F.lit(0))["match"]
+    return F.get(F.filter(entries, condition), F.lit(0))["match"]
 
 
 def words(text: Column) -> Column:
@@ -42,8 +44,8 @@ def overlap_match(text: Column, names: list[tuple[str, str, str, str]]) -> Colum
 
     ``names`` are (name, code, term, system) in order; on equal scores the earlier one wins.
     """
-    options = F.array(*[
-        _entry(code, term, system, words=list(dict.fromkeys(name.split())), place=-i)
+    options = _entries("words, place", [
+        (code, term, system, list(dict.fromkeys(name.split())), -i)
         for i, (name, code, term, system) in enumerate(names)])
 
     def best(mine: Column) -> Column:
@@ -65,8 +67,8 @@ def _snomed_names() -> list[tuple[str, str, str, str]]:
 
 
 def snomed_match(text: Column) -> Column:
-    exact = [_entry(code, term, "SNOMED CT", names=[n.lower() for n in [term, *synonyms]])
-             for code, term, synonyms, _ in fixed.SNOMED]
+    exact = _entries("names", [(code, term, "SNOMED CT", [n.lower() for n in [term, *synonyms]])
+                               for code, term, synonyms, _ in fixed.SNOMED])
     key = _lower(text)
     return F.coalesce(_first(exact, lambda e: F.array_contains(e["names"], key)),
                       overlap_match(text, _snomed_names()))
@@ -79,11 +81,11 @@ def icd10_match(text: Column) -> Column:
 
 
 def loinc_match(text: Column) -> Column:
-    aliases = F.create_map(*[F.lit(x) for pair in patterns.LAB_ALIASES for x in pair])
+    aliases = spans.constant_map({alias: (name,) for alias, name in patterns.LAB_ALIASES})
     key = _lower(text)
     term = F.coalesce(F.try_element_at(aliases, key), key)
-    entries = [_entry(code, short, "LOINC", short=short.lower(), component=component.lower())
-               for code, component, short, *_ in fixed.LOINC]
+    entries = _entries("short, component", [(code, short, "LOINC", short.lower(), component.lower())
+                                            for code, component, short, *_ in fixed.LOINC])
     return _first(entries, lambda e: F.contains(e["short"], term) | F.contains(e["component"], term))
 
 
@@ -98,9 +100,9 @@ def rxnorm_match(text: Column, skip_empty: bool = True) -> Column:
     A text that is only a dose leaves nothing to look up. With ``skip_empty=False`` it maps to the
     first drug of the vocabulary, since every name starts with the empty text.
     """
-    entries = [_entry(code, name, "RxNorm", exact=[x.lower() for x in (name, generic, *brands)],
-                      name=name.lower(), generic=generic.lower())
-               for code, name, generic, brands, _, _ in fixed.RXNORM]
+    entries = _entries("exact, name, generic", [
+        (code, name, "RxNorm", [x.lower() for x in (name, generic, *brands)], name.lower(), generic.lower())
+        for code, name, generic, brands, _, _ in fixed.RXNORM])
     key = drug_name(text)
     found = F.coalesce(
         _first(entries, lambda e: F.array_contains(e["exact"], key)),
@@ -110,8 +112,8 @@ def rxnorm_match(text: Column, skip_empty: bool = True) -> Column:
 
 def cpt_match(text: Column) -> Column:
     key = _lower(text)
-    entries = [_entry(code, short, "CPT", short=short.lower(), long=long.lower())
-               for code, short, long, _ in fixed.CPT]
+    entries = _entries("short, long", [(code, short, "CPT", short.lower(), long.lower())
+                                       for code, short, long, _ in fixed.CPT])
     return _first(entries, lambda e: F.contains(e["short"], key) | F.contains(e["long"], key))
 
 

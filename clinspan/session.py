@@ -17,7 +17,8 @@ def active() -> SparkSession:
     return spark
 
 
-def _sql_literal(value) -> str:
+def sql_literal(value) -> str:
+    """A Python value as Spark SQL text."""
     if value is None:
         return "NULL"
     if isinstance(value, bool):
@@ -27,7 +28,7 @@ def _sql_literal(value) -> str:
     if isinstance(value, float):
         return f"{value!r}D"
     if isinstance(value, (list, tuple)):
-        return "array(" + ", ".join(_sql_literal(v) for v in value) + ")"
+        return "array(" + ", ".join(sql_literal(v) for v in value) + ")"
     text = str(value).replace("\\", "\\\\").replace("'", "\\'")
     return f"'{text}'"
 
@@ -41,7 +42,7 @@ def constant_table(columns: str, rows: Sequence[Sequence]) -> DataFrame:
     parts = [c.strip().split(" ", 1) for c in columns.split(", ")]
     names = ", ".join(f"_{i}" for i in range(len(parts)))
     casts = ", ".join(f"CAST(_{i} AS {t}) AS {n}" for i, (n, t) in enumerate(parts))
-    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
+    values = ", ".join("(" + ", ".join(sql_literal(v) for v in row) + ")" for row in rows)
     table = active().sql(f"SELECT {casts} FROM VALUES {values} AS fixed_rows({names})")
     return F.broadcast(table)
 

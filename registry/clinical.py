@@ -610,12 +610,12 @@ for _name, _sql in _MEMBERS.items():
         lambda x, name=_name: cohort.members(x.cdm, cohort.named_cohort(name), x.as_of))
 
 _TRIAL = cohort.Cohort(
-    "Diabetics without emergency", "Adult diabetics not on tacrolimus without emergency visits",
-    [C("diagnosis", "condition", "exists", "diabetes"), C("age", "age", "between", 18, 80)],
-    [C("visit_type", "visit", "exists", "emergency"), C("medication", "drug", "exists", "tacrolimus")])
-_IN = """(SELECT person_id FROM person WHERE 2020 - year_of_birth BETWEEN 18 AND 80 AND person_id IN (
+    "Diabetics without transplant or lymphoma", "Adult diabetics without tacrolimus or lymphoma",
+    [C("diagnosis", "condition", "exists", "diabetes"), C("age", "age", "between", 18, 95)],
+    [C("diagnosis", "condition", "in", ["lymphoma", "leukemia"]), C("medication", "drug", "exists", "tacrolimus")])
+_IN = """(SELECT person_id FROM person WHERE 2020 - year_of_birth BETWEEN 18 AND 95 AND person_id IN (
     SELECT person_id FROM cond WHERE condition_concept_id = 44054006))"""
-_OUT = """(SELECT person_id FROM visit WHERE visit_concept_id = 9203 UNION
+_OUT = """(SELECT person_id FROM cond WHERE condition_concept_id IN (118601006, 93143009) UNION
     SELECT person_id FROM drug WHERE drug_concept_id = 950637)"""
 
 
@@ -654,7 +654,7 @@ def _(x):
 
 @query("cohort_build", f"""SELECT '{_TRIAL.name}' AS cohort_name, '{_TRIAL.description}' AS description,
     total_count AS member_count, *, 'diagnosis.condition exists diabetes; age.age between 18' AS inclusion,
-    'visit_type.visit exists emergency; medication.drug exists tacrolimus' AS exclusion
+    'diagnosis.condition in lymphoma,leukemia; medication.drug exists tacrolimus' AS exclusion
     FROM ({_stats_sql(f"SELECT person_id FROM {_IN} WHERE person_id NOT IN {_OUT}")})""")
 def _(x):
     return cohort.build(x.cdm, _TRIAL, x.as_of)

@@ -217,4 +217,4 @@ def with_views(query: str) -> str:
 
     visit(query)
     parts = [f"{name} AS ({VIEWS[name]})" for name in VIEWS if name in needed]
-    return "WITH " + ",\n".join(parts) + "\n" + query if parts else query
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + query if parts else query

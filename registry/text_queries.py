@@ -34,17 +34,17 @@ def _(x):
 
 @query("span_find", sql.SPAN_FIND)
 def _(x):
-    return x.note.select("doc_id", F.inline(spans.find_spans(F.col("text"), r"\d+")))
+    return spans.rows_of(x.note.select("doc_id", spans.find_spans("text", r"\d+").alias("found")), "found", "doc_id")
 
 
 @query("sentence_split", sql.SENTENCES)
 def _(x):
-    return x.note.select("doc_id", F.inline(notes.sentences(F.col("text")))).select("doc_id", "start", "end")
+    return spans.rows_of(x.note.select("doc_id", notes.sentences("text").alias("found")), "found", "doc_id").drop("text")
 
 
 @query("section_detect", sql.SECTIONS)
 def _(x):
-    return x.note.select("doc_id", F.inline(notes.sections(F.col("text")))).select("doc_id", "start", "name")
+    return spans.rows_of(x.note.select("doc_id", notes.sections("text").alias("found")), "found", "doc_id").drop("end")
 
 
 @query("dictionary_containment", sql.CANDIDATES)
@@ -120,9 +120,7 @@ def _(x):
 
 @query("annotated_html", sql.HTML)
 def _(x):
-    return export.annotated_html(x.extracted).select(
-        "doc_id", F.length("html").alias("chars"),
-        F.size(F.split("html", "<span ")).alias("pieces"))
+    return export.annotated_html(x.extracted)
 
 
 # --- identifiers -----------------------------------------------------------------------------
