@@ -6,7 +6,7 @@ characters, phrases are looked up one by one, and overlaps are resolved by follo
 
 from __future__ import annotations
 
-from clinspan.fixed import concepts, lexicon
+from clinspan.fixed import concepts, lexicon, patterns
 from registry.oracle_views import VIEWS, quoted, rows
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
@@ -174,3 +174,73 @@ PIPELINE = "SELECT * FROM (" + " UNION ALL ".join(
     f" {quoted(concepts.DEID_METHOD) if n == 4 else 'CAST(NULL AS varchar)'} AS method FROM counts"
     for n, name, figures in _STEPS for figure, value in figures) + ")"
 VIEWS["counts"] = f"SELECT * FROM {_COUNTS}"
+
+OPERATIONS_TEXT = f"""SELECT doc_id, 'CLINICAL TEXT EXTRACTION — OPERATIONS / AUDIT LOG' || chr(10) || 'Threshold: 0.5' || chr(10) || chr(10)
+    || string_agg('[' || step || '] ' || operation || chr(10) || '      ' || detail || '  (count: ' || count || ')', chr(10) ORDER BY step)
+    || chr(10) || chr(10) || 'Vocabularies used: ' || any_value(vocabularies_used) AS log
+    FROM ({OPERATIONS}) JOIN (SELECT doc_id, vocabularies_used FROM n_stats) USING (doc_id) GROUP BY doc_id"""
+
+# --- identifiers and clinical entities -------------------------------------------------------
+# RE2's \b and \w know ASCII only. Other letters become "_", which is a word character outside
+# [A-Za-z0-9], and other blanks become " "; both keep every offset.
+VIEWS["plain"] = r"""SELECT doc_id, regexp_replace(regexp_replace(text, '[\x0b\x1c-\x1f\x{85}\pZ]', ' ', 'g'),
+    '[^\x00-\x7f]', '_', 'g') AS text FROM fx_note"""
+
+
+def _hits(kinds: list[tuple]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT doc_id, start, "end", {place} AS place, '{kind}' AS type, {conf}::DOUBLE AS confidence
+        FROM ({located('plain', '(?i:' + pattern + ')')})""" for place, (kind, conf, pattern) in enumerate(kinds))
+
+
+def _chain(name: str, source: str) -> None:
+    """``name``: the spans of ``source`` (one per start) kept when walking left to right."""
+    VIEWS[f"{name}_ptr"] = f"""SELECT a.*, b.start AS nxt, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.start) AS rn
+        FROM {source} a ASOF LEFT JOIN (SELECT doc_id, start FROM {source}) b ON a.doc_id = b.doc_id AND a."end" <= b.start"""
+    VIEWS[name] = f"""SELECT doc_id, start, "end", place, type, confidence, nxt FROM {name}_ptr WHERE rn = 1
+        UNION ALL SELECT q.doc_id, q.start, q."end", q.place, q.type, q.confidence, q.nxt
+        FROM {name} k JOIN {name}_ptr q ON q.doc_id = k.doc_id AND q.start = k.nxt"""
+
+
+_KNOWN = len(patterns.KNOWN_NAMES)
+VIEWS["phi_hits"] = _hits(
+    [("name", patterns.KNOWN_NAME_CONFIDENCE, n.replace(".", "\\.")) for n in patterns.KNOWN_NAMES]
+    + [(kind, patterns.PHI_CONFIDENCE, p) for kind, p in patterns.PHI_PATTERNS])
+VIEWS["phi_open"] = f"""SELECT h.* FROM phi_hits h WHERE place < {_KNOWN} OR NOT EXISTS (SELECT 1 FROM phi_hits e
+    WHERE e.doc_id = h.doc_id AND e.place < h.place AND e.start <= h.start AND e."end" >= h."end")"""
+VIEWS["phi_best"] = """SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, start
+    ORDER BY confidence DESC, place) AS k FROM phi_open) WHERE k = 1"""
+_chain("phi_kept", "phi_best")
+VIEWS["masks"] = rows("type, replacement", patterns.PHI_MASKS)
+VIEWS["phi_final"] = """SELECT doc_id, substr(text, start + 1, "end" - start) AS text, type, start, "end", confidence, replacement
+    FROM phi_kept JOIN masks USING (type) JOIN (SELECT doc_id, text FROM fx_note) USING (doc_id)"""
+PHI_ROWS = "SELECT * FROM phi_final"
+VIEWS["phi_masked"] = """SELECT doc_id, coalesce(marked, '') || substr(text, coalesce(last, 0) + 1) AS masked
+    FROM fx_note LEFT JOIN (SELECT doc_id, max("end") AS last,
+        string_agg(substr(full_text, prev + 1, start - prev) || replacement, '' ORDER BY start) AS marked
+        FROM (SELECT p.*, n.text AS full_text, coalesce(lag(p."end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS prev
+              FROM phi_final p JOIN (SELECT doc_id, text FROM fx_note) n USING (doc_id)) GROUP BY 1) USING (doc_id)"""
+PHI_MASK = "SELECT doc_id, masked FROM phi_masked"
+PHI_SUMMARY = """SELECT doc_id, coalesce(n, 0) AS total_phi_found, coalesce(types, '') AS types_found FROM fx_note LEFT JOIN (
+    SELECT doc_id, cast(sum(c) AS bigint) AS n, string_agg(type, '; ' ORDER BY lo) AS types FROM (
+        SELECT doc_id, type, count(*) AS c, min(start) AS lo FROM phi_final GROUP BY 1, 2) GROUP BY 1) USING (doc_id)"""
+PHI_TYPES = "SELECT type, count(*) AS detections, count(DISTINCT doc_id) AS notes FROM phi_final GROUP BY 1"
+
+VIEWS["ce_hits"] = _hits(patterns.ENTITY_PATTERNS)
+VIEWS["ce_best"] = """SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, start
+    ORDER BY "end" DESC, place) AS k FROM ce_hits) WHERE k = 1"""
+_chain("ce_kept", "ce_best")
+VIEWS["ce_final"] = """SELECT doc_id, substr(text, start + 1, "end" - start) AS text, type, start, "end", confidence,
+    substr(text, greatest(start - 50, 0) + 1, "end" + 50 - greatest(start - 50, 0)) AS context
+    FROM ce_kept JOIN (SELECT doc_id, text FROM fx_note) USING (doc_id)"""
+ENTITIES = "SELECT * FROM ce_final"
+RECORDS = f"""SELECT doc_id, masked AS deidentified_text, characters AS character_count, words AS word_count,
+    coalesce(n, 0) AS entities_extracted, coalesce(p, 0) AS phi_detected, coalesce(n, 0) AS terminology_mappings,
+    coalesce(conditions, 0) AS conditions, coalesce(medications, 0) AS medications, coalesce(procedures, 0) AS procedures,
+    coalesce(lab_tests, 0) AS lab_tests, coalesce(vital_signs, 0) AS vital_signs, coalesce(symptoms, 0) AS symptoms
+    FROM phi_masked JOIN ({TEXT_STATS}) USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS p FROM phi_final GROUP BY 1) USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE type = 'condition') AS conditions,
+        count(*) FILTER (WHERE type = 'medication') AS medications, count(*) FILTER (WHERE type = 'procedure') AS procedures,
+        count(*) FILTER (WHERE type = 'lab_test') AS lab_tests, count(*) FILTER (WHERE type = 'vital_sign') AS vital_signs,
+        count(*) FILTER (WHERE type = 'symptom') AS symptoms FROM ce_final GROUP BY 1) USING (doc_id)"""

@@ -103,7 +103,7 @@ def _(x):
     return notes.operations(notes.stats(x.extracted))
 
 
-@query("operations_text")
+@query("operations_text", sql.OPERATIONS_TEXT)
 def _(x):
     return export.operations_text(x.extracted)
 
@@ -126,24 +126,27 @@ def _(x):
 # --- identifiers -----------------------------------------------------------------------------
 
 
-@query("phi_detect")
+@query("phi_detect", sql.PHI_ROWS)
 def _(x):
     return phi.phi_rows(phi.detect(x.note))
 
 
-@query("phi_mask")
+@query("phi_mask", sql.PHI_MASK)
 def _(x):
     return phi.detect(x.note).select("doc_id", phi.mask(F.col("text"), F.col("phi")).alias("masked"))
 
 
-@query("phi_summary")
+@query("phi_summary", sql.PHI_SUMMARY)
 def _(x):
-    rows = phi.summary(phi.detect(x.note))
-    return rows.select("doc_id", "total_phi_found", F.to_json("phi_by_type").alias("phi_by_type"),
-                       joined("types_found"))
+    return phi.summary(phi.detect(x.note)).select("doc_id", "total_phi_found", joined("types_found"))
 
 
-@query("phi_type_counts")
+@query("phi_by_type")
+def _(x):
+    return phi.summary(phi.detect(x.note)).select("doc_id", F.to_json("phi_by_type").alias("phi_by_type"))
+
+
+@query("phi_type_counts", sql.PHI_TYPES)
 def _(x):
     return phi.type_counts(phi.detect(x.note))
 
@@ -181,85 +184,93 @@ def _text_sql(options):
     return f"(SELECT o_orderkey, {pick(options, f'o_orderkey % {len(options)}')} AS t FROM orders)"
 
 
-def _overlap_sql(names, options):
-    """Best entry per text by shared words, from (name, code) rows in order."""
-    table = values("name, code, ord", [(n.lower(), c, i) for i, (n, c) in enumerate(names)])
-    return f"""SELECT t, code FROM (SELECT t, code, row_number() OVER (PARTITION BY t ORDER BY score DESC, ord) AS rn FROM (
-        SELECT t, code, ord, shared / greatest(len(tw), len(cw)) AS score FROM (
-            SELECT t, code, ord, tw, cw, len(list_intersect(tw, cw)) AS shared FROM
-            (SELECT DISTINCT t, list_distinct(string_split_regex(lower(trim(t)), '\\s+')) AS tw FROM {_text_sql(options)}),
-            (SELECT code, ord, list_distinct(string_split_regex(name, '\\s+')) AS cw FROM ({table})))
+def _overlap_sql(names, source):
+    """Best entry per text ``t`` by shared words, from (name, code, term) rows in order."""
+    table = values("name, code, term, ord", [(n.lower(), c, t, i) for i, (n, c, t) in enumerate(names)])
+    return f"""SELECT t, code, term FROM (SELECT t, code, term, row_number() OVER (PARTITION BY t ORDER BY score DESC, ord) AS rn FROM (
+        SELECT t, code, term, ord, shared / greatest(len(tw), len(cw)) AS score FROM (
+            SELECT t, code, term, ord, tw, cw, len(list_intersect(tw, cw)) AS shared FROM
+            (SELECT DISTINCT t, list_distinct(string_split_regex(lower(trim(t)), '\\s+')) AS tw FROM {source}),
+            (SELECT code, term, ord, list_distinct(string_split_regex(name, '\\s+')) AS cw FROM ({table})))
         WHERE shared >= least(2, len(tw)) AND shared >= len(tw) * 0.6 AND shared > 0)) WHERE rn = 1"""
 
 
-_SNOMED_NAMES = [(n, c) for c, term, syn, _ in vocabularies.SNOMED for n in [term, *syn]]
-_ICD_NAMES = [(n, c) for c, short, long, _, _ in vocabularies.ICD10 for n in (short, long)]
+_SNOMED_NAMES = [(n, c, term) for c, term, syn, _ in vocabularies.SNOMED for n in [term, *syn]]
+_ICD_NAMES = [(n, c, short) for c, short, long, _, _ in vocabularies.ICD10 for n in (short, long)]
 
 
 def _full_sql(options, best):
     return f"SELECT o_orderkey, code FROM {_text_sql(options)} LEFT JOIN ({best}) USING (t)"
 
 
-_OVERLAP = _overlap_sql(_SNOMED_NAMES, TERMS)
-
-
-@query("token_overlap_match", _full_sql(TERMS, _OVERLAP))
+@query("token_overlap_match", _full_sql(TERMS, _overlap_sql(_SNOMED_NAMES, _text_sql(TERMS))))
 def _(x):
     return _matched(x, TERMS, lambda t: terminology.overlap_match(t, terminology._snomed_names()))
 
 
-@query("best_match", _full_sql(TERMS, _overlap_sql(_ICD_NAMES, TERMS)))
+@query("best_match", _full_sql(TERMS, _overlap_sql(_ICD_NAMES, _text_sql(TERMS))))
 def _(x):
     return _matched(x, TERMS, terminology.icd10_match)
 
 
-@query("icd10_match", _full_sql(TERMS, _overlap_sql(_ICD_NAMES, TERMS)))
+@query("icd10_match", _full_sql(TERMS, _overlap_sql(_ICD_NAMES, _text_sql(TERMS))))
 def _(x):
     return _matched(x, TERMS, terminology.icd10_match)
 
 
-_EXACT_TABLE = values("name, code, ord", [(n.lower(), c, i) for i, (n, c) in enumerate(_SNOMED_NAMES)])
+def _snomed_sql(source):
+    exact = values("name, code, term, ord", [(n.lower(), c, t, i) for i, (n, c, t) in enumerate(_SNOMED_NAMES)])
+    return f"""SELECT d.t, coalesce(e.code, b.code) AS code, coalesce(e.term, b.term) AS term FROM (SELECT DISTINCT t FROM {source}) d
+    LEFT JOIN (SELECT name, arg_min(code, ord) AS code, arg_min(term, ord) AS term FROM ({exact}) GROUP BY 1) e ON e.name = lower(trim(d.t))
+    LEFT JOIN ({_overlap_sql(_SNOMED_NAMES, source)}) b ON b.t = d.t"""
 
 
-@query("snomed_match", f"""SELECT o_orderkey, coalesce(e.code, b.code) AS code FROM {_text_sql(TERMS)}
-    LEFT JOIN (SELECT name, arg_min(code, ord) AS code FROM ({_EXACT_TABLE}) GROUP BY 1) e ON e.name = lower(trim(t))
-    LEFT JOIN ({_OVERLAP}) b USING (t)""")
+@query("snomed_match", _full_sql(TERMS, _snomed_sql(_text_sql(TERMS))))
 def _(x):
     return _matched(x, TERMS, terminology.snomed_match)
 
 
-_LOINC_TABLE = values("code, short, component, ord", [
-    (c, s.lower(), comp.lower(), i) for i, (c, comp, s, *_) in enumerate(vocabularies.LOINC)])
+def _loinc_sql(source):
+    table = values("code, term, short, component, ord", [
+        (c, s, s.lower(), comp.lower(), i) for i, (c, comp, s, *_) in enumerate(vocabularies.LOINC)])
+    return f"""SELECT t, arg_min(code, ord) AS code, arg_min(term, ord) AS term FROM (
+        SELECT t, coalesce(target, lower(trim(t))) AS key FROM (SELECT DISTINCT t FROM {source})
+        LEFT JOIN ({values("alias, target", patterns.LAB_ALIASES)}) ON alias = lower(trim(t)))
+        JOIN ({table}) ON contains(short, key) OR contains(component, key) GROUP BY 1"""
 
 
-@query("loinc_match", f"""SELECT o_orderkey, (SELECT arg_min(v.code, v.ord) FROM ({_LOINC_TABLE}) v
-    WHERE contains(short, term) OR contains(component, term)) AS code
-    FROM (SELECT o_orderkey, coalesce(target, lower(trim(t))) AS term FROM {_text_sql(LABS)}
-    LEFT JOIN ({values("alias, target", patterns.LAB_ALIASES)}) ON alias = lower(trim(t)))""")
+@query("loinc_match", _full_sql(LABS, _loinc_sql(_text_sql(LABS))))
 def _(x):
     return _matched(x, LABS, terminology.loinc_match)
 
 
-_RXNORM_TABLE = values("code, name, generic, ord", [
-    (c, n.lower(), g.lower(), i) for i, (c, n, g, *_) in enumerate(vocabularies.RXNORM)])
-_BRAND_TABLE = values("brand, code, ord", [
-    (b.lower(), c, i) for i, (c, n, g, brands, *_) in enumerate(vocabularies.RXNORM) for b in (n, g, *brands)])
+def _rxnorm_sql(source):
+    table = values("code, term, name, generic, ord", [
+        (c, n, n.lower(), g.lower(), i) for i, (c, n, g, *_) in enumerate(vocabularies.RXNORM)])
+    exact = values("brand, code, term, ord", [
+        (b.lower(), c, n, i) for i, (c, n, g, brands, *_) in enumerate(vocabularies.RXNORM) for b in (n, g, *brands)])
+    return f"""SELECT t, coalesce(ec, pc) AS code, coalesce(et, pt) AS term FROM (
+        SELECT t, d, arg_min(x.code, x.ord) AS ec, arg_min(x.term, x.ord) AS et FROM (
+            SELECT DISTINCT t, trim(regexp_replace(lower(trim(t)), '\\s*\\d+\\s*(mg|mcg|ml|units?|g)\\b.*', '')) AS d FROM {source})
+        LEFT JOIN ({exact}) x ON brand = d GROUP BY 1, 2) LEFT JOIN (
+        SELECT d, arg_min(y.code, y.ord) AS pc, arg_min(y.term, y.ord) AS pt FROM (
+            SELECT DISTINCT trim(regexp_replace(lower(trim(t)), '\\s*\\d+\\s*(mg|mcg|ml|units?|g)\\b.*', '')) AS d FROM {source})
+        JOIN ({table}) y ON starts_with(name, d) OR starts_with(generic, d) GROUP BY 1) USING (d) WHERE d <> ''"""
 
 
-@query("rxnorm_match", f"""SELECT o_orderkey, CASE WHEN d <> '' THEN coalesce(
-        (SELECT arg_min(v.code, v.ord) FROM ({_BRAND_TABLE}) v WHERE brand = d),
-        (SELECT arg_min(v.code, v.ord) FROM ({_RXNORM_TABLE}) v WHERE starts_with(name, d) OR starts_with(generic, d))) END AS code
-    FROM (SELECT o_orderkey, trim(regexp_replace(lower(trim(t)), '\\s*\\d+\\s*(mg|mcg|ml|units?|g)\\b.*', '')) AS d FROM {_text_sql(DRUGS)})""")
+@query("rxnorm_match", _full_sql(DRUGS, _rxnorm_sql(_text_sql(DRUGS))))
 def _(x):
     return _matched(x, DRUGS, terminology.rxnorm_match)
 
 
-_CPT_TABLE = values("code, short, long, ord", [
-    (c, s.lower(), l.lower(), i) for i, (c, s, l, _) in enumerate(vocabularies.CPT)])
+def _cpt_sql(source):
+    table = values("code, term, short, long, ord", [
+        (c, s, s.lower(), l.lower(), i) for i, (c, s, l, _) in enumerate(vocabularies.CPT)])
+    return f"""SELECT t, arg_min(code, ord) AS code, arg_min(term, ord) AS term FROM (SELECT DISTINCT t FROM {source})
+        JOIN ({table}) ON contains(short, lower(t)) OR contains(long, lower(t)) GROUP BY 1"""
 
 
-@query("cpt_match", f"""SELECT o_orderkey, (SELECT arg_min(v.code, v.ord) FROM ({_CPT_TABLE}) v
-    WHERE contains(short, lower(t)) OR contains(long, lower(t))) AS code FROM {_text_sql(PROCEDURES)}""")
+@query("cpt_match", _full_sql(PROCEDURES, _cpt_sql(_text_sql(PROCEDURES))))
 def _(x):
     return _matched(x, PROCEDURES, terminology.cpt_match)
 
@@ -267,18 +278,36 @@ def _(x):
 # --- whole records ---------------------------------------------------------------------------
 
 
-@query("clinical_entities")
+@query("clinical_entities", sql.ENTITIES)
 def _(x):
     return records.entity_rows(x.note)
 
 
-@query("map_entity")
+def _kind(*kinds):
+    return f"(SELECT text AS t FROM ce_final WHERE type IN ({', '.join(map(repr, kinds))}))"
+
+
+_CLINICAL, _LAB = _kind("condition", "symptom"), _kind("lab_test", "vital_sign")
+_MAPPED = f"""SELECT 'c' AS route, t, coalesce(s.code, i.code) AS code, coalesce(s.term, i.term) AS term,
+        CASE WHEN s.code IS NOT NULL THEN 'SNOMED CT' WHEN i.code IS NOT NULL THEN 'ICD-10-CM' END AS system
+        FROM ({_snomed_sql(_CLINICAL)}) s LEFT JOIN ({_overlap_sql(_ICD_NAMES, _CLINICAL)}) i USING (t)
+    UNION ALL SELECT 'm', t, code, term, CASE WHEN code IS NOT NULL THEN 'RxNorm' END FROM ({_rxnorm_sql(_kind("medication"))})
+    UNION ALL SELECT 'p', t, code, term, 'CPT' FROM ({_cpt_sql(_kind("procedure"))})
+    UNION ALL SELECT 'l', t, code, term, 'LOINC' FROM ({_loinc_sql(_LAB)})"""
+
+
+@query("map_entity", f"""SELECT doc_id, start, text, type, CASE type WHEN 'condition' THEN 'conditions' WHEN 'symptom' THEN 'symptoms'
+    WHEN 'medication' THEN 'medications' WHEN 'procedure' THEN 'procedures' WHEN 'lab_test' THEN 'lab_tests' ELSE 'vital_signs' END AS bucket,
+    term AS normalized_term, code AS terminology_code, system AS terminology_system
+    FROM (SELECT *, CASE WHEN type IN ('condition', 'symptom') THEN 'c' WHEN type = 'medication' THEN 'm'
+        WHEN type = 'procedure' THEN 'p' ELSE 'l' END AS route FROM ce_final) e
+    LEFT JOIN ({_MAPPED}) m ON m.t = e.text AND m.route = e.route""")
 def _(x):
     return records.mapped_entities(x.note).select(
         "doc_id", "start", "text", "type", "bucket", "normalized_term", "terminology_code", "terminology_system")
 
 
-@query("record_process")
+@query("record_process", sql.RECORDS)
 def _(x):
     return records.process(x.note).drop("entities", "phi")
 
