@@ -47,14 +47,21 @@ def constant_table(columns: str, rows: Sequence[Sequence]) -> DataFrame:
     return F.broadcast(table)
 
 
+_OWN_DIR: list[str] = []
+
+
 def shared_dir(name: str) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    A session without that setting (tests, one machine) gets a folder of its own.
+    On a single machine without that setting, as in tests, a temporary folder serves; a cluster
+    has to name one.
     """
     spark = active()
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="clinspan-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        if not _OWN_DIR:
+            _OWN_DIR.append(tempfile.mkdtemp(prefix="clinspan-"))
+        base = _OWN_DIR[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

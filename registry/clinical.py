@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from clinspan.fixed import rules
 from clinspan.functions import normalize as nz
 from clinspan.functions.redact import redact_note
 from clinspan.functions.secure import hashed_id, shift_days
@@ -415,7 +416,7 @@ def _(x):
     return insights.trend_values(x.cdm.measurement, found).drop("measurement_datetime")
 
 
-@query("recommendation_lookup")
+@query("recommendation_lookup", "SELECT person_id, measurement_source_value, direction, advice AS actions FROM trend_actions")
 def _(x):
     return insights.trend_actions(insights.lab_display(insights.lab_trend(x.cdm.measurement))).select(
         "person_id", "measurement_source_value", "direction", joined("actions"))
@@ -867,7 +868,44 @@ def _(x):
         F.count("*").alias("n"))
 
 
-@query("insight_details")
+def _said(actions: list[str]) -> str:
+    return "'" + "; ".join(actions).replace("'", "''") + "'"
+
+
+_DETAILS = f"""SELECT c.person_id, 'alert' AS type, 'high' AS severity,
+        'Critical ' || upper(c.direction[1]) || c.direction[2:] || ' ' || upper(lab[1]) || lab[2:] AS title,
+        upper(lab[1]) || lab[2:] || ' value of ' || c.value_as_number || ' ' || unit || ' is critically ' || c.direction
+            || ' (threshold: ' || limit_text || ')' AS description,
+        'Lab result: ' || c.value_as_number || ' ' || unit AS evidence,
+        coalesce(actions, 'Urgent clinical review of the critically ' || c.direction || ' ' || lab
+            || '; Evaluate the likely cause of the abnormal ' || lab) || '; Confirm with a repeat measurement before acting' AS recommendations,
+        cast(measurement_concept_id AS varchar) AS relevant_concepts
+        FROM crit c JOIN meas m ON m.measurement_id = c.measurement_id LEFT JOIN critical_advice a USING (lab, direction)
+    UNION ALL SELECT person_id, 'observation', 'medium',
+        CASE direction WHEN 'rising' THEN 'Rising' ELSE 'Declining' END || ' Trend: ' || display,
+        'Monotonic ' || CASE direction WHEN 'rising' THEN 'upward' ELSE 'downward' END || ' trend in ' || display || ' across ' || n
+            || ' serial measurements (' || round(first_value, 2) || ' → ' || round(last_value, 2) || ' ' || unit || ')',
+        trim('Serial values (' || n || ' measurements): [' || vals || '] ' || unit), advice, ''
+        FROM trend_actions JOIN trend_list USING (person_id, measurement_source_value)
+    UNION ALL SELECT person_id, 'alert', 'medium', 'Potential Drug Interaction', warning,
+        'Concurrent medications: ' || drug1 || ', ' || drug2, {_said(rules.DRUG_PAIR_ACTIONS)}, '' FROM interactions
+    UNION ALL SELECT person_id, 'alert', 'high', 'Metformin Contraindication', '{rules.METFORMIN_TEXT}',
+        'Creatinine: ' || arg_min(value_as_number, measurement_id) || ' mg/dL; Metformin prescribed', {_said(rules.METFORMIN_ACTIONS)}, ''
+        FROM meas WHERE measurement_concept_id = 3016723 AND value_as_number > 4.0
+          AND person_id IN (SELECT person_id FROM taken WHERE drug = 'metformin') GROUP BY 1
+    UNION ALL SELECT person_id, 'quality_metric', CASE WHEN controlled THEN 'info' ELSE 'medium' END,
+        CASE WHEN controlled THEN 'Diabetes Well Controlled' ELSE 'Diabetes Control Gap' END,
+        'HbA1c of ' || value_as_number || CASE WHEN controlled THEN '% is at goal (<7%)' ELSE '% exceeds target of <7% for diabetic patients' END,
+        'Latest HbA1c: ' || value_as_number || CASE WHEN controlled THEN '%' ELSE '%; Diagnosis: Diabetes mellitus' END,
+        CASE WHEN controlled THEN {_said(rules.DIABETES_GOAL_ACTIONS)} ELSE {_said(rules.DIABETES_GAP_ACTIONS)} END, '44054006' FROM control
+    UNION ALL SELECT person_id, 'observation', 'medium', 'Frequent Emergency Visits',
+        'Patient has ' || emergency || ' emergency department visits', 'ED visits: ' || emergency || '; Total visits: ' || visits,
+        {_said(rules.EMERGENCY_ACTIONS)}, '9203' FROM vcount WHERE emergency >= 2
+    UNION ALL SELECT person_id, 'observation', 'medium', 'Frequent Hospitalizations', 'Patient has ' || inpatient || ' inpatient admissions',
+        'Inpatient admissions: ' || inpatient, {_said(rules.INPATIENT_ACTIONS)}, '9201' FROM vcount WHERE inpatient >= 2"""
+
+
+@query("insight_details", _DETAILS)
 def _(x):
     rows = insights.all_findings(x.cdm, "concept")
     return rows.select("person_id", "type", "severity", "title", "description", joined("evidence"),

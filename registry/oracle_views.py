@@ -186,6 +186,17 @@ VIEWS: dict[str, str] = {
         SELECT person_id, measurement_id, lab, 'high', value_as_number, unit, high_text
         FROM meas JOIN lab_ids ON cid = measurement_concept_id JOIN limits USING (lab) JOIN limit_text USING (lab)
         WHERE value_as_number > high""",
+    "trend_advice": rows("lab, direction, actions", [(l, d, "; ".join(a)) for l, d, a in rules.TREND_ACTIONS]),
+    "critical_advice": rows("lab, direction, actions", [(l, d, "; ".join(a)) for l, d, a in rules.CRITICAL_ACTIONS]),
+    "trend_text": """SELECT t.*, coalesce(lab, t.measurement_source_value) AS lab_name,
+        coalesce(lab || ' (' || code || ')', t.measurement_source_value) AS display
+        FROM trend t LEFT JOIN lab_names ON code = t.measurement_source_value""",
+    "trend_actions": """SELECT x.*, coalesce(actions, 'Correlate the ' || CASE x.direction WHEN 'rising' THEN 'increase' ELSE 'decrease' END
+        || ' in ' || lab_name || ' with the patient''s clinical course; Repeat ' || lab_name || ' to confirm the trend before acting') AS advice
+        FROM trend_text x LEFT JOIN trend_advice a ON a.lab = lower(lab_name) AND a.direction = x.direction""",
+    "trend_list": """SELECT s.person_id, s.measurement_source_value,
+        string_agg(cast(round(value_as_number, 2) AS varchar), ', ' ORDER BY rn) AS vals
+        FROM steps s JOIN trend USING (person_id, measurement_source_value) GROUP BY 1, 2""",
     # severity and title of every finding, by concept match
     "findings": """
         SELECT person_id, 'alert' AS type, 'high' AS severity,
