@@ -93,6 +93,25 @@ PHI_FLAT_FORMS = {
 }
 PHI_REQUIRED_TAILS = {PHI_PATTERNS[4][1]: r',\s*[A-Z]{2}\s+\d{5}'}
 
+# Literal parts (lower case) without which a pattern cannot match, by its place in PHI_PATTERNS; a
+# text holding none of them is not searched for that pattern.
+PHI_NEEDS = {
+    0: ["dr", "mr", "ms", "miss"],
+    1: [","],
+    3: ["st", "ave", "road", "rd", "dr", "lane", "ln", "way", "blvd", "boulevard", "court", "ct"],
+    6: ["dob", "birth", "born", "d.o.b"], 7: ["dob", "birth", "born", "d.o.b"], 8: ["dob", "birth", "born", "d.o.b"],
+    9: ["age"],
+    12: ["+966"], 13: ["+966"], 14: ["fax", "facsimile"], 15: ["@"], 17: ["ssn"], 18: ["id", "iqama"],
+    20: ["mrn", "medical record", "patient id", "record #"],
+    22: ["health plan", "insurance", "member", "subscriber"], 23: ["policy", "group"],
+    24: ["account", "acct"], 25: ["billing", "invoice"], 26: ["license", "licence", "dea", "npi"],
+    27: ["driver"], 28: ["vin", "vehicle"], 29: ["plate"], 30: ["device", "serial"], 31: ["imei", "mac"],
+    32: ["://"], 33: ["www."], 34: ["."], 35: [":"],
+    36: ["fingerprint", "retina", "iris", "voiceprint", "face"], 37: ["-"],
+}
+# patterns that need a run of three digits
+PHI_NEEDS_DIGITS = [4, 5, 7, 8, 10, 11, 12, 13, 14, 16, 17, 18, 19, 21]
+
 # clinical entity class, confidence, pattern, in extraction order
 ENTITY_PATTERNS = [
     ("medication", 0.9, r'\b(metformin|lisinopril|atorvastatin|aspirin|amlodipine|carvedilol|furosemide|warfarin|apixaban|clopidogrel|heparin|morphine|omeprazole|nitroglycerin|insulin|ondansetron)\b'),
@@ -141,6 +160,13 @@ ENTITY_PATTERNS = [
 ]
 ENTITY_CONTEXT_CHARS = 50
 
+# Literal parts without which the patterns that are not plain word lists cannot match, by place
+ENTITY_NEEDS = {
+    2: ["mg", "mcg", "ml", "unit"], 36: ["blood pressure", "bp", "systolic", "diastolic"],
+    37: ["heart rate", "hr", "pulse"], 38: ["temp"], 39: ["resp", "rr"], 40: ["sat", "spo2"],
+    41: ["weight"], 42: ["height"],
+}
+
 # lab alias -> LOINC short name
 LAB_ALIASES = [
     ("troponin", "troponin i cardiac"), ("troponin i", "troponin i cardiac"),

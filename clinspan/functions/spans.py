@@ -10,6 +10,7 @@ far cheaper than assembling it call by call. ``text`` arguments are SQL expressi
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -103,6 +104,39 @@ def disjoint_sql(sorted_spans: str, kind: str) -> str:
     return _let(f"cast({sorted_spans} AS array<{kind}>)", "xs", kept)
 
 
+def folded_sql(text: str) -> str:
+    """Lower case the way case-insensitive matching folds letters (through upper case)."""
+    return f"replace(lower(upper({text})), {sql_literal('i' + chr(0x307))}, 'i')"
+
+
+def phrase_pattern(phrases: list[str], before: str, after: str) -> str:
+    """Zero-width pattern for the places where a phrase starts; group 1 is the longest phrase.
+
+    ``before`` and ``after`` are the border conditions. Phrases are grouped by first character so a
+    position tries few of them.
+    """
+    by_first: dict[str, list[str]] = {}
+    for phrase in sorted(phrases, key=len, reverse=True):
+        by_first.setdefault(phrase[0], []).append(phrase[1:])
+    groups = "|".join(
+        f"{_escape(first)}(?:{'|'.join(_escape(rest) for rest in group)})"
+        for first, group in sorted(by_first.items()))
+    return f"{before}(?=({groups}){after})"
+
+
+def _escape(phrase: str) -> str:
+    return re.sub(r"([.()+*?\[\]{}|^$\\])", r"\\\1", phrase)
+
+
+def only_if_any(folded: str, needed: list[str], found: str, kind: str) -> str:
+    """``found`` if the folded text holds one of the needed parts, else no spans at all.
+
+    A pattern that cannot match without a literal part is not run on texts that lack it.
+    """
+    some = " or ".join(f"contains({folded}, {sql_literal(part)})" for part in needed)
+    return f"if({some}, {found}, cast(array() AS array<{kind}>))"
+
+
 def slice_text(text: Column, start: Column, end: Column) -> Column:
     """Characters from ``start`` up to ``end`` (0-based, end exclusive)."""
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))

@@ -20,26 +20,9 @@ _CLASS = {name: (label, layer, colour) for name, label, layer, colour in fixed.E
 _BORDER = "A-Za-z0-9"
 
 
-def _escape(phrase: str) -> str:
-    return re.sub(r"([.()+*?\[\]{}|^$\\])", r"\\\1", phrase)
-
-
-def trigger_pattern(triggers: list[str]) -> str:
-    """Zero-width pattern for the places where a phrase starts; group 1 is the longest phrase.
-
-    Phrases are grouped by first character so a position tries few of them.
-    """
-    by_first: dict[str, list[str]] = {}
-    for phrase in sorted(triggers, key=len, reverse=True):
-        by_first.setdefault(phrase[0], []).append(phrase[1:])
-    groups = "|".join(
-        f"{_escape(first)}(?:{'|'.join(_escape(rest) for rest in group)})"
-        for first, group in sorted(by_first.items()))
-    return f"(?iu)(?<![{_BORDER}])(?=({groups})(?![{_BORDER}]))"
-
-
 TRIGGERS = {phrase: concept for concept in fixed.CONCEPTS for phrase in concept[0]}
-TRIGGER_PATTERN = trigger_pattern(list(TRIGGERS))
+TRIGGER_PATTERN = "(?iu)" + spans.phrase_pattern(
+    list(TRIGGERS), f"(?<![{_BORDER}])", f"(?![{_BORDER}])")
 
 
 def candidates_within(phrase: str) -> list[str]:
@@ -65,7 +48,7 @@ def _concept_table() -> Column:
 
 
 def phrase_key(text: Column) -> Column:
-    return F.lower(F.upper(text))
+    return F.replace(F.lower(F.upper(text)), F.lit("i" + chr(0x307)), F.lit("i"))  # spans.folded_sql
 
 
 def sentences(text: str) -> Column:

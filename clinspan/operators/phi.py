@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,22 +12,34 @@ from clinspan.session import sql_literal
 HIT = "struct<start:int,rank:double,place:int,`end`:int,type:string,text:string,confidence:double>"
 
 
-def _hits(text: str) -> list[tuple[bool, str]]:
-    """Raw hits per pattern in detection order, as SQL; the flag tells known names apart."""
-    kinds = [("name", "(?iu)" + re.sub(r"([.\-])", r"\\\1", name), fixed.KNOWN_NAME_CONFIDENCE, None)
-             for name in fixed.KNOWN_NAMES]
-    known = len(kinds)
-    kinds += [(kind, "(?iuU)" + fixed.PHI_FLAT_FORMS.get(pattern, pattern), fixed.PHI_CONFIDENCE,
-               fixed.PHI_REQUIRED_TAILS.get(pattern))
-              for kind, pattern in fixed.PHI_PATTERNS]
-    found = []
-    for place, (kind, pattern, confidence, tail) in enumerate(kinds):
-        fields = (f"named_struct('start', {{start}}, 'rank', {-confidence!r}D, 'place', {place}, "
-                  f"'end', {{end}}, 'type', '{kind}', 'text', {{text}}, 'confidence', {confidence!r}D)")
-        sql = spans.find_sql(text, pattern, fields, HIT)
-        if tail:
-            sql = f"if(rlike({text}, {sql_literal('(?iuU)' + tail)}), {sql}, cast(array() AS array<{HIT}>))"
-        found.append((place < known, sql))
+def _shape(place: int, kind: str, confidence: float) -> str:
+    return (f"named_struct('start', {{start}}, 'rank', {-confidence!r}D, 'place', {place}, "
+            f"'end', {{end}}, 'type', '{kind}', 'text', {{text}}, 'confidence', {confidence!r}D)")
+
+
+def _known_names(text: str, folded: str) -> str:
+    """All known names in one pass; no two of them start at the same place."""
+    names = [name.lower() for name in fixed.KNOWN_NAMES]
+    starts = spans.starts_sql(text, "(?iu)" + spans.phrase_pattern(names, "", ""))
+    made = _shape(0, "name", fixed.KNOWN_NAME_CONFIDENCE).format(start="n.start", end="n.`end`", text="n.text")
+    return spans.only_if_any(folded, names, f"transform({starts}, n -> {made})", HIT)
+
+
+def _hits(text: str, folded: str, digits: str) -> list[str]:
+    """Raw hits as SQL: the known names, then each pattern in detection order."""
+    found = [_known_names(text, folded)]
+    for i, (kind, pattern) in enumerate(fixed.PHI_PATTERNS):
+        run = "(?iuU)" + fixed.PHI_FLAT_FORMS.get(pattern, pattern)
+        sql = spans.find_sql(text, run, _shape(i + 1, kind, fixed.PHI_CONFIDENCE), HIT)
+        none = f"cast(array() AS array<{HIT}>)"
+        if pattern in fixed.PHI_REQUIRED_TAILS:
+            tail = sql_literal("(?iuU)" + fixed.PHI_REQUIRED_TAILS[pattern])
+            sql = f"if(rlike({text}, {tail}), {sql}, {none})"
+        if i in fixed.PHI_NEEDS:
+            sql = spans.only_if_any(folded, fixed.PHI_NEEDS[i], sql, HIT)
+        if i in fixed.PHI_NEEDS_DIGITS:
+            sql = f"if({digits}, {sql}, {none})"
+        found.append(sql)
     return found
 
 
@@ -40,19 +50,18 @@ def detect(notes: DataFrame, text: str = "text", out: str = "phi") -> DataFrame:
     hit lies in a kept one, so it is enough to compare with the raw earlier hits. Of the rest, hits
     are taken by start, then confidence, then pattern order, as long as they do not overlap.
     """
-    hits = _hits(text)
+    hits = _hits(text, "_folded", "_digits")
     names = [f"_hits_{i}" for i in range(len(hits))]
+    folded = notes.select("*", F.expr(spans.folded_sql(text)).alias("_folded"),
+                          F.rlike(F.col(text), F.lit(r"(?U)\d{3}")).alias("_digits"))
     # a projection of its own: each pattern runs once, whatever refers to its hits below
-    raw = notes.select(*notes.columns, *[F.expr(sql).alias(n) for n, (_, sql) in zip(names, hits)])
-    kept = []
-    for i, (known, _) in enumerate(hits):
-        if known:
-            kept.append(names[i])
-        else:
-            kept.append(f"""if(size({names[i]}) = 0, {names[i]}, get(transform(
-                array(named_struct('mine', {names[i]}, 'earlier', flatten(array({', '.join(names[:i])})))),
-                b -> filter(b.mine, h -> not exists(b.earlier,
-                    e -> e.start <= h.start and h.`end` <= e.`end`))), 0))""")
+    raw = folded.select(*notes.columns, *[F.expr(sql).alias(n) for n, sql in zip(names, hits)])
+    kept = [names[0]]
+    for i, name in enumerate(names[1:], start=1):
+        kept.append(f"""if(size({name}) = 0, {name}, get(transform(
+            array(named_struct('mine', {name}, 'earlier', flatten(array({', '.join(names[:i])})))),
+            b -> filter(b.mine, h -> not exists(b.earlier,
+                e -> e.start <= h.start and h.`end` <= e.`end`))), 0))""")
     merged = f"array_sort(flatten(array({', '.join(kept)})))"
     return raw.select(*notes.columns, F.expr(spans.disjoint_sql(merged, HIT)).alias(out))
 

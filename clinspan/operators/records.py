@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from clinspan.fixed import patterns as fixed
 from clinspan.functions import spans
 from clinspan.functions.normalize import word_count
 from clinspan.operators import phi, terminology
+from clinspan.session import sql_literal
 
 ENTITY = "struct<start:int,shorter:int,place:int,`end`:int,type:string,text:string,confidence:double>"
 # FIXED VALUES: mapping bucket per entity class
@@ -17,16 +20,63 @@ BUCKETS = [("condition", "conditions"), ("diagnosis", "conditions"), ("medicatio
            ("vital_sign", "vital_signs"), ("symptom", "symptoms")]
 
 
+def _word_lists() -> dict[int, list[str]]:
+    """Place -> phrases of the patterns that are plain lists of words between word borders."""
+    lists = {}
+    for place, (_, _, pattern) in enumerate(fixed.ENTITY_PATTERNS):
+        plain = re.fullmatch(r"\\b\(([^()\\]+)\)\\b", pattern)
+        if plain:
+            lists[place] = plain.group(1).lower().split("|")
+    return lists
+
+
+def _phrase_table(lists: dict[int, list[str]]) -> tuple[list[str], dict[str, str]]:
+    """All phrases, and for each the hits it stands for: per pattern, the first alternative that is
+    the phrase itself or a beginning of it that ends at a word border."""
+    phrases = sorted({p for alternatives in lists.values() for p in alternatives})
+    table = {}
+    for phrase in phrases:
+        hits = []
+        for place, alternatives in lists.items():
+            kind, confidence, _ = fixed.ENTITY_PATTERNS[place]
+            short = next((a for a in alternatives if phrase.startswith(a)
+                          and not re.match(r"\w", phrase[len(a):])), None)
+            if short:
+                hits.append(spans.struct_sql("place, length, type, confidence",
+                                             (place, len(short), kind, confidence)))
+        table[phrase] = f"array({', '.join(hits)})"
+    return phrases, table
+
+
+def _phrase_hits(text: str) -> str:
+    """Hits of all word-list patterns out of one pass over the text."""
+    phrases, table = _phrase_table(_word_lists())
+    starts = spans.starts_sql(text, "(?iuU)" + spans.phrase_pattern(phrases, r"\b", r"\b"))
+    known = "map(" + ", ".join(f"{sql_literal(k)}, {v}" for k, v in table.items()) + ")"
+    hit = """named_struct('start', n.start, 'shorter', cast(-t.length AS int), 'place', cast(t.place AS int),
+        'end', cast(n.start + t.length AS int), 'type', t.type, 'text', substring(n.text, 1, cast(t.length AS int)),
+        'confidence', t.confidence)"""
+    every = f"flatten(transform({starts}, n -> transform(element_at({known}, {spans.folded_sql('n.text')}), t -> {hit})))"
+    # matches of one pattern never overlap each other: the earlier one wins
+    own = spans.disjoint_sql("filter(hs, h -> h.place = k)", ENTITY)
+    return f"""get(transform(array({every}), hs ->
+        flatten(transform(array_distinct(transform(hs, h -> h.place)), k -> {own}))), 0)"""
+
+
 def clinical_entities(records: DataFrame, text: str = "text", out: str = "entities") -> DataFrame:
     """Add the entities of a text: hits of all class patterns by start, longest first, without
     overlaps; equal hits go to the earlier pattern."""
-    hits = []
+    hits = [_phrase_hits(text)]
+    lists = _word_lists()
     for place, (kind, confidence, pattern) in enumerate(fixed.ENTITY_PATTERNS):
-        fields = (f"named_struct('start', {{start}}, 'shorter', {{start}} - {{end}}, 'place', {place}, "
-                  f"'end', {{end}}, 'type', '{kind}', 'text', {{text}}, 'confidence', {confidence!r}D)")
-        hits.append(spans.find_sql(text, "(?iuU)" + pattern, fields, ENTITY))
+        if place not in lists:
+            fields = (f"named_struct('start', {{start}}, 'shorter', {{start}} - {{end}}, 'place', {place}, "
+                      f"'end', {{end}}, 'type', '{kind}', 'text', {{text}}, 'confidence', {confidence!r}D)")
+            found = spans.find_sql(text, "(?iuU)" + pattern, fields, ENTITY)
+            hits.append(spans.only_if_any("_folded", fixed.ENTITY_NEEDS[place], found, ENTITY))
     merged = f"array_sort(flatten(array({', '.join(hits)})))"
-    return records.select(*records.columns, F.expr(spans.disjoint_sql(merged, ENTITY)).alias(out))
+    folded = records.select("*", F.expr(spans.folded_sql(text)).alias("_folded"))
+    return folded.select(*records.columns, F.expr(spans.disjoint_sql(merged, ENTITY)).alias(out))
 
 
 def entity_rows(records: DataFrame) -> DataFrame:

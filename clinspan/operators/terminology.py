@@ -1,7 +1,7 @@
 """Matching of entity texts to vocabulary entries.
 
 The vocabularies are constants of a few dozen entries, so a match is an expression over the text
-alone: nothing is joined, and it runs once per distinct text (:func:`map_entities`).
+alone: nothing is joined.
 """
 
 from __future__ import annotations
@@ -133,13 +133,13 @@ def map_entities(entities: DataFrame, kind: str = "type", text: str = "text",
                  skip_empty: bool = True) -> DataFrame:
     """Entity rows with their vocabulary matches.
 
-    Texts repeat a lot, so matching runs on the distinct (class, text) pairs; duplicates go away
-    before the shuffle, and the join back splits a text that dominates the corpus.
+    Matching is an expression over the row, so nothing is shuffled and a text that dominates the
+    corpus does no harm. Finding the entities costs far more than matching them; a join through
+    distinct texts would find them twice.
     """
-    distinct = entities.select(kind, text).distinct()
-    matched = distinct.withColumn("mappings", mappings(F.col(kind), F.col(text), skip_empty))
+    matched = entities.withColumn("mappings", mappings(F.col(kind), F.col(text), skip_empty))
     best = F.get("mappings", F.lit(0))
-    return entities.join(matched, [kind, text]).select(
+    return matched.select(
         *entities.columns, "mappings", best["term"].alias("normalized_term"),
         best["code"].alias("terminology_code"), best["system"].alias("terminology_system"))
 
