@@ -142,6 +142,32 @@ def slice_text(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
 
 
+def replace_spans(text: Column, found: Column, piece: Callable[[Column, Column], Column],
+                  between: Callable[[Column], Column] = lambda part: part) -> Column:
+    """The text with each of the ordered, disjoint spans replaced by ``piece(span, its text)``.
+
+    ``between`` maps the parts outside spans. The text is cut into characters once: a substring call
+    per span would walk the text from its beginning every time.
+    """
+    def part(chars: Column, start: Column, end: Column) -> Column:
+        return F.array_join(F.slice(chars, start + 1, F.greatest(end - start, F.lit(0))), "")
+
+    def rebuilt(p: Column) -> Column:
+        chars, all_spans = p["chars"], p["spans"]
+
+        def one(span: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(all_spans, i - 1)["end"], F.lit(0))
+            return F.concat(between(part(chars, before, span["start"])),
+                            piece(span, part(chars, span["start"], span["end"])))
+
+        last = F.coalesce(F.try_element_at(all_spans, F.lit(-1))["end"], F.lit(0))
+        return F.concat(F.array_join(F.transform(all_spans, one), ""),
+                        between(part(chars, last, F.size(chars))))
+
+    cut = F.struct(F.split(text, "", -1).alias("chars"), found.alias("spans"))
+    return F.when(F.size(found) == 0, between(text)).otherwise(let(cut, rebuilt))
+
+
 def rows_of(df: DataFrame, spans: str, *keep: str) -> DataFrame:
     """One row per element of a struct array, next to the columns to keep.
 

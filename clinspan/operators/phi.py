@@ -73,14 +73,7 @@ def _masks() -> Column:
 def mask(text: Column, detections: Column) -> Column:
     """The text with every detection replaced by the mask of its type."""
     masks = _masks()
-
-    def piece(d: Column, i: Column) -> Column:
-        previous = F.coalesce(F.get(detections, i - 1)["end"], F.lit(0))
-        return F.concat(spans.slice_text(text, previous, d["start"]), F.element_at(masks, d["type"]))
-
-    tail = F.coalesce(F.try_element_at(detections, F.lit(-1))["end"], F.lit(0))
-    return F.concat(F.array_join(F.transform(detections, piece), ""),
-                    F.substring(text, tail + 1, F.length(text)))
+    return spans.replace_spans(text, detections, lambda d, _: F.element_at(masks, d["type"]))
 
 
 def phi_rows(detected: DataFrame) -> DataFrame:

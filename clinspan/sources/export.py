@@ -74,10 +74,7 @@ def _escaped(text: Column) -> Column:
 
 def annotated_html(extracted: DataFrame) -> DataFrame:
     """The note as HTML with one marked span per entity."""
-    text, entities = F.col("text"), F.col("entities")
-
-    def piece(e: Column, i: Column) -> Column:
-        previous = F.coalesce(F.get(entities, i - 1)["end"], F.lit(0))
+    def marked(e: Column, text: Column) -> Column:
         style = F.concat(
             F.lit("background:"), e["color"], F.lit("22;border:1px solid "), e["color"],
             F.lit("66;border-radius:3px;padding:0 2px;"),
@@ -85,14 +82,10 @@ def annotated_html(extracted: DataFrame) -> DataFrame:
             F.when(e["historical"], "font-style:italic;").otherwise(""))
         title = F.concat(_escaped(e["concept"]), F.lit(" ["), e["vocabulary"], F.lit(" "), e["code"],
                          F.lit("] conf="), F.round(e["confidence"], 2).cast("string"))
-        return F.concat(
-            _escaped(spans.slice_text(text, previous, e["start"])), F.lit('<span style="'), style,
-            F.lit('" title="'), title, F.lit('">'),
-            _escaped(spans.slice_text(text, e["start"], e["end"])), F.lit("</span>"))
-
-    tail = F.coalesce(F.try_element_at(entities, F.lit(-1))["end"], F.lit(0))
-    body = F.concat(F.array_join(F.transform(entities, piece), ""),
-                    _escaped(F.substring(text, tail + 1, F.length(text))))
+        return F.concat(F.lit('<span style="'), style, F.lit('" title="'), title, F.lit('">'),
+                        _escaped(text), F.lit("</span>"))
+
+    body = spans.replace_spans(F.col("text"), F.col("entities"), marked, _escaped)
     page = F.concat(
         F.lit('<!doctype html><html><head><meta charset="utf-8"><title>Annotated note</title></head>'
               '<body style="font-family:monospace;white-space:pre-wrap;line-height:1.8">'),
