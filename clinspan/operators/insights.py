@@ -167,12 +167,16 @@ def trend_findings(measurements: DataFrame, list_values_up_to: int = 1000) -> Da
     values of a longer series are the rows of :func:`trend_values`."""
     keys = ["person_id", "measurement_source_value"]
     trends = lab_trend(measurements)
-    short = trends.where(F.col("n") <= list_values_up_to)
-    listed = trend_values(measurements, short).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("measurement_datetime", "measurement_id", "value")))
-         .alias("_rows")).select(*keys, F.array_join(F.transform(
-             F.col("_rows"), lambda r: r["value"].cast("string")), ", ").alias("_values"))
-    rows = trend_actions(lab_display(trends)).join(listed, keys, "left")
+    rows = trend_actions(lab_display(trends))
+    if list_values_up_to > 0:
+        short = trends.where(F.col("n") <= list_values_up_to)
+        listed = trend_values(measurements, short).groupBy(*keys).agg(
+            F.array_sort(F.collect_list(F.struct("measurement_datetime", "measurement_id", "value")))
+             .alias("_rows")).select(*keys, F.array_join(F.transform(
+                 F.col("_rows"), lambda r: r["value"].cast("string")), ", ").alias("_values"))
+        rows = rows.join(listed, keys, "left")
+    else:
+        rows = rows.withColumn("_values", F.lit(None).cast("string"))
     ends = [F.round(c, 2).cast("string") for c in ("first_value", "last_value")]
     rising = F.col("direction") == "rising"
     listing = F.coalesce(F.concat(F.lit("["), F.col("_values"), F.lit("]")),
@@ -295,16 +299,22 @@ def frequent_visits(visits: DataFrame) -> DataFrame:
 
 # --- all findings of a person ----------------------------------------------------------------
 
-def all_findings(cdm: Cdm, match: str = "source_value") -> DataFrame:
+def all_findings(cdm: Cdm, match: str = "source_value", list_values_up_to: int = 1000) -> DataFrame:
     return union_all([
         critical_lab_findings(cdm.measurement, match),
-        trend_findings(cdm.measurement),
+        trend_findings(cdm.measurement, list_values_up_to),
         interaction_findings(cdm.drug_exposure),
         metformin_findings(cdm.drug_exposure, cdm.measurement, match),
         diabetes_findings(cdm.condition_occurrence, cdm.measurement),
         frequent_visits(cdm.visit_occurrence)])
 
 
+def finding_titles(cdm: Cdm, match: str = "source_value") -> DataFrame:
+    """Type, severity and title of all findings: what scores and rankings need. The value lists of
+    trends, which take a join of their own, are left out."""
+    return all_findings(cdm, match, 0).select("person_id", "type", "severity", "title")
+
+
 def risk_score(cdm: Cdm, findings: DataFrame) -> DataFrame:
     """Severity-weighted score per person; people without findings score 0."""
     counts = findings.groupBy("person_id").agg(
@@ -360,7 +370,7 @@ def patient_summary(cdm: Cdm, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
 
 def analyze_patients(cdm: Cdm, as_of: dt.date = DEFAULT_AS_OF, match: str = "source_value") -> DataFrame:
     """Summary and risk of every person; the findings themselves are :func:`all_findings`."""
-    return patient_summary(cdm, as_of).join(risk_score(cdm, all_findings(cdm, match)), "person_id")
+    return patient_summary(cdm, as_of).join(risk_score(cdm, finding_titles(cdm, match)), "person_id")
 
 
 def cohort_findings(people: DataFrame, findings: DataFrame, k: int = 10) -> DataFrame:

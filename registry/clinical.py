@@ -864,7 +864,7 @@ def _(x):
 
 @query("insight_union", "SELECT person_id, type, severity, title, count(*) AS n FROM findings GROUP BY ALL")
 def _(x):
-    return insights.all_findings(x.cdm, "concept").groupBy("person_id", "type", "severity", "title").agg(
+    return insights.finding_titles(x.cdm, "concept").groupBy("person_id", "type", "severity", "title").agg(
         F.count("*").alias("n"))
 
 
@@ -939,7 +939,7 @@ _RISK = """SELECT person_id, score, CASE WHEN score >= 20 THEN 'High' WHEN score
 
 @query("risk_score", _RISK)
 def _(x):
-    return insights.risk_score(x.cdm, insights.all_findings(x.cdm, "concept"))
+    return insights.risk_score(x.cdm, insights.finding_titles(x.cdm, "concept"))
 
 
 @query("analyze_patients", f"""SELECT r.*, 2020 - year_of_birth AS age, coalesce(visits, 0) AS total_visits
@@ -958,7 +958,7 @@ _FINDINGS = f"""SELECT title AS finding, count, cast(round(count / (SELECT count
 @query("cohort_findings", _FINDINGS)
 def _(x):
     people = cohort.members(x.cdm, cohort.named_cohort("diabetic_patients"))
-    return insights.cohort_findings(people, insights.all_findings(x.cdm, "concept"))
+    return insights.cohort_findings(people, insights.finding_titles(x.cdm, "concept"))
 
 
 _STUDIES = f"""SELECT 'Cohort Study Opportunity' AS title, 'Cohort of ' || n || ' patients available for retrospective analysis' AS description,
@@ -972,7 +972,7 @@ _STUDIES = f"""SELECT 'Cohort Study Opportunity' AS title, 'Cohort of ' || n ||
 @query("research_opportunities", _STUDIES)
 def _(x):
     people = cohort.members(x.cdm, cohort.named_cohort("diabetic_patients"))
-    rows = insights.research_opportunities(people, insights.all_findings(x.cdm, "concept"))
+    rows = insights.research_opportunities(people, insights.finding_titles(x.cdm, "concept"))
     return rows.select("title", "description", joined("suggested_analyses"))
 
 
@@ -980,7 +980,7 @@ def _(x):
     UNION ALL SELECT 'research opportunity', title, description FROM ({_STUDIES})""")
 def _(x):
     people = cohort.members(x.cdm, cohort.named_cohort("diabetic_patients"))
-    found = insights.all_findings(x.cdm, "concept")
+    found = insights.finding_titles(x.cdm, "concept")
     top = insights.cohort_findings(people, found).select(
         F.lit("top finding").alias("section"), F.col("finding").alias("item"),
         F.concat(F.col("count").cast("string"), F.lit(" ("), "prevalence", F.lit(")")).alias("detail"))
