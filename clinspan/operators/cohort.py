@@ -207,3 +207,8 @@ def run_log(cdm: Cdm, cohorts: list[Cohort], as_of: dt.date = DEFAULT_AS_OF) ->
 def recent_runs(log: DataFrame, last: int = 10) -> DataFrame:
     """The most recent entries of a run log, as reports show them."""
     return log.orderBy(F.col("run").desc()).limit(last)
+
+
+def append_log(entries: DataFrame, path: str) -> None:
+    """Add run-log rows (of cohorts or of patient analyses) to the log table at ``path``."""
+    entries.write.mode("append").parquet(path)

@@ -25,9 +25,12 @@ def deid_csv_rows(people: DataFrame, encounters: DataFrame) -> DataFrame:
     return rows.select(*concepts.DEID_CSV_COLUMNS)
 
 
+# quotes are doubled, and blanks around a value are part of it
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_deid_csv(rows: DataFrame, path: str) -> None:
-    stamp = "yyyy-MM-dd'T'HH:mm:ss"
-    rows.write.option("timestampNTZFormat", stamp).option("escape", '"').csv(path, header=True)
+    rows.write.options(**_CSV, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss").csv(path)
 
 
 def entity_csv_rows(extracted: DataFrame) -> DataFrame:
@@ -41,7 +44,7 @@ def entity_csv_rows(extracted: DataFrame) -> DataFrame:
 
 
 def write_entity_csv(rows: DataFrame, path: str) -> None:
-    rows.select(*lexicon.ENTITY_CSV_COLUMNS).write.option("escape", '"').csv(path, header=True)
+    rows.select(*lexicon.ENTITY_CSV_COLUMNS).write.options(**_CSV).csv(path)
 
 
 def operation_array(extracted: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from clinspan.functions import normalize as nz
 from clinspan.functions.redact import redact_note
 from clinspan.functions.secure import hashed_id, shift_days
 from clinspan.operators import analytics, cdm, cohort, deid, ingest, insights, linkage
+from clinspan.session import shared_dir
 from clinspan.sources import export
 from registry.oracle_views import AGE, _redact, shift, with_views
 from registry.queries import joined, query
@@ -518,14 +519,17 @@ def _(x):
     return rows.select(*[c for c in rows.columns if c != "phi_removed"], joined("phi_removed"))
 
 
-@query("deid_csv_rows", """SELECT patient_token, surrogate_id, gender, year_of_birth, CAST(NULL AS integer) AS month_of_birth,
-    age_at_data_collection, region, de.source_system, encounter_id, encounter_type,
-    cast(admission_date AS varchar) AS admission_date, cast(discharge_date AS varchar) AS discharge_date,
-    department, chief_complaint, admission_diagnosis, clinical_notes FROM de LEFT JOIN (
+@query("deid_csv_write", """SELECT patient_token, surrogate_id, gender, cast(year_of_birth AS varchar) AS year_of_birth,
+    CAST(NULL AS varchar) AS month_of_birth, cast(age_at_data_collection AS varchar) AS age_at_data_collection, region,
+    de.source_system, encounter_id, encounter_type, strftime(admission_date, '%Y-%m-%dT%H:%M:%S') AS admission_date,
+    strftime(discharge_date, '%Y-%m-%dT%H:%M:%S') AS discharge_date, department, chief_complaint, admission_diagnosis,
+    clinical_notes FROM de LEFT JOIN (
     SELECT * EXCLUDE (source_system) FROM (SELECT *, row_number() OVER (PARTITION BY patient_token ORDER BY src_ord DESC) AS rn
         FROM dp) WHERE rn = 1) USING (patient_token)""")
 def _(x):
-    return export.deid_csv_rows(x.deid_patient, x.deid_encounter)
+    folder = shared_dir("deid_csv")
+    export.write_deid_csv(export.deid_csv_rows(x.deid_patient, x.deid_encounter), folder)
+    return x.spark.read.options(header=True, escape='"').csv(folder)
 
 
 # --- CDM -------------------------------------------------------------------------------------
@@ -669,8 +673,10 @@ _RUNS = [(cohort.NAMED_COHORTS[n].name, m) for n, m in _MEMBERS.items() if n !=
     (SELECT count(*) FROM ({sql})) AS included, CAST(0 AS bigint) AS excluded, (SELECT count(*) FROM ({sql})) AS final_cohort"""
     for i, (name, sql) in enumerate(_RUNS, start=1)))
 def _(x):
+    folder = shared_dir("run_log")
     named = [cohort.NAMED_COHORTS[n] for n in _MEMBERS if n != "all_patients"]
-    return cohort.recent_runs(cohort.run_log(x.cdm, named, x.as_of))
+    cohort.append_log(cohort.run_log(x.cdm, named, x.as_of), folder)
+    return cohort.recent_runs(x.spark.read.parquet(folder))
 
 
 # --- analytics -------------------------------------------------------------------------------

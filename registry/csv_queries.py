@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clinspan.operators import ingest
+from clinspan.sources import csv_in
 from registry.queries import query
 
 
@@ -28,6 +29,13 @@ def _(x):
         F.sum(F.length(F.coalesce("v", F.lit("")))).alias("chars"))
 
 
+@query("csv_required_columns", """SELECT 0 AS row_count, 0 AS valid_row_count, 0 AS patients, 1 AS errors,
+    'Missing required columns: date_of_birth, gender' AS file_error, false AS success""")
+def _(x):
+    raw = csv_in.read_csv(x.write_csv(without=("date_of_birth", "gender")))
+    return ingest.ingest(raw, x.as_of).summary
+
+
 @query("record_ordinal", """SELECT count(*) AS records, 2 AS first_row FROM fx_csv""")
 def _(x):
     from clinspan.operators.ids import record_ordinal

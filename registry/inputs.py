@@ -56,13 +56,17 @@ class Inputs:
     def csv_rows(self) -> DataFrame:
         return self._derive(fx.CSV, "orders")
 
+    def write_csv(self, without: tuple[str, ...] = ()) -> str:
+        """Write the CSV rows as files with informal headers; returns their folder."""
+        folder = shared_dir("upload")
+        self.csv_rows.select(*[
+            F.col(c).alias(h) for c, h in fx.CSV_HEADERS.items() if c not in without]).write.options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+        return folder
+
     @cached_property
     def csv(self) -> csv_in.RawCsv:
-        """The CSV rows written as files with informal headers and read back."""
-        folder = shared_dir("upload")
-        self.csv_rows.select(*[F.col(c).alias(h) for c, h in fx.CSV_HEADERS.items()]).write.option(
-            "escape", '"').csv(folder, header=True)
-        return csv_in.read_csv(folder)
+        return csv_in.read_csv(self.write_csv())
 
     @cached_property
     def ingested(self) -> ingest.Ingested:

@@ -128,9 +128,10 @@ OPERATIONS = """SELECT doc_id, 1 AS step, 'Document parsed' AS operation,
     UNION ALL SELECT doc_id, 7, 'Confidence threshold ≥ 0.50', entities_passed_threshold || ' entities passed, 0 below threshold', entities_passed_threshold FROM n_stats
     UNION ALL SELECT doc_id, 8, 'Structured export ready',
         'Entities available as CSV / JSON / annotated HTML; flow into de-id → OMOP → cohort', entities_passed_threshold FROM n_stats"""
-CSV_ROWS = """SELECT doc_id, substr(text, cast(start + 1 AS bigint), length(trigger)) AS span_text, label AS entity_type, layer, vocabulary,
-    concept, code, confidence, CASE WHEN negated THEN 'yes' ELSE 'no' END AS negated,
-    CASE WHEN historical THEN 'yes' ELSE 'no' END AS historical, subject
+CSV_ROWS = f"""SELECT substr(text, cast(start + 1 AS bigint), length(trigger)) AS span_text, label AS entity_type, layer, vocabulary,
+    concept, code, cast(confidence AS varchar) AS confidence, CASE WHEN negated THEN 'yes' ELSE 'no' END AS negated,
+    CASE WHEN historical THEN 'yes' ELSE 'no' END AS historical, subject,
+    replace(regexp_replace(sentence, '^{WS}+|{WS}+$', '', 'g'), chr(10), ' ') AS context
     FROM n_ent JOIN (SELECT doc_id, text FROM fx_note) USING (doc_id)"""
 
 

@@ -108,14 +108,18 @@ def _(x):
     return export.operations_text(x.extracted)
 
 
-@query("entities_csv_rows", sql.CSV_ROWS)
+@query("entities_csv_write", sql.CSV_ROWS)
 def _(x):
-    return export.entity_csv_rows(x.extracted).drop("context")
+    folder = shared_dir("entities_csv")
+    export.write_entity_csv(export.entity_csv_rows(x.extracted), folder)
+    return x.spark.read.options(header=True, escape='"').csv(folder)
 
 
-@query("entities_json")
+@query("entities_json_write")
 def _(x):
-    return export.entity_json(x.extracted)
+    folder = shared_dir("entities_json")
+    export.write_json(export.entity_json(x.extracted), folder)
+    return x.spark.read.text(folder)
 
 
 @query("annotated_html", sql.HTML)
