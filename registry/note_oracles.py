@@ -245,3 +245,10 @@ RECORDS = f"""SELECT doc_id, masked AS deidentified_text, characters AS characte
         count(*) FILTER (WHERE type = 'medication') AS medications, count(*) FILTER (WHERE type = 'procedure') AS procedures,
         count(*) FILTER (WHERE type = 'lab_test') AS lab_tests, count(*) FILTER (WHERE type = 'vital_sign') AS vital_signs,
         count(*) FILTER (WHERE type = 'symptom') AS symptoms FROM ce_final GROUP BY 1) USING (doc_id)"""
+
+JSON = """SELECT text AS source_note, candidate_spans, entities_linked, vocabularies_used, 8 AS steps, coalesce(told, '') AS entities
+    FROM fx_note JOIN n_stats USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(start || ':' || substr(text, cast(start + 1 AS bigint),
+        length(trigger)) || ':' || code || ':' || confidence || ':' || negated, '|' ORDER BY start) AS told
+        FROM n_ent JOIN (SELECT doc_id, text FROM fx_note) USING (doc_id) GROUP BY 1) USING (doc_id)"""
+PHI_BY_TYPE = """SELECT doc_id, type, string_agg(text || '~' || replacement || '~' || confidence, '|' ORDER BY start) AS found
+    FROM phi_final GROUP BY 1, 2"""

@@ -115,11 +115,20 @@ def _(x):
     return x.spark.read.options(header=True, escape='"').csv(folder)
 
 
-@query("entities_json_write")
+_DOCUMENT = """source_note string, stats struct<candidate_spans:bigint,entities_linked:bigint>, vocabularies_used array<string>,
+    operations array<struct<step:int,count:bigint>>, entities array<struct<text:string,start:int,code:string,confidence:double,negated:boolean>>"""
+
+
+@query("entities_json_write", sql.JSON)
 def _(x):
     folder = shared_dir("entities_json")
     export.write_json(export.entity_json(x.extracted), folder)
-    return x.spark.read.text(folder)
+    read = x.spark.read.text(folder).select(F.from_json("value", _DOCUMENT).alias("d")).select("d.*")
+    told = F.transform("entities", lambda e: F.concat_ws(
+        ":", e["start"].cast("string"), e["text"], e["code"], e["confidence"].cast("string"), e["negated"].cast("string")))
+    return read.select("source_note", "stats.candidate_spans", "stats.entities_linked",
+                       F.array_join("vocabularies_used", ", ").alias("vocabularies_used"),
+                       F.size("operations").alias("steps"), F.array_join(told, "|").alias("entities"))
 
 
 @query("annotated_html", sql.HTML)
@@ -145,9 +154,12 @@ def _(x):
     return phi.summary(phi.detect(x.note)).select("doc_id", "total_phi_found", joined("types_found"))
 
 
-@query("phi_by_type")
+@query("phi_by_type", sql.PHI_BY_TYPE)
 def _(x):
-    return phi.summary(phi.detect(x.note)).select("doc_id", F.to_json("phi_by_type").alias("phi_by_type"))
+    listed = phi.summary(phi.detect(x.note)).select("doc_id", F.explode_outer("phi_by_type").alias("type", "found"))
+    return listed.where(F.col("type").isNotNull()).select(
+        "doc_id", "type", F.array_join(F.transform("found", lambda d: F.concat_ws(
+            "~", d["text"], d["replacement"], d["confidence"].cast("string"))), "|").alias("found"))
 
 
 @query("phi_type_counts", sql.PHI_TYPES)
