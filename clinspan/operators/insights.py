@@ -101,35 +101,41 @@ def lab_trend(measurements: DataFrame, minimum: int = rules.MIN_TREND_LENGTH) ->
     """Per person and lab: series of non-NULL values that only rise or only fall over time.
 
     The rows are range-partitioned by (person, lab, time, id), so even one enormous series is cut
-    into consecutive pieces handled by different tasks. Each piece reports its length, ends and
-    whether it rises or falls; the pieces of a series (at most one per partition) are then chained.
+    into consecutive pieces handled by different tasks. Each piece reports its length, ends, first
+    unit and whether it rises or falls; the pieces of a series (at most one per partition) are then
+    chained.
     """
     keys = ["person_id", "measurement_source_value"]
     order = ["measurement_datetime", "measurement_id"]
-    rows = measurements.where(F.col("value_as_number").isNotNull()).select(
-        *keys, *order, F.col("value_as_number").alias("value"))
+    rows = measurements.select(*keys, *order, F.col("value_as_number").alias("value"),
+                               F.nullif("unit_source_value", F.lit("")).alias("unit"))
     cut = rows.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id())
-    inside = Window.partitionBy(*keys, "_piece").orderBy(*order)
-    step = cut.withColumn("_prev", F.lag("value").over(inside))
-    when = F.struct(*order)
+    earlier = Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    step = cut.withColumn("_prev", F.last("value", ignorenulls=True).over(earlier))
+    # NULL values and units are skipped: min_by and max_by leave out rows whose order is NULL
+    valued = F.when(F.col("value").isNotNull(), F.struct(*order))
     pieces = step.groupBy(*keys, "_piece").agg(
-        F.count("*").alias("n"), F.min_by("value", when).alias("first"),
-        F.max_by("value", when).alias("last"),
+        F.count("value").alias("n"), F.min_by("value", valued).alias("first"),
+        F.max_by("value", valued).alias("last"),
+        F.min_by("unit", F.when(F.col("unit").isNotNull(), F.struct(*order))).alias("unit"),
         F.coalesce(F.bool_and(F.col("value") > F.col("_prev")), F.lit(True)).alias("up"),
         F.coalesce(F.bool_and(F.col("value") < F.col("_prev")), F.lit(True)).alias("down"))
-    along = Window.partitionBy(*keys).orderBy("_piece")
-    chained = pieces.withColumn("_last", F.lag("last").over(along))
+    along = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    chained = pieces.withColumn("_last", F.last("last", ignorenulls=True).over(along))
+
+    def place(column: str) -> Column:
+        return F.when(F.col(column).isNotNull(), F.col("_piece"))
+
     series = chained.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.min_by("first", "_piece").alias("first_value"),
-        F.max_by("last", "_piece").alias("last_value"),
+        F.sum("n").alias("n"), F.min_by("first", place("first")).alias("first_value"),
+        F.max_by("last", place("last")).alias("last_value"),
+        F.min_by("unit", place("unit")).alias("unit"),
         F.bool_and(F.col("up") & F.coalesce(F.col("first") > F.col("_last"), F.lit(True))).alias("up"),
         F.bool_and(F.col("down") & F.coalesce(F.col("first") < F.col("_last"), F.lit(True))).alias("down"))
-    found = series.where((F.col("n") >= minimum) & (F.col("up") | F.col("down"))).select(
+    return series.where((F.col("n") >= minimum) & (F.col("up") | F.col("down"))).select(
         *keys, "n", "first_value", "last_value",
-        F.when(F.col("up"), "rising").otherwise("declining").alias("direction"))
-    units = measurements.where(F.coalesce("unit_source_value", F.lit("")) != "").groupBy(*keys).agg(
-        F.min_by("unit_source_value", when).alias("unit"))
-    return found.join(units, keys, "left").withColumn("unit", F.coalesce("unit", F.lit("")))
+        F.when(F.col("up"), "rising").otherwise("declining").alias("direction"),
+        F.coalesce("unit", F.lit("")).alias("unit"))
 
 
 def trend_values(measurements: DataFrame, trends: DataFrame) -> DataFrame:

@@ -72,20 +72,20 @@ def linked_patient(tokened: DataFrame, encounters: DataFrame, observations: Data
 
     Member records are the row tables of :func:`linked_source_record` and :func:`attach`; they are
     not packed into arrays, as one person's rows may not fit one task. Encounters and observations
-    are counted on their own before joining, so they never multiply each other.
+    are counted per source id first, so the joins see one row per id and never multiply each other.
     """
     links = token_map(tokened)
     people = linked_source_record(tokened).groupBy("patient_token").agg(
         F.count("*").alias("source_records"),
         F.count_distinct("source_system").alias("source_systems_count"),
         F.min("date_of_birth").alias("_born_first"), F.max("date_of_birth").alias("_born_last"))
-    visits = attach(encounters.select("source_patient_id", "admission_date"), links).groupBy(
-        "patient_token").agg(
-        F.count("*").alias("_encounters"),
-        F.min(F.to_date("admission_date")).alias("_first"),
-        F.max(F.to_date("admission_date")).alias("_last"))
-    results = attach(observations.select("source_patient_id"), links).groupBy("patient_token").agg(
-        F.count("*").alias("_observations"))
+    visits = attach(encounters.groupBy("source_patient_id").agg(
+        F.count("*").alias("_n"), F.min("admission_date").alias("_lo"),
+        F.max("admission_date").alias("_hi")), links).groupBy("patient_token").agg(
+        F.sum("_n").alias("_encounters"), F.to_date(F.min("_lo")).alias("_first"),
+        F.to_date(F.max("_hi")).alias("_last"))
+    results = attach(observations.groupBy("source_patient_id").agg(F.count("*").alias("_n")), links).groupBy(
+        "patient_token").agg(F.sum("_n").alias("_observations"))
     return (people.join(visits, "patient_token", "left").join(results, "patient_token", "left")
             .select("patient_token", "source_records", "source_systems_count",
                     F.coalesce("_encounters", F.lit(0)).alias("total_encounters"),
