@@ -328,6 +328,6 @@ def _(x):
     return records.process(x.note).drop("entities", "phi")
 
 
-@query("full_pipeline", sql.PIPELINE)
+@query("step_report", sql.PIPELINE)
 def _(x):
     return pipeline.step_report(x.patient, x.encounter, x.observation, x.cdm, x.people, x.tokens_config)
