@@ -10,15 +10,14 @@ from registry.inputs import Inputs
 SMALL = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
 }
 
 
 @pytest.fixture
 def hot(spark):
-    before = {k: spark.conf.get(k) for k in SMALL}
     for key, value in SMALL.items():
         spark.conf.set(key, value)
     x = Inputs(spark, SF)
@@ -27,8 +26,8 @@ def hot(spark):
     x.encounter = x.encounter.withColumn("source_patient_id", third)
     x.observation = x.observation.withColumn("source_patient_id", third)
     yield x
-    for key, value in before.items():
-        spark.conf.set(key, value)
+    for key in SMALL:
+        spark.conf.unset(key)
 
 
 def test_hot_patient(hot):
