@@ -13,7 +13,7 @@ from clinspan.functions.secure import hashed_id, shift_days
 from clinspan.operators import analytics, cdm, cohort, deid, ingest, insights, linkage
 from clinspan.session import shared_dir
 from clinspan.sources import export
-from registry.oracle_views import AGE, _redact, shift, with_views
+from registry.oracle_views import AGE, _redact, shift
 from registry.queries import joined, query
 
 # --- scalar functions ------------------------------------------------------------------------
