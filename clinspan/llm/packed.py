@@ -12,16 +12,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-BUCKETS_PER_PARTITION = 4
+from clinspan.llm.octets import BASE, mix
+
+BUCKETS_PER_PARTITION = 8
 
 
 def bucket_count(spark: SparkSession) -> int:
     return max(16, BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """A bucket by the upper half of the hash; the lower half stays as the key inside the bucket."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+def bucket_and_key(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket from the upper half of the hash, mixed anew, and the lower half as the key inside it.
+
+    The hashes may be minima, so their own upper bits are not spread.
+    """
+    spread = mix(hashes + BASE)
+    return ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32), spread.astype(np.uint32)
 
 
 def ddl(names: Sequence[str]) -> str:

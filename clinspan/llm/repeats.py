@@ -95,8 +95,9 @@ def _map_anchors(buckets: int):
             if not rows[0]:
                 continue
             doc, hashes, start, windows, at = (np.concatenate(x) for x in rows)
-            yield packed.pack(packed.bucket_of(hashes, buckets), {
-                "key": hashes.astype(np.uint32), "doc": doc.astype(np.int64), "start": start.astype(np.uint32),
+            bucket, key = packed.bucket_and_key(hashes, buckets)
+            yield packed.pack(bucket, {
+                "key": key, "doc": doc.astype(np.int64), "start": start.astype(np.uint32),
                 "windows": windows.astype(np.uint8), "at": at.astype(np.uint8)})
     return run
 
