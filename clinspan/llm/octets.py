@@ -27,6 +27,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def name(parts: np.ndarray, salt: int) -> int:
+    """A signed 64-bit name of an unordered set of hashes and a number."""
+    total = mix(parts ^ BASE).sum(dtype=np.uint64, keepdims=True) + np.uint64(salt)
+    return int(mix(total).view(np.int64)[0])
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse modulo 2**64 for i < n, kept between calls."""
     have = _POWERS.get("up")
@@ -68,13 +74,18 @@ def lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and stops of the runs of bytes that are neither space nor 0x09-0x0D."""
-    solid = np.empty(len(data) + 2, bool)
-    solid[0] = solid[-1] = False
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, stops and rows of the runs of bytes that are neither space nor 0x09-0x0D, cut at the offsets."""
+    solid = np.zeros(len(data) + 2, bool)
     np.logical_not((data == 32) | ((data >= 9) & (data <= 13)), out=solid[1:-1])
-    edge = np.flatnonzero(solid[1:] != solid[:-1])
-    return edge[0::2], edge[1::2]
+    begin = solid[1:-1] & ~solid[:-2]
+    end = solid[1:-1] & ~solid[2:]
+    cut = offsets[1:-1]
+    cut = cut[(cut > 0) & (cut < len(data))]
+    begin[cut] = solid[1:-1][cut]
+    end[cut - 1] = solid[1:-1][cut - 1]
+    starts = np.flatnonzero(begin)
+    return starts, np.flatnonzero(end) + 1, np.searchsorted(offsets, starts, side="right") - 1
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -33,3 +33,10 @@ def op8(spark, sf_dir):
         "doc_id", "n_bytes",
         F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["stop"] - s["start"]).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_jaccard_join")
+def op10(spark, sf_dir):
+    from clinspan.llm.signature_trees import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 
 def repeats(docs, width=100):
@@ -20,3 +21,51 @@ def repeats(docs, width=100):
         spans = sum(1 for i, c in enumerate(cover) if c and not (i and cover[i - 1]))
         out[doc_id] = (len(data), sum(cover), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+
+
+def shingles(text, width=5):
+    found = words(text)
+    if len(found) < width:
+        return {tuple(found)} if found else set()
+    return {tuple(found[i:i + width]) for i in range(len(found) - width + 1)}
+
+
+def roots(nodes, links):
+    """{node: least node it is joined to}."""
+    up = {n: n for n in nodes}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def jaccard(docs):
+    """[(doc_id, text)] -> {doc_id: (set size, component)}."""
+    sets = {i: shingles(t) for i, t in docs}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    common = {}
+    for held in holders.values():
+        for a in range(len(held)):
+            for b in range(a):
+                pair = (held[b], held[a])
+                common[pair] = common.get(pair, 0) + 1
+    links = [(a, b) for (a, b), k in common.items() if 100 * k >= 75 * (len(sets[a]) + len(sets[b]) - k)]
+    found = roots(list(sets), links)
+    return {i: (len(s), found[i]) for i, s in sets.items()}
