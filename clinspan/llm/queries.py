@@ -40,3 +40,39 @@ def op10(spark, sf_dir):
     from clinspan.llm.signature_trees import jaccard_classes
 
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length(text) + length(regexp_replace(role || text, '[^\\|]', '', 'g')) + 24)::BIGINT
+    AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+@query("op1_chat_format", OP1_SQL)
+def op1(spark, sf_dir):
+    from clinspan.llm import chat
+
+    both = r"\### Assistant: </turn> ok"
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(both).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    out = chat.format_chat(turns.withColumn("parts", chat.text_parts(F.coalesce("text", F.lit("")))))
+    read = out.select(
+        "conv_id", F.char_length("formatted").cast("long").alias("formatted_chars"),
+        chat.read_chat(F.col("formatted")).alias("turns"),
+        chat.masked_texts(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(
+            t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256).alias("turns_sha256"),
+        F.aggregate("loss", F.lit(0).cast("long"), lambda n, t: n + F.char_length(t)).alias("loss_chars"),
+        F.sha2(F.array_join("loss", "").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
