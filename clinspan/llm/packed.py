@@ -14,11 +14,12 @@ from pyspark.sql import SparkSession
 
 from clinspan.llm.octets import BASE, mix
 
-BUCKETS_PER_PARTITION = 8
+LEAST_BUCKETS = 96
+BUCKETS_PER_PARTITION = 4
 
 
 def bucket_count(spark: SparkSession) -> int:
-    return max(16, BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(LEAST_BUCKETS, BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def bucket_and_key(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

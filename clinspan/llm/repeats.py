@@ -284,7 +284,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return texts.join(side, "__key", "left")
 
     anchor_rows = (
-        with_texts(firsts).where(F.col("__first") == F.col("__doc")).select("__key", "__text", "__id", "__doc")
+        # A range, as an equality would become a join key and deal the texts out once more.
+        with_texts(firsts).where(F.col("__first").between(F.col("__doc"), F.col("__doc"))).select("__key", "__text", "__id", "__doc")
         .mapInArrow(_map_anchors(buckets), packed.ddl(list(ANCHORS))))
     places = (
         anchor_rows.groupBy("bucket").applyInArrow(_repeated, "__key long, bucket int, places binary")
