@@ -76,3 +76,16 @@ def op1(spark, sf_dir):
             t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256).alias("turns_sha256"),
         F.aggregate("loss", F.lit(0).cast("long"), lambda n, t: n + F.char_length(t)).alias("loss_chars"),
         F.sha2(F.array_join("loss", "").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    from clinspan.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold != 1)
+    model = toxicity.fit(docs.join(labels, "doc_id"))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", (fold == 1).alias("held_out"), "score",
+        (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
