@@ -89,3 +89,22 @@ def op3(spark, sf_dir):
     return toxicity.score_documents(docs, model).select(
         "doc_id", (fold == 1).alias("held_out"), "score",
         (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
+@query("op4_private_spans")
+def op4(spark, sf_dir):
+    from clinspan.llm import private_spans
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = private_spans.find_private(docs, private_spans.fit(docs))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.withColumn("base", F.filter("spans", lambda s: s["base"])).select(
+        "doc_id", *[count(kind) for kind in private_spans.KINDS],
+        F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

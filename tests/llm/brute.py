@@ -69,3 +69,19 @@ def jaccard(docs):
     links = [(a, b) for (a, b), k in common.items() if 100 * k >= 75 * (len(sets[a]) + len(sets[b]) - k)]
     found = roots(list(sets), links)
     return {i: (len(s), found[i]) for i, s in sets.items()}
+
+
+def private(text):
+    """(kind, start, end) of the base spans by the patterns as given."""
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(s):
+        n = [int(c) for c in s[::-1]]
+        return (sum(n[0::2]) + sum(sum(divmod(2 * d, 10)) for d in n[1::2])) % 10 == 0
+
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15)]
+    return [(k, m.start(), m.end()) for k, p, ok in kinds for m in re.finditer(p, text or "") if ok(m[0])]
