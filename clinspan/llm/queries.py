@@ -108,3 +108,10 @@ def op4(spark, sf_dir):
     return found.withColumn("base", F.filter("spans", lambda s: s["base"])).select(
         "doc_id", *[count(kind) for kind in private_spans.KINDS],
         F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op5_vector_near_dedup")
+def op5(spark, sf_dir):
+    from clinspan.llm.vectors import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -85,3 +85,21 @@ def private(text):
         ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(digits(s)) <= 19 and luhn(digits(s))),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15)]
     return [(k, m.start(), m.end()) for k, p, ok in kinds for m in re.finditer(p, text or "") if ok(m[0])]
+
+
+def vectors(rows, least=0.93):
+    """[(vec_id, vector, label)] -> {vec_id: (n_links, component, kept)}."""
+    import numpy as np
+
+    links, good = [], []
+    for i, v, label in rows:
+        if label is not None and v and None not in v and np.isfinite(v).all() and any(v):
+            good.append((i, np.array(v, float) / np.linalg.norm(np.array(v, float)), label))
+    for k, (i, x, a) in enumerate(good):
+        links += [(i, j) for j, y, b in good[:k] if a == b and len(x) == len(y) and x @ y >= least]
+    found = roots([i for i, _, _ in rows], links)
+    count = {i: 0 for i, _, _ in rows}
+    for a, b in links:
+        count[a] += 1
+        count[b] += 1
+    return {i: (count[i], found[i], found[i] == i) for i, _, _ in rows}
