@@ -115,3 +115,13 @@ def op5(spark, sf_dir):
     from clinspan.llm.vectors import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_ppm_score")
+def op6(spark, sf_dir):
+    from clinspan.llm import ppm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
+    out = ppm.score_documents(docs, ppm.train(docs.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), *out.columns[1:])

@@ -103,3 +103,50 @@ def vectors(rows, least=0.93):
         count[a] += 1
         count[b] += 1
     return {i: (count[i], found[i], found[i] == i) for i, _, _ in rows}
+
+
+class Ppm:
+    """A byte trie as nested counts, scored symbol by symbol."""
+
+    def __init__(self, texts, order):
+        self.order, self.counts, self.words = order, {}, {}
+        for text in texts:
+            symbols = self.symbols(text)
+            for i in range(order, len(symbols)):
+                for k in range(order + 1):
+                    held = self.counts.setdefault(tuple(symbols[i - k:i]), {})
+                    held[symbols[i]] = held.get(symbols[i], 0) + 1
+            for word in [*words(text), None]:
+                self.words[word] = self.words.get(word, 0) + 1
+
+    def symbols(self, text):
+        return [0xFE] * self.order + list(lower(text).encode()) + [0xFF]
+
+    def score(self, text):
+        import math
+
+        total, symbols = 0.0, self.symbols(text)
+        for i in range(self.order, len(symbols)):
+            gone = set()
+            for k in range(self.order, -1, -1):
+                held = self.counts.get(tuple(symbols[i - k:i]))
+                if held is None:
+                    continue
+                left = {s: c for s, c in held.items() if s not in gone}
+                mass = sum(left.values()) + len(left)
+                if symbols[i] in left:
+                    total += math.log10(left[symbols[i]] / mass)
+                    break
+                if mass:
+                    total += math.log10(len(left) / mass)
+                gone |= set(held)
+            else:
+                total -= math.log10(255 - len(gone))
+        return total
+
+    def base(self, text):
+        import math
+
+        n, v = sum(self.words.values()), len(self.words)
+        counts = [self.words.get(w, 0) for w in [*words(text), None]]
+        return len(counts), sum(c > 0 for c in counts), n, sum(math.log10((c + 1) / (n + v + 1)) for c in counts)
