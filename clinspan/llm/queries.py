@@ -125,3 +125,12 @@ def op6(spark, sf_dir):
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
     out = ppm.score_documents(docs, ppm.train(docs.where(~held_out)))
     return out.select("doc_id", held_out.alias("held_out"), *out.columns[1:])
+
+
+@query("op9_temperature_mix")
+def op9(spark, sf_dir):
+    from clinspan.llm import mixing
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs, pass_col="pass")
+    return mixed.select("doc_id", "source", "pass", mixing.word_count(F.col("text")).alias("n_tokens"))
