@@ -85,7 +85,7 @@ def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold != 1)
-    model = toxicity.fit(docs.join(labels, "doc_id"))
+    model = toxicity.fit(docs, labels)
     return toxicity.score_documents(docs, model).select(
         "doc_id", (fold == 1).alias("held_out"), "score",
         (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
@@ -134,3 +134,10 @@ def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix(docs, pass_col="pass")
     return mixed.select("doc_id", "source", "pass", mixing.word_count(F.col("text")).alias("n_tokens"))
+
+
+@query("op7_best_fit_pack")
+def op7(spark, sf_dir):
+    from clinspan.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
