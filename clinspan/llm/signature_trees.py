@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinspan.llm import octets, packed, shingles
@@ -314,14 +314,17 @@ def frequent(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.code for r in rows], np.int64).astype(np.uint64))
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, ``n_shingles`` and ``component_id``, the least id reachable by links."""
-    spark = docs.sparkSession
-    buckets = packed.bucket_count(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(
-        F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"),
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(
+        F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"),
     ).withColumn("__key", F.xxhash64("__id", "__text"))
+
+
+def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a row per document: ``__id``, ``__key``, ``n_shingles``, ``class``; the ``root`` of each class)."""
+    spark = texts.sparkSession
+    buckets = packed.bucket_count(spark)
+    kind = texts.schema["__id"].dataType.simpleString()
     rows = store(texts.select("__id", "__key", "__text").mapInArrow(
         _map_classes, f"__id {kind}, __key long, n_shingles long, class long, bits binary"), "classes")
     classes = rows.where("class is not null").groupBy("class").agg(
@@ -367,10 +370,33 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links.union(more))
     for done in (lists, found, held, links, more):
         discard(done)
-    named = rows.where("class is not null").groupBy("class").agg(F.min("__id").alias("least")).join(
-        roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    told = named.select("class", "root").join(least, "root").select("class", "component_id")
+    named = classes.select("class").join(roots, F.col("class") == F.col("node"), "left").select(
+        "class", F.coalesce("root", "class").alias("root"))
+    return rows, named
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: its id, ``n_shingles`` and ``component_id``, the least id reachable by links."""
+    rows, named = _classes(_texts(docs, id_col, text_col))
+    ids = rows.where("class is not null").groupBy("class").agg(F.min("__id").alias("least")).join(named, "class")
+    least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
+    told = ids.select("class", "root").join(least, "root").select("class", "component_id")
     return rows.select("__id", "n_shingles", "class").join(told, "class", "left").select(
         F.col("__id").alias(id_col), "n_shingles",
         F.when(F.col("class").isNull(), F.col("__id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but for all except the least id (and then hash) of each component; rows without words stay."""
+    rows, named = _classes(_texts(docs, id_col, text_col))
+    first = F.min(F.struct("__id", "__key")).alias("first")
+    least = rows.where("class is not null").groupBy("class").agg(first).join(named, "class").groupBy("root").agg(
+        F.min("first").alias("first"))
+    kept = least.select(F.col("first.__key").alias("__kept"), F.lit(True).alias("__one")).union(
+        rows.where("class is null").select("__key", F.lit(False)).distinct())
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    key = F.xxhash64(F.col(f"d.`{id_col}`"), F.coalesce(F.col(f"d.`{text_col}`"), F.lit("")))
+    found = docs.alias("d").join(kept.alias("k"), key == F.col("k.__kept")).select(
+        F.struct(*columns).alias("__row"), "k.__kept", "k.__one")
+    equal = Window.partitionBy("__kept").orderBy(F.lit(0))
+    return found.withColumn("__rank", F.row_number().over(equal)).where("__rank = 1 OR NOT __one").select("__row.*")
