@@ -141,3 +141,10 @@ def op7(spark, sf_dir):
     from clinspan.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op2_image_copies")
+def op2(spark, sf_dir):
+    from clinspan.llm import images
+
+    return images.copies(images.media_of(table(spark, sf_dir, "embeddings")))
