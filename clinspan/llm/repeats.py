@@ -170,6 +170,10 @@ def _marks(table: pa.Table) -> pa.Table:
     region = octets.range_hash(hashes, low, low + length)
     key = octets.mix(region ^ octets.mix(parts["key"].astype(np.uint64) << np.uint64(8) | parts["at"]))
     order = np.lexsort((parts["start"], parts["doc"], parts["number"], key))
+    same = np.zeros(len(order), bool)  # equal rows of the input give the same region twice
+    same[1:] = np.logical_and.reduce([
+        x[order][1:] == x[order][:-1] for x in (key, parts["number"], parts["doc"], parts["start"])])
+    order = order[~same]
     head = np.ones(len(order), bool)
     head[1:] = key[order][1:] != key[order][:-1]
     firsts, copies = order[head], order[~head]

@@ -20,7 +20,6 @@ read whole; repeated rows get equal scores; an empty table gives no rows; other
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,8 +33,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from clinspan.llm import octets
 
-TOXIC_SAMPLE, ORDINARY_SAMPLE = 2500, 5000  # labelled texts read for fitting at most, those of least hash
-SAMPLE_BYTES = 20_000     # of each of them, from its start
+TOXIC_SAMPLE, ORDINARY_SAMPLE = 2000, 4000  # labelled texts read for fitting at most, those of least hash
+SAMPLE_BYTES = 8_000      # of each of them, from its start
 LEAST_CONTEXTS = 4        # different words a string with evidence follows
 LEAST_EVIDENCE = 25.0     # likelihood ratio statistic
 LEAST_RATIO = 5.0         # of its rates in the two classes
@@ -70,42 +69,64 @@ def plain(text: bytes) -> bytes:
     return b" " + text.translate(_PLAIN) + b" "
 
 
-def contexts(texts: list[bytes]) -> Counter:
-    """For each word and word start, between spaces, the number of different words it follows."""
-    pairs = set()
-    for text in set(texts):
-        words = text.split()
-        pairs.update(zip(words, words[1:]))
-    starts = set()
-    for before, word in pairs:
-        whole = b" " + word + b" "
-        starts.add((before, whole))
-        starts.update((before, whole[:n]) for n in START if n < len(whole))
-    return Counter(string for _, string in starts)
-
-
-def evidence(mine: Counter, other: Counter) -> list[bytes]:
+@dataclass(frozen=True)
+class Contexts:
+    """Words and word starts of some texts, and the number of different words each follows."""
+
+    data: bytes
+    keys: np.ndarray    # hashes of the strings, in order
+    counts: np.ndarray
+    spans: np.ndarray   # where each string stands first
+    words: int          # sum of the counts of whole words
+
+
+def contexts(texts: list[bytes]) -> Contexts:
+    """Strings with the space before them: whole words with the space behind, and the starts of longer ones."""
+    data = b"".join(sorted(set(texts)))
+    octet = np.frombuffer(data, np.uint8)
+    starts, stops, _ = octets.words(octet, np.array([0, len(octet)]))
+    prefix = octets.prefix_hash(octet)
+    before = np.r_[np.uint64(0), octets.range_hash(prefix, starts, stops)[:-1]] if len(starts) else np.zeros(0, np.uint64)
+    keys, counts, spans, words = [], [], [], 0
+    for size in (None, *START):
+        low, high = starts - 1, stops + 1 if size is None else starts - 1 + size
+        fits = slice(None) if size is None else high < stops + 1
+        low, high = low[fits], high[fits]
+        name = octets.range_hash(prefix, low, high)
+        pair = octets.mix(name * octets.BASE ^ before[fits])
+        _, first = np.unique(pair, return_index=True)  # a string behind a word, once
+        key, at, count = np.unique(name[first], return_index=True, return_counts=True)
+        keys.append(key)
+        counts.append(count)
+        spans.append(np.stack((low[first[at]], high[first[at]]), axis=1))
+        words = words or int(count.sum())
+    keys, counts, spans = np.concatenate(keys), np.concatenate(counts), np.concatenate(spans)
+    order = np.argsort(keys, kind="stable")
+    return Contexts(data, keys[order], counts[order], spans[order], words)
+
+
+def _likelihood(k: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(k > 0, k * np.log(k / n / p), 0.0) + np.where(n > k, (n - k) * np.log((n - k) / n / (1 - p)), 0.0)
+
+
+def evidence(mine: Contexts, other: Contexts) -> list[bytes]:
     """Strings that follow many more words in the one class, strongest first.
 
     Of strings that begin alike the strongest stands for all; it is a whole word if one word has nearly
     all of its evidence, as longer matches tell more, and else the common start of many words.
     """
-    m, o = (sum(k for x, k in side.items() if x.endswith(b" ")) for side in (mine, other))
+    m, o = mine.words, other.words
     if not m or not o:
         return []
-
-    def fit(k: int, n: int, p: float) -> float:
-        return (k * math.log(k / n / p) if k else 0.0) + ((n - k) * math.log((n - k) / n / (1 - p)) if n > k else 0.0)
-
-    found = {}
-    for string, k in mine.items():
-        j = other[string]
-        if k < LEAST_CONTEXTS or k / m < LEAST_RATIO * (j + 1) / o:
-            continue
-        p = (k + j) / (m + o)
-        value = 2 * (fit(k, m, p) + fit(j, o, p))
-        if value > LEAST_EVIDENCE:
-            found[string] = value
+    often = mine.counts >= LEAST_CONTEXTS
+    k, spans, keys = mine.counts[often], mine.spans[often], mine.keys[often]
+    place = np.minimum(np.searchsorted(other.keys, keys), len(other.keys) - 1)
+    j = np.where(other.keys[place] == keys, other.counts[place], 0)
+    p = (k + j) / (m + o)
+    value = 2 * (_likelihood(k, m, p) + _likelihood(j, o, p))
+    good = (k / m >= LEAST_RATIO * (j + 1) / o) & (value > LEAST_EVIDENCE)
+    found = {mine.data[a:z]: v for (a, z), v in zip(spans[good].tolist(), value[good].tolist())}
     taken, covered, chosen = set(), set(), []
     for string in sorted(found, key=lambda x: (-found[x], len(x), x)):
         starts = [string[:n] for n in range(START[0], len(string) + 1)]
@@ -194,17 +215,23 @@ def fit_texts(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     return Model(model.toxic, model.ordinary, tuple(mean), tuple(scale), tuple(weight))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most ``TOXIC_SAMPLE`` and ``ORDINARY_SAMPLE`` labelled texts, taken by least hash of the text."""
-    samples = []
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fit on at most ``TOXIC_SAMPLE`` and ``ORDINARY_SAMPLE`` labelled texts, those of least hash of the id.
+
+    The ids are chosen among the labels alone, so only that bounded list meets the texts.
+    """
+    chosen = None
     for label, most in ((1, TOXIC_SAMPLE), (0, ORDINARY_SAMPLE)):
-        rows = (
-            labelled.where((F.col(label_col) == label) & F.col(text_col).isNotNull())
-            .select(F.substring(F.encode(text_col, "UTF-8"), 1, SAMPLE_BYTES).alias("text"),
-                    F.xxhash64(text_col).alias("hash"))
-            .orderBy("hash", "text").limit(most).collect())
-        samples.append([plain(bytes(r.text)) for r in rows])
-    return fit_texts(*samples)
+        some = labels.where((F.col(label_col) == label) & F.col(id_col).isNotNull()).select(
+            F.col(id_col).alias("__id"), F.lit(label).alias("__label")).distinct().orderBy(
+            F.xxhash64("__id"), "__id").limit(most)
+        chosen = some if chosen is None else chosen.union(some)
+    rows = (
+        docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text is not null")
+        .join(F.broadcast(chosen), "__id")
+        .select("__label", F.substring(F.encode("__text", "UTF-8"), 1, SAMPLE_BYTES).alias("__text"))
+        .orderBy(F.xxhash64("__text"), "__label").limit(TOXIC_SAMPLE + ORDINARY_SAMPLE).collect())
+    return fit_texts(*([plain(bytes(r["__text"])) for r in rows if r["__label"] == label] for label in (1, 0)))
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
