@@ -58,10 +58,13 @@ def compare(spark, con, key, sf_dir, build, sql):
 
 
 def session():
+    import tempfile
+
     from pyspark.sql import SparkSession
 
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="clinspan-"))
              .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
