@@ -159,7 +159,7 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", tar
     part = F.col("t.block").isNull() | (block_of(here) < F.col("t.block")) | (
         (block_of(here) == F.col("t.block")) & F.coalesce(here <= F.col("t.place"), F.lit(False)))
     rest = F.col("t.whole") + F.when(part & F.col("t.block").isNotNull(), 1).otherwise(0)
-    passes = F.explode(F.sequence(F.lit(1), rest)).alias("__pass")
-    out = joined.where(rest > 0).select(*columns, passes)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *(
-        [(F.col("__pass") - 1).alias(pass_col)] if pass_col else []))
+    out = joined.where(rest > 0).select(
+        F.struct(*columns).alias("row"), F.explode(F.sequence(F.lit(1), rest)).alias("number"))
+    number = [(F.col("number") - 1).alias(pass_col)] if pass_col else []
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *number)

@@ -5,7 +5,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from conftest import PROSE, odd_documents
+from odd_rows import PROSE, odd_documents
 
 from clinspan.llm import packed, repeats, signature_trees
 from clinspan.llm.queries import QUERIES
