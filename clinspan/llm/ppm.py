@@ -36,9 +36,9 @@ from clinspan.llm.stored import store
 ORDER = 5
 START, END = 0xFE, 0xFF  # bytes that no UTF-8 text holds
 ALPHABET = 255           # 254 bytes and the end
-MOST_NODES = 3 << 20
+MOST_NODES = 1 << 21
 MOST_WORDS = 1 << 19
-SLICE = 1 << 21
+SLICE = 1 << 20
 FLUSH = 1 << 20          # distinct windows a task holds before it sends them
 WORD = ORDER + 1         # marks word counts among those of orders 0 to ORDER
 END_WORD = np.uint64(0x656E64)
@@ -396,7 +396,8 @@ def _meet_rare(buckets: int):
         docs, count = docs[order], count[order]
         at = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, np.int64)
         ends = np.r_[at, len(docs)]
-        bucket, _ = packed.bucket_and_key(docs[at].view(np.uint64), buckets)
+        # Fewer buckets than words have: each of theirs sends a row to each of these.
+        bucket, _ = packed.bucket_and_key(docs[at].view(np.uint64), max(1, buckets // packed.BUCKETS_PER_PARTITION))
         return pa.Table.from_batches([packed.pack(bucket, {
             "docs": docs[at], "logs": octets.run_sums(np.log10(count + 1.0), ends),
             "known": octets.run_sums((count > 0).astype(np.int64), ends), "rare": np.diff(ends)})])
