@@ -13,8 +13,16 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_MASK = (1 << 64) - 1
-_POWERS: dict[str, np.ndarray] = {}
+
+
+class _Kept(dict):
+    """A cache that does not travel with the functions that use it."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_POWERS = _Kept()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -33,8 +33,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from clinspan.llm import octets
 
-TOXIC_SAMPLE, ORDINARY_SAMPLE = 2000, 4000  # labelled texts read for fitting at most, those of least hash
-SAMPLE_BYTES = 8_000      # of each of them, from its start
+TOXIC_SAMPLE, ORDINARY_SAMPLE = 1500, 3000  # labelled texts read for fitting at most, those of least hash
+SAMPLE_BYTES = 6_000      # of each of them, from its start
 LEAST_CONTEXTS = 4        # different words a string with evidence follows
 LEAST_EVIDENCE = 25.0     # likelihood ratio statistic
 LEAST_RATIO = 5.0         # of its rates in the two classes
