@@ -25,19 +25,6 @@ PHI_MASKS = [
     ("biometric", "[BIOMETRIC]"), ("photo", "[PHOTO]"), ("unique_id", "[UNIQUE ID]"),
 ]
 
-KNOWN_NAMES = [
-    "Fatima Abdullah Al-Rashid",
-    "Fatima Al-Rashid",
-    "Mrs. Al-Rashid",
-    "Al-Rashid, Fatima",
-    "Mohammed Al-Rashid",
-    "Dr. Khalid Al-Habib",
-    "Khalid Al-Habib",
-    "Dr. Ahmed Al-Zahrani",
-    "Ahmed Al-Zahrani",
-    "Dr. Omar Al-Qahtani",
-    "Omar Al-Qahtani",
-]
 KNOWN_NAME_CONFIDENCE = 0.99
 PHI_CONFIDENCE = 0.85
 

@@ -104,11 +104,6 @@ def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0)))
 
 
-def number_text(value: Column) -> Column:
-    """A double the way findings print it: shortest form, always with a decimal point."""
-    return value.cast("string")
-
-
 def gender_label(concept: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in fixed.GENDER_LABELS for x in pair])
     return F.coalesce(F.try_element_at(known, concept.cast("int")), F.lit("Unknown"))

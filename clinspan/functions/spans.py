@@ -39,14 +39,30 @@ def _let(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
+CHUNK = 256  # elements of a walk whose notes are copied at each step
+
+
+def _chunks(array: str) -> str:
+    return (f"transform(sequence(0, cast(greatest(size({array}) - 1, 0) div {CHUNK} AS int)), "
+            f"k -> slice({array}, k * {CHUNK} + 1, {CHUNK}))")
+
+
 def _starts(pieces: str, length: str) -> str:
-    """Running start of each piece ``q`` of an array, as texts.
+    """Running start of each piece ``q`` of an array.
 
-    The starts are collected in one comma-separated text: appending to an array would copy all its
-    elements at every step.
+    Sums are noted in a comma-separated text, since appending to an array would copy all its elements at
+    every step. The text is copied too, so it is kept short: each chunk of pieces has one, and the chunks'
+    own starts are summed in the same way.
     """
-    return f"""split(aggregate({pieces}, named_struct('at', 0, 'all', ''),
-        (s, q) -> named_struct('at', s.at + {length}, 'all', concat(s.all, s.at, ',')), s -> s.all), ',')"""
+    def summed(array: str, item: str, size: str) -> str:
+        return (f"aggregate({array}, named_struct('at', 0, 'all', ''), (s, {item}) -> named_struct("
+                f"'at', s.at + {size}, 'all', concat(s.all, s.at, ',')))")
+
+    local = f"transform({_chunks(pieces)}, c -> {summed('c', 'q', length)})"
+    bases = "split(" + summed("ls", "l", "l.at") + ".all, ',')"
+    shifted = ("flatten(transform(ls, (l, n) -> transform(filter(split(l.all, ','), t -> t <> ''), "
+               "t -> cast(t AS int) + cast(os[n] AS int))))")
+    return _let(local, "ls", _let(bases, "os", shifted))
 
 
 def _located(text: str, pattern: str, group: int, inserted: bool, fields: str, kind: str) -> str:
@@ -56,7 +72,7 @@ def _located(text: str, pattern: str, group: int, inserted: bool, fields: str, k
     width = f"(instr(q, {close}) - 1)"
     # the first piece has no bracket; an inserted match is a copy that takes no room
     room = f"if(instr(q, {close}) = 0, length(q), length(q) - " + (f"1 - {width})" if inserted else "1)")
-    start = "cast(b.at[i + 1] AS int)"
+    start = "b.at[i + 1]"
     made = fields.format(start=start, end=f"({start} + {width})", text=f"substring_index(q, {close}, 1)")
     found = _let(f"named_struct('p', p, 'at', {_starts('p', room)})", "b",
                  f"transform(slice(b.p, 2, size(b.p)), (q, i) -> {made})")
@@ -86,22 +102,53 @@ def pieces_sql(text: str, pattern: str) -> str:
     """Contiguous (start, end, text) pieces that each end with a match of ``pattern``."""
     cut = (f"split(regexp_replace({unmarked(text)}, {sql_literal(pattern)}, "
            f"{sql_literal('$0' + OPEN)}), {sql_literal(OPEN)}, -1)")
-    start = "cast(b.at[i] AS int)"
+    start = "b.at[i]"
     made = SPAN_FIELDS.format(start=start, end=f"({start} + length(q))", text="q")
     return _let(cut, "p", _let(f"named_struct('p', p, 'at', {_starts('p', 'length(q)')})", "b",
                                f"transform(b.p, (q, i) -> {made})"))
 
 
-def disjoint_sql(sorted_spans: str, kind: str) -> str:
-    """Walk spans in their given order and keep each that starts at or after the last kept end.
+def walked_sql(sorted_spans: str, kind: str, first: str, following: str, keep: str) -> str:
+    """The spans ``x`` that ``keep`` accepts on a walk in their order; ``t.v`` is the walk's state, ``first`` and
+    then what ``following`` makes of it and each span.
 
-    The walk notes one character per span, kept or not, and the spans are filtered by it.
+    The walk notes one character per span, by chunks, and the spans are filtered by it.
     """
-    flags = """split(aggregate(xs, named_struct('stop', 0, 'f', ''), (s, x) -> if(x.start >= s.stop,
-        named_struct('stop', x.`end`, 'f', concat(s.f, '1')),
-        named_struct('stop', s.stop, 'f', concat(s.f, '0'))), s -> s.f), '')"""
+    chunk = (f"aggregate(c, named_struct('v', s.v, 'f', ''), (t, x) -> named_struct('v', {following}, "
+             f"'f', concat(t.f, if({keep}, '1', '0'))))")
+    flags = (f"split(aggregate({_chunks('xs')}, named_struct('v', {first}, 'f', ''), (s, c) -> "
+             + _let(chunk, "r", "named_struct('v', r.v, 'f', concat(s.f, r.f))") + ", s -> s.f), '')")
     kept = _let(f"named_struct('xs', xs, 'f', {flags})", "b", "filter(b.xs, (x, i) -> b.f[i] = '1')")
-    return _let(f"cast({sorted_spans} AS array<{kind}>)", "xs", kept)
+    return _let(f"cast({sorted_spans} AS array<{kind}>)", "xs", f"if(size(xs) = 0, xs, {kept})")
+
+
+def disjoint_sql(sorted_spans: str, kind: str) -> str:
+    """Walk spans in their given order and keep each that starts at or after the last kept end."""
+    return walked_sql(sorted_spans, kind, "0", "if(x.start >= t.v, x.`end`, t.v)", "x.start >= t.v")
+
+
+BLOCK_BITS = 8
+
+
+def block_index(items: Column, length: Column) -> Column:
+    """For each block of 2^BLOCK_BITS characters, how many of the ``items``, ordered by start, start at or before its
+    first character."""
+    def blocks(low: Column, high: Column) -> Column:
+        top = (1 << BLOCK_BITS) - 1
+        return F.shiftright(high + top, BLOCK_BITS) - F.shiftright(low + top, BLOCK_BITS)
+
+    end = length + (2 << BLOCK_BITS)
+    ahead = F.array_repeat(F.lit(0), blocks(F.lit(0), F.coalesce(F.get(items, F.lit(0))["start"], end)))
+    return F.concat(ahead, F.flatten(F.transform(items, lambda s, i: F.array_repeat(
+        i + 1, blocks(s["start"], F.coalesce(F.get(items, i + 1)["start"], end))))))
+
+
+def last_started(items: Column, index: Column, at: Column) -> Column:
+    """The last of the ``items`` that starts at or before ``at``, by their block index; NULL if there is none."""
+    block = F.shiftright(at, BLOCK_BITS)
+    low = F.greatest(F.get(index, block), F.lit(1))
+    few = F.slice(items, low, F.greatest(F.get(index, block + 1) - low + 1, F.lit(0)))
+    return F.try_element_at(F.filter(few, lambda s: s["start"] <= at), F.lit(-1))
 
 
 def folded_sql(text: str) -> str:
@@ -185,11 +232,6 @@ def struct_sql(names: str, row: tuple) -> str:
     return "named_struct(" + ", ".join(f"'{n}', {sql_literal(v)}" for n, v in pairs) + ")"
 
 
-def struct_array(names: str, rows: list[tuple]) -> Column:
-    """A constant array of structs."""
-    return F.expr("array(" + ", ".join(struct_sql(names, r) for r in rows) + ")")
-
-
 def constant_map(pairs: dict) -> Column:
     """A constant map; values are SQL texts or plain values in a one-tuple."""
     return F.expr("map(" + ", ".join(

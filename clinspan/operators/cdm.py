@@ -103,12 +103,12 @@ def person(deid_patients: DataFrame, index: DataFrame | None = None) -> DataFram
         F.coalesce("gender", F.lit("unknown")).alias("gender_source_value"))
 
 
-def _visits(deid_encounters: DataFrame, index: DataFrame | None) -> DataFrame:
+def _visits(deid_encounters: DataFrame, index: DataFrame | None, unique_ids: bool = False) -> DataFrame:
     """Encounter columns both visits and conditions need, with both ids from one numbering pass."""
     rows = _with_person(deid_encounters, index).select(
         "person_id", "encounter_id", "encounter_type", "admission_date", "discharge_date",
         icd_code(F.col("admission_diagnosis")).alias("icd_code"))
-    return dense_id(rows, F.col("encounter_id"), "visit_occurrence_id",
+    return dense_id(rows, F.col("encounter_id"), "visit_occurrence_id", unique=unique_ids,
                     also={"condition_occurrence_id": F.col("icd_code").isNotNull()})
 
 
@@ -147,12 +147,12 @@ def _coded(deid_observations: DataFrame, kind: str) -> DataFrame:
                                    & (F.coalesce("observation_code", F.lit("")) != ""))
 
 
-def measurement(deid_observations: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def measurement(deid_observations: DataFrame, index: DataFrame | None = None, unique_ids: bool = False) -> DataFrame:
     """Coded lab results."""
     rows = _with_person(_coded(deid_observations, "lab_result"), index).select(
         "person_id", "observation_id", "observation_code", "observation_datetime", "value_numeric",
         "value_unit", "reference_range_low", "reference_range_high")
-    numbered = dense_id(rows, F.col("observation_id"), "measurement_id")
+    numbered = dense_id(rows, F.col("observation_id"), "measurement_id", unique=unique_ids)
     return loinc_to_concept(numbered).select(
         "measurement_id", "person_id", "measurement_concept_id",
         F.to_date("observation_datetime").alias("measurement_date"),
@@ -165,12 +165,12 @@ def measurement(deid_observations: DataFrame, index: DataFrame | None = None) ->
         F.col("observation_code").alias("measurement_source_value"))
 
 
-def drug_exposure(deid_observations: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def drug_exposure(deid_observations: DataFrame, index: DataFrame | None = None, unique_ids: bool = False) -> DataFrame:
     """Coded medications; an exposure ends on the day it starts."""
     rows = _with_person(_coded(deid_observations, "medication"), index).select(
         "person_id", "observation_id", "observation_code", "observation_datetime", "value_text",
         "route", "dose")
-    numbered = dense_id(rows, F.col("observation_id"), "drug_exposure_id")
+    numbered = dense_id(rows, F.col("observation_id"), "drug_exposure_id", unique=unique_ids)
     day = F.to_date("observation_datetime")
     return rxnorm_to_concept(numbered).select(
         "drug_exposure_id", "person_id", "drug_concept_id",
@@ -184,19 +184,21 @@ def drug_exposure(deid_observations: DataFrame, index: DataFrame | None = None)
 
 
 def build(deid_patients: DataFrame, deid_encounters: DataFrame, deid_observations: DataFrame,
-          keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Cdm:
+          keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df, unique_ids: bool = False) -> Cdm:
     """The five populated tables. Inputs may already carry ``person_id``; otherwise it is assigned
     over the tokens of all three. ``keep`` may store the numbered encounters, which visits and
-    conditions share."""
+    conditions share, and the observations, which measurements and drugs share. ``unique_ids`` declares
+    encounter and observation ids unique, which spares the rows a shuffle."""
     inputs = (deid_patients, deid_encounters, deid_observations)
     index = None
     if not all("person_id" in t.columns for t in inputs):
         index = person_index(*inputs)
         inputs = tuple(t.drop("person_id") for t in inputs)
     patients, encounters, observations = inputs
-    visits = keep("numbered_encounter", _visits(encounters, index))
+    visits = keep("numbered_encounter", _visits(encounters, index, unique_ids))
+    observations = keep("deid_observation", observations)
     return Cdm(person(patients, index), _visit_rows(visits), _condition_rows(visits),
-               measurement(observations, index), drug_exposure(observations, index))
+               measurement(observations, index, unique_ids), drug_exposure(observations, index, unique_ids))
 
 
 def cdm_report(deid_patients: DataFrame, cdm: Cdm) -> DataFrame:

@@ -46,8 +46,8 @@ def surrogate_names(patients: DataFrame) -> DataFrame:
                  F.format_string("%04d", F.col("number"))).alias("surrogate_id"))
 
 
-def deid_patient(patients: DataFrame, links: DataFrame, config: DeidConfig) -> DataFrame:
-    """Patients without direct identifiers: token, surrogate, birth year or age group, sex, region."""
+def _masked(patients: DataFrame, links: DataFrame, config: DeidConfig) -> DataFrame:
+    """Patient records with their token and, in columns of their own, their de-identified values."""
     rows = attach(patients, links)
     if config.use_surrogate_names:
         rows = rows.join(surrogate_names(patients), "source_patient_id")
@@ -61,12 +61,21 @@ def deid_patient(patients: DataFrame, links: DataFrame, config: DeidConfig) -> D
     else:
         capped_year = F.lit(config.as_of.year - config.age_threshold - 1)
     region = F.nullif("region", F.lit("")) if config.generalize_location else F.lit(None).cast("string")
-    return rows.select(
-        "src_ord", *_extra(links), "patient_token", "source_system", "surrogate_id",
-        F.when(capped, capped_year).otherwise(shifted).alias("year_of_birth"),
-        F.when(capped, "90+").alias("age_group"),
-        F.when(~capped, age).alias("age_at_data_collection"),
-        "gender", region.alias("region"))
+    return rows.withColumns({
+        "year_of_birth": F.when(capped, capped_year).otherwise(shifted), "age_group": F.when(capped, "90+"),
+        "age_at_data_collection": F.when(~capped, age), "kept_region": region})
+
+
+def deid_patient(patients: DataFrame, links: DataFrame, config: DeidConfig) -> DataFrame:
+    """Patients without direct identifiers: token, surrogate, birth year or age group, sex, region."""
+    return _masked(patients, links, config).select(
+        "src_ord", *_extra(links), "patient_token", "source_system", "surrogate_id", "year_of_birth", "age_group",
+        "age_at_data_collection", "gender", F.col("kept_region").alias("region"))
+
+
+def _complete(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Rows with the named columns; one that the source lacks, as an upload does, is NULL."""
+    return rows.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in rows.columns})
 
 
 def _shifted(rows: DataFrame, links: DataFrame, config: DeidConfig, *times: str) -> DataFrame:
@@ -82,6 +91,7 @@ def deid_encounter(encounters: DataFrame, links: DataFrame, config: DeidConfig)
     Hashing and masking happen before the join, at the parallelism of the scan, so only reduced
     rows are shuffled.
     """
+    encounters = _complete(encounters, {v: "double" for v in VITALS})
     note = F.lit(None).cast("string")
     if config.redact_clinical_notes:
         note = F.nullif(redact_note(F.col("clinical_notes"), config.redact_order, config.strict_case),
@@ -163,22 +173,21 @@ REMOVED_ALWAYS_LAST = ["Street address", "City", "Postal code", "Medical record
 
 
 def before_after(patients: DataFrame, links: DataFrame, config: DeidConfig) -> DataFrame:
-    """Identifying values next to their de-identified form, with the list of removed identifiers."""
-    masked = deid_patient(patients, links, config).select(
-        "src_ord", "patient_token", "surrogate_id", "year_of_birth", "age_group",
-        F.col("region").alias("kept_region"))
+    """Identifying values next to their de-identified form, with the list of removed identifiers.
+
+    Both come out of one row, so they cannot belong to different records.
+    """
     removed = F.array_compact(F.array(
         *[F.lit(x) for x in REMOVED_ALWAYS_FIRST],
         F.when(F.col("email") != "", REMOVED_EMAIL),
         *[F.lit(x) for x in REMOVED_ALWAYS_LAST]))
     part = {c: F.coalesce(F.nullif(c, F.lit("")), F.lit("None"))
             for c in ("address_line1", "city", "region")}
-    original = patients.select(
+    return _masked(patients, links, config).select(
         "src_ord",
         F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in ("first_name", "middle_name", "last_name")])
          .alias("name"),
         "national_id", "date_of_birth", F.col("phone_number").alias("phone"), "email",
         F.concat_ws(", ", part["address_line1"], part["city"], part["region"]).alias("address"),
-        "mrn", removed.alias("phi_removed"),
-        F.size(removed).alias("identifiers_removed_count"))
-    return original.join(masked, "src_ord")
+        "mrn", removed.alias("phi_removed"), F.size(removed).alias("identifiers_removed_count"),
+        "patient_token", "surrogate_id", "year_of_birth", "age_group", "kept_region")

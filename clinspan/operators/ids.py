@@ -7,67 +7,78 @@ from pyspark.sql import functions as F
 
 HEX_DIGITS = 4
 BLOCK_ROWS = 100_000
-BLOCK_GROUPS = 1_000
+
+
+def _upto(*partition: str):
+    return Window.partitionBy(*partition).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def dense_id(df: DataFrame, key_hash: Column, out: str, within: str | None = None,
              unique: bool = False, also: dict[str, Column] | None = None,
              digits: int = HEX_DIGITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``out`` = 1..N in the order of ``key_hash``, a hex digest of the record's key.
-
-    A digest spreads evenly, so its leading ``digits`` cut the table into 16^digits equal buckets.
-    Rows are numbered inside their bucket and shifted by the number of rows in earlier buckets.
-    Everything depends on row content only: a recomputed task numbers its rows the same way, and
-    nothing has to be cached.
-
-    Equal rows would share a bucket however many there are. Unless the key is declared ``unique``
-    they are therefore collapsed to one row with a count (combined before the shuffle) and
-    expanded after numbering; copies above ``block_rows`` are numbered and expanded in blocks by
-    many tasks.
-
-    ``within`` restarts the numbering per value of a low-cardinality column. ``also`` maps further
-    id columns to a condition: the rows that meet it are numbered 1..M in the same pass.
+    """Add ``out`` = 1..N in the order of ``key_hash``, a hex digest of the record's key; records with one
+    key go by a hash of the whole record.
+
+    A digest spreads evenly, so its leading ``digits`` cut the table into 16^digits equal buckets. Rows
+    are numbered inside their bucket and shifted by the number of rows in earlier buckets. Everything
+    depends on row content only: a recomputed task numbers its rows the same way, and nothing has to be
+    cached. ``digits`` and ``block_rows`` say how the work is cut, and never change an id.
+
+    Unless the key is declared ``unique`` a third of the rows may share it, or be equal in everything.
+    Equal rows are collapsed to one with a count (combined before the shuffle). Rows with one key are cut
+    into lanes by the leading bits of the record hash: only the sizes of (key, lane), one slim row each,
+    are summed within a bucket, and rows are numbered inside their lane. Equal rows are expanded at the
+    end, more than ``block_rows`` of them in blocks dealt out anew.
+
+    ``within`` restarts the numbering per value of a low-cardinality column. ``also`` maps further id
+    columns to a condition: the rows that meet it are numbered 1..M in the same pass.
     """
     columns = df.columns
     flags = {out: F.lit(True), **(also or {})}
-    # never NULL: an inferred null filter on one side of the join below would keep Spark from
+    outer = [within] if within else []
+    # never NULL: an inferred null filter on one side of a join below would keep Spark from
     # computing the rows once for both sides
-    keyed = (df.withColumn("_hash", F.coalesce(key_hash, F.lit("")))
-               .withColumn("_bucket", F.coalesce(F.substring("_hash", 1, digits), F.lit(""))))
+    keyed = df.withColumn("_hash", F.coalesce(key_hash, F.lit("")))
     if unique:
-        rows = keyed.withColumns({"_n": F.lit(1), "_block": F.lit(0), "_group": F.lit(0)})
+        rows = keyed.withColumns({"_copies": F.lit(1), "_row": F.lit(0), "_lane": F.lit(0)})
     else:
-        copies = keyed.groupBy(*keyed.columns).agg(F.count("*").alias("_copies"))
-        last_block = F.expr(f"(_copies - 1) div {block_rows}")
-        rows = copies.select("*", F.explode(F.sequence(F.lit(0), last_block)).alias("_block")).select(
-            *keyed.columns, "_block",
-            F.least(F.lit(block_rows), F.col("_copies") - F.col("_block") * block_rows).alias("_n"),
-            F.when(F.col("_copies") > block_rows,
-                   F.coalesce(F.col("_block") % BLOCK_GROUPS + 1, F.lit(0)))
-             .otherwise(0).alias("_group"))
-
-    part = ([within] if within else []) + ["_bucket", "_group"]
-    counted = {name: F.when(flag, F.col("_n")).otherwise(0) for name, flag in flags.items()}
+        rows = keyed.groupBy(*keyed.columns).agg(F.count("*").alias("_copies"))
+        rows = rows.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in columns])).withColumn(
+            "_lane", F.shiftright("_row", 56))
+    rows = rows.withColumn("_bucket", F.coalesce(F.substring("_hash", 1, digits), F.lit("")))
+    counted = {name: F.when(flag, F.col("_copies")).otherwise(0) for name, flag in flags.items()}
+    part = [*outer, "_bucket"] if unique else [*outer, "_bucket", "_hash", "_lane"]
     sizes = rows.groupBy(*part).agg(*[F.sum(n).alias(f"_size_{k}") for k, n in counted.items()])
-    # one row per bucket, at most 16^digits plus the blocks of heavily copied rows
-    running = (Window.partitionBy(*([within] if within else [])).orderBy("_bucket", "_group")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    offsets = sizes.select(*part, *[
-        (F.sum(f"_size_{k}").over(running) - F.col(f"_size_{k}")).alias(f"_offset_{k}")
-        for k in flags])
-
-    in_bucket = (Window.partitionBy(*part)
-                 .orderBy("_hash", F.xxhash64(*[F.col(f"`{c}`") for c in columns]), "_block")
-                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = rows.withColumns({f"_place_{k}": F.sum(n).over(in_bucket) - n
-                               for k, n in counted.items()}).join(offsets, part)
+    # one row per bucket, at most 16^digits
+    buckets = sizes if unique else sizes.groupBy(*outer, "_bucket").agg(
+        *[F.sum(f"_size_{k}").alias(f"_size_{k}") for k in flags])
+    running = _upto(*outer).orderBy("_bucket")
+    offsets = buckets.select(*outer, "_bucket", *[
+        (F.sum(f"_size_{k}").over(running) - F.col(f"_size_{k}")).alias(f"_offset_{k}") for k in flags])
+    if not unique:
+        along = _upto(*outer, "_bucket").orderBy("_hash", "_lane")
+        lanes = sizes.select(*part, *[
+            (F.sum(f"_size_{k}").over(along) - F.col(f"_size_{k}")).alias(f"_before_{k}") for k in flags])
+        offsets = lanes.join(offsets, [*outer, "_bucket"]).select(*part, *[
+            (F.col(f"_before_{k}") + F.col(f"_offset_{k}")).alias(f"_offset_{k}") for k in flags])
+    inside = _upto(*part).orderBy("_hash", "_row")
+    placed = rows.withColumns({f"_place_{k}": F.sum(n).over(inside) - n for k, n in counted.items()}).join(offsets, part)
     first = {k: (F.col(f"_offset_{k}") + F.col(f"_place_{k}") + 1).cast("bigint") for k in flags}
     if unique:
         return placed.select(*columns, *[F.when(flags[k], first[k]).alias(k) for k in flags])
-    firsts = placed.select(*columns, "_n", *[first[k].alias(f"_first_{k}") for k in flags])
-    expanded = firsts.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
-    return expanded.select(*columns, *[
-        F.when(flags[k], F.col(f"_first_{k}") + F.col("_copy")).alias(k) for k in flags])
+    firsts = placed.select(*columns, "_copies", *[first[k].alias(f"_first_{k}") for k in flags])
+
+    def expanded(some: DataFrame, low: Column, number: Column) -> DataFrame:
+        each = some.select("*", F.explode(F.sequence(low, low + number - 1)).alias("_copy"))
+        return each.select(*columns, *[F.when(flags[k], F.col(f"_first_{k}") + F.col("_copy")).alias(k) for k in flags])
+
+    few = firsts.where(F.col("_copies") <= block_rows)
+    many = firsts.where(F.col("_copies") > block_rows).select(
+        "*", F.explode(F.expr(f"sequence(0L, (_copies - 1) div {block_rows})")).alias("_block"))
+    many = many.repartition(F.xxhash64(f"_first_{out}", "_block"))
+    low = F.col("_block") * block_rows
+    return expanded(few, F.lit(0).cast("bigint"), F.col("_copies")).unionByName(
+        expanded(many, low, F.least(F.lit(block_rows), F.col("_copies") - low)))
 
 
 def first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -76,33 +87,34 @@ def first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return ranked.where(F.col("_rank") == 1).drop("_rank")
 
 
-def record_ordinal(df: DataFrame, file: str, out: str, start: int = 2) -> DataFrame:
-    """Add the position of a record in its file, counted from ``start`` (the header is row 1).
-
-    For files that are read unsplit, as multi-line CSV is: the records of a file then have
-    consecutive numbers, and only the first number of each file is gathered.
-    """
-    placed = df.withColumn("_place", F.monotonically_increasing_id())
-    first = placed.groupBy(file).agg(F.min("_place").alias("_first"))
-    return placed.join(first, file).withColumn(
-        out, F.col("_place") - F.col("_first") + start).drop("_place", "_first")
-
-
 def number_in_order(df: DataFrame, group: str, position: str, flag: Column, out: str,
                     rows_per_bucket: int = 100_000) -> DataFrame:
-    """Number the flagged rows 1..N by (group, position); other rows get NULL.
+    """Number the flagged rows 1..N by (group, position), groups in the order of the hash of their name;
+    other rows get NULL.
 
-    Rows are cut into buckets of consecutive positions, numbered inside and shifted by the flagged
-    rows of earlier buckets (one small row per bucket).
+    Rows are cut into buckets of consecutive positions and numbered inside. A bucket is shifted by the
+    flagged rows of its group's earlier buckets, those of earlier groups with the same leading hash digits,
+    and those of earlier leading digits (16^3 rows at most): no window holds all groups.
     """
-    bucketed = df.withColumn("_flag", F.coalesce(flag, F.lit(False))).withColumn(
-        "_bucket", F.floor(F.col(position) / rows_per_bucket))
-    part = [group, "_bucket"]
-    sizes = bucketed.groupBy(*part).agg(F.count_if("_flag").alias("_size"))
-    running = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = sizes.select(*part, (F.sum("_size").over(running) - F.col("_size")).alias("_offset"))
-    inside = Window.partitionBy(*part).orderBy(position).rowsBetween(
+    name = F.sha2(F.coalesce(F.col(group).cast("string"), F.lit("")), 256)
+    bucketed = df.withColumns({
+        "_flag": F.coalesce(flag, F.lit(False)), "_bucket": F.floor(F.col(position) / rows_per_bucket), "_name": name})
+    sizes = bucketed.groupBy("_name", "_bucket").agg(F.count_if("_flag").alias("_size"))
+
+    def earlier(window) -> Column:
+        window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return F.sum("_size").over(window) - F.col("_size")
+
+    in_group = sizes.withColumn("_in_group", earlier(Window.partitionBy("_name").orderBy("_bucket")))
+    digits = F.substring("_name", 1, 3)
+    groups = sizes.groupBy("_name").agg(F.sum("_size").alias("_size")).withColumn("_digits", digits)
+    in_digits = groups.withColumn("_in_digits", earlier(Window.partitionBy("_digits").orderBy("_name")))
+    tops = groups.groupBy("_digits").agg(F.sum("_size").alias("_size"))
+    in_all = tops.withColumn("_in_all", earlier(Window.orderBy("_digits")))
+    offsets = (in_group.drop("_size").join(in_digits.drop("_size"), "_name").join(in_all.drop("_size"), "_digits")
+               .select("_name", "_bucket", (F.col("_in_group") + F.col("_in_digits") + F.col("_in_all")).alias("_offset")))
+    inside = Window.partitionBy("_name", "_bucket").orderBy(position).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    placed = bucketed.withColumn("_place", F.count_if("_flag").over(inside)).join(offsets, part)
+    placed = bucketed.withColumn("_place", F.count_if("_flag").over(inside)).join(offsets, ["_name", "_bucket"])
     return placed.withColumn(out, F.when(F.col("_flag"), F.col("_offset") + F.col("_place"))).drop(
-        "_flag", "_bucket", "_place", "_offset")
+        "_flag", "_bucket", "_place", "_offset", "_name")

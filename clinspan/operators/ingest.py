@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from clinspan.config import DEFAULT_AS_OF
 from clinspan.functions import normalize as nz
-from clinspan.operators.ids import first_row, number_in_order, record_ordinal
+from clinspan.operators.ids import first_row, number_in_order
 from clinspan.operators.tables import side_by_side, union_all
-from clinspan.sources.csv_in import KNOWN_COLUMNS, RawCsv
-from clinspan.session import active
+from clinspan.session import stored
+from clinspan.sources.csv_in import EMPTY_FILE, KNOWN_COLUMNS, RawCsv
 
 PRESENCE_COLUMNS = ["encounter_id", "encounter_type", "admission_date", "department",
                     "diagnosis_code", "diagnosis_description"]
@@ -29,6 +29,7 @@ class Ingested:
     encounters: DataFrame
     issues: DataFrame
     summary: DataFrame
+    files: DataFrame
 
 
 def complete(records: DataFrame) -> DataFrame:
@@ -79,28 +80,34 @@ def encounter_columns(as_of: dt.date = DEFAULT_AS_OF) -> list[Column]:
 
 
 def ingest(raw: RawCsv, as_of: dt.date = DEFAULT_AS_OF) -> Ingested:
-    """Patients (first valid record per id), encounters, row messages and a one-row summary."""
-    if raw.error is not None:
-        return _rejected(raw.error)
-    records = record_ordinal(complete(raw.records), "file", "row").withColumn("errors", row_errors())
+    """Patients (first valid record per id), encounters, messages, a one-row summary and a row per file.
+
+    ``src_ord`` names a record by its file and row, so it is unique over all files.
+    """
+    records = complete(raw.records).withColumn("errors", row_errors())
     valid = records.where(F.size("errors") == 0)
-    numbered = _with_patient_id(valid)
+    numbered = stored("numbered-records", _with_patient_id(valid))
     first = first_row(numbered, ["source_patient_id"], [F.col("file"), F.col("row")]).withColumn(
         "source_system", nz.source_system(F.col("source_system")))
     patients = first.select(
         "source_system", "source_patient_id", *[nz.blank_to_null(F.col(c)).alias(c) for c in PATIENT_TEXTS],
         nz.parse_date(F.col("date_of_birth")).alias("date_of_birth"),
-        nz.parse_gender(F.col("gender")).alias("gender"), "file", F.col("row").alias("src_ord"))
+        nz.parse_gender(F.col("gender")).alias("gender"), "file",
+        F.concat("file", F.lit("#"), F.lpad(F.col("row").cast("string"), 12, "0")).alias("src_ord"))
     found = numbered.where(has_encounter()).drop("source_system").select(
         "file", "row", "source_patient_id", "encounter_id", *encounter_columns(as_of))
     encounters = _with_encounter_id(found).join(
         first.select("source_patient_id", "source_system"), "source_patient_id")
-    issues = union_all([
+    told = union_all([
         records.select("file", "row", F.lit("error").alias("level"), F.explode("errors").alias("message")),
         found.where("admission_missing").select(
             "file", "row", F.lit("warning").alias("level"), F.lit(NO_ADMISSION).alias("message")),
     ]).withColumn("message", F.concat(F.lit("Row "), F.col("row").cast("string"), F.lit(": "), "message"))
-    return Ingested(patients, encounters.drop("admission_missing"), issues, _summary(records, patients))
+    rejected = raw.files.where(F.col("error").isNotNull())
+    issues = told.unionByName(rejected.select(
+        "file", F.lit(1).cast("bigint").alias("row"), F.lit("error").alias("level"), F.col("error").alias("message")))
+    return Ingested(patients, encounters.drop("admission_missing"), issues, _summary(records, patients, raw.files),
+                    _by_file(records, raw.files))
 
 
 def _numbered_id(rows: DataFrame, column: str, pattern: str, out: str) -> DataFrame:
@@ -118,28 +125,32 @@ def _with_encounter_id(rows: DataFrame) -> DataFrame:
     return _numbered_id(rows, "encounter_id", "CSV-ENC-%010d", "encounter_id")
 
 
-def _summary(records: DataFrame, patients: DataFrame) -> DataFrame:
-    """Row counts and whether the file counts as read: any valid row, or no error at all."""
+def _counts() -> list[Column]:
+    return [F.count("*").alias("row_count"), F.count_if(F.size("errors") == 0).alias("valid_row_count"),
+            F.coalesce(F.sum(F.size("errors")), F.lit(0)).alias("row_errors")]
+
+
+def _summary(records: DataFrame, patients: DataFrame, files: DataFrame) -> DataFrame:
+    """Counts over all files, and whether the upload counts as read: any valid row, or no error at all."""
     counts = side_by_side(
-        records.agg(F.count("*").alias("row_count"),
-                    F.count_if(F.size("errors") == 0).alias("valid_row_count"),
-                    F.coalesce(F.sum(F.size("errors")), F.lit(0)).alias("row_errors")),
-        patients.agg(F.count("*").alias("patients")))
-    errors = F.col("row_errors") + F.when(F.col("patients") == 0, 1).otherwise(0)
+        records.agg(*_counts()), patients.agg(F.count("*").alias("patients")),
+        files.agg(F.count("error").alias("rejected"), F.count_if(F.col("error").isNull()).alias("accepted"),
+                  F.min("error").alias("first_error")))
+    none = F.col("patients") == 0
+    all_rejected = F.col("accepted") == 0
+    errors = F.col("row_errors") + F.col("rejected") + F.when(none & ~all_rejected, 1).otherwise(0)
     return counts.select(
         "row_count", "valid_row_count", "patients", errors.alias("errors"),
-        F.when(F.col("patients") == 0, NO_PATIENTS).alias("file_error"),
-        ((errors == 0) | (F.col("valid_row_count") > 0)).alias("success"))
-
-
-def _rejected(error: str) -> Ingested:
-    spark = active()
-    names = ", ".join(f"{c} string" for c in KNOWN_COLUMNS)
-    none = record_ordinal(spark.createDataFrame([], "file string, " + names), "file", "row")
-    empty = ingest(RawCsv(none.drop("row"), None))
-    summary = empty.summary.select(
-        "row_count", "valid_row_count", "patients", F.lit(1).alias("errors"),
-        F.lit(error).alias("file_error"), F.lit(False).alias("success"))
-    issues = summary.select(F.lit("").alias("file"), F.lit(1).cast("bigint").alias("row"),
-                            F.lit("error").alias("level"), F.col("file_error").alias("message"))
-    return Ingested(empty.patients, empty.encounters, issues, summary)
+        F.when(none, F.when(all_rejected, F.coalesce("first_error", F.lit(EMPTY_FILE))).otherwise(NO_PATIENTS)).alias("file_error"),
+        ((errors == 0) & ~all_rejected | (F.col("valid_row_count") > 0)).alias("success"))
+
+
+def _by_file(records: DataFrame, files: DataFrame) -> DataFrame:
+    """Counts of each file, its error if it is rejected, and whether it counts as read."""
+    counts = files.join(records.groupBy("file").agg(*_counts()), "file", "left").fillna(
+        0, ["row_count", "valid_row_count", "row_errors"])
+    none = F.col("valid_row_count") == 0
+    return counts.select(
+        "file", "row_count", "valid_row_count",
+        (F.col("row_errors") + F.when(none, 1).otherwise(0)).alias("errors"),
+        F.coalesce("error", F.when(none, NO_PATIENTS)).alias("file_error"), (~none).alias("success"))

@@ -168,25 +168,12 @@ def trend_actions(trends: DataFrame) -> DataFrame:
         "actions", F.coalesce("_actions", general)).drop("_lab", "_actions")
 
 
-def trend_findings(measurements: DataFrame, list_values_up_to: int = 1000) -> DataFrame:
-    """Trend findings. Evidence lists the values of series up to ``list_values_up_to`` long; the
-    values of a longer series are the rows of :func:`trend_values`."""
-    keys = ["person_id", "measurement_source_value"]
-    trends = lab_trend(measurements)
-    rows = trend_actions(lab_display(trends))
-    if list_values_up_to > 0:
-        short = trends.where(F.col("n") <= list_values_up_to)
-        listed = trend_values(measurements, short).groupBy(*keys).agg(
-            F.array_sort(F.collect_list(F.struct("measurement_datetime", "measurement_id", "value")))
-             .alias("_rows")).select(*keys, F.array_join(F.transform(
-                 F.col("_rows"), lambda r: r["value"].cast("string")), ", ").alias("_values"))
-        rows = rows.join(listed, keys, "left")
-    else:
-        rows = rows.withColumn("_values", F.lit(None).cast("string"))
+def trend_findings(measurements: DataFrame) -> DataFrame:
+    """Trend findings. Evidence names the number, first and last value and unit of a series, whatever its
+    length; the values are the rows of :func:`trend_values`."""
+    rows = trend_actions(lab_display(lab_trend(measurements)))
     ends = [F.round(c, 2).cast("string") for c in ("first_value", "last_value")]
     rising = F.col("direction") == "rising"
-    listing = F.coalesce(F.concat(F.lit("["), F.col("_values"), F.lit("]")),
-                         F.concat(F.lit("["), ends[0], F.lit(", ..., "), ends[1], F.lit("]")))
     return finding(
         rows, "observation", "medium",
         F.concat(F.when(rising, "Rising Trend: ").otherwise("Declining Trend: "), F.col("display")),
@@ -196,7 +183,7 @@ def trend_findings(measurements: DataFrame, list_values_up_to: int = 1000) -> Da
             F.lit(" serial measurements ("), ends[0], F.lit(" → "), ends[1], F.lit(" "),
             F.col("unit"), F.lit(")"))),
         F.array(F.trim(F.concat(F.lit("Serial values ("), F.col("n").cast("string"),
-                                F.lit(" measurements): "), listing, F.lit(" "), F.col("unit")))),
+                                F.lit(" measurements): ["), ends[0], F.lit(", ..., "), ends[1], F.lit("] "), F.col("unit")))),
         F.col("actions"))
 
 
@@ -305,10 +292,10 @@ def frequent_visits(visits: DataFrame) -> DataFrame:
 
 # --- all findings of a person ----------------------------------------------------------------
 
-def all_findings(cdm: Cdm, match: str = "source_value", list_values_up_to: int = 1000) -> DataFrame:
+def all_findings(cdm: Cdm, match: str = "source_value") -> DataFrame:
     return union_all([
         critical_lab_findings(cdm.measurement, match),
-        trend_findings(cdm.measurement, list_values_up_to),
+        trend_findings(cdm.measurement),
         interaction_findings(cdm.drug_exposure),
         metformin_findings(cdm.drug_exposure, cdm.measurement, match),
         diabetes_findings(cdm.condition_occurrence, cdm.measurement),
@@ -316,9 +303,14 @@ def all_findings(cdm: Cdm, match: str = "source_value", list_values_up_to: int =
 
 
 def finding_titles(cdm: Cdm, match: str = "source_value") -> DataFrame:
-    """Type, severity and title of all findings: what scores and rankings need. The value lists of
-    trends, which take a join of their own, are left out."""
-    return all_findings(cdm, match, 0).select("person_id", "type", "severity", "title")
+    """Type, severity and title of all findings: what scores and rankings need."""
+    return all_findings(cdm, match).select("person_id", "type", "severity", "title")
+
+
+def of_people(cdm: Cdm, people: DataFrame) -> Cdm:
+    """The tables cut to some persons, so that rules run on a cohort only."""
+    ids = people.select("person_id")
+    return Cdm(**{name: table.join(ids, "person_id", "left_semi") for name, table in cdm.tables().items()})
 
 
 def risk_score(cdm: Cdm, findings: DataFrame) -> DataFrame:
@@ -341,16 +333,21 @@ def risk_score(cdm: Cdm, findings: DataFrame) -> DataFrame:
         F.col("low").alias("low_severity_findings"), "findings")
 
 
-def _few_values(rows: DataFrame, column: str, out: str, k: int = 10) -> DataFrame:
+def person_values(rows: DataFrame, column: str) -> DataFrame:
+    """Every distinct value of a person, one row each, numbered in order of the value."""
+    distinct = rows.select("person_id", F.coalesce(column, F.lit("Unknown")).alias("value")).distinct()
+    return distinct.withColumn("rank", F.row_number().over(Window.partitionBy("person_id").orderBy("value")))
+
+
+def _few_values(rows: DataFrame, column: str, out: str, k: int) -> DataFrame:
     """Up to k distinct values per person, the smallest ones, as an array."""
-    distinct = rows.select("person_id", F.coalesce(column, F.lit("Unknown")).alias("_v")).distinct()
-    ranked = distinct.withColumn("_r", F.row_number().over(Window.partitionBy("person_id").orderBy("_v")))
-    return ranked.where(F.col("_r") <= k).groupBy("person_id").agg(
-        F.array_sort(F.collect_list("_v")).alias(out))
+    return person_values(rows, column).where(F.col("rank") <= k).groupBy("person_id").agg(
+        F.array_sort(F.collect_list("value")).alias(out))
 
 
-def patient_summary(cdm: Cdm, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
-    """Age, sex, visit figures, up to ten conditions and drugs, and the number of labs per person."""
+def patient_summary(cdm: Cdm, as_of: dt.date = DEFAULT_AS_OF, k: int = 10) -> DataFrame:
+    """Age, sex, visit figures, up to ``k`` conditions and drugs, and the number of labs per person. All
+    conditions and drugs are the rows of :func:`person_values`."""
     visits = cdm.visit_occurrence.groupBy("person_id").agg(
         F.count("*").alias("total_visits"),
         F.min("visit_start_date").cast("string").alias("earliest_visit"),
@@ -360,8 +357,8 @@ def patient_summary(cdm: Cdm, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     none = F.array().cast("array<string>")
     rows = cdm.person
     for part in (visits, labs,
-                 _few_values(cdm.condition_occurrence, "condition_source_value", "active_conditions"),
-                 _few_values(cdm.drug_exposure, "drug_source_value", "current_medications")):
+                 _few_values(cdm.condition_occurrence, "condition_source_value", "active_conditions", k),
+                 _few_values(cdm.drug_exposure, "drug_source_value", "current_medications", k)):
         rows = rows.join(part, "person_id", "left")
     return rows.select(
         "person_id", (F.lit(as_of.year) - F.col("year_of_birth")).alias("age"),
@@ -379,29 +376,31 @@ def analyze_patients(cdm: Cdm, as_of: dt.date = DEFAULT_AS_OF, match: str = "sou
     return patient_summary(cdm, as_of).join(risk_score(cdm, finding_titles(cdm, match)), "person_id")
 
 
-def cohort_findings(people: DataFrame, findings: DataFrame, k: int = 10) -> DataFrame:
+def title_counts(cdm: Cdm, people: DataFrame, match: str = "source_value") -> DataFrame:
+    """How often each finding occurs in a cohort: the one table both cohort reports start from."""
+    return finding_titles(of_people(cdm, people), match).groupBy("type", "title").agg(F.count("*").alias("count"))
+
+
+def cohort_findings(people: DataFrame, counts: DataFrame, k: int = 10) -> DataFrame:
     """Most frequent finding titles of a cohort with count and prevalence.
 
     Prevalence relates findings, not people, to the cohort size, so it can exceed 100 %.
     """
-    by_person = findings.groupBy("person_id", "title").agg(F.count("*").alias("n"))
-    top = (by_person.join(people, "person_id", "left_semi").groupBy("title")
-           .agg(F.sum("n").alias("count")).orderBy(F.col("count").desc(), "title").limit(k))
+    top = counts.groupBy("title").agg(F.sum("count").alias("count")).orderBy(F.col("count").desc(), "title").limit(k)
     size = people.agg(F.count("*")).scalar()
     return top.select(F.col("title").alias("finding"), "count",
                       percent_text(F.col("count"), size).alias("prevalence"))
 
 
-def research_opportunities(people: DataFrame, findings: DataFrame) -> DataFrame:
+def research_opportunities(people: DataFrame, counts: DataFrame) -> DataFrame:
     """Study suggestions: any cohort of ten or more, any quality finding."""
     size = people.agg(F.count("*").alias("n")).where("n >= 10").select(
         F.lit("Cohort Study Opportunity").alias("title"),
         F.concat(F.lit("Cohort of "), F.col("n").cast("string"),
                  F.lit(" patients available for retrospective analysis")).alias("description"),
         _texts(rules.STUDY_ANALYSES).alias("suggested_analyses"))
-    gaps = findings.where(F.col("type") == "quality_metric").groupBy("person_id").agg(
-        F.count("*").alias("n")).join(people, "person_id", "left_semi").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n")).where("n > 0").select(
+    gaps = counts.where(F.col("type") == "quality_metric").agg(
+        F.coalesce(F.sum("count"), F.lit(0)).alias("n")).where("n > 0").select(
         F.lit("Quality Improvement Study").alias("title"),
         F.concat(F.lit("Identified "), F.col("n").cast("string"),
                  F.lit(" quality metric gaps")).alias("description"),

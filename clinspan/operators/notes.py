@@ -114,14 +114,14 @@ def _flags(span: Column, sentence: Column, section: Column, concept: Column) ->
     ]
 
 
-def _linked(found: Column, sentence_spans: Column, section_spans: Column) -> Column:
-    """Resolved spans with concept, context flags and the sentence around them."""
+def _linked(found: Column, p: Column) -> Column:
+    """Resolved spans with concept, context flags and the sentence around them, from the parts of a note."""
     table = _concept_table()
 
     def placed(span: Column) -> Column:
-        here = F.get(F.filter(sentence_spans, lambda s: (s["start"] <= span["start"])
-                              & (span["start"] < s["end"])), F.lit(0))
-        header = F.try_element_at(F.filter(section_spans, lambda s: s["start"] <= span["start"]), F.lit(-1))
+        here = spans.last_started(p["sentences"], p["sentence_index"], span["start"])
+        here = F.when(span["start"] < here["end"], here)
+        header = spans.last_started(p["sections"], p["section_index"], span["start"])
         return F.struct(
             span.alias("span"), F.element_at(table, phrase_key(span["text"])).alias("concept"),
             F.coalesce(here, F.struct(span["start"].alias("start"), span["start"].alias("end"),
@@ -160,9 +160,16 @@ def extract(notes: DataFrame, threshold: float = 0.5) -> DataFrame:
         return F.struct(
             F.size(p["sentences"]).alias("sentence_count"), F.size(p["sections"]).alias("section_count"),
             candidate_count(p["phrases"]["starts"]).alias("candidate_spans"),
-            _linked(p["phrases"]["kept"], p["sentences"], p["sections"]).alias("linked"))
+            _linked(p["phrases"]["kept"], p).alias("linked"))
 
-    found = notes.withColumn("_note", spans.let(parts, result))
+    def indexed(p: Column) -> Column:
+        length = F.length("text")
+        return spans.let(F.struct(
+            p["sentences"].alias("sentences"), p["sections"].alias("sections"), p["phrases"].alias("phrases"),
+            spans.block_index(p["sentences"], length).alias("sentence_index"),
+            spans.block_index(p["sections"], length).alias("section_index")), result)
+
+    found = notes.withColumn("_note", spans.let(parts, indexed))
     return found.select(
         *notes.columns, F.col("_note.sentence_count").alias("sentence_count"),
         F.col("_note.section_count").alias("section_count"),
@@ -182,10 +189,10 @@ def _count(condition) -> Column:
     return F.size(F.filter("entities", condition))
 
 
-def stats(extracted: DataFrame) -> DataFrame:
-    """The figures of one note, one row per note."""
+def stats(extracted: DataFrame, *more) -> DataFrame:
+    """The figures of one note, one row per note, with ``more`` columns of the note if asked for."""
     return extracted.select(
-        "doc_id", F.length("text").alias("characters"), word_count(F.col("text")).alias("words"),
+        *more, "doc_id", F.length("text").alias("characters"), word_count(F.col("text")).alias("words"),
         F.col("sentence_count").alias("sentences"), F.col("section_count").alias("sections"),
         "candidate_spans", "entities_linked",
         F.size("entities").alias("entities_passed_threshold"),
@@ -209,8 +216,8 @@ def notes_rollup(extracted: DataFrame) -> DataFrame:
         F.coalesce(F.sum(_count(lambda e: e["vocabulary"] == "SNOMED CT")), zero).alias("snomed_concepts"))
 
 
-def operations(note_stats: DataFrame) -> DataFrame:
-    """The eight-step audit trail of each note, one row per step."""
+def operation_steps() -> Column:
+    """The eight-step audit trail of a note, as an array made of its figures."""
     def text(*parts) -> Column:
         return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -239,7 +246,12 @@ def operations(note_stats: DataFrame) -> DataFrame:
          F.lit("Entities available as CSV / JSON / annotated HTML; flow into de-id → OMOP → cohort"),
          c("entities_passed_threshold")),
     ]
-    return note_stats.select("doc_id", F.inline(F.array(*[
+    return F.array(*[
         F.struct(F.lit(i).alias("step"), name.alias("operation"), detail.alias("detail"),
                  count.cast("bigint").alias("count"))
-        for i, (name, detail, count) in enumerate(steps, start=1)])))
+        for i, (name, detail, count) in enumerate(steps, start=1)])
+
+
+def operations(note_stats: DataFrame) -> DataFrame:
+    """The eight-step audit trail of each note, one row per step."""
+    return note_stats.select("doc_id", F.inline(operation_steps()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,23 +13,27 @@ from clinspan.session import sql_literal
 
 HIT = "struct<start:int,rank:double,place:int,`end`:int,type:string,text:string,confidence:double>"
 
+_ORDERED = f"struct<start:int,back:int,place:int,`end`:int,hit:{HIT}>"
+
 
 def _shape(place: int, kind: str, confidence: float) -> str:
     return (f"named_struct('start', {{start}}, 'rank', {-confidence!r}D, 'place', {place}, "
             f"'end', {{end}}, 'type', '{kind}', 'text', {{text}}, 'confidence', {confidence!r}D)")
 
 
-def _known_names(text: str, folded: str) -> str:
+def _known_names(text: str, folded: str, known: Sequence[str]) -> str:
     """All known names in one pass; no two of them start at the same place."""
-    names = [name.lower() for name in fixed.KNOWN_NAMES]
+    if not known:
+        return f"cast(array() AS array<{HIT}>)"
+    names = [name.lower() for name in known]
     starts = spans.starts_sql(text, "(?iu)" + spans.phrase_pattern(names, "", ""))
     made = _shape(0, "name", fixed.KNOWN_NAME_CONFIDENCE).format(start="n.start", end="n.`end`", text="n.text")
     return spans.only_if_any(folded, names, f"transform({starts}, n -> {made})", HIT)
 
 
-def _hits(text: str, folded: str, digits: str) -> list[str]:
+def _hits(text: str, folded: str, digits: str, known: Sequence[str]) -> list[str]:
     """Raw hits as SQL: the known names, then each pattern in detection order."""
-    found = [_known_names(text, folded)]
+    found = [_known_names(text, folded, known)]
     for i, (kind, pattern) in enumerate(fixed.PHI_PATTERNS):
         run = "(?iuU)" + fixed.PHI_FLAT_FORMS.get(pattern, pattern)
         sql = spans.find_sql(text, run, _shape(i + 1, kind, fixed.PHI_CONFIDENCE), HIT)
@@ -43,26 +49,27 @@ def _hits(text: str, folded: str, digits: str) -> list[str]:
     return found
 
 
-def detect(notes: DataFrame, text: str = "text", out: str = "phi") -> DataFrame:
-    """Add the identifiers of a text in reading order.
+def detect(notes: DataFrame, text: str = "text", out: str = "phi", known_names: Sequence[str] = ()) -> DataFrame:
+    """Add the identifiers of a text in reading order; ``known_names`` are found wherever they stand.
 
     A hit lying inside a hit of an earlier pattern is dropped (known names never are). A dropped
     hit lies in a kept one, so it is enough to compare with the raw earlier hits. Of the rest, hits
     are taken by start, then confidence, then pattern order, as long as they do not overlap.
     """
-    hits = _hits(text, "_folded", "_digits")
+    hits = _hits(text, "_folded", "_digits", known_names)
     names = [f"_hits_{i}" for i in range(len(hits))]
     folded = notes.select("*", F.expr(spans.folded_sql(text)).alias("_folded"),
                           F.rlike(F.col(text), F.lit(r"(?U)\d{3}")).alias("_digits"))
     # a projection of its own: each pattern runs once, whatever refers to its hits below
     raw = folded.select(*notes.columns, *[F.expr(sql).alias(n) for n, sql in zip(names, hits)])
-    kept = [names[0]]
-    for i, name in enumerate(names[1:], start=1):
-        kept.append(f"""if(size({name}) = 0, {name}, get(transform(
-            array(named_struct('mine', {name}, 'earlier', flatten(array({', '.join(names[:i])})))),
-            b -> filter(b.mine, h -> not exists(b.earlier,
-                e -> e.start <= h.start and h.`end` <= e.`end`))), 0))""")
-    merged = f"array_sort(flatten(array({', '.join(kept)})))"
+    ordered = (f"array_sort(transform(flatten(array({', '.join(names)})), h -> "
+               "named_struct('start', h.start, 'back', -h.`end`, 'place', h.place, 'end', h.`end`, 'hit', h)))")
+    # the furthest end of each pattern's hits so far: at least the same start, and longer ones first
+    first = f"array_repeat(-1, {len(names)})"
+    following = "transform(t.v, (m, i) -> if(i = x.place, greatest(m, x.`end`), m))"
+    outside = "not exists(slice(t.v, 1, x.place), m -> m >= x.`end`)"
+    free = spans.walked_sql(ordered, _ORDERED, first, following, outside)
+    merged = f"array_sort(transform({free}, x -> x.hit))"
     return raw.select(*notes.columns, F.expr(spans.disjoint_sql(merged, HIT)).alias(out))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,21 +93,40 @@ def entity_rows(records: DataFrame) -> DataFrame:
     return spans.rows_of(cut, "found", "doc_id")
 
 
-def process(records: DataFrame) -> DataFrame:
-    """Records (doc_id, text) with entities, identifiers, masked text and counts, one row each."""
-    found = phi.detect(clinical_entities(records))
+def process(records: DataFrame, known_names: Sequence[str] = (), skip_empty: bool = True) -> DataFrame:
+    """Records (doc_id, text) with everything found in them, one row each, made inside the row.
+
+    ``entities`` carry their vocabulary entry, mapping bucket and the characters around them; ``mappings`` lists
+    the mapped ones by bucket; ``phi`` are the identifiers, ``phi_summary`` their number and types.
+    """
+    found = phi.detect(clinical_entities(records), known_names=known_names)
     buckets = F.create_map(*[F.lit(x) for pair in BUCKETS for x in pair])
+    reach = fixed.ENTITY_CONTEXT_CHARS
 
-    def in_bucket(name: str) -> Column:
-        return F.size(F.filter("entities", lambda e: F.element_at(buckets, e["type"]) == name))
+    def entity(e: Column) -> Column:
+        best = F.get(terminology.mappings(e["type"], e["text"], skip_empty), F.lit(0))
+        return spans.let(best, lambda m: F.struct(
+            e["text"].alias("text"), e["type"].alias("type"), e["start"].alias("start"), e["end"].alias("end"),
+            e["confidence"].alias("confidence"), F.element_at(buckets, e["type"]).alias("bucket"),
+            m["term"].alias("normalized_term"), m["code"].alias("terminology_code"),
+            m["system"].alias("terminology_system"),
+            spans.slice_text(F.col("text"), F.greatest(e["start"] - reach, F.lit(0)), e["end"] + reach).alias("context")))
 
     names = list(dict.fromkeys(b for _, b in BUCKETS))
-    return found.select(
+    told = found.select(
         "doc_id", phi.mask(F.col("text"), F.col("phi")).alias("deidentified_text"),
-        "entities", "phi", F.length("text").alias("character_count"),
-        word_count(F.col("text")).alias("word_count"),
-        F.size("entities").alias("entities_extracted"), F.size("phi").alias("phi_detected"),
-        F.size("entities").alias("terminology_mappings"), *[in_bucket(n).alias(n) for n in names])
+        F.transform("entities", entity).alias("entities"), "phi", F.length("text").alias("character_count"),
+        word_count(F.col("text")).alias("word_count"))
+
+    def in_bucket(name: str) -> Column:
+        return F.filter("entities", lambda e: e["bucket"] == name)
+
+    types = F.array_distinct("phi.type")
+    return told.select(
+        "*", F.size("entities").alias("entities_extracted"), F.size("phi").alias("phi_detected"),
+        F.size("entities").alias("terminology_mappings"), *[F.size(in_bucket(n)).alias(n) for n in names],
+        F.struct(*[in_bucket(n).alias(n) for n in names]).alias("mappings"),
+        F.struct(F.size("phi").alias("total_phi_found"), types.alias("types_found")).alias("phi_summary"))
 
 
 def mapped_entities(records: DataFrame, skip_empty: bool = True) -> DataFrame:

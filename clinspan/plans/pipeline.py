@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinspan.config import DeidConfig, TokenConfig
 from clinspan.fixed import concepts as fixed
-from clinspan.operators import analytics, cdm, deid, linkage, notes
+from clinspan.operators import analytics, cdm, deid, ingest, linkage, notes
 from clinspan.operators.tables import side_by_side
 from clinspan.session import active, shared_dir
+from clinspan.sources import csv_in
 
 
 def person_links(patients: DataFrame, tokens: TokenConfig) -> DataFrame:
@@ -22,13 +25,13 @@ def person_links(patients: DataFrame, tokens: TokenConfig) -> DataFrame:
 
 
 def write_cdm(tables: cdm.Cdm, folder: str) -> cdm.Cdm:
-    """Write the five tables as Parquet and return readers over them.
+    """Write the five tables, with all their declared columns, as Parquet and return readers over them.
 
     Later queries start from these files: they read only the columns they use, and losing an
     executor costs a re-read instead of a re-run of linkage and de-identification.
     """
     for name, table in tables.tables().items():
-        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+        cdm.conform(table, name).write.mode("overwrite").parquet(f"{folder}/{name}")
     return read_cdm(folder)
 
 
@@ -38,14 +41,33 @@ def read_cdm(folder: str) -> cdm.Cdm:
                       for name in cdm.Cdm.__dataclass_fields__})
 
 
-def run(patients: DataFrame, encounters: DataFrame, observations: DataFrame,
-        tokens: TokenConfig = TokenConfig(), settings: DeidConfig = DeidConfig(),
-        folder: str | None = None) -> tuple[cdm.Cdm, DataFrame]:
-    """Link, de-identify, map and store; returns the stored tables and the de-identified patients.
+#: What an upload has no values of: column and type of an observation.
+OBSERVATION = (
+    "observation_id string, source_patient_id string, source_system string, observation_type string, observation_code string,"
+    " observation_code_system string, observation_name string, observation_datetime timestamp_ntz, value_numeric double,"
+    " value_text string, value_unit string, reference_range_low double, reference_range_high double, abnormal_flag string,"
+    " dose string, route string, frequency string")
+
+
+@dataclass(frozen=True)
+class Processed:
+    """Stored results: CDM tables, de-identified patients and encounters."""
 
-    Whatever several tables start from is written once below ``folder`` and read back.
+    tables: cdm.Cdm
+    people: DataFrame
+    encounters: DataFrame
+
+
+def process(patients: DataFrame, encounters: DataFrame, observations: DataFrame | None,
+            tokens: TokenConfig, settings: DeidConfig, folder: str | None = None, unique_ids: bool = False) -> Processed:
+    """Link, de-identify, map and store.
+
+    Whatever several tables start from is written once below ``folder`` and read back. There may be no
+    observations, and columns that a source lacks count as NULL.
     """
     folder = folder or shared_dir("cdm")
+    if observations is None:
+        observations = active().createDataFrame([], OBSERVATION)
 
     def keep(name: str, table: DataFrame) -> DataFrame:
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
@@ -53,9 +75,31 @@ def run(patients: DataFrame, encounters: DataFrame, observations: DataFrame,
 
     links = keep("person_links", person_links(patients, tokens))
     people = keep("deid_patient", deid.deid_patient(patients, links, settings))
-    tables = cdm.build(people, deid.deid_encounter(encounters, links, settings),
-                       deid.deid_observation(observations, links, settings), keep)
-    return write_cdm(tables, folder), people
+    visits = keep("deid_encounter", deid.deid_encounter(encounters, links, settings))
+    tables = cdm.build(people, visits, deid.deid_observation(observations, links, settings), keep, unique_ids)
+    return Processed(write_cdm(tables, folder), people, visits)
+
+
+def run(patients: DataFrame, encounters: DataFrame, observations: DataFrame | None,
+        tokens: TokenConfig, settings: DeidConfig, folder: str | None = None,
+        unique_ids: bool = False) -> tuple[cdm.Cdm, DataFrame]:
+    """The stored tables and the de-identified patients of :func:`process`."""
+    done = process(patients, encounters, observations, tokens, settings, folder, unique_ids)
+    return done.tables, done.people
+
+
+def upload(path: str, tokens: TokenConfig, settings: DeidConfig, folder: str | None = None) -> tuple[ingest.Ingested, Processed]:
+    """Take in a CSV file or a folder of them, de-identify and map it. Rejected files and rows are in the
+    issues; ``export.deid_csv_rows(done.people, done.encounters)`` is the file to hand out."""
+    folder = folder or shared_dir("upload")
+    got = ingest.ingest(csv_in.read_csv(path), settings.as_of)
+
+    def keep(name: str, table: DataFrame) -> DataFrame:
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return active().read.parquet(f"{folder}/{name}")
+
+    patients, encounters = keep("patients", got.patients), keep("encounters", got.encounters)
+    return got, process(patients, encounters, None, tokens, settings, f"{folder}/cdm")
 
 
 # FIXED VALUES: step names
@@ -67,7 +111,7 @@ STEPS = [
 
 
 def step_report(patients: DataFrame, encounters: DataFrame, observations: DataFrame,
-                tables: cdm.Cdm, people: DataFrame, tokens: TokenConfig = TokenConfig(),
+                tables: cdm.Cdm, people: DataFrame, tokens: TokenConfig,
                 threshold: float = 0.5) -> DataFrame:
     """The counts of the six steps, one row per step and figure."""
     texts = encounters.where(F.coalesce("clinical_notes", F.lit("")) != "").select(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -47,21 +46,28 @@ def constant_table(columns: str, rows: Sequence[Sequence]) -> DataFrame:
     return F.broadcast(table)
 
 
-_OWN_DIR: list[str] = []
+_MADE: list[str] = []
 
 
 def shared_dir(name: str) -> str:
-    """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
+    """A fresh folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset: both are
+    shared by the driver and all executors."""
+    spark = active()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    _MADE.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
-    On a single machine without that setting, as in tests, a temporary folder serves; a cluster
-    has to name one.
-    """
+
+def stored(name: str, df: DataFrame) -> DataFrame:
+    """``df`` written once to a shared folder and read back, for what several results start from."""
+    folder = shared_dir(name)
+    df.write.parquet(folder)
+    return active().read.schema(df.schema).parquet(folder)
+
+
+def remove_shared_dirs() -> None:
+    """Delete the folders this process made, once nothing reads them any more."""
     spark = active()
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        if not _OWN_DIR:
-            _OWN_DIR.append(tempfile.mkdtemp(prefix="clinspan-"))
-        base = _OWN_DIR[0]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,56 +1,133 @@
-"""Reading patient/encounter CSV files."""
+"""Reading patient/encounter CSV files.
+
+Files are read as lines, so a file of any size is split among tasks. Whether a line starts a record
+depends on the quotes before it; those are counted per split and chained over the splits of a file, so no
+task sees a whole file. A line that holds a whole record stays where it is, only the lines of records with
+quoted line breaks meet. Each file is read by its own header, and is accepted or rejected by itself.
+
+A quote always opens or closes a quoted value: files with stray quotes in unquoted values are not understood,
+and are rejected if their quotes do not pair up.
+"""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinspan.fixed import concepts as fixed
-from clinspan.session import active
+from clinspan.session import active, stored
 
-_OPTIONS = {"multiLine": True, "escape": '"', "encoding": "UTF-8"}
 KNOWN_COLUMNS = fixed.REQUIRED_COLUMNS + fixed.OPTIONAL_COLUMNS
+MOST_COLUMNS = 127  # a file with more is rejected
+# FIXED VALUES: why a file is rejected
+EMPTY_FILE = "CSV file is empty or has no headers"
+NOT_UTF8 = "File must be UTF-8 encoded"
+MISSING = "Missing required columns: "
+UNREADABLE = "CSV parsing error: "
 
 
 @dataclass(frozen=True)
 class RawCsv:
-    """Records with canonical column names plus ``file``, or the error that rejects the file."""
+    """``records``: ``file``, ``row`` (the header is row 1) and the known columns of accepted files as text;
+    ``files``: every ``file`` with the ``error`` that rejects it, or NULL."""
+
+    records: DataFrame
+    files: DataFrame
 
-    records: DataFrame | None
-    error: str | None
 
+def canonical_name(header: Column) -> Column:
+    name = F.replace(F.replace(F.trim(F.lower(header)), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
+    aliases = F.create_map(*[F.lit(x) for pair in fixed.COLUMN_ALIASES for x in pair])
+    return F.coalesce(F.try_element_at(aliases, name), name)
 
-def canonical_name(header: str) -> str:
-    name = header.lower().strip().replace(" ", "_").replace("-", "_")
-    return dict(fixed.COLUMN_ALIASES).get(name, name)
 
+def _values(record: Column) -> Column:
+    """The values of a record by position; the record is parsed once."""
+    names = [f"c{i}" for i in range(MOST_COLUMNS + 1)]
+    parsed = F.from_csv(record, ", ".join(f"{n} string" for n in names), {"escape": '"'})
+    return F.transform(F.array(parsed), lambda p: F.array(*[p[n] for n in names]))[0]
 
-def canonical_columns(headers: list[str]) -> dict[str, int]:
-    """Canonical name -> column position. Of several headers with one name the last is used."""
-    return {canonical_name(h): i for i, h in enumerate(headers) if h is not None}
 
+def _lines(path: str) -> DataFrame:
+    """Lines with their split, their place in it, and what they do to quotes and records in it.
 
-def missing_columns(names) -> list[str]:
-    return [c for c in fixed.REQUIRED_COLUMNS if c not in names]
+    ``starts_even`` and ``starts_odd`` count the records that have started in the split up to a line, if an even or
+    odd number of quotes stands before the split.
+    """
+    lines = active().read.text(path).select(
+        "value", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    in_split = Window.partitionBy("file", "block").orderBy("at")
+    upto, before = (in_split.rowsBetween(Window.unboundedPreceding, n) for n in (0, -1))
+    blank = F.trim("value") == ""
+    lines = lines.withColumn("odd", quotes % 2).withColumn("open", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
+    return lines.withColumns({
+        "starts_even": F.count_if((F.col("open") == 0) & ~blank).over(upto),
+        "starts_odd": F.count_if((F.col("open") == 1) & ~blank).over(upto)})
+
+
+def _splits(lines: DataFrame) -> DataFrame:
+    """A row for each split: quotes (odd or even) and records before it, and whether its file can be read."""
+    splits = lines.groupBy("file", "block").agg(
+        F.sum("odd").alias("odd"), F.max("starts_even").alias("even_starts"), F.max("starts_odd").alias("odd_starts"),
+        F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    order = Window.partitionBy("file").orderBy("block")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("file")
+    splits = splits.withColumn("turned", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
+    starts = F.when(F.col("turned") == 0, F.col("even_starts")).otherwise(F.col("odd_starts"))
+    return splits.withColumn("starts", starts).select(
+        "file", "block", "turned", F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("records_before"),
+        F.bool_and("valid").over(whole).alias("valid"), (F.sum("odd").over(whole) % 2 == 0).alias("balanced"),
+        F.sum("starts").over(whole).alias("records"))
+
+
+def _records(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """``file``, ``row``, ``block`` and text of each record of readable files."""
+    held = lines.join(splits.where("valid AND balanced"), ["file", "block"])
+    inside = (F.col("open") + F.col("turned")) % 2 == 1
+    row = F.col("records_before") + F.when(F.col("turned") == 0, F.col("starts_even")).otherwise(F.col("starts_odd"))
+    held = held.select("file", "block", "at", "value", "odd", inside.alias("inside"), row.alias("row")).where(
+        F.col("inside") | (F.trim("value") != ""))
+    single = held.where("NOT inside AND odd = 0").select("file", "block", "row", "value")
+    pieces = held.where("inside OR odd = 1").groupBy("file", "row").agg(
+        F.min("block").alias("block"), F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("lines"))
+    several = pieces.select("file", "block", "row", F.array_join(
+        F.transform("lines", lambda x: x["value"]), "\n").alias("value"))
+    return single.union(several)
 
 
 def read_csv(path: str) -> RawCsv:
-    """Read a file (or a folder of files with one header) as text columns.
-
-    Quoted line breaks are kept, so a file is not split; many files are read in parallel.
-    """
-    reader = active().read.options(**_OPTIONS)
-    header = reader.csv(path).first()
-    if header is None:
-        return RawCsv(None, "CSV file is empty or has no headers")
-    names = canonical_columns(list(header))
-    missing = missing_columns(names)
-    if missing:
-        return RawCsv(None, f"Missing required columns: {', '.join(missing)}")
-    schema = ", ".join(f"_c{i} string" for i in range(len(header)))
-    rows = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
-    return RawCsv(rows.select(
-        F.input_file_name().alias("file"),
-        *[F.col(f"_c{i}").alias(n) for n, i in names.items() if n in KNOWN_COLUMNS]), None)
+    """Read a file, or a folder of files, as text columns. The records are stored once, unparsed."""
+    lines = _lines(path)
+    splits = stored("csv-splits", _splits(lines))
+    records = stored("csv-records", _records(lines, splits))
+    headers = records.where("row = 1").select("file", _values(F.regexp_replace("value", "^﻿", "")).alias("headers"))
+    names = F.transform("headers", lambda h: F.coalesce(canonical_name(h), F.lit("")))
+    # of several headers with one name the last is used
+    place = [F.when(F.array_contains("names", c), (F.size("names") + 1 - F.array_position(F.reverse("names"), c)).cast("int"))
+             for c in KNOWN_COLUMNS]
+    absent = F.array_compact(F.array(*[F.when(~F.array_contains("names", c), c) for c in fixed.REQUIRED_COLUMNS]))
+    headers = headers.select("file", names.alias("names"), (F.element_at("headers", -1).isNotNull()).alias("wide")).select(
+        "file", "wide", F.array(*place).alias("places"),
+        F.when(F.size(absent) > 0, F.concat(F.lit(MISSING), F.array_join(absent, ", "))).alias("missing"))
+    found = splits.groupBy("file").agg(
+        F.first("valid").alias("valid"), F.first("balanced").alias("balanced"), F.first("records").alias("records"))
+    # from the listing of the read: an empty file has no line that would name it
+    listed = active().createDataFrame(
+        [(re.sub("^file:/+", "file:///", f),) for f in active().read.text(path).inputFiles()], "file string")
+    files = listed.join(found, "file", "left").join(headers, "file", "left").select(
+        "file",
+        F.when(F.coalesce("records", F.lit(0)) == 0, EMPTY_FILE).when(~F.col("valid"), NOT_UTF8)
+         .when(~F.col("balanced"), UNREADABLE + "quotes do not pair up")
+         .when(F.col("wide"), f"{UNREADABLE}more than {MOST_COLUMNS} columns").otherwise(F.col("missing")).alias("error"))
+    good = splits.select("file", "block").join(headers.where("missing IS NULL AND NOT wide").select("file", "places"), "file")
+    parsed = records.where("row > 1").join(good, ["file", "block"]).select(
+        "file", "row", "places", _values(F.col("value")).alias("found"))
+    return RawCsv(parsed.select("file", "row", *[
+        F.when(F.col("places")[i].isNotNull(), F.try_element_at("found", F.col("places")[i])).alias(c)
+        for i, c in enumerate(KNOWN_COLUMNS)]), files)

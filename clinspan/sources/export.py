@@ -14,15 +14,14 @@ from clinspan.operators.ids import first_row
 def deid_csv_rows(people: DataFrame, encounters: DataFrame) -> DataFrame:
     """One row per encounter with its patient (the token's last record), or the patients alone when
     there are no encounters. On columns both have, the encounter's value counts."""
-    if encounters.isEmpty():
-        rows = people.select("*", *[
-            F.lit(None).cast("string").alias(c) for c in concepts.DEID_CSV_COLUMNS if c not in people.columns])
-        return rows.select(*concepts.DEID_CSV_COLUMNS)
     last = first_row(people, ["patient_token"], [F.col("src_ord").desc()]).select(
         "patient_token", "surrogate_id", "gender", "year_of_birth", "age_at_data_collection", "region")
     rows = encounters.join(last, "patient_token", "left").withColumn(
-        "month_of_birth", F.lit(None).cast("int"))
-    return rows.select(*concepts.DEID_CSV_COLUMNS)
+        "month_of_birth", F.lit(None).cast("int")).select(*concepts.DEID_CSV_COLUMNS)
+    kinds = dict(rows.dtypes)
+    alone = people.where(~encounters.select(F.lit(1)).exists()).select(*[
+        (F.col(c) if c in people.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in concepts.DEID_CSV_COLUMNS])
+    return rows.unionByName(alone)
 
 
 # quotes are doubled, and blanks around a value are part of it
@@ -48,21 +47,18 @@ def write_entity_csv(rows: DataFrame, path: str) -> None:
 
 
 def operation_array(extracted: DataFrame) -> DataFrame:
-    """The audit trail of each note as one array (always eight steps)."""
-    return notes.operations(notes.stats(extracted)).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("step", "operation", "detail", "count"))).alias("operations"))
+    """The audit trail of each note as one array (always eight steps), made inside the note's row."""
+    return notes.stats(extracted).select("doc_id", notes.operation_steps().alias("operations"))
 
 
 def entity_json(extracted: DataFrame) -> DataFrame:
     """One JSON document per note: text, stats, vocabularies, audit trail, entities."""
-    note_stats = notes.stats(extracted)
-    keys = [c for c in note_stats.columns if c not in ("doc_id", "vocabularies_used")]
     shown = F.transform("entities", lambda e: e.withField("confidence", F.round(e["confidence"], 2)))
-    return (extracted.select("doc_id", "text", shown.alias("entities"))
-            .join(note_stats, "doc_id").join(operation_array(extracted), "doc_id")
-            .select("doc_id", F.to_json(F.struct(
-                F.col("text").alias("source_note"), F.struct(*keys).alias("stats"),
-                "vocabularies_used", "operations", "entities")).alias("json")))
+    rows = notes.stats(extracted, "text", shown.alias("entities"))
+    keys = [c for c in rows.columns if c not in ("doc_id", "vocabularies_used", "text", "entities")]
+    return rows.select("doc_id", F.to_json(F.struct(
+        F.col("text").alias("source_note"), F.struct(*keys).alias("stats"),
+        "vocabularies_used", notes.operation_steps().alias("operations"), "entities")).alias("json"))
 
 
 def write_json(documents: DataFrame, path: str) -> None:
@@ -101,8 +97,7 @@ def operations_text(extracted: DataFrame) -> DataFrame:
     lines = F.transform("operations", lambda o: F.concat(
         F.lit("["), o["step"].cast("string"), F.lit("] "), o["operation"], F.lit("\n      "), o["detail"],
         F.lit("  (count: "), o["count"].cast("string"), F.lit(")")))
-    return operation_array(extracted).join(
-        notes.stats(extracted).select("doc_id", "threshold", "vocabularies_used"), "doc_id").select(
+    return notes.stats(extracted).withColumn("operations", notes.operation_steps()).select(
         "doc_id", F.concat(
             F.lit("CLINICAL TEXT EXTRACTION — OPERATIONS / AUDIT LOG\nThreshold: "),
             F.col("threshold").cast("string"), F.lit("\n\n"), F.array_join(lines, "\n"),

@@ -519,6 +519,20 @@ def _(x):
     return rows.select(*[c for c in rows.columns if c != "phi_removed"], joined("phi_removed"))
 
 
+@query("deid_before_after_upload", """SELECT name, date_of_birth, cast(year_of_birth AS varchar) AS year_of_birth, n FROM (
+    SELECT trim(first_name) || ' ' || trim(last_name) AS name, cast(born AS varchar) AS date_of_birth, year(born) AS year_of_birth, 1 AS n
+    FROM (SELECT *, CASE WHEN patient_id = '' THEN 'k' || row_key ELSE patient_id END AS who FROM fx_csv
+          WHERE trim(first_name) <> '' AND trim(last_name) <> '' AND trim(date_of_birth) NOT IN ('31/31/1999', ''))
+    GROUP BY who, first_name, last_name, born)""")
+def _(x):
+    """Each patient of an upload of several files next to the birth year of the same record."""
+    still = replace(x.deid_config, date_shift_range=(0, 0), age_threshold=200)
+    people = x.ingested.patients
+    links = linkage.token_map(linkage.with_token(people, x.tokens_config))
+    return deid.before_after(people, links, still).select(
+        "name", "date_of_birth", F.col("year_of_birth").cast("string").alias("year_of_birth"), F.lit(1).alias("n"))
+
+
 @query("deid_csv_write", """SELECT patient_token, surrogate_id, gender, cast(year_of_birth AS varchar) AS year_of_birth,
     CAST(NULL AS varchar) AS month_of_birth, cast(age_at_data_collection AS varchar) AS age_at_data_collection, region,
     de.source_system, encounter_id, encounter_type, strftime(admission_date, '%Y-%m-%dT%H:%M:%S') AS admission_date,
@@ -891,8 +905,8 @@ _DETAILS = f"""SELECT c.person_id, 'alert' AS type, 'high' AS severity,
         CASE direction WHEN 'rising' THEN 'Rising' ELSE 'Declining' END || ' Trend: ' || display,
         'Monotonic ' || CASE direction WHEN 'rising' THEN 'upward' ELSE 'downward' END || ' trend in ' || display || ' across ' || n
             || ' serial measurements (' || round(first_value, 2) || ' → ' || round(last_value, 2) || ' ' || unit || ')',
-        trim('Serial values (' || n || ' measurements): [' || vals || '] ' || unit), advice, ''
-        FROM trend_actions JOIN trend_list USING (person_id, measurement_source_value)
+        trim('Serial values (' || n || ' measurements): [' || round(first_value, 2) || ', ..., ' || round(last_value, 2) || '] ' || unit), advice, ''
+        FROM trend_actions
     UNION ALL SELECT person_id, 'alert', 'medium', 'Potential Drug Interaction', warning,
         'Concurrent medications: ' || drug1 || ', ' || drug2, {_said(rules.DRUG_PAIR_ACTIONS)}, '' FROM interactions
     UNION ALL SELECT person_id, 'alert', 'high', 'Metformin Contraindication', '{rules.METFORMIN_TEXT}',
@@ -964,7 +978,7 @@ _FINDINGS = f"""SELECT title AS finding, count, cast(round(count / (SELECT count
 @query("cohort_findings", _FINDINGS)
 def _(x):
     people = cohort.members(x.cdm, cohort.named_cohort("diabetic_patients"))
-    return insights.cohort_findings(people, insights.finding_titles(x.cdm, "concept"))
+    return insights.cohort_findings(people, insights.title_counts(x.cdm, people, "concept"))
 
 
 _STUDIES = f"""SELECT 'Cohort Study Opportunity' AS title, 'Cohort of ' || n || ' patients available for retrospective analysis' AS description,
@@ -978,7 +992,7 @@ _STUDIES = f"""SELECT 'Cohort Study Opportunity' AS title, 'Cohort of ' || n ||
 @query("research_opportunities", _STUDIES)
 def _(x):
     people = cohort.members(x.cdm, cohort.named_cohort("diabetic_patients"))
-    rows = insights.research_opportunities(people, insights.finding_titles(x.cdm, "concept"))
+    rows = insights.research_opportunities(people, insights.title_counts(x.cdm, people, "concept"))
     return rows.select("title", "description", joined("suggested_analyses"))
 
 
@@ -986,7 +1000,7 @@ def _(x):
     UNION ALL SELECT 'research opportunity', title, description FROM ({_STUDIES})""")
 def _(x):
     people = cohort.members(x.cdm, cohort.named_cohort("diabetic_patients"))
-    found = insights.finding_titles(x.cdm, "concept")
+    found = insights.title_counts(x.cdm, people, "concept")
     top = insights.cohort_findings(people, found).select(
         F.lit("top finding").alias("section"), F.col("finding").alias("item"),
         F.concat(F.col("count").cast("string"), F.lit(" ("), "prevalence", F.lit(")")).alias("detail"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clinspan.operators import ingest
-from clinspan.sources import csv_in
+from clinspan.operators.tables import union_all
+from clinspan.plans import pipeline
+from clinspan.session import shared_dir
+from clinspan.sources import csv_in, export
 from registry.queries import query
 
 
@@ -29,21 +32,25 @@ def _(x):
         F.sum(F.length(F.coalesce("v", F.lit("")))).alias("chars"))
 
 
-@query("csv_required_columns", """SELECT 0 AS row_count, 0 AS valid_row_count, 0 AS patients, 1 AS errors,
-    'Missing required columns: date_of_birth, gender' AS file_error, false AS success""")
+@query("csv_required_columns", """SELECT error, count(*) AS files, cast(sum(n) AS bigint) AS rows, cast(sum(good) AS bigint) AS valid_rows FROM (
+    SELECT 'Missing required columns: date_of_birth, gender' AS error, 0 AS n, 0 AS good FROM range(2)
+    UNION ALL SELECT 'File must be UTF-8 encoded', 0, 0
+    UNION ALL SELECT '', n, good FROM (SELECT count(*) AS n, count(*) FILTER (WHERE trim(first_name) <> '' AND trim(last_name) <> ''
+        AND trim(date_of_birth) NOT IN ('31/31/1999', '')) AS good FROM fx_csv WHERE row_key % 4 < 2)
+    UNION ALL SELECT '', 0, 0 FROM range(2)) GROUP BY 1""")
 def _(x):
-    raw = csv_in.read_csv(x.write_csv(without=("date_of_birth", "gender")))
-    return ingest.ingest(raw, x.as_of).summary
+    files = ingest.ingest(csv_in.read_csv(x.mixed_upload), x.as_of).files
+    return files.groupBy(F.coalesce("file_error", F.lit("")).alias("error")).agg(
+        F.count("*").alias("files"), F.sum("row_count").alias("rows"), F.sum("valid_row_count").alias("valid_rows"))
 
 
-@query("record_ordinal", """SELECT count(*) AS records, 2 AS first_row FROM fx_csv""")
+_NUMBERED = "(SELECT *, row_number() OVER (ORDER BY row_key) + 1 AS row FROM fx_csv)"
+
+
+@query("record_ordinal", f"SELECT row, national_id, clinical_notes FROM {_NUMBERED}")
 def _(x):
-    from clinspan.operators.ids import record_ordinal
-    numbered = record_ordinal(x.csv.records.select("file"), "file", "row")
-    per_file = numbered.groupBy("file").agg(F.min("row").alias("lo"), F.max("row").alias("hi"),
-                                            F.count_distinct("row").alias("n"))
-    return per_file.where("hi - lo + 1 = n").agg(
-        F.sum("n").alias("records"), F.min("lo").cast("int").alias("first_row"))
+    return csv_in.read_csv(x.ordered_upload).records.select(
+        "row", "national_id", F.coalesce("clinical_notes", F.lit("")).alias("clinical_notes"))
 
 
 _ERRORS = """SELECT 'Missing first_name' AS m FROM fx_csv WHERE trim(first_name) = ''
@@ -124,12 +131,14 @@ def _(x):
         line(x.ingested.encounters, "encounter", "encounter_id", "CSV-ENC-"))
 
 
-@query("csv_issues", f"""SELECT level, m AS message, count(*) AS n FROM (SELECT 'error' AS level, m FROM ({_ERRORS})
-    UNION ALL SELECT 'warning', 'Missing admission_date, using current date' FROM fx_csv
-    WHERE {_GOOD} AND {_PRESENT} AND trim(admission_date) = '') GROUP BY ALL""")
+@query("csv_issues", f"""SELECT level, 'Row ' || row || ': ' || m AS message FROM (SELECT 'error' AS level, row, unnest(list_filter([
+        CASE WHEN trim(first_name) = '' THEN 'Missing first_name' END, CASE WHEN trim(last_name) = '' THEN 'Missing last_name' END,
+        CASE WHEN trim(date_of_birth) IN ('31/31/1999', '') THEN 'Invalid or missing date_of_birth ''' || trim(date_of_birth) || '''' END],
+        lambda e: e IS NOT NULL)) AS m FROM {_NUMBERED}
+    UNION ALL SELECT 'warning', row, 'Missing admission_date, using current date' FROM {_NUMBERED}
+    WHERE {_GOOD} AND {_PRESENT} AND trim(admission_date) = '')""")
 def _(x):
-    text = F.regexp_replace("message", r"^Row \d+: ", "")
-    return x.ingested.issues.groupBy("level", text.alias("message")).agg(F.count("*").alias("n"))
+    return x.ordered.issues.select("level", "message")
 
 
 @query("file_success", f"""SELECT (SELECT count(*) FROM fx_csv) AS row_count, (SELECT count(*) FROM fx_csv WHERE {_GOOD}) AS valid_row_count,
@@ -137,3 +146,22 @@ def _(x):
     (SELECT count(*) FROM ({_ERRORS})) AS errors, CAST(NULL AS varchar) AS file_error, true AS success""")
 def _(x):
     return x.ingested.summary
+
+
+@query("upload_pipeline", f"""SELECT 'persons' AS item, count(DISTINCT national_id) AS n FROM fx_csv WHERE {_GOOD}
+    UNION ALL SELECT 'visits', count(*) FROM fx_csv WHERE {_GOOD} AND {_PRESENT}
+    UNION ALL SELECT 'conditions', count(*) FROM fx_csv WHERE {_GOOD} AND {_PRESENT} AND diagnosis_code <> '' AND diagnosis_description <> ''
+    UNION ALL SELECT 'measurements', 0 UNION ALL SELECT 'drugs', 0
+    UNION ALL SELECT concat_ws(', ', sex, sys, encounter_type, department, chief_complaint, admission_diagnosis), count(*) FROM (
+        SELECT {_DEFAULTS}, sex, sys FROM fx_csv WHERE {_GOOD} AND {_PRESENT}) GROUP BY 1""")
+def _(x):
+    """From uploaded files to CDM tables and the file to hand out."""
+    folder = shared_dir("handed_out")
+    _, done = pipeline.upload(x.upload, x.tokens_config, x.deid_config)
+    export.write_deid_csv(export.deid_csv_rows(done.people, done.encounters), folder)
+    handed_out = x.spark.read.options(header=True, escape='"', multiLine=True).csv(folder)
+    names = {"persons": "person", "visits": "visit_occurrence", "conditions": "condition_occurrence",
+             "measurements": "measurement", "drugs": "drug_exposure"}
+    rows = [getattr(done.tables, table).agg(F.lit(item).alias("item"), F.count("*").alias("n")) for item, table in names.items()]
+    shown = ["gender", "source_system", "encounter_type", "department", "chief_complaint", "admission_diagnosis"]
+    return union_all([*rows, handed_out.groupBy(F.concat_ws(", ", *shown).alias("item")).agg(F.count("*").alias("n"))])

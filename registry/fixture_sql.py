@@ -212,3 +212,5 @@ CSV_HEADERS = {
     "discharge_date": "Discharge", "department": "Dept", "diagnosis_code": "ICD10",
     "diagnosis_description": "Diagnosis", "chief_complaint": "Chief Complaint", "clinical_notes": "Notes",
 }
+# headers of the other make of files, where they differ
+OTHER_HEADERS = {"first_name": "FirstName", "last_name": "lastname", "date_of_birth": "Birth-Date", "department": "department"}

@@ -7,12 +7,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinspan.config import DEFAULT_AS_OF, DeidConfig, TokenConfig
+from clinspan.config import DEFAULT_AS_OF
 from clinspan.operators import cdm, deid, ingest, linkage, notes
 from clinspan.plans import pipeline
 from clinspan.session import shared_dir
 from clinspan.sources import csv_in
 from registry import fixture_sql as fx
+from registry.settings import DEID, TOKENS
 
 SPREAD_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "documents": "doc_id"}
 
@@ -21,17 +22,13 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.as_of = DEFAULT_AS_OF
-        self.tokens_config = TokenConfig()
-        self.deid_config = DeidConfig()
+        self.tokens_config = TOKENS
+        self.deid_config = DEID
 
     def table(self, name: str) -> DataFrame:
-        """A given table. One file with one row group is read by one task, so a table of fewer
-        files than cores is spread by its key first; a large table keeps its own splits."""
+        """A given table; those of much work per row are dealt out by their key, whatever their files."""
         table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        key = SPREAD_KEYS.get(name)
-        if key and len(table.inputFiles()) < self.spark.sparkContext.defaultParallelism:
-            table = table.repartition(self.spark.sparkContext.defaultParallelism, F.col(key))
-        return table
+        return table.repartition(SPREAD_KEYS[name]) if name in SPREAD_KEYS else table
 
     def _derive(self, sql: str, *names: str) -> DataFrame:
         return self.spark.sql(sql, **{n: self.table(n) for n in names})
@@ -56,17 +53,45 @@ class Inputs:
     def csv_rows(self) -> DataFrame:
         return self._derive(fx.CSV, "orders")
 
-    def write_csv(self, without: tuple[str, ...] = ()) -> str:
-        """Write the CSV rows as files with informal headers; returns their folder."""
-        folder = shared_dir("upload")
-        self.csv_rows.select(*[
-            F.col(c).alias(h) for c, h in fx.CSV_HEADERS.items() if c not in without]).write.options(
-            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    def write_csv(self, folder: str, rows: DataFrame, names: dict[str, str], encoding: str = "UTF-8") -> str:
+        """Add CSV files of some rows, with ``names`` (column -> header) in that order, to a folder."""
+        rows.select(*[F.col(c).alias(h) for c, h in names.items()]).write.mode("append").options(
+            header=True, escape='"', encoding=encoding,
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
         return folder
 
+    @cached_property
+    def upload(self) -> str:
+        """The CSV rows as files of two makes: informal headers, and other aliases in the reverse order."""
+        folder, half = shared_dir("upload"), F.col("row_key") % 3 == 0
+        other = dict(reversed([(c, fx.OTHER_HEADERS.get(c, h)) for c, h in fx.CSV_HEADERS.items()]))
+        self.write_csv(folder, self.csv_rows.where(~half), fx.CSV_HEADERS)
+        return self.write_csv(folder, self.csv_rows.where(half), other)
+
+    @cached_property
+    def mixed_upload(self) -> str:
+        """Good files beside some without required columns and some that are not UTF-8."""
+        folder, kind = shared_dir("upload"), F.col("row_key") % 4
+        rows = self.csv_rows.repartition(3, "row_key")
+        self.write_csv(folder, rows.where(kind < 2), fx.CSV_HEADERS)
+        few = {c: h for c, h in fx.CSV_HEADERS.items() if c not in ("date_of_birth", "gender")}
+        self.write_csv(folder, rows.where(kind == 2).repartition(2, "row_key"), few)
+        latin = rows.where(kind == 3).withColumn("first_name", F.lit("Zo\u00eb")).repartition(1)
+        return self.write_csv(folder, latin, fx.CSV_HEADERS, "ISO-8859-1")
+
+    @cached_property
+    def ordered_upload(self) -> str:
+        """The CSV rows in one file, in order of their key, so that row numbers are known."""
+        rows = self.csv_rows.repartition(1).sortWithinPartitions("row_key")
+        return self.write_csv(shared_dir("upload"), rows, fx.CSV_HEADERS)
+
+    @cached_property
+    def ordered(self) -> ingest.Ingested:
+        return ingest.ingest(csv_in.read_csv(self.ordered_upload), self.as_of)
+
     @cached_property
     def csv(self) -> csv_in.RawCsv:
-        return csv_in.read_csv(self.write_csv())
+        return csv_in.read_csv(self.upload)
 
     @cached_property
     def ingested(self) -> ingest.Ingested:
@@ -99,12 +124,12 @@ class Inputs:
     @cached_property
     def mapped(self) -> cdm.Cdm:
         """The CDM tables computed from the given tables, not stored."""
-        return cdm.build(self.deid_patient, self.deid_encounter, self.deid_observation)
+        return cdm.build(self.deid_patient, self.deid_encounter, self.deid_observation, unique_ids=True)
 
     @cached_property
     def _stored(self) -> tuple[cdm.Cdm, DataFrame]:
         return pipeline.run(self.patient, self.encounter, self.observation, self.tokens_config,
-                            self.deid_config)
+                            self.deid_config, unique_ids=True)
 
     @property
     def cdm(self) -> cdm.Cdm:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from clinspan.fixed import concepts, lexicon, patterns
 from registry.oracle_views import VIEWS, quoted, rows
+from registry.settings import KNOWN_NAMES
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
 _CLASSES = {c[0]: c for c in lexicon.ENTITY_CLASSES}
@@ -203,9 +204,9 @@ def _chain(name: str, source: str) -> None:
         FROM {name} k JOIN {name}_ptr q ON q.doc_id = k.doc_id AND q.start = k.nxt"""
 
 
-_KNOWN = len(patterns.KNOWN_NAMES)
+_KNOWN = len(KNOWN_NAMES)
 VIEWS["phi_hits"] = _hits(
-    [("name", patterns.KNOWN_NAME_CONFIDENCE, n.replace(".", "\\.")) for n in patterns.KNOWN_NAMES]
+    [("name", patterns.KNOWN_NAME_CONFIDENCE, n.replace(".", "\\.")) for n in KNOWN_NAMES]
     + [(kind, patterns.PHI_CONFIDENCE, p) for kind, p in patterns.PHI_PATTERNS])
 VIEWS["phi_open"] = f"""SELECT h.* FROM phi_hits h WHERE place < {_KNOWN} OR NOT EXISTS (SELECT 1 FROM phi_hits e
     WHERE e.doc_id = h.doc_id AND e.place < h.place AND e.start <= h.start AND e."end" >= h."end")"""

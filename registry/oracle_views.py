@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 
-from clinspan.config import DeidConfig, TokenConfig
 from clinspan.fixed import concepts, patterns, rules
 from registry import fixture_sql as fx
+from registry.settings import DEID, TOKENS
 
 
 def quoted(value) -> str:
@@ -26,12 +26,12 @@ def _fixture(sql: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", sql)
 
 
-_cfg = TokenConfig()
+_cfg = TOKENS
 _pad = _cfg.secret_key.ljust(64, b"\0")
 _IPAD = bytes(b ^ 0x36 for b in _pad).hex()
 _OPAD = bytes(b ^ 0x5C for b in _pad).hex()
 _SALT = _cfg.salt.hex()
-_SECRET = DeidConfig().shift_secret
+_SECRET = DEID.shift_secret
 
 
 def clean(column: str) -> str:

@@ -15,6 +15,7 @@ from registry import note_oracles as sql
 from registry.fixture_sql import pick
 from registry.oracle_views import rows as values
 from registry.queries import joined, query
+from registry.settings import KNOWN_NAMES
 
 
 @query("text_read", "SELECT count(*) AS files, cast(sum(length(text)) AS bigint) AS chars FROM fx_note")
@@ -141,22 +142,22 @@ def _(x):
 
 @query("phi_detect", sql.PHI_ROWS)
 def _(x):
-    return phi.phi_rows(phi.detect(x.note))
+    return phi.phi_rows(phi.detect(x.note, known_names=KNOWN_NAMES))
 
 
 @query("phi_mask", sql.PHI_MASK)
 def _(x):
-    return phi.detect(x.note).select("doc_id", phi.mask(F.col("text"), F.col("phi")).alias("masked"))
+    return phi.detect(x.note, known_names=KNOWN_NAMES).select("doc_id", phi.mask(F.col("text"), F.col("phi")).alias("masked"))
 
 
 @query("phi_summary", sql.PHI_SUMMARY)
 def _(x):
-    return phi.summary(phi.detect(x.note)).select("doc_id", "total_phi_found", joined("types_found"))
+    return phi.summary(phi.detect(x.note, known_names=KNOWN_NAMES)).select("doc_id", "total_phi_found", joined("types_found"))
 
 
 @query("phi_by_type", sql.PHI_BY_TYPE)
 def _(x):
-    listed = phi.summary(phi.detect(x.note)).select("doc_id", F.explode_outer("phi_by_type").alias("type", "found"))
+    listed = phi.summary(phi.detect(x.note, known_names=KNOWN_NAMES)).select("doc_id", F.explode_outer("phi_by_type").alias("type", "found"))
     return listed.where(F.col("type").isNotNull()).select(
         "doc_id", "type", F.array_join(F.transform("found", lambda d: F.concat_ws(
             "~", d["text"], d["replacement"], d["confidence"].cast("string"))), "|").alias("found"))
@@ -164,7 +165,7 @@ def _(x):
 
 @query("phi_type_counts", sql.PHI_TYPES)
 def _(x):
-    return phi.type_counts(phi.detect(x.note))
+    return phi.type_counts(phi.detect(x.note, known_names=KNOWN_NAMES))
 
 
 # --- vocabulary matches ----------------------------------------------------------------------
@@ -312,20 +313,31 @@ _MAPPED = f"""SELECT 'c' AS route, t, coalesce(s.code, i.code) AS code, coalesce
     UNION ALL SELECT 'l', t, code, term, 'LOINC' FROM ({_loinc_sql(_LAB)})"""
 
 
-@query("map_entity", f"""SELECT doc_id, start, text, type, CASE type WHEN 'condition' THEN 'conditions' WHEN 'symptom' THEN 'symptoms'
+_MAPPED_ROWS = f"""SELECT doc_id, start, text, type, context, CASE type WHEN 'condition' THEN 'conditions' WHEN 'symptom' THEN 'symptoms'
     WHEN 'medication' THEN 'medications' WHEN 'procedure' THEN 'procedures' WHEN 'lab_test' THEN 'lab_tests' ELSE 'vital_signs' END AS bucket,
     term AS normalized_term, code AS terminology_code, system AS terminology_system
     FROM (SELECT *, CASE WHEN type IN ('condition', 'symptom') THEN 'c' WHEN type = 'medication' THEN 'm'
         WHEN type = 'procedure' THEN 'p' ELSE 'l' END AS route FROM ce_final) e
-    LEFT JOIN ({_MAPPED}) m ON m.t = e.text AND m.route = e.route""")
+    LEFT JOIN ({_MAPPED}) m ON m.t = e.text AND m.route = e.route"""
+
+
+@query("map_entity", f"SELECT * EXCLUDE (context) FROM ({_MAPPED_ROWS})")
 def _(x):
     return records.mapped_entities(x.note).select(
         "doc_id", "start", "text", "type", "bucket", "normalized_term", "terminology_code", "terminology_system")
 
 
-@query("record_process", sql.RECORDS)
+@query("record_process", f"""SELECT r.*, coalesce(told, '') AS entities, types_found FROM ({sql.RECORDS}) r JOIN ({sql.PHI_SUMMARY}) USING (doc_id)
+    LEFT JOIN (SELECT doc_id, string_agg(concat_ws('~', bucket, text, terminology_code, terminology_system, normalized_term, length(context)), '|'
+        ORDER BY start) AS told FROM ({_MAPPED_ROWS}) GROUP BY 1) USING (doc_id)""")
 def _(x):
-    return records.process(x.note).drop("entities", "phi")
+    rows = records.process(x.note, KNOWN_NAMES)
+    told = F.transform("entities", lambda e: F.concat_ws(
+        "~", e["bucket"], e["text"], e["terminology_code"], e["terminology_system"], e["normalized_term"],
+        F.length(e["context"]).cast("string")))
+    return rows.select(*[c for c in rows.columns if c not in ("entities", "phi", "mappings", "phi_summary")],
+                       F.array_join(told, "|").alias("entities"),
+                       F.array_join("phi_summary.types_found", "; ").alias("types_found"))
 
 
 @query("step_report", sql.PIPELINE)

@@ -4,7 +4,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from clinspan.config import DeidConfig, TokenConfig
+from registry.settings import DEID, TOKENS
 from clinspan.operators import analytics, cdm, cohort, deid, insights, linkage
 
 PATIENT = ("src_ord bigint, source_system string, source_patient_id string, national_id string, first_name string,"
@@ -22,20 +22,20 @@ def test_name_variants_in_four_systems_get_one_token(spark):
         spark, dict(), dict(src_ord=2, source_patient_id="p2", first_name=" NORA", last_name="Noor"),
         dict(src_ord=3, source_patient_id="p3", last_name="al noor"),
         dict(src_ord=4, source_patient_id="p4", last_name="No-or"))
-    check = linkage.linkage_check(linkage.with_token(rows, TokenConfig()).withColumn("g", F.lit(1)), ["g"]).first()
+    check = linkage.linkage_check(linkage.with_token(rows, TOKENS).withColumn("g", F.lit(1)), ["g"]).first()
     assert (check.records_found, check.unique_tokens_generated, check.successfully_linked) == (4, 1, True)
 
 
 def test_missing_id_or_other_gender_gives_another_token(spark):
     rows = patients(spark, dict(), dict(source_patient_id="p2", national_id=None),
                     dict(source_patient_id="p3", gender="male"), dict(source_patient_id="p4", national_id=""))
-    tokens = [r.patient_token for r in linkage.with_token(rows, TokenConfig()).orderBy("source_patient_id").collect()]
+    tokens = [r.patient_token for r in linkage.with_token(rows, TOKENS).orderBy("source_patient_id").collect()]
     assert len(set(tokens)) == 3 and tokens[1] == tokens[3]
 
 
 def test_last_record_of_a_source_id_decides_its_token(spark):
     rows = patients(spark, dict(), dict(src_ord=2, gender="male"))
-    tokened = linkage.with_token(rows, TokenConfig())
+    tokened = linkage.with_token(rows, TOKENS)
     assert linkage.token_map(tokened).first().patient_token == tokened.where("src_ord = 2").first().patient_token
     assert linkage.linkage_statistics(tokened).first().total_unique_tokens == 2
 
@@ -43,8 +43,8 @@ def test_last_record_of_a_source_id_decides_its_token(spark):
 def test_age_cap_and_birth_year_switch(spark):
     rows = patients(spark, dict(date_of_birth=dt.date(1930, 1, 1)),
                     dict(src_ord=2, source_patient_id="p2", date_of_birth=dt.date(1930, 1, 2)))
-    links = linkage.token_map(linkage.with_token(rows, TokenConfig()))
-    still = DeidConfig(date_shift_range=(0, 0))
+    links = linkage.token_map(linkage.with_token(rows, TOKENS))
+    still = replace(DEID, date_shift_range=(0, 0))
     old, young = deid.deid_patient(rows, links, still).orderBy("src_ord").collect()
     assert (old.age_group, old.age_at_data_collection, old.year_of_birth) == ("90+", None, 1841)
     assert (young.age_group, young.age_at_data_collection, young.year_of_birth) == (None, 89, 1930)
@@ -55,8 +55,8 @@ def test_age_cap_and_birth_year_switch(spark):
 
 def test_person_consistent_shift(spark):
     rows = patients(spark, dict(), dict(src_ord=2, source_patient_id="p2"))
-    links = linkage.token_map(linkage.with_token(rows, TokenConfig()))
-    years = {r.year_of_birth for r in deid.deid_patient(rows, links, DeidConfig(shift_key="token")).collect()}
+    links = linkage.token_map(linkage.with_token(rows, TOKENS))
+    years = {r.year_of_birth for r in deid.deid_patient(rows, links, replace(DEID, shift_key="token")).collect()}
     assert len(years) == 1
 
 
@@ -171,10 +171,23 @@ def test_trends_need_three_strictly_monotone_values(spark):
                      5: ("rising", 3, 1.0, 3.5, "mg/dL")}
     texts = {r.person_id: r for r in insights.trend_findings(data.measurement).collect()}
     assert texts[5].title == "Rising Trend: Creatinine (2160-0)"
-    assert texts[5].evidence == ["Serial values (3 measurements): [1.0, 2.0, 3.5] mg/dL"]
+    assert texts[5].evidence == ["Serial values (3 measurements): [1.0, ..., 3.5] mg/dL"]
     assert texts[5].recommendations[0].startswith("Assess renal function")
-    long = {r.person_id: r for r in insights.trend_findings(data.measurement, list_values_up_to=2).collect()}
-    assert long[5].evidence == ["Serial values (3 measurements): [1.0, ..., 3.5] mg/dL"]
+    values = insights.trend_values(data.measurement, insights.lab_trend(data.measurement))
+    assert [r.value for r in values.where("person_id = 5").orderBy("measurement_id").collect()] == [1.0, 2.0, 3.5]
+
+
+def test_evidence_of_a_long_series_has_one_form(spark):
+    data = small_cdm(spark, labs=series(1, *[float(i) for i in range(5000)]))
+    assert insights.trend_findings(data.measurement).first().evidence == [
+        "Serial values (5000 measurements): [0.0, ..., 4999.0] mg/dL"]
+    assert insights.trend_values(data.measurement, insights.lab_trend(data.measurement)).count() == 5000
+
+
+def test_all_values_of_a_person_are_rows(spark):
+    rows = spark.createDataFrame([(1, f"c{i:02}") for i in range(25)] + [(1, "c03"), (2, None)], "person_id bigint, v string")
+    assert insights.person_values(rows, "v").where("person_id = 1").count() == 25
+    assert [r.value for r in insights.person_values(rows, "v").where("person_id = 2").collect()] == ["Unknown"]
 
 
 def test_one_series_holding_most_rows_is_cut_and_chained(spark):

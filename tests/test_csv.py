@@ -1,7 +1,10 @@
 import datetime as dt
+from dataclasses import replace
 
-from clinspan.operators import ingest
+from clinspan.operators import deid, ingest, linkage
+from clinspan.plans import pipeline
 from clinspan.sources import csv_in, export, text_in
+from registry.settings import DEID, TOKENS
 
 
 def load(tmp_path, text, name="in.csv"):
@@ -82,3 +85,79 @@ def test_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Ünï\ncode", encoding="utf-8")
     row = text_in.read_records(str(tmp_path / "*.txt")).first()
     assert row.doc_id.endswith("a.txt") and row.text == "Ünï\ncode"
+
+
+def upload(tmp_path, **files):
+    folder = tmp_path / "up"
+    folder.mkdir()
+    for name, text in files.items():
+        (folder / f"{name}.csv").write_bytes(text if isinstance(text, bytes) else text.encode())
+    return ingest.ingest(csv_in.read_csv(str(folder)), dt.date(2020, 1, 1))
+
+
+ONE = "ID,first_name,last_name,DOB,Sex\na1,Ann,Lee,1950-01-01,F\na2,Bob,Ray,1960-01-01,M\n"
+TWO = "last_name,first_name,ID,Birth Date,Gender\nFox,Cat,b1,1970-01-01,F\nKay,Dan,b2,1980-01-01,M\n"
+
+
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    got = upload(tmp_path, one=ONE, two=TWO)
+    people = {r.source_patient_id: (r.first_name, r.last_name) for r in got.patients.collect()}
+    assert people == {"a1": ("Ann", "Lee"), "a2": ("Bob", "Ray"), "b1": ("Cat", "Fox"), "b2": ("Dan", "Kay")}
+    assert got.patients.select("src_ord").distinct().count() == 4
+
+
+def test_before_and_after_belong_to_one_record(spark, tmp_path):
+    people = upload(tmp_path, one=ONE, two=TWO).patients
+    links = linkage.token_map(linkage.with_token(people, TOKENS))
+    rows = deid.before_after(people, links, replace(DEID, date_shift_range=(0, 0))).collect()
+    assert len(rows) == 4
+    assert all(r.date_of_birth.year == r.year_of_birth for r in rows)
+
+
+def test_files_are_rejected_one_by_one(spark, tmp_path):
+    got = upload(tmp_path, good=ONE, latin=ONE.replace("Ann", "Zo\u00eb").encode("latin-1"), empty="", open='ID,first_name\n"a,b\n',
+                 few="ID,first_name\n1,a\n", blank=TWO + "\n\n")
+    files = {r.file.rsplit("/", 1)[1]: (r.file_error, r.row_count, r.success) for r in got.files.collect()}
+    assert files == {
+        "good.csv": (None, 2, True), "blank.csv": (None, 2, True), "latin.csv": ("File must be UTF-8 encoded", 0, False),
+        "empty.csv": ("CSV file is empty or has no headers", 0, False),
+        "open.csv": ("CSV parsing error: quotes do not pair up", 0, False),
+        "few.csv": ("Missing required columns: last_name, date_of_birth, gender", 0, False)}
+    total = got.summary.first()
+    assert (total.row_count, total.patients, total.errors, total.success) == (4, 4, 4, True)
+    assert got.issues.count() == 4
+
+
+def test_records_are_found_across_splits(spark, tmp_path):
+    """Splits of a few lines, with quoted line breaks, blank lines and commas on their borders."""
+    lines = ["ID,first_name,last_name,DOB,Sex,Notes"]
+    for i in range(300):
+        note = ['"one\n\ntwo ""%d"", three"' % i, "plain", '"a\nb\nc\nd"', ""][i % 4]
+        lines.append(f"p{i},F{i},L{i},1950-01-01,M,{note}")
+        if i % 7 == 0:
+            lines.append("")
+    path = tmp_path / "big.csv"
+    path.write_text("\n".join(lines))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        raw = csv_in.read_csv(str(path))
+        rows = raw.records.orderBy("row").collect()
+        splits = csv_in._lines(str(path)).select("block").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert splits > 5
+    assert [r.row for r in rows] == list(range(2, 302)) and [r.patient_id for r in rows] == [f"p{i}" for i in range(300)]
+    assert rows[4].clinical_notes == 'one\n\ntwo "4", three' and rows[2].clinical_notes == "a\nb\nc\nd"
+
+
+def test_an_upload_goes_through_the_whole_pipeline(spark, tmp_path):
+    folder = tmp_path / "up"
+    folder.mkdir()
+    (folder / "a.csv").write_text(GOOD)
+    (folder / "b.csv").write_text(TWO)
+    got, done = pipeline.upload(str(folder), TOKENS, DEID)
+    assert done.tables.person.count() == 5 and done.tables.visit_occurrence.count() == 3
+    assert done.tables.measurement.count() == 0 and "race_concept_id" in done.tables.person.columns
+    rows = export.deid_csv_rows(done.people, done.encounters).collect()
+    assert len(rows) == 3 and all(r.patient_token for r in rows)

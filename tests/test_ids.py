@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from clinspan.operators.ids import dense_id, first_row, number_in_order
@@ -52,3 +54,35 @@ def test_flagged_rows_are_numbered_in_order_across_buckets(spark):
     rows = number_in_order(df, "file", "row", F.col("row") % 3 == 0, "n", rows_per_bucket=10).orderBy("row").collect()
     assert [r.n for r in rows if r.n] == list(range(1, 35))
     assert all((r.n is not None) == (r.row % 3 == 0) for r in rows)
+
+
+def test_ids_do_not_depend_on_how_the_work_is_cut(spark):
+    rows = [("a", 1)] * 12 + [("b", 2)] * 3 + [(None, i % 7) for i in range(60)] + [("c", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    key = F.sha2("k", 256)
+    seen = [sorted((r.k or "", r.v, r.n) for r in dense_id(df, key, "n", block_rows=b, digits=d).collect())
+            for b, d in ((100, 4), (5, 4), (1, 1), (7, 2))]
+    assert all(s == seen[0] for s in seen)
+    assert sorted(n for _, _, n in seen[0]) == list(range(1, len(rows) + 1))
+    order = [k for k, _, _ in sorted(seen[0], key=lambda r: r[2])]
+    digest_of = {k: hashlib.sha256(k.encode()).hexdigest() if k else "" for k in "abc"} | {"": ""}
+    assert [digest_of[k] for k in order] == sorted(digest_of[k] for k in order)
+
+
+def test_rows_with_one_key_are_numbered_by_many_tasks(spark):
+    df = spark.range(30000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), F.col("id").alias("v"))
+    numbered = dense_id(df, F.sha2(F.col("k").cast("string"), 256), "n")
+    assert numbered.agg(F.count_distinct("n").alias("c"), F.max("n").alias("m")).first() == (30000, 30000)
+    text = numbered._jdf.queryExecution().executedPlan().toString()
+    lanes = numbered.where("k IS NULL").select(F.shiftright(F.xxhash64("k", "v"), 56).alias("lane")).distinct().count()
+    assert lanes > 200 and "_lane" in text
+
+
+def test_generated_numbers_go_file_by_file_without_one_window(spark):
+    df = spark.range(900).select((F.col("id") % 9).cast("string").alias("file"), F.expr("id div 9").alias("row"))
+    out = number_in_order(df, "file", "row", F.col("row") % 2 == 0, "n", rows_per_bucket=10)
+    rows = sorted(out.where("n IS NOT NULL").collect(), key=lambda r: r.n)
+    assert [r.n for r in rows] == list(range(1, len(rows) + 1))
+    files = [r.file for r in rows]
+    assert len(set(files)) == 9 and sum(a != b for a, b in zip(files, files[1:])) == 8
+    assert all(a.row < b.row for a, b in zip(rows, rows[1:]) if a.file == b.file)

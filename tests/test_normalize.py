@@ -1,10 +1,11 @@
 import datetime as dt
+from dataclasses import replace
 import hashlib
 import hmac
 
 from pyspark.sql import functions as F
 
-from clinspan.config import DeidConfig, TokenConfig
+from registry.settings import DEID, TOKENS
 from clinspan.functions import normalize as nz
 from clinspan.functions.redact import redact_note
 from clinspan.functions.secure import patient_token, shift_days
@@ -53,7 +54,7 @@ def test_age_is_exact_to_the_birthday(spark):
 
 def test_token_equals_python_hmac(spark):
     texts = ["NID:1|DOB:20200101|NAME:ÄB|GEN:male", "x"]
-    for config in (TokenConfig(), TokenConfig(secret_key=b"k" * 100, use_salt=False)):
+    for config in (TOKENS, replace(TOKENS, secret_key=b"k" * 100, use_salt=False)):
         salt = config.salt if config.use_salt else b""
         expected = ["PT-" + hmac.new(config.secret_key, salt + t.encode(), hashlib.sha256).hexdigest()[:16].upper()
                     for t in texts]
@@ -61,9 +62,9 @@ def test_token_equals_python_hmac(spark):
 
 
 def test_shift_is_constant_per_key_and_in_range(spark):
-    days = values(spark, ["a", "a", *map(str, range(500))], lambda c: shift_days(c, DeidConfig()))
+    days = values(spark, ["a", "a", *map(str, range(500))], lambda c: shift_days(c, DEID))
     assert days[0] == days[1] and min(days) >= -365 and max(days) <= 365 and len(set(days)) > 200
-    assert set(values(spark, list("abcdef"), lambda c: shift_days(c, DeidConfig(date_shift_range=(5, 5))))) == {5}
+    assert set(values(spark, list("abcdef"), lambda c: shift_days(c, replace(DEID, date_shift_range=(5, 5))))) == {5}
 
 
 def test_redaction_orders_and_case(spark):

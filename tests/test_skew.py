@@ -13,6 +13,8 @@ SMALL = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    # the few rows here would end up in one partition, which one task writes and none can split
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
 }
 
 

@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from registry.settings import KNOWN_NAMES
 from clinspan.fixed import lexicon, patterns
 from clinspan.functions import spans
 from clinspan.operators import notes, phi, records, terminology
@@ -37,7 +38,7 @@ def all_phrases(text):
 
 def phi_spans(text):
     hits = [(m.start(), m.end(), "name", patterns.KNOWN_NAME_CONFIDENCE, 0)
-            for name in patterns.KNOWN_NAMES for m in re.finditer(re.escape(name), text, re.I)]
+            for name in KNOWN_NAMES for m in re.finditer(re.escape(name), text, re.I)]
     for place, (kind, pattern) in enumerate(patterns.PHI_PATTERNS, start=1):
         found = [(m.start(), m.end(), kind, patterns.PHI_CONFIDENCE, place) for m in re.finditer(pattern, text, re.I)]
         hits += [h for h in found if not any(e[0] <= h[0] and h[1] <= e[1] for e in hits)]
@@ -85,14 +86,14 @@ def spans_by_doc(df, *columns):
 
 
 def test_identifiers_equal_the_plain_statement(spark, texts):
-    got = spans_by_doc(phi.phi_rows(phi.detect(frame(spark, texts))), "start", "end", "type")
+    got = spans_by_doc(phi.phi_rows(phi.detect(frame(spark, texts), known_names=KNOWN_NAMES)), "start", "end", "type")
     for i, text in enumerate(texts):
         assert got.get(i, []) == phi_spans(text), repr(text)
 
 
 def test_masked_text_replaces_every_detection(spark, texts):
     masks = dict(patterns.PHI_MASKS)
-    rows = phi.detect(frame(spark, texts)).select("doc_id", phi.mask(F.col("text"), F.col("phi")).alias("m")).collect()
+    rows = phi.detect(frame(spark, texts), known_names=KNOWN_NAMES).select("doc_id", phi.mask(F.col("text"), F.col("phi")).alias("m")).collect()
     for row in rows:
         text, expected, at = texts[row.doc_id], "", 0
         for start, end, kind in phi_spans(text):
@@ -104,7 +105,7 @@ def test_masked_text_replaces_every_detection(spark, texts):
 def test_a_long_run_of_words_does_not_exhaust_the_stack(spark):
     words = "word " * 20000
     texts = [words + ", TX 12345", "9 " + words + "Road end", words]
-    got = spans_by_doc(phi.phi_rows(phi.detect(frame(spark, texts))), "start", "end", "type")
+    got = spans_by_doc(phi.phi_rows(phi.detect(frame(spark, texts), known_names=KNOWN_NAMES)), "start", "end", "type")
     assert got[0][0][0] == 0 and len(got[2]) == 10000
     road = re.search(r"Road", texts[1]).end()
     assert got[1][0] == (2, 11, "name") or got[1][0] == (0, road, "geographic")
@@ -200,3 +201,32 @@ def test_mapping_routes_and_dictionaries(spark, tmp_path):
     terminology.vocabulary("loinc").write.json(str(tmp_path / "loinc"))
     assert terminology.vocabulary("loinc", str(tmp_path / "loinc")).count() == 26
     assert terminology.vocabulary("loinc", str(tmp_path / "nowhere")).count() == 0
+
+
+def test_time_grows_with_the_length_of_a_note(spark):
+    """Four times the text in at most five times the time, beyond planning."""
+    import time
+
+    base = "Call 555-123-4567 or mail a.b@c.example now. No fever, denies dyspnea. PLAN:\nmetformin 500 mg for type 2 diabetes.\n"
+
+    def took(times, run):
+        df = frame(spark, [base * times])
+        run(df).collect()
+        started = time.time()
+        run(df).collect()
+        return time.time() - started
+
+    for run in (lambda df: phi.detect(df).select(F.size("phi")), lambda df: notes.extract(df).select(F.size("entities")),
+                lambda df: records.clinical_entities(df).select(F.size("entities"))):
+        plan = took(1, run)
+        short, long = took(640, run) - plan, took(2560, run) - plan
+        assert long < 5 * max(short, 0.8), (plan, short, long)
+
+
+def test_a_repeated_id_stays_one_row_each(spark):
+    df = frame(spark, ["No fever. Type 2 diabetes."] * 3).withColumn("doc_id", F.lit(1))
+    found = notes.extract(df)
+    for build in (export.entity_json, export.operation_array, export.operations_text):
+        out = build(found)
+        assert out.count() == 3
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
