@@ -376,6 +376,15 @@ def analyze_patients(cdm: Cdm, as_of: dt.date = DEFAULT_AS_OF, match: str = "sou
     return patient_summary(cdm, as_of).join(risk_score(cdm, finding_titles(cdm, match)), "person_id")
 
 
+def analysis_log(cdm: Cdm, match: str = "source_value") -> DataFrame:
+    """One row per analysed person: the run (persons in order of their id), the token and the findings made.
+    ``cohort.append_log`` stores such rows, ``cohort.recent_runs(log, 5)`` shows the latest."""
+    counts = finding_titles(cdm, match).groupBy("person_id").agg(F.count("*").alias("insights_generated"))
+    return cdm.person.select("person_id", F.col("person_source_value").alias("patient_token")).join(
+        counts, "person_id", "left").select(
+        F.col("person_id").alias("run"), "patient_token", F.coalesce("insights_generated", F.lit(0)).alias("insights_generated"))
+
+
 def title_counts(cdm: Cdm, people: DataFrame, match: str = "source_value") -> DataFrame:
     """How often each finding occurs in a cohort: the one table both cohort reports start from."""
     return finding_titles(of_people(cdm, people), match).groupBy("type", "title").agg(F.count("*").alias("count"))

@@ -253,10 +253,15 @@ def _(x):
         "measurement_id", "person_id", "lab", "direction", "value_as_number", "unit")
 
 
-@query("lab_critical_source_value", """SELECT measurement_id, lab, value_as_number FROM meas, limits
-    WHERE contains(lower(measurement_source_value), lab) AND (value_as_number < low OR value_as_number > high)""")
+@query("lab_critical_source_value", """SELECT measurement_id, l.lab, value_as_number
+    FROM (SELECT m.*, coalesce(lab, measurement_source_value) AS named FROM meas m LEFT JOIN lab_names ON code = measurement_source_value) m
+    JOIN (VALUES ('hemoglobin', 7.0, 20.0), ('potassium', 2.5, 6.5), ('sodium', 120.0, 160.0), ('glucose', 50.0, 500.0),
+        ('creatinine', NULL, 10.0), ('platelets', 20.0, NULL)) AS l(lab, low, high)
+    ON contains(lower(named), l.lab) AND (value_as_number < low OR value_as_number > high)""")
 def _(x):
-    return insights.critical_labs(x.cdm.measurement).select("measurement_id", "lab", "value_as_number")
+    """Results under the names of their labs, as sources without codes write them."""
+    named = insights.lab_display(x.cdm.measurement).withColumn("measurement_source_value", F.col("lab_name"))
+    return insights.critical_labs(named).select("measurement_id", "lab", "value_as_number")
 
 
 # --- joins and linkage -----------------------------------------------------------------------
@@ -679,20 +684,34 @@ def _(x):
     return cohort.build(x.cdm, _TRIAL, x.as_of)
 
 
-_RUNS = [(cohort.NAMED_COHORTS[n].name, m) for n, m in _MEMBERS.items() if n != "all_patients"]
+_RUNS = [(cohort.NAMED_COHORTS[n].name, m) for n, m in _MEMBERS.items()] * 2
 
 
-@query("run_log", " UNION ALL ".join(
+@query("run_log", "SELECT * FROM (" + " UNION ALL ".join(
     f"""SELECT {i} AS run, '{name}' AS cohort_name, (SELECT count(*) FROM person) AS total_persons,
     (SELECT count(*) FROM ({sql})) AS included, CAST(0 AS bigint) AS excluded, (SELECT count(*) FROM ({sql})) AS final_cohort"""
-    for i, (name, sql) in enumerate(_RUNS, start=1)))
+    for i, (name, sql) in enumerate(_RUNS, start=1)) + f") WHERE run > {len(_RUNS) - 10}")
 def _(x):
+    """Every named cohort twice, which is more than a report shows."""
     folder = shared_dir("run_log")
-    named = [cohort.NAMED_COHORTS[n] for n in _MEMBERS if n != "all_patients"]
+    named = [cohort.NAMED_COHORTS[n] for n in _MEMBERS] * 2
     cohort.append_log(cohort.run_log(x.cdm, named, x.as_of), folder)
     return cohort.recent_runs(x.spark.read.parquet(folder))
 
 
+@query("analysis_log", """SELECT 'all' AS item, '' AS patient_token, count(*) AS n FROM person
+    UNION ALL SELECT 'recent', person_source_value, coalesce(n, 0) FROM person
+        LEFT JOIN (SELECT person_id, count(*) AS n FROM findings GROUP BY 1) USING (person_id)
+        WHERE person_id > (SELECT max(person_id) - 5 FROM person)""")
+def _(x):
+    folder = shared_dir("analysis_log")
+    cohort.append_log(insights.analysis_log(x.cdm, "concept"), folder)
+    log = x.spark.read.parquet(folder)
+    total = log.agg(F.lit("all").alias("item"), F.lit("").alias("patient_token"), F.count("*").alias("n"))
+    return total.unionByName(cohort.recent_runs(log, 5).select(
+        F.lit("recent").alias("item"), "patient_token", F.col("insights_generated").alias("n")))
+
+
 # --- analytics -------------------------------------------------------------------------------
 
 

@@ -12,7 +12,6 @@ from clinspan.plans import pipeline
 from clinspan.session import shared_dir
 from clinspan.sources import export, text_in
 from registry import note_oracles as sql
-from registry.fixture_sql import pick
 from registry.oracle_views import rows as values
 from registry.queries import joined, query
 from registry.settings import KNOWN_NAMES
@@ -170,35 +169,23 @@ def _(x):
 
 # --- vocabulary matches ----------------------------------------------------------------------
 
-TERMS = [
-    "Myocardial infarction", "heart attack", "acute mi", "type 2 diabetes", "Hypertension", "chronic kidney disease stage",
-    "failure of heart", "renal failure", "chest pain on exertion", "pneumonia", "SOB", "stroke", "disease", "unknown words here",
-    "acute lymphoid leukemia", "deep vein thrombosis of lower extremity", "sepsis unspecified organism", "end stage renal disease",
-    "essential (primary) hypertension", "Atrial fibrillation",
-]
-LABS = ["troponin", "HbA1c", "hemoglobin", "cholesterol", "Blood Pressure", "glucose", "GFR", "urea", "rate", "heart rate: 98 bpm",
-        "alt", "BUN", "o2 sat", "bilirubin", "oxygen"]
-DRUGS = ["metformin", "Lipitor", "aspirin 81 mg of Ecotrin", "insulin", "warf", "500 mg of Glucophage", "MS Contin", "metoprolol",
-         "Insulin lispro 10 units", "nitro", "oxygen", "heparin 5000 units"]
-PROCEDURES = ["electrocardiogram", "echocardiography", "intubation", "stent", "CT chest", "MRI", "12-lead", "angiography",
-              "critical care", "lung biopsy"]
+CLINICAL, LABS, DRUGS, PROCEDURES = ("condition", "symptom"), ("lab_test", "vital_sign"), ("medication",), ("procedure",)
 
 
-def _texts(x, options):
-    number = len(options)
-    text = F.element_at(F.array(*[F.lit(o) for o in options]), (F.col("o_orderkey") % number + 1).cast("int"))
-    return x.table("orders").select("o_orderkey", F.lit("x").alias("type"), text.alias("text"))
+def _kind(*kinds):
+    return f"(SELECT text AS t FROM ce_final WHERE type IN ({', '.join(map(repr, kinds))}))"
 
 
-def _matched(x, options, match):
-    """Match every order's text through its distinct texts."""
-    texts = _texts(x, options)
-    codes = texts.select("text").distinct().withColumn("code", match(F.col("text"))["code"])
-    return texts.join(codes, "text").select("o_orderkey", "code")
+def _matched(x, kinds, match):
+    """Match the text of every entity of some kinds that the notes hold."""
+    rows = records.entity_rows(x.note).where(F.col("type").isin(*kinds))
+    return rows.select("doc_id", "start", match(F.col("text"))["code"].alias("code"))
 
 
-def _text_sql(options):
-    return f"(SELECT o_orderkey, {pick(options, f'o_orderkey % {len(options)}')} AS t FROM orders)"
+def _full_sql(kinds, best):
+    listed = ", ".join(map(repr, kinds))
+    return (f"SELECT doc_id, start, code FROM (SELECT doc_id, start, text AS t FROM ce_final WHERE type IN ({listed})) "
+            f"LEFT JOIN ({best}) USING (t)")
 
 
 def _overlap_sql(names, source):
@@ -216,23 +203,27 @@ _SNOMED_NAMES = [(n, c, term) for c, term, syn, _ in vocabularies.SNOMED for n i
 _ICD_NAMES = [(n, c, short) for c, short, long, _, _ in vocabularies.ICD10 for n in (short, long)]
 
 
-def _full_sql(options, best):
-    return f"SELECT o_orderkey, code FROM {_text_sql(options)} LEFT JOIN ({best}) USING (t)"
+_EVERY = (*CLINICAL, *LABS, *DRUGS, *PROCEDURES)
+_DIAGNOSES = "(SELECT regexp_replace(admission_diagnosis, '\\s*\\(.*\\)$', '') AS t FROM fx_encounter WHERE admission_diagnosis IS NOT NULL)"
 
 
-@query("token_overlap_match", _full_sql(TERMS, _overlap_sql(_SNOMED_NAMES, _text_sql(TERMS))))
+@query("token_overlap_match", _full_sql(_EVERY, _overlap_sql(_SNOMED_NAMES, _kind(*_EVERY))))
 def _(x):
-    return _matched(x, TERMS, lambda t: terminology.overlap_match(t, terminology._snomed_names()))
+    return _matched(x, _EVERY, lambda t: terminology.overlap_match(t, terminology._snomed_names()))
 
 
-@query("best_match", _full_sql(TERMS, _overlap_sql(_ICD_NAMES, _text_sql(TERMS))))
+@query("best_match", f"""SELECT encounter_id, code FROM (SELECT encounter_id, regexp_replace(admission_diagnosis, '\\s*\\(.*\\)$', '') AS t
+    FROM fx_encounter WHERE admission_diagnosis IS NOT NULL) LEFT JOIN ({_overlap_sql(_ICD_NAMES, _DIAGNOSES)}) USING (t)""")
 def _(x):
-    return _matched(x, TERMS, terminology.icd10_match)
+    """The diagnosis of every encounter, without its code, against the names of codes."""
+    text = F.regexp_replace("admission_diagnosis", r"\s*\(.*\)$", "")
+    rows = x.encounter.where("admission_diagnosis IS NOT NULL")
+    return rows.select("encounter_id", terminology.icd10_match(text)["code"].alias("code"))
 
 
-@query("icd10_match", _full_sql(TERMS, _overlap_sql(_ICD_NAMES, _text_sql(TERMS))))
+@query("icd10_match", _full_sql(CLINICAL, _overlap_sql(_ICD_NAMES, _kind(*CLINICAL))))
 def _(x):
-    return _matched(x, TERMS, terminology.icd10_match)
+    return _matched(x, CLINICAL, terminology.icd10_match)
 
 
 def _snomed_sql(source):
@@ -242,9 +233,9 @@ def _snomed_sql(source):
     LEFT JOIN ({_overlap_sql(_SNOMED_NAMES, source)}) b ON b.t = d.t"""
 
 
-@query("snomed_match", _full_sql(TERMS, _snomed_sql(_text_sql(TERMS))))
+@query("snomed_match", _full_sql(CLINICAL, _snomed_sql(_kind(*CLINICAL))))
 def _(x):
-    return _matched(x, TERMS, terminology.snomed_match)
+    return _matched(x, CLINICAL, terminology.snomed_match)
 
 
 def _loinc_sql(source):
@@ -256,7 +247,7 @@ def _loinc_sql(source):
         JOIN ({table}) ON contains(short, key) OR contains(component, key) GROUP BY 1"""
 
 
-@query("loinc_match", _full_sql(LABS, _loinc_sql(_text_sql(LABS))))
+@query("loinc_match", _full_sql(LABS, _loinc_sql(_kind(*LABS))))
 def _(x):
     return _matched(x, LABS, terminology.loinc_match)
 
@@ -275,7 +266,7 @@ def _rxnorm_sql(source):
         JOIN ({table}) y ON starts_with(name, d) OR starts_with(generic, d) GROUP BY 1) USING (d) WHERE d <> ''"""
 
 
-@query("rxnorm_match", _full_sql(DRUGS, _rxnorm_sql(_text_sql(DRUGS))))
+@query("rxnorm_match", _full_sql(DRUGS, _rxnorm_sql(_kind(*DRUGS))))
 def _(x):
     return _matched(x, DRUGS, terminology.rxnorm_match)
 
@@ -287,7 +278,7 @@ def _cpt_sql(source):
         JOIN ({table}) ON contains(short, lower(t)) OR contains(long, lower(t)) GROUP BY 1"""
 
 
-@query("cpt_match", _full_sql(PROCEDURES, _cpt_sql(_text_sql(PROCEDURES))))
+@query("cpt_match", _full_sql(PROCEDURES, _cpt_sql(_kind(*PROCEDURES))))
 def _(x):
     return _matched(x, PROCEDURES, terminology.cpt_match)
 
@@ -300,10 +291,6 @@ def _(x):
     return records.entity_rows(x.note)
 
 
-def _kind(*kinds):
-    return f"(SELECT text AS t FROM ce_final WHERE type IN ({', '.join(map(repr, kinds))}))"
-
-
 _CLINICAL, _LAB = _kind("condition", "symptom"), _kind("lab_test", "vital_sign")
 _MAPPED = f"""SELECT 'c' AS route, t, coalesce(s.code, i.code) AS code, coalesce(s.term, i.term) AS term,
         CASE WHEN s.code IS NOT NULL THEN 'SNOMED CT' WHEN i.code IS NOT NULL THEN 'ICD-10-CM' END AS system
