@@ -102,7 +102,7 @@ def _records(lines: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def read_csv(path: str) -> RawCsv:
-    """Read a file, or a folder of files, as text columns. The records are stored once, unparsed."""
+    """Read a file, or a folder of files, as text columns. Records are found once and parsed once, and stored."""
     lines = _lines(path)
     splits = stored("csv-splits", _splits(lines))
     records = stored("csv-records", _records(lines, splits))
@@ -112,9 +112,10 @@ def read_csv(path: str) -> RawCsv:
     place = [F.when(F.array_contains("names", c), (F.size("names") + 1 - F.array_position(F.reverse("names"), c)).cast("int"))
              for c in KNOWN_COLUMNS]
     absent = F.array_compact(F.array(*[F.when(~F.array_contains("names", c), c) for c in fixed.REQUIRED_COLUMNS]))
-    headers = headers.select("file", names.alias("names"), (F.element_at("headers", -1).isNotNull()).alias("wide")).select(
+    headers = headers.select("file", names.alias("names"), (F.element_at("headers", -1).isNotNull()).alias("wide"))
+    headers = stored("csv-headers", stored("csv-names", headers).select(
         "file", "wide", F.array(*place).alias("places"),
-        F.when(F.size(absent) > 0, F.concat(F.lit(MISSING), F.array_join(absent, ", "))).alias("missing"))
+        F.when(F.size(absent) > 0, F.concat(F.lit(MISSING), F.array_join(absent, ", "))).alias("missing")))
     found = splits.groupBy("file").agg(
         F.first("valid").alias("valid"), F.first("balanced").alias("balanced"), F.first("records").alias("records"))
     # from the listing of the read: an empty file has no line that would name it
@@ -126,8 +127,9 @@ def read_csv(path: str) -> RawCsv:
          .when(~F.col("balanced"), UNREADABLE + "quotes do not pair up")
          .when(F.col("wide"), f"{UNREADABLE}more than {MOST_COLUMNS} columns").otherwise(F.col("missing")).alias("error"))
     good = splits.select("file", "block").join(headers.where("missing IS NULL AND NOT wide").select("file", "places"), "file")
-    parsed = records.where("row > 1").join(good, ["file", "block"]).select(
-        "file", "row", "places", _values(F.col("value")).alias("found"))
-    return RawCsv(parsed.select("file", "row", *[
-        F.when(F.col("places")[i].isNotNull(), F.try_element_at("found", F.col("places")[i])).alias(c)
-        for i, c in enumerate(KNOWN_COLUMNS)]), files)
+    # the values the known columns have, in their order, out of one parse
+    picked = F.transform(F.array(F.struct(_values(F.col("value")).alias("found"))), lambda v: F.transform(
+        "places", lambda p: F.when(p.isNotNull(), F.try_element_at(v["found"], p))))[0]
+    parsed = records.where("row > 1").join(good, ["file", "block"]).select("file", "row", picked.alias("values"))
+    parsed = stored("csv-values", parsed)
+    return RawCsv(parsed.select("file", "row", *[F.col("values")[i].alias(c) for i, c in enumerate(KNOWN_COLUMNS)]), files)
