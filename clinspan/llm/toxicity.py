@@ -33,8 +33,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from clinspan.llm import octets
 
-TOXIC_SAMPLE, ORDINARY_SAMPLE = 1500, 3000  # labelled texts read for fitting at most, those of least hash
-SAMPLE_BYTES = 6_000      # of each of them, from its start
+TOXIC_SAMPLE, ORDINARY_SAMPLE = 2500, 5000  # labelled texts read for fitting at most, those of least hash
+SAMPLE_BYTES = 8_000      # of each of them, from its start
 LEAST_CONTEXTS = 4        # different words a string with evidence follows
 LEAST_EVIDENCE = 25.0     # likelihood ratio statistic
 LEAST_RATIO = 5.0         # of its rates in the two classes
@@ -80,29 +80,45 @@ class Contexts:
     words: int          # sum of the counts of whole words
 
 
-def contexts(texts: list[bytes]) -> Contexts:
-    """Strings with the space before them: whole words with the space behind, and the starts of longer ones."""
-    data = b"".join(sorted(set(texts)))
+def _strings(data: bytes, base: int, size: int | None) -> tuple[np.ndarray, ...]:
+    """Of whole words, or starts of ``size`` bytes: hash of string and word before, hash, where it stands."""
     octet = np.frombuffer(data, np.uint8)
     starts, stops, _ = octets.words(octet, np.array([0, len(octet)]))
     prefix = octets.prefix_hash(octet)
-    before = np.r_[np.uint64(0), octets.range_hash(prefix, starts, stops)[:-1]] if len(starts) else np.zeros(0, np.uint64)
+    word = octets.range_hash(prefix, starts, stops)
+    before = np.concatenate((np.zeros(min(1, len(word)), np.uint64), word[:-1]))
+    low, high = starts - 1, stops + 1 if size is None else starts - 1 + size
+    fits = slice(None) if size is None else high < stops + 1
+    name = octets.range_hash(prefix, low[fits], high[fits])
+    return octets.mix(name * octets.BASE ^ before[fits]), name, low[fits] + base, high[fits] + base
+
+
+def contexts(texts: list[bytes]) -> Contexts:
+    """Strings with the space before them: whole words with the space behind, and the starts of longer ones."""
+    parts, bases, at = [], [0], 0
+    texts = sorted(set(texts))
+    while at < len(texts):  # parts of a megabyte, and one kind of string after the other: the driver's memory is small
+        held, size = [], 0
+        while at < len(texts) and (not held or size + len(texts[at]) <= octets.SLICE_BYTES):
+            held.append(texts[at])
+            size += len(texts[at])
+            at += 1
+        parts.append(b"".join(held))
+        bases.append(bases[-1] + size)
     keys, counts, spans, words = [], [], [], 0
-    for size in (None, *START):
-        low, high = starts - 1, stops + 1 if size is None else starts - 1 + size
-        fits = slice(None) if size is None else high < stops + 1
-        low, high = low[fits], high[fits]
-        name = octets.range_hash(prefix, low, high)
-        pair = octets.mix(name * octets.BASE ^ before[fits])
+    for kind in (None, *START) if parts else ():
+        pair, name, low, high = (np.concatenate(x) for x in zip(*(_strings(d, b, kind) for d, b in zip(parts, bases))))
         _, first = np.unique(pair, return_index=True)  # a string behind a word, once
-        key, at, count = np.unique(name[first], return_index=True, return_counts=True)
+        key, place, count = np.unique(name[first], return_index=True, return_counts=True)
         keys.append(key)
         counts.append(count)
-        spans.append(np.stack((low[first[at]], high[first[at]]), axis=1))
+        spans.append(np.stack((low[first[place]], high[first[place]]), axis=1))
         words = words or int(count.sum())
+    if not keys:
+        return Contexts(b"", np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), 0)
     keys, counts, spans = np.concatenate(keys), np.concatenate(counts), np.concatenate(spans)
     order = np.argsort(keys, kind="stable")
-    return Contexts(data, keys[order], counts[order], spans[order], words)
+    return Contexts(b"".join(parts), keys[order], counts[order], spans[order], words)
 
 
 def _likelihood(k: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
