@@ -184,21 +184,22 @@ def drug_exposure(deid_observations: DataFrame, index: DataFrame | None = None,
 
 
 def build(deid_patients: DataFrame, deid_encounters: DataFrame, deid_observations: DataFrame,
-          keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df, unique_ids: bool = False) -> Cdm:
+          keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df, unique: tuple[str, ...] = ()) -> Cdm:
     """The five populated tables. Inputs may already carry ``person_id``; otherwise it is assigned
     over the tokens of all three. ``keep`` may store the numbered encounters, which visits and
-    conditions share, and the observations, which measurements and drugs share. ``unique_ids`` declares
-    encounter and observation ids unique, which spares the rows a shuffle."""
+    conditions share, and the observations, which measurements and drugs share. ``unique`` names
+    ids declared to be unique ("encounter_id", "observation_id"), which spares their rows a shuffle."""
     inputs = (deid_patients, deid_encounters, deid_observations)
     index = None
     if not all("person_id" in t.columns for t in inputs):
         index = person_index(*inputs)
         inputs = tuple(t.drop("person_id") for t in inputs)
     patients, encounters, observations = inputs
-    visits = keep("numbered_encounter", _visits(encounters, index, unique_ids))
+    visits = keep("numbered_encounter", _visits(encounters, index, "encounter_id" in unique))
     observations = keep("deid_observation", observations)
+    one_each = "observation_id" in unique
     return Cdm(person(patients, index), _visit_rows(visits), _condition_rows(visits),
-               measurement(observations, index, unique_ids), drug_exposure(observations, index, unique_ids))
+               measurement(observations, index, one_each), drug_exposure(observations, index, one_each))
 
 
 def cdm_report(deid_patients: DataFrame, cdm: Cdm) -> DataFrame:

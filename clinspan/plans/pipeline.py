@@ -59,11 +59,11 @@ class Processed:
 
 
 def process(patients: DataFrame, encounters: DataFrame, observations: DataFrame | None,
-            tokens: TokenConfig, settings: DeidConfig, folder: str | None = None, unique_ids: bool = False) -> Processed:
+            tokens: TokenConfig, settings: DeidConfig, folder: str | None = None, unique: tuple[str, ...] = ()) -> Processed:
     """Link, de-identify, map and store.
 
     Whatever several tables start from is written once below ``folder`` and read back. There may be no
-    observations, and columns that a source lacks count as NULL.
+    observations, and columns that a source lacks count as NULL. ``unique`` is explained at ``cdm.build``.
     """
     folder = folder or shared_dir("cdm")
     if observations is None:
@@ -76,15 +76,15 @@ def process(patients: DataFrame, encounters: DataFrame, observations: DataFrame
     links = keep("person_links", person_links(patients, tokens))
     people = keep("deid_patient", deid.deid_patient(patients, links, settings))
     visits = keep("deid_encounter", deid.deid_encounter(encounters, links, settings))
-    tables = cdm.build(people, visits, deid.deid_observation(observations, links, settings), keep, unique_ids)
+    tables = cdm.build(people, visits, deid.deid_observation(observations, links, settings), keep, unique)
     return Processed(write_cdm(tables, folder), people, visits)
 
 
 def run(patients: DataFrame, encounters: DataFrame, observations: DataFrame | None,
         tokens: TokenConfig, settings: DeidConfig, folder: str | None = None,
-        unique_ids: bool = False) -> tuple[cdm.Cdm, DataFrame]:
+        unique: tuple[str, ...] = ()) -> tuple[cdm.Cdm, DataFrame]:
     """The stored tables and the de-identified patients of :func:`process`."""
-    done = process(patients, encounters, observations, tokens, settings, folder, unique_ids)
+    done = process(patients, encounters, observations, tokens, settings, folder, unique)
     return done.tables, done.people
 
 

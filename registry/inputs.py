@@ -124,12 +124,12 @@ class Inputs:
     @cached_property
     def mapped(self) -> cdm.Cdm:
         """The CDM tables computed from the given tables, not stored."""
-        return cdm.build(self.deid_patient, self.deid_encounter, self.deid_observation, unique_ids=True)
+        return cdm.build(self.deid_patient, self.deid_encounter, self.deid_observation, unique=("encounter_id",))
 
     @cached_property
     def _stored(self) -> tuple[cdm.Cdm, DataFrame]:
         return pipeline.run(self.patient, self.encounter, self.observation, self.tokens_config,
-                            self.deid_config, unique_ids=True)
+                            self.deid_config, unique=("encounter_id",))
 
     @property
     def cdm(self) -> cdm.Cdm:

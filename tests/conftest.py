@@ -11,8 +11,10 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
+    from clinspan.session import remove_shared_dirs
     from compare import session
 
     session = session()
     yield session
+    remove_shared_dirs()
     session.stop()
