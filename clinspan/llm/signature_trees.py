@@ -38,6 +38,7 @@ from clinspan.llm.stored import discard, store
 PERCENT = 75
 SAMPLE_ONE_IN = 64      # texts read for the frequent shingles
 MOST_FREQUENT = 20_000  # frequent shingles known to all tasks at most
+FEW_TASKS = 8           # each sends the driver its best, so their number may not grow with the input
 PIECE = 1024            # members of a list that one task compares with as many others
 CLOSEST = 8             # candidates a class meets in the first walk
 LEAF, FAN = 16, 8
@@ -310,7 +311,7 @@ def frequent(texts: DataFrame) -> np.ndarray:
     rows = (
         texts.where(F.pmod(F.crc32(F.encode("__text", "UTF-8")), F.lit(SAMPLE_ONE_IN)) == 0).select("__text")
         .mapInArrow(_map_frequent, "code long, times long").groupBy("code").agg(F.sum("times").alias("times"))
-        .orderBy(F.desc("times"), "code").limit(MOST_FREQUENT).collect())
+        .coalesce(FEW_TASKS).orderBy(F.desc("times"), "code").limit(MOST_FREQUENT).collect())
     return np.sort(np.array([r.code for r in rows], np.int64).astype(np.uint64))
 
 
