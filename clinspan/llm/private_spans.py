@@ -32,6 +32,7 @@ from pyspark.sql.types import StructType
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_RUNS = 1500
+FEW_TASKS = 8  # each sends the driver its least, so their number may not grow with the input
 ROUNDS, RATE, SHRINK = 6, 0.1, 1e-4
 MOST_TOKENS = 12
 LEAST_RUN_DIGITS = 9
@@ -257,7 +258,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
                 [pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["line", "hash"])
 
     rows = (docs.select(text_col).mapInArrow(run, "line string, hash string").distinct()
-            .orderBy("hash").limit(SAMPLE_RUNS).collect())
+            .coalesce(FEW_TASKS).orderBy("hash").limit(SAMPLE_RUNS).collect())
     samples = []
     for row in rows:
         fields = row.line.split("\t")
