@@ -7,7 +7,7 @@ from clinspan.config import DeidConfig, TokenConfig
 TOKENS = TokenConfig(secret_key=b"test-key-not-for-production-use!", salt=b"test-salt-16byte")
 DEID = DeidConfig(shift_secret="test-shift-secret")
 
-# FIXED VALUES: names of the persons the reference results hold
+# FIXED VALUES: known names whose hits the expected results hold
 KNOWN_NAMES = [
     "Fatima Abdullah Al-Rashid",
     "Fatima Al-Rashid",
