@@ -5,6 +5,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import bag, duck
 from odd_rows import SF, odd_documents
@@ -179,6 +180,36 @@ def test_crowds_of_images_stay_linear(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("crowded", [1, 4])
+def test_images_that_share_crowded_descriptors_only(spark, monkeypatch, crowded):
+    """Two images share six corners; of each, ten images more show one, which is near in ``crowded`` tables."""
+    def points_are_pixels(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch["__id"], batch["class"], batch["pixels"]], ["__id", "class", "points"])
+
+    monkeypatch.setattr(images, "_map_keypoints", points_are_pixels)
+    rng = np.random.default_rng(12)
+    pair = np.zeros(6, images._KEYPOINT)
+    bits = rng.integers(0, 256, (6, 32), dtype=np.uint8)
+    pair["bits"] = bits.view("V32")[:, 0]
+    pair["x"], pair["y"] = 10.0 + 9 * np.arange(6), 20.0 + 7 * np.arange(6) ** 2
+    moved = pair.copy()
+    moved["x"] += 4
+    held = [pair, moved]
+    for k in range(6):
+        for n in range(10):
+            other = pair[k:k + 1].copy()
+            changed = bits[k:k + 1].copy()
+            changed[:, 8 * crowded::8] ^= np.uint8(1 << n % 8)
+            other["bits"], other["x"] = changed.view("V32")[:, 0], 100 + n
+            held.append(other)
+    rows = [(i, p.tobytes(), len(p.tobytes()), 1) for i, p in enumerate(held)]
+    got = {r.media_id: r.component_id for r in images.copies(
+        spark.createDataFrame(rows, "media_id long, pixels binary, width int, height int")).collect()}
+    assert got == {i: 0 if i < 2 else i for i in range(len(held))}
+
+
 def test_temperature():
     tokens = {"big": 9000, "mid": 900, "small": 100, "none": 0}
     made = mixing.plan(tokens, target=0.8, most_repeats=50)
