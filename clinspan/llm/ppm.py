@@ -8,11 +8,13 @@ longer context are excluded from total and distinct; below the empty context all
 equally likely. As the trie is fixed while scoring, what a context excludes from the next is a sum that
 is stored with it, and a text's score is a sum over its windows of ``ORDER + 1`` bytes.
 
-Counting is packed by hash range, so no task holds the corpus' counts. The trie that tasks load is
-bounded: above ``MOST_NODES`` nodes, those seen less than the least sufficient power of two are left
-out (a node is never seen more often than its shorter one, so the rest is a trie). Word counts are not
-bounded: the ``MOST_WORDS`` most frequent words travel to the tasks, all others meet their counts in a
-join by hash range, so that every count is exact.
+Counting is packed by hash range, so no task holds the corpus' counts. The counts are not bounded, only
+what travels to the tasks is: of the trie, contexts seen at least so often that ``MOST_NODES`` nodes
+suffice, each with all its symbols (a shorter context is seen no less often, so all that a window after
+such a context needs is there), and the ``MOST_WORDS`` most frequent words. All other windows and words
+meet their counts in a join by hash range: counts of windows lie by the ``NEAR`` bytes before the symbol,
+so that a bucket has all contexts that are at least so long, and the shorter ones, whose number is bounded
+by the alphabet, travel whole. So every score is that of the whole model.
 
 Defined cases: null texts are empty; an empty text is its end mark; texts of any length are scored
 whole; a training set without rows gives every symbol 1 / ``ALPHABET`` and every word 1; repeated rows
@@ -21,13 +23,14 @@ get equal scores; an empty table gives no rows; other columns are not read, what
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinspan.llm import octets, packed
@@ -40,6 +43,7 @@ MOST_NODES = 1 << 21
 MOST_WORDS = 1 << 19
 SLICE = 1 << 20
 FLUSH = 1 << 20          # distinct windows a task holds before it sends them
+NEAR = 3                 # bytes of context that windows of one bucket share
 WORD = ORDER + 1         # marks word counts among those of orders 0 to ORDER
 END_WORD = np.uint64(0x656E64)
 
@@ -90,20 +94,36 @@ def low_bytes(n: int) -> np.uint64:
     return np.uint64((1 << (8 * n)) - 1)
 
 
+def near(window: np.ndarray) -> np.ndarray:
+    """The last bytes of each window's context, which decide its bucket."""
+    return (window >> np.uint64(8)) & low_bytes(NEAR)
+
+
+def shorter(keys: np.ndarray, counts: np.ndarray, orders: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts of ``orders`` as sums of those of a higher order."""
+    return [tally(keys & low_bytes(order + 1), counts) for order in orders]
+
+
+def context_totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each node, how often its context is seen; all nodes of a context are given, in order."""
+    of = keys >> np.uint64(8)
+    at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    return np.repeat(np.add.reduceat(counts, at), np.diff(np.r_[at, len(of)])) if len(of) else counts
+
+
 def _map_counts(buckets: int):
     names = ["bucket", "order", "keys", "counts"]
 
     def rows(order: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        bucket, _ = packed.bucket_and_key(keys, buckets)
+        bucket, _ = packed.bucket_and_key(near(keys) if order == ORDER else keys, buckets)
         out = packed.pack(bucket, {"keys": keys, "counts": counts.astype(np.uint32)})
         return pa.RecordBatch.from_arrays(
             [out["bucket"], pa.array(np.full(out.num_rows, order), pa.int32()), out["keys"], out["counts"]], names)
 
     def flush(held, words):
         if len(held[0]):
-            for order in range(ORDER, -1, -1):
-                keys, counts = held if order == ORDER else tally(held[0] & low_bytes(order + 1), held[1])
-                yield rows(order, keys, counts)
+            yield rows(ORDER, *held)
+            yield rows(NEAR - 1, *tally(held[0] & low_bytes(NEAR), held[1]))
         if len(words[0]):
             yield rows(WORD, *words)
 
@@ -141,36 +161,46 @@ def _sum_counts(table: pa.Table) -> pa.Table:
 
 
 def _kept(nodes: int, words: int):
-    """Of stored counts, those of nodes and of words seen at least so often."""
+    """Of stored counts, nodes of contexts and words seen at least so often."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            orders = batch["order"].to_pylist()
-            keys, counts = [], []
-            for order, k, c in zip(orders, batch["keys"].to_pylist(), batch["counts"].to_pylist()):
+            out = []
+            for order, k, c in zip(batch["order"].to_pylist(), batch["keys"].to_pylist(), batch["counts"].to_pylist()):
                 k, c = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
-                enough = c >= (words if order == WORD else nodes)
-                keys.append(k[enough].tobytes())
-                counts.append(c[enough].tobytes())
+                if order == WORD:
+                    out.append((WORD, k, c, c >= words))
+                if order == ORDER:
+                    out += [(n, *g, context_totals(*g) >= nodes)
+                            for n, g in zip(range(NEAR, ORDER + 1), shorter(k, c, range(NEAR, ORDER + 1)))]
             yield pa.RecordBatch.from_arrays(
-                [batch["order"], pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["order", "keys", "counts"])
+                [pa.array([o for o, *_ in out], pa.int32()), pa.array([k[e].tobytes() for _, k, _, e in out], pa.binary()),
+                 pa.array([c[e].tobytes() for *_, c, e in out], pa.binary())], ["order", "keys", "counts"])
     return run
 
 
+def _levels(seen: np.ndarray) -> Iterator[tuple[int, int]]:
+    """How many are at least 1, 2, 4, ..."""
+    for k in range(40):
+        n = int((seen >= 1 << k).sum())
+        if not n:
+            break
+        yield k, n
+
+
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many entries are seen at least 1, 2, 4, ... times."""
+    """How many words, and nodes of long contexts, are seen at least 1, 2, 4, ... times."""
     for batch in batches:
-        word, level, many = [], [], []
-        for order, c in zip(batch["order"].to_pylist(), batch["counts"].to_pylist()):
-            c = np.frombuffer(c, np.int64)
-            for k in range(40):
-                n = int((c >= 1 << k).sum())
-                if not n:
-                    break
-                word.append(order == WORD)
-                level.append(k)
-                many.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(word, pa.bool_()), pa.array(level, pa.int32()), pa.array(many, pa.int64())],
-                                         ["word", "level", "many"])
+        out = []
+        for order, k, c in zip(batch["order"].to_pylist(), batch["keys"].to_pylist(), batch["counts"].to_pylist()):
+            k, c = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
+            if order == WORD:
+                out += [(True, *x) for x in _levels(c)]
+            if order == ORDER:
+                for g in shorter(k, c, range(NEAR, ORDER + 1)):
+                    out += [(False, *x) for x in _levels(context_totals(*g))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[n] for x in out], kind) for n, kind in enumerate((pa.bool_(), pa.int32(), pa.int64()))],
+            ["word", "level", "many"])
 
 
 class Lookup:
@@ -286,17 +316,31 @@ class Trie:
         return out
 
     def score(self, window: np.ndarray) -> np.ndarray:
+        out, _ = self.score_here(window, whole=True)
+        return out
+
+    def score_here(self, window: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and the windows whose context is not here (unless the trie is ``whole``); these score 0."""
         out = self.seen().get(window)
         new = np.flatnonzero(out == 1.0)
-        if len(new):
-            out[new] = self.escape(window[new])
-        return out
+        far = new[:0]
+        if not whole and len(new):
+            of = self.contexts()[ORDER][0]
+            context = window[new] >> np.uint64(8)
+            at = np.minimum(np.searchsorted(of, context), max(len(of) - 1, 0))
+            here = of[at] == context if len(of) else np.zeros(len(new), bool)
+            new, far = new[here], new[~here]
+        out[new] = self.escape(window[new])
+        out[far] = 0.0
+        return out, far
 
 
 @dataclass
 class Model:
     counts: DataFrame   # stored: bucket, order, keys, counts, total
     trie: object        # broadcast Trie
+    low: object         # broadcast counts of the orders below NEAR, all of them
+    whole: bool         # the trie has all counts
     buckets: int
     tokens: int
     distinct: int
@@ -311,35 +355,48 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         .groupBy("bucket").applyInArrow(_sum_counts, "bucket int, order int, keys binary, counts binary, total long"),
         "ppm-counts")
     told = counts.where(F.col("order") == WORD).agg(F.sum("total"), F.sum(F.length("keys") / 8)).first()
-    sizes = counts.select("order", "counts").mapInArrow(_sizes, "word boolean, level int, many long").groupBy(
+    sizes = counts.select("order", "keys", "counts").mapInArrow(_sizes, "word boolean, level int, many long").groupBy(
         "word", "level").agg(F.sum("many").alias("many")).collect()
 
-    def least(word: bool, most: int) -> int:
-        levels = {r.level: r.many for r in sizes if r.word == word}
-        return 1 << next((k for k in range(64) if levels.get(k, 0) <= most), 0)
+    short = counts.where(F.col("order") == NEAR - 1).select("keys", "counts").collect()
+    low = shorter(np.frombuffer(b"".join(bytes(r["keys"]) for r in short), np.uint64),
+                  np.frombuffer(b"".join(bytes(r["counts"]) for r in short), np.int64), range(NEAR))
+    nodes, words = Counter(), Counter()
+    for r in sizes:
+        (words if r.word else nodes)[r.level] += r.many
+    for g in low:
+        nodes.update(dict(_levels(context_totals(*g))))
+
+    def least(levels: Counter, most: int) -> int:
+        return 1 << next((k for k in range(64) if levels[k] <= most), 0)
 
+    often = least(nodes, MOST_NODES)
     rows = counts.select("order", "keys", "counts").mapInArrow(
-        _kept(least(False, MOST_NODES), least(True, MOST_WORDS)), "order int, keys binary, counts binary").collect()
+        _kept(often, least(words, MOST_WORDS)), "order int, keys binary, counts binary").collect()
     parts = []
-    for order in range(WORD + 1):
+    for keys, count in low:
+        enough = context_totals(keys, count) >= often
+        parts.append((keys[enough], count[enough]))
+    for order in range(NEAR, WORD + 1):
         mine = [r for r in rows if r.order == order]
         keys = np.frombuffer(b"".join(bytes(r["keys"]) for r in mine), np.uint64)
         count = np.frombuffer(b"".join(bytes(r["counts"]) for r in mine), np.int64)
         parts.append(tally(keys, count))
     trie = Trie(parts[:WORD], parts[WORD])
-    return Model(counts, spark.sparkContext.broadcast(trie), buckets, int(told[0] or 0), int(told[1] or 0))
+    share = spark.sparkContext.broadcast
+    return Model(counts, share(trie), share(low), often == 1, buckets, int(told[0] or 0), int(told[1] or 0))
 
 
-def _map_scores(shared):
-    names = ["__id", "__key", "n_tokens", "known", "logs", "rare", "score"]
+def _map_scores(shared, whole: bool):
+    names = ["__id", "__key", "n_tokens", "known", "logs", "rare", "score", "far"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared.value
         for batch in batches:
-            columns = [[] for _ in range(5)]
+            columns = [[] for _ in range(6)]
             for _, _, data, offsets in octets.slices(batch["__text"], SLICE):
                 window, ends = marked(data, offsets)
-                score = octets.run_sums(trie.score(window), ends)
+                score, far = trie.score_here(window, whole)
                 hashes, row = word_hashes(data, offsets)
                 rows = len(offsets) - 1
                 hashes = np.concatenate((hashes, np.full(rows, END_WORD)))
@@ -349,68 +406,87 @@ def _map_scores(shared):
                 columns[1].append(np.bincount(row, count > 0, minlength=rows).astype(np.int64))
                 columns[2].append(np.bincount(row, np.log10(count + 1.0), minlength=rows))
                 columns[3].append(np.bincount(row, count == 0, minlength=rows).astype(np.int64))
-                columns[4].append(score)
+                columns[4].append(octets.run_sums(score, ends))
+                columns[5].append(np.diff(np.searchsorted(far, ends)))
             if columns[0]:
                 yield pa.RecordBatch.from_arrays(
                     [batch["__id"], batch["__key"], *(pa.array(np.concatenate(c)) for c in columns)], names)
     return run
 
 
-def _map_rare(shared, buckets: int):
-    """Words that are not among the frequent ones, packed by hash range."""
+def _map_rare(shared, whole: bool, buckets: int):
+    """Words and windows that are not among those that travel, packed by hash range; their orders are negative."""
     names = ["bucket", "order", "keys", "counts", "docs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared.value
         for batch in batches:
             keys = batch["__key"].to_numpy()
-            words, docs = [], []
+            asked = {WORD: [], ORDER: []}
             for first, _, data, offsets in octets.slices(batch["__text"], SLICE):
                 hashes, row = word_hashes(data, offsets)
                 rare = trie.known().get(hashes) == 0
-                words.append(hashes[rare])
-                docs.append(keys[first + row[rare]])
-            if not words:
-                continue
-            words, docs = np.concatenate(words), np.concatenate(docs)
-            bucket, _ = packed.bucket_and_key(words, buckets)
-            out = packed.pack(bucket, {"keys": words, "docs": docs})
-            none = pa.nulls(out.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [out["bucket"], pa.nulls(out.num_rows, pa.int32()), out["keys"], none, out["docs"]], names)
+                asked[WORD].append((hashes[rare], keys[first + row[rare]]))
+                if not whole:
+                    window, ends = marked(data, offsets)
+                    _, far = trie.score_here(window, whole)
+                    asked[ORDER].append((window[far], keys[first + np.searchsorted(ends, far, side="right") - 1]))
+            for order, parts in asked.items():
+                if not parts:
+                    continue
+                what, docs = (np.concatenate(x) for x in zip(*parts))
+                bucket, _ = packed.bucket_and_key(near(what) if order == ORDER else what, buckets)
+                out = packed.pack(bucket, {"keys": what, "docs": docs})
+                none = pa.nulls(out.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [out["bucket"], pa.array(np.full(out.num_rows, -order), pa.int32()), out["keys"], none, out["docs"]], names)
     return run
 
 
-def _meet_rare(buckets: int):
+_SUMS = {"logs": np.float64, "known": np.int64, "rare": np.int64, "score": np.float64, "far": np.int64}
+
+
+def _meet_rare(shared, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        """The counts of one bucket's rare words, summed by document and packed by it."""
-        model = pa.compute.is_valid(table["order"])
-        mine, asked = table.filter(model), table.filter(pa.compute.invert(model))
-        keys, counts = packed.unpack(mine["keys"], np.uint64), packed.unpack(mine["counts"], np.int64)
-        words, docs = packed.unpack(asked["keys"], np.uint64), packed.unpack(asked["docs"], np.int64)
+        """The counts of one bucket's rare words and the scores of its windows, summed by document and packed by it."""
+        def part(order: int, other: str, kind) -> tuple[np.ndarray, np.ndarray]:
+            mine = table.filter(pa.compute.equal(table["order"], order))
+            return packed.unpack(mine["keys"], np.uint64), packed.unpack(mine[other], kind)
+
+        keys, counts = part(WORD, "counts", np.int64)
+        words, docs = part(-WORD, "docs", np.int64)
         count = np.zeros(len(words), np.int64)
         if len(keys):
             place = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
             count = np.where(keys[place] == words, counts[place], 0)
+        window, of = part(-ORDER, "docs", np.int64)
+        window, place = np.unique(window, return_inverse=True)
+        score = np.zeros(0)
+        if len(window):
+            grams = shorter(*part(ORDER, "counts", np.int64), range(NEAR, ORDER + 1))
+            score = Trie([*shared.value, *grams], (window[:0], of[:0])).escape(window)[place]
+        ask, far = len(docs), len(of)
+        docs = np.concatenate((docs, of))
+        values = {
+            "logs": np.r_[np.log10(count + 1.0), np.zeros(far)], "known": np.r_[count > 0, np.zeros(far, bool)].astype(np.int64),
+            "rare": np.repeat([1, 0], (ask, far)), "score": np.r_[np.zeros(ask), score], "far": np.repeat([0, 1], (ask, far))}
         order = np.argsort(docs, kind="stable")
-        docs, count = docs[order], count[order]
+        docs = docs[order]
         at = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, np.int64)
         ends = np.r_[at, len(docs)]
         # Fewer buckets than words have: each of theirs sends a row to each of these.
         bucket, _ = packed.bucket_and_key(docs[at].view(np.uint64), max(1, buckets // packed.BUCKETS_PER_PARTITION))
         return pa.Table.from_batches([packed.pack(bucket, {
-            "docs": docs[at], "logs": octets.run_sums(np.log10(count + 1.0), ends),
-            "known": octets.run_sums((count > 0).astype(np.int64), ends), "rare": np.diff(ends)})])
+            "docs": docs[at], **{n: octets.run_sums(v[order], ends) for n, v in values.items()}})])
     return run
 
 
 def _sum_rare(table: pa.Table) -> pa.Table:
     docs = packed.unpack(table["docs"], np.int64)
     keys, where = np.unique(docs, return_inverse=True)
-    sums = [np.bincount(where, packed.unpack(table[n], kind), minlength=len(keys))
-            for n, kind in (("logs", np.float64), ("known", np.int64), ("rare", np.int64))]
-    return pa.table({"__key": keys, "rare_logs": sums[0], "rare_known": sums[1].astype(np.int64),
-                     "all_rare": sums[2].astype(np.int64)})
+    sums = {f"all_{n}": np.bincount(where, packed.unpack(table[n], kind), minlength=len(keys)).astype(kind)
+            for n, kind in _SUMS.items()}
+    return pa.table({"__key": keys, **sums})
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -420,21 +496,27 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"),
     ).withColumn("__key", F.xxhash64("__id", "__text"))
     scored = texts.select("__id", "__key", "__text").mapInArrow(
-        _map_scores(model.trie), f"__id {kind}, __key long, n_tokens long, known long, logs double, rare long, score double")
+        _map_scores(model.trie, model.whole),
+        f"__id {kind}, __key long, n_tokens long, known long, logs double, rare long, score double, far long")
     rare = texts.select("__key", "__text").mapInArrow(
-        _map_rare(model.trie, model.buckets), "bucket int, order int, keys binary, counts binary, docs binary")
-    held = model.counts.where(F.col("order") == WORD).select(
+        _map_rare(model.trie, model.whole, model.buckets), "bucket int, order int, keys binary, counts binary, docs binary")
+    held = model.counts.where(F.col("order").isin([WORD] if model.whole else [WORD, ORDER])).select(
         "bucket", "order", "keys", "counts", F.lit(None).cast("binary").alias("docs"))
     sums = (
         rare.union(held).groupBy("bucket")
-        .applyInArrow(_meet_rare(model.buckets), packed.ddl(["docs", "logs", "known", "rare"]))
-        .groupBy("bucket").applyInArrow(_sum_rare, "__key long, rare_logs double, rare_known long, all_rare long"))
-    # Equal rows share a key, so their sums are those of all of them.
-    share = F.when(F.col("all_rare") > 0, F.col("rare") / F.col("all_rare")).otherwise(0.0)
+        .applyInArrow(_meet_rare(model.low, model.buckets), packed.ddl(["docs", *_SUMS]))
+        .groupBy("bucket").applyInArrow(_sum_rare, "__key long, all_logs double, all_known long, all_rare long, "
+                                        "all_score double, all_far long"))
+
+    def mine(total: str, one: str) -> Column:
+        """Equal rows share a key, so their sums are those of all of them."""
+        share = F.when(F.col(f"all_{one}") > 0, F.col(one) / F.col(f"all_{one}")).otherwise(0.0)
+        return F.coalesce(F.col(total) * share, F.lit(0.0))
+
     each = F.log10(F.lit(float(model.tokens + model.distinct + 1)))
     return scored.join(sums, "__key", "left").select(
         F.col("__id").alias(id_col), "n_tokens",
-        (F.col("known") + F.round(F.coalesce(F.col("rare_known") * share, F.lit(0.0))).cast("long")).alias("n_known"),
+        (F.col("known") + F.round(mine("all_known", "rare")).cast("long")).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce(F.col("rare_logs") * share, F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"),
-        "score")
+        (F.col("logs") + mine("all_logs", "rare") - F.col("n_tokens") * each).alias("base_score"),
+        (F.col("score") + mine("all_score", "far")).alias("score"))

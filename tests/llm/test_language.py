@@ -191,6 +191,18 @@ def test_scores_of_a_bounded_trie(spark, monkeypatch):
     assert all(r.score < 0 for r in ppm.score_documents(docs, model).collect())
 
 
+@pytest.mark.parametrize("nodes", [0, 3000, 50000])
+def test_scores_do_not_depend_on_the_bound(spark, monkeypatch, nodes):
+    monkeypatch.setattr(ppm, "MOST_NODES", nodes)
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op6_ppm_score"](spark, SF).collect()
+    check_scores(rows, docs, [t for i, t in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2])
+    twice = spark.createDataFrame([(1, "abracadabra"), (1, "abracadabra"), (2, "zebra")], "doc_id long, text string")
+    rows = ppm.score_documents(twice, ppm.train(twice)).collect()
+    assert len(rows) == 3
+    check_scores(rows, {1: "abracadabra", 2: "zebra"}, ["abracadabra", "abracadabra", "zebra"])
+
+
 def test_scores_of_odd_documents(odd):
     out = ppm.score_documents(odd, ppm.train(odd))
     rows = out.collect()
