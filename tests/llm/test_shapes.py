@@ -210,6 +210,26 @@ def test_images_that_share_crowded_descriptors_only(spark, monkeypatch, crowded)
     assert got == {i: 0 if i < 2 else i for i in range(len(held))}
 
 
+def test_corners_of_a_pale_part_are_kept(spark):
+    """A crop that shows none of the strongest corners of its original."""
+    rows = []
+    for n in range(3):
+        parts = images.render(np.random.default_rng(20 + n).normal(size=(4, 64))).astype(float)
+        parts[3] = 127.5 + (parts[3] - 127.5) * 0.4
+        whole = np.rint(np.block([[parts[0], parts[1]], [parts[2], parts[3]]])).astype(np.uint8)
+        rows += [(2 * n, whole.tobytes(), 128, 128), (2 * n + 1, whole[60:, 60:].tobytes(), 68, 68)]
+    got = images.copies(spark.createDataFrame(rows, "media_id long, pixels binary, width int, height int")).collect()
+    assert {r.media_id: r.component_id for r in got} == {i: i // 2 * 2 for i in range(6)}
+
+
+def test_every_match_proposes():
+    one, two = np.zeros(105, images._PLACE), np.zeros(105, images._PLACE)
+    one["x"], one["y"] = 10.0 * np.arange(105), 7.0 * np.arange(105)
+    two["x"], two["y"] = one["x"] + 50.0 * np.arange(105), one["y"]
+    two["x"][100:] = one["x"][100:] - 60
+    assert images.agreeing(one, two) == 5
+
+
 def test_temperature():
     tokens = {"big": 9000, "mid": 900, "small": 100, "none": 0}
     made = mixing.plan(tokens, target=0.8, most_repeats=50)
