@@ -150,3 +150,86 @@ class Ppm:
         n, v = sum(self.words.values()), len(self.words)
         counts = [self.words.get(w, 0) for w in [*words(text), None]]
         return len(counts), sum(c > 0 for c in counts), n, sum(math.log10((c + 1) / (n + v + 1)) for c in counts)
+
+
+def contamination(docs, items, window=10, slop=0):
+    """[(doc_id, text)], [(item_id, text)] -> one (doc_id, words, hit words, sorted item ids) per document."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    out = []
+    for doc_id, text in docs:
+        found, hit, held = split(text), set(), set()
+        for item_id, item in items:
+            words_of = split(item)
+            size = min(len(words_of), window)
+            for s in range(len(words_of) - size + 1 if size else 0):
+                piece = words_of[s:s + size]
+                for at in range(-slop, len(found)):
+                    if all(w in found[max(0, at + k):max(0, at + k + slop + 1)] for k, w in enumerate(piece)):
+                        held.add(item_id)
+                        if not slop:
+                            hit |= set(range(at, at + size))
+        out.append((doc_id, len(found), len(hit), sorted(str(i) for i in held if i is not None), len(held)))
+    return out
+
+
+def collocations(docs, least=30, contained=80, top=2000):
+    """[(lang, text)] -> set of (lang, rank, phrase, a, l, r, n, score)."""
+    from collections import Counter
+
+    seen, n = Counter(), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            w = tuple(re.findall(r"[^\x20\x09]+", piece))
+            n[lang] += len(w)
+            seen.update((lang, w[i:i + k]) for k in range(1, 5) for i in range(len(w) - k + 1))
+    rows = {}
+    for (lang, w), a in seen.items():
+        if len(w) < 2 or a < least:
+            continue
+        cuts = [(2_000_000 * a // (seen[lang, w[:k]] + seen[lang, w[k:]]), k) for k in range(1, len(w))]
+        score, k = min(cuts)
+        rows[lang, w] = (a, seen[lang, w[:k]], seen[lang, w[k:]], score)
+    gone = set()
+    for (lang, w), row in rows.items():
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                if 100 * row[0] >= contained * rows[lang, w[i:i + k]][0]:
+                    gone.add((lang, w[i:i + k]))
+    out = set()
+    for lang in n:
+        mine = [(-v[3], -v[0], " ".join(w).encode(), v) for (x, w), v in rows.items() if x == lang and (x, w) not in gone]
+        for rank, (_, _, phrase, (a, left, right, score)) in enumerate(sorted(mine)[:top], 1):
+            out.add((lang, rank, phrase.decode(), a, left, right, n[lang], score))
+    return out
+
+
+def merkle(rows):
+    """[(lang, id, leaf)] -> (root, {(lang, id, leaf): subroot and the sibling digests from leaf to root, as a list of both})."""
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+
+    def tree(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            last = levels[-1]
+            levels.append([digest("".join(last[i:i + 2])) for i in range(0, len(last), 2)])
+        return levels
+
+    def path(levels, place):
+        out = []
+        for nodes in levels[:-1]:
+            out += nodes[place ^ 1:(place ^ 1) + 1]
+            place >>= 1
+        return out
+
+    groups = {}
+    for lang, i, leaf in rows:
+        groups.setdefault(lang, []).append((i is not None, i or 0, leaf))
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: tree([leaf for _, _, leaf in sorted(groups[g])]) for g in order}
+    top = tree([trees[g][-1][0] for g in order])
+    out = {}
+    for k, g in enumerate(order):
+        for place, (known, i, leaf) in enumerate(sorted(groups[g])):
+            out.setdefault((g, i if known else None, leaf), []).append((trees[g][-1][0], path(trees[g], place) + path(top, k)))
+    return top[-1][0], out
