@@ -15,7 +15,7 @@ per language. A phrase counts as frequent from ``LEAST`` occurrences on.
 3. Scores, cuts and containment are joins and sums over the frequent phrases. A phrase's parts are frequent as well,
    since they occur wherever it does.
 
-Within one batch of about ``BATCH`` phrases, those of equal 64-bit hashes are taken to be equal; between batches words decide.
+Within ``SLICES`` slices of texts, phrases of equal 64-bit hashes are taken to be equal; beyond them words decide.
 
 Defined cases: null text is empty, null language is ``und``; phrases do not cross pieces or rows; repeated rows count
 once each; ties of score and count go by the phrase's bytes; an empty table gives no rows; other columns are not read.
@@ -39,7 +39,8 @@ CONTAINED = 80         # percent of its occurrences inside a longer phrase that
 SCALE = 2_000_000      # of the score
 SLACK = 4              # counters of a summary, in units of mass / LEAST
 FILTER_BITS = 1 << 27  # 16 MB, whatever the input
-BATCH = 1 << 22        # phrases that a task counts at once
+BATCH = 1 << 21        # phrases that a task counts at once
+SLICES = 8             # slices of texts whose phrases it then looks up
 TOP = 2000             # of each language
 _BREAKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 _BLANKS = np.isin(np.arange(256), np.frombuffer(b" \t", np.uint8))
@@ -218,8 +219,8 @@ def _map_phrases(shared, buckets: int):
             [lang.cast(pa.string()), pa.array(length, pa.int32()), phrase, pa.array(count, pa.int64())], names)
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """``held``: (hashes, slice, first word, length) of occurrences and the slices' words."""
-        slices = [h[4] for h in held]
+        """``held``: (hashes, first word, number of words) of occurrences in a slice, and (bytes, words, languages)."""
+        slices = [h[3] for h in held]
         keys = np.concatenate([h[0] for h in held])
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
@@ -240,7 +241,7 @@ def _map_phrases(shared, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(shared.value, np.uint8)
-        held, size = [], 0
+        held = []
         for batch in batches:
             for data, words, keys, languages in _slices(batch):
                 left = words[3]
@@ -253,11 +254,10 @@ def _map_phrases(shared, buckets: int):
                 found = [np.flatnonzero(f) for f in fits]
                 hashes = [keys[k][(np.cumsum(left > k) - 1)[f]] for k, f in enumerate(found)]
                 sizes = np.repeat(np.arange(1, WORDS + 1, dtype=np.int32), [len(f) for f in found])
-                held.append((np.concatenate(hashes), np.concatenate(found), sizes, None, (data, words, languages)))
-                size += len(sizes)
-                if size >= BATCH:
+                held.append((np.concatenate(hashes), np.concatenate(found), sizes, (data, words, languages)))
+                if len(held) == SLICES:
                     yield from flush(held)
-                    held, size = [], 0
+                    held = []
         if held:
             yield from flush(held)
     return run

@@ -163,9 +163,9 @@ def _group_slots(tops: DataFrame) -> DataFrame:
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = own.groupBy("part").agg(F.count("*").alias("n"))
     parts = parts.withColumn("skip", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    return own.join(parts, "part").select(
+    return store(own.join(parts, "part").select(
         F.lit("").alias("group"), (F.col("skip") + F.col("__id").bitwiseAND((1 << 33) - 1)).alias("slot"),
-        F.col("top").alias("leaf"), F.col("group").alias("id"))
+        F.col("top").alias("leaf"), F.col("group").alias("id")), "groups")
 
 
 def manifest(
