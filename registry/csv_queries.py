@@ -33,18 +33,17 @@ def _(x):
 
 
 @query("csv_required_columns", """SELECT error, count(*) AS files, cast(sum(n) AS bigint) AS rows, cast(sum(good) AS bigint) AS valid_rows FROM (
-    SELECT 'Missing required columns: date_of_birth, gender' AS error, 0 AS n, 0 AS good FROM range(2)
-    UNION ALL SELECT 'File must be UTF-8 encoded', 0, 0
-    UNION ALL SELECT '', n, good FROM (SELECT count(*) AS n, count(*) FILTER (WHERE trim(first_name) <> '' AND trim(last_name) <> ''
-        AND trim(date_of_birth) NOT IN ('31/31/1999', '')) AS good FROM fx_csv WHERE row_key % 4 < 2)
-    UNION ALL SELECT '', 0, 0 FROM range(2)) GROUP BY 1""")
+    SELECT CASE row_key % 4 WHEN 3 THEN 'File must be UTF-8 encoded' WHEN 2 THEN 'Missing required columns: date_of_birth, gender'
+        ELSE '' END AS error, row_key // 10000 AS file, count(*) FILTER (WHERE row_key % 4 < 2) AS n,
+        count(*) FILTER (WHERE row_key % 4 < 2 AND trim(first_name) <> '' AND trim(last_name) <> ''
+            AND trim(date_of_birth) NOT IN ('31/31/1999', '')) AS good FROM fx_csv GROUP BY 1, 2) GROUP BY 1""")
 def _(x):
     files = ingest.ingest(csv_in.read_csv(x.mixed_upload), x.as_of).files
     return files.groupBy(F.coalesce("file_error", F.lit("")).alias("error")).agg(
         F.count("*").alias("files"), F.sum("row_count").alias("rows"), F.sum("valid_row_count").alias("valid_rows"))
 
 
-_NUMBERED = "(SELECT *, row_number() OVER (ORDER BY row_key) + 1 AS row FROM fx_csv)"
+_NUMBERED = "(SELECT *, row_number() OVER (PARTITION BY row_key // 10000 ORDER BY row_key) + 1 AS row FROM fx_csv)"
 
 
 @query("record_ordinal", f"SELECT row, national_id, clinical_notes FROM {_NUMBERED}")
@@ -53,6 +52,16 @@ def _(x):
         "row", "national_id", F.coalesce("clinical_notes", F.lit("")).alias("clinical_notes"))
 
 
+@query("csv_stray_quotes", """SELECT 'P' || o_orderkey AS patient_id, 'Ann "Annie"' AS first_name,
+    CASE o_orderkey % 4 WHEN 0 THEN 'Lee-Ray' WHEN 1 THEN 'a "b" c' WHEN 2 THEN 'O"Hara' ELSE 'Kay' END AS last_name,
+    CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 7 || '" tall' ELSE 'x, y' END AS city,
+    CASE o_orderkey % 3 WHEN 0 THEN 'one' || chr(10) || chr(10) || 'two "' || o_orderkey || '"' WHEN 1 THEN 'six"' ELSE '' END AS notes,
+    row_number() OVER (PARTITION BY o_orderkey // 10000 ORDER BY o_orderkey) + 1 AS row FROM orders""")
+def _(x):
+    return csv_in.read_csv(x.stray_upload).records.select(
+        "patient_id", "first_name", "last_name", "city", F.coalesce("clinical_notes", F.lit("")).alias("notes"), "row")
+
+
 _ERRORS = """SELECT 'Missing first_name' AS m FROM fx_csv WHERE trim(first_name) = ''
     UNION ALL SELECT 'Missing last_name' FROM fx_csv WHERE trim(last_name) = ''
     UNION ALL SELECT 'Invalid or missing date_of_birth ''' || trim(date_of_birth) || ''''

@@ -214,3 +214,17 @@ CSV_HEADERS = {
 }
 # headers of the other make of files, where they differ
 OTHER_HEADERS = {"first_name": "FirstName", "last_name": "lastname", "date_of_birth": "Birth-Date", "department": "department"}
+
+# the file a CSV row is written to, where files hold ranges of keys
+CSV_FILE = "(row_key div 10000)"
+# Lines of CSV files with a quoted line break in every third record; the first line of each file is its header.
+STRAY_HEADER = "ID,first_name,last_name,DOB,Sex,City,Notes"
+STRAY_LINES = f"""
+SELECT row_key, CASE WHEN row_number() OVER (PARTITION BY {CSV_FILE} ORDER BY row_key) = 1
+                     THEN '{STRAY_HEADER}' || chr(10) ELSE '' END || line AS value
+FROM (SELECT o_orderkey AS row_key, 'P' || o_orderkey || ',Ann "Annie",' ||
+             CASE o_orderkey % 4 WHEN 0 THEN '"Lee"-Ray' WHEN 1 THEN '"a ""b"" c"' WHEN 2 THEN 'O"Hara' ELSE 'Kay' END ||
+             ',1950-01-01,F,' || CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 7 || '" tall' ELSE '"x, y"' END || ',' ||
+             CASE o_orderkey % 3 WHEN 0 THEN '"one' || chr(10) || chr(10) || 'two ""' || o_orderkey || '""' || '"' WHEN 1 THEN 'six"' ELSE '' END AS line
+      FROM {{orders}})
+"""

@@ -26,9 +26,11 @@ class Inputs:
         self.deid_config = DEID
 
     def table(self, name: str) -> DataFrame:
-        """A given table; those of much work per row are dealt out by their key, whatever their files."""
-        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return table.repartition(SPREAD_KEYS[name]) if name in SPREAD_KEYS else table
+        """A given table. Those of much work per row are dealt out by their key where their files make fewer splits
+        than there are cores; otherwise the scan's own splits carry the work, without a shuffle."""
+        table, cores = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"), self.spark.sparkContext.defaultParallelism
+        few = name in SPREAD_KEYS and table.rdd.getNumPartitions() < cores
+        return table.repartition(cores, SPREAD_KEYS[name]) if few else table
 
     def _derive(self, sql: str, *names: str) -> DataFrame:
         return self.spark.sql(sql, **{n: self.table(n) for n in names})
@@ -53,11 +55,18 @@ class Inputs:
     def csv_rows(self) -> DataFrame:
         return self._derive(fx.CSV, "orders")
 
-    def write_csv(self, folder: str, rows: DataFrame, names: dict[str, str], encoding: str = "UTF-8") -> str:
-        """Add CSV files of some rows, with ``names`` (column -> header) in that order, to a folder."""
-        rows.select(*[F.col(c).alias(h) for c, h in names.items()]).write.mode("append").options(
-            header=True, escape='"', encoding=encoding,
-            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    def write_csv(self, folder: str, rows: DataFrame, names: dict[str, str], encoding: str = "UTF-8",
+                  file_of: str | None = None) -> str:
+        """Add CSV files of some rows, with ``names`` (column -> header) in that order, to a folder; one for each value of
+        ``file_of``, in the order of its keys, where that is given."""
+        columns = [F.col(c).alias(h) for c, h in names.items()]
+        if file_of:
+            rows = rows.withColumn("file", F.expr(file_of)).repartition(
+                self.spark.sparkContext.defaultParallelism, "file").sortWithinPartitions("file", "row_key")
+            columns.append("file")
+        out = rows.select(*columns).write.mode("append").options(
+            header=True, escape='"', encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        (out.partitionBy("file") if file_of else out).csv(folder)
         return folder
 
     @cached_property
@@ -70,20 +79,27 @@ class Inputs:
 
     @cached_property
     def mixed_upload(self) -> str:
-        """Good files beside some without required columns and some that are not UTF-8."""
-        folder, kind = shared_dir("upload"), F.col("row_key") % 4
-        rows = self.csv_rows.repartition(3, "row_key")
-        self.write_csv(folder, rows.where(kind < 2), fx.CSV_HEADERS)
+        """Good files beside some without required columns and some that are not UTF-8, each of a range of keys."""
+        folder, rows, kind = shared_dir("upload"), self.csv_rows, F.col("row_key") % 4
         few = {c: h for c, h in fx.CSV_HEADERS.items() if c not in ("date_of_birth", "gender")}
-        self.write_csv(folder, rows.where(kind == 2).repartition(2, "row_key"), few)
-        latin = rows.where(kind == 3).withColumn("first_name", F.lit("Zo\u00eb")).repartition(1)
-        return self.write_csv(folder, latin, fx.CSV_HEADERS, "ISO-8859-1")
+        latin = rows.where(kind == 3).withColumn("first_name", F.lit("Zo\u00eb"))
+        self.write_csv(folder, rows.where(kind < 2), fx.CSV_HEADERS, file_of=f"'good-' || {fx.CSV_FILE}")
+        self.write_csv(folder, rows.where(kind == 2), few, file_of=f"'few-' || {fx.CSV_FILE}")
+        return self.write_csv(folder, latin, fx.CSV_HEADERS, "ISO-8859-1", file_of=f"'latin-' || {fx.CSV_FILE}")
 
     @cached_property
     def ordered_upload(self) -> str:
-        """The CSV rows in one file, in order of their key, so that row numbers are known."""
-        rows = self.csv_rows.repartition(1).sortWithinPartitions("row_key")
-        return self.write_csv(shared_dir("upload"), rows, fx.CSV_HEADERS)
+        """The CSV rows in order of their key, a file for each range of keys, so that row numbers are known."""
+        return self.write_csv(shared_dir("upload"), self.csv_rows, fx.CSV_HEADERS, file_of=fx.CSV_FILE)
+
+    @cached_property
+    def stray_upload(self) -> str:
+        """Lines as people type them: quotes inside values, doubled ones, text after a closing quote, line breaks."""
+        folder = shared_dir("upload")
+        lines = self._derive(fx.STRAY_LINES, "orders").withColumn("file", F.expr(fx.CSV_FILE)).repartition(
+            self.spark.sparkContext.defaultParallelism, "file")
+        lines.sortWithinPartitions("file", "row_key").select("value", "file").write.partitionBy("file").text(folder)
+        return folder
 
     @cached_property
     def ordered(self) -> ingest.Ingested:

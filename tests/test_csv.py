@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from dataclasses import replace
 
 from clinspan.operators import deid, ingest, linkage
@@ -121,7 +122,7 @@ def test_files_are_rejected_one_by_one(spark, tmp_path):
     assert files == {
         "good.csv": (None, 2, True), "blank.csv": (None, 2, True), "latin.csv": ("File must be UTF-8 encoded", 0, False),
         "empty.csv": ("CSV file is empty or has no headers", 0, False),
-        "open.csv": ("CSV parsing error: quotes do not pair up", 0, False),
+        "open.csv": ("Missing required columns: last_name, date_of_birth, gender", 0, False),
         "few.csv": ("Missing required columns: last_name, date_of_birth, gender", 0, False)}
     total = got.summary.first()
     assert (total.row_count, total.patients, total.errors, total.success) == (4, 4, 4, True)
@@ -161,3 +162,93 @@ def test_an_upload_goes_through_the_whole_pipeline(spark, tmp_path):
     assert done.tables.measurement.count() == 0 and "race_concept_id" in done.tables.person.columns
     rows = export.deid_csv_rows(done.people, done.encounters).collect()
     assert len(rows) == 3 and all(r.patient_token for r in rows)
+
+
+def python_rows(data):
+    """(rows after the header as dictionaries, error) of csv.DictReader over the text of a file."""
+    import csv
+    import io
+
+    try:
+        reader = csv.DictReader(io.StringIO(data))
+        return [dict(r) for r in reader], None
+    except csv.Error as error:
+        return [], f"CSV parsing error: {error}"
+
+
+PARTS = ["a", '"', '""', ",", "\n", "\r\n", "", "b c", '"x', 'y"', '"p,q"', '"m\nn"', "é", " ", '5" tall', '"s"t"', "\n\n"]
+HEAD = "first_name,last_name,date_of_birth,gender,mrn\n"
+
+
+def read_back(spark, path, split="64"):
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        raw = csv_in.read_csv(str(path))
+        rows = raw.records.collect()
+        return rows, {r.file.rsplit("/", 1)[1]: r.error for r in raw.files.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_random_files_read_as_by_the_standard_reader(spark, tmp_path):
+    """Random marks, cut into splits of 64 bytes: stray and doubled quotes, open ends, returns, short and long rows."""
+    rng = random.Random(8)
+    want, folder = {}, tmp_path / "many"
+    folder.mkdir()
+    for i in range(60):
+        parts = PARTS + (["\r"] if i % 10 == 0 else [])
+        text = HEAD + "".join(rng.choice(parts) for _ in range(rng.randint(0, 150)))
+        want[f"f{i}.csv"] = python_rows(text)
+        (folder / f"f{i}.csv").write_bytes(text.encode())
+    rows, errors = read_back(spark, folder)
+    got = {}
+    for r in rows:
+        got.setdefault(r.file.rsplit("/", 1)[1], {})[r.row] = r
+    assert errors == {name: error for name, (_, error) in want.items()}
+    names = HEAD.strip().split(",")
+    assert sum(e is not None for e in errors.values()) > 1
+    for name, (expected, _) in want.items():
+        mine = got.get(name, {})
+        assert sorted(mine) == list(range(2, len(expected) + 2)), name
+        for k, one in enumerate(expected):
+            assert [mine[k + 2][c] or "" for c in names] == [one[c] or "" for c in names], (name, k)
+
+
+def test_stray_quotes_keep_all_records(spark, tmp_path):
+    (tmp_path / "q.csv").write_text(
+        'first_name,last_name,date_of_birth,gender,city\nAnn,A,2000-01-01,F,5" tall\nBob,B,2000-01-01,M,x\n'
+        'Cyd,C,2000-01-01,F,6" tall\nDan,D,2000-01-01,M,"y"\n')
+    rows, errors = read_back(spark, tmp_path / "q.csv", "20")
+    assert [(r.first_name, r.city) for r in sorted(rows, key=lambda r: r.row)] == [
+        ("Ann", '5" tall'), ("Bob", "x"), ("Cyd", '6" tall'), ("Dan", "y")]
+    assert errors == {"q.csv": None}
+
+
+def test_wide_files_long_values_and_many_quotes(spark, tmp_path):
+    folder = tmp_path / "odd"
+    folder.mkdir()
+    wide = ",".join(f"x{i}" for i in range(3000))
+    (folder / "wide.csv").write_text(f"{wide},{HEAD.strip()}\n" + ",".join(map(str, range(3000))) + ',A,B,2000-01-01,M,"1"\n')
+    (folder / "quotes.csv").write_text(HEAD + 'A,B,2000-01-01,M,"' + '""' * 100_000 + '"\n')
+    for name, n in (("fits", 131_072), ("long", 131_073)):
+        (folder / f"{name}.csv").write_text(HEAD + 'A,B,2000-01-01,M,"' + "z\n" * (n // 2) + "z" * (n % 2) + '"\n')
+    (folder / "bom.csv").write_bytes(b"\xef\xbb\xbf" + HEAD.encode() + b'A,B,2000-01-01,M,"open')
+    (folder / "mac.csv").write_bytes(HEAD.replace("\n", "\r").encode() * 2)
+    rows, errors = read_back(spark, folder, "100000")
+    found = {r.file.rsplit("/", 1)[1]: r for r in rows}
+    limit = "CSV parsing error: field larger than field limit (131072)"
+    assert errors == {"wide.csv": None, "quotes.csv": None, "fits.csv": None, "long.csv": limit, "bom.csv": None,
+                      "mac.csv": csv_in.LONE_RETURN}
+    assert found["wide.csv"].mrn == "1" and found["quotes.csv"].mrn == '"' * 100_000
+    assert found["fits.csv"].mrn == "z\n" * 65_536 and found["bom.csv"].mrn == "open"
+
+
+def test_a_record_too_long_to_be_gathered_rejects_its_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv_in, "MOST_RECORD", 1000)
+    folder = tmp_path / "two"
+    folder.mkdir()
+    (folder / "a.csv").write_text(HEAD + 'A,B,2000-01-01,M,"' + "line\n" * 1000)
+    (folder / "b.csv").write_text(HEAD + "A,B,2000-01-01,M,1\n")
+    rows, errors = read_back(spark, folder)
+    assert errors == {"a.csv": csv_in.LONG_VALUE, "b.csv": None} and [r.mrn for r in rows] == ["1"]
