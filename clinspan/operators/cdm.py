@@ -11,19 +11,32 @@ from pyspark.sql import functions as F
 from clinspan.fixed import concepts as fixed
 from clinspan.functions.normalize import icd_code
 from clinspan.operators.ids import dense_id, first_row
+from clinspan.operators.tables import union_all
 from clinspan.session import constant_table
 
 
+TABLES = ("person", "visit_occurrence", "condition_occurrence", "measurement", "drug_exposure")
+
+
 @dataclass(frozen=True)
 class Cdm:
+    """The five tables. ``by_person``: their rows lie by person, and no person has very many, so work per person needs no
+    shuffle. ``parts``: the same rows as tables without a person in common, where some persons have very many."""
+
     person: DataFrame
     visit_occurrence: DataFrame
     condition_occurrence: DataFrame
     measurement: DataFrame
     drug_exposure: DataFrame
+    by_person: bool = False
+    parts: tuple[Cdm, ...] = ()
 
     def tables(self) -> dict[str, DataFrame]:
-        return dict(vars(self))
+        return {name: getattr(self, name) for name in TABLES}
+
+    def each(self, work: Callable[[Cdm], DataFrame]) -> DataFrame:
+        """``work``, whose result for a person depends on that person's rows only, done on every part."""
+        return union_all([work(part) for part in self.parts or (self,)])
 
 
 # FIXED VALUES: declared columns a table has beyond the populated ones; "=0" marks a zero default
@@ -187,8 +200,7 @@ def build(deid_patients: DataFrame, deid_encounters: DataFrame, deid_observation
           keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df, unique: tuple[str, ...] = ()) -> Cdm:
     """The five populated tables. Inputs may already carry ``person_id``; otherwise it is assigned
     over the tokens of all three. ``keep`` may store the numbered encounters, which visits and
-    conditions share, and the observations, which measurements and drugs share. ``unique`` names
-    ids declared to be unique ("encounter_id", "observation_id"), which spares their rows a shuffle."""
+    conditions share. ``unique`` names ids declared to be unique ("encounter_id", "observation_id"), which spares their rows a shuffle."""
     inputs = (deid_patients, deid_encounters, deid_observations)
     index = None
     if not all("person_id" in t.columns for t in inputs):
@@ -196,7 +208,6 @@ def build(deid_patients: DataFrame, deid_encounters: DataFrame, deid_observation
         inputs = tuple(t.drop("person_id") for t in inputs)
     patients, encounters, observations = inputs
     visits = keep("numbered_encounter", _visits(encounters, index, "encounter_id" in unique))
-    observations = keep("deid_observation", observations)
     one_each = "observation_id" in unique
     return Cdm(person(patients, index), _visit_rows(visits), _condition_rows(visits),
                measurement(observations, index, one_each), drug_exposure(observations, index, one_each))

@@ -116,28 +116,29 @@ def matching_persons(cdm: Cdm, c: Criterion, as_of: dt.date = DEFAULT_AS_OF) ->
 
 def included(cdm: Cdm, cohort: Cohort, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     """Persons meeting every inclusion criterion; without criteria, everyone."""
-    people = cdm.person.select("person_id")
-    for c in cohort.include:
-        people = people.join(matching_persons(cdm, c, as_of), "person_id", "left_semi")
-    return people
+    def of(part: Cdm) -> DataFrame:
+        people = part.person.select("person_id")
+        for c in cohort.include:
+            people = people.join(matching_persons(part, c, as_of), "person_id", "left_semi")
+        return people
+
+    return cdm.each(of)
 
 
 def excluded(cdm: Cdm, cohort: Cohort, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     """Included persons meeting any exclusion criterion."""
-    people = included(cdm, cohort, as_of)
     if not cohort.exclude:
-        return people.limit(0)
-    hits = union_all([matching_persons(cdm, c, as_of) for c in cohort.exclude])
-    return people.join(hits, "person_id", "left_semi")
+        return cdm.person.select("person_id").limit(0)
+    return cdm.each(lambda part: included(part, cohort, as_of).join(
+        union_all([matching_persons(part, c, as_of) for c in cohort.exclude]), "person_id", "left_semi"))
 
 
 def members(cdm: Cdm, cohort: Cohort, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
     """Included persons without those excluded."""
-    people = included(cdm, cohort, as_of)
     if not cohort.exclude:
-        return people
-    hits = union_all([matching_persons(cdm, c, as_of) for c in cohort.exclude])
-    return people.join(hits, "person_id", "left_anti")
+        return included(cdm, cohort, as_of)
+    return cdm.each(lambda part: included(part, cohort, as_of).join(
+        union_all([matching_persons(part, c, as_of) for c in cohort.exclude]), "person_id", "left_anti"))
 
 
 def named_cohort(name: str) -> Cohort:

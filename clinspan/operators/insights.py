@@ -97,47 +97,62 @@ def critical_lab_findings(measurements: DataFrame, match: str = "source_value")
         F.array("measurement_concept_id"))
 
 
-def lab_trend(measurements: DataFrame, minimum: int = rules.MIN_TREND_LENGTH) -> DataFrame:
-    """Per person and lab: series of non-NULL values that only rise or only fall over time.
+_SERIES = ["person_id", "measurement_source_value"]
+_IN_TIME = ["measurement_datetime", "measurement_id"]
+
+
+def _runs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group of values in order of time: how many, the ends, the first unit, and whether they only rise or fall.
 
-    The rows are range-partitioned by (person, lab, time, id), so even one enormous series is cut
-    into consecutive pieces handled by different tasks. Each piece reports its length, ends, first
-    unit and whether it rises or falls; the pieces of a series (at most one per partition) are then
-    chained.
+    NULL values and units are skipped: min_by and max_by leave out rows whose order is NULL.
     """
-    keys = ["person_id", "measurement_source_value"]
-    order = ["measurement_datetime", "measurement_id"]
-    rows = measurements.select(*keys, *order, F.col("value_as_number").alias("value"),
-                               F.nullif("unit_source_value", F.lit("")).alias("unit"))
-    cut = rows.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id())
-    earlier = Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    step = cut.withColumn("_prev", F.last("value", ignorenulls=True).over(earlier))
-    # NULL values and units are skipped: min_by and max_by leave out rows whose order is NULL
-    valued = F.when(F.col("value").isNotNull(), F.struct(*order))
-    pieces = step.groupBy(*keys, "_piece").agg(
-        F.count("value").alias("n"), F.min_by("value", valued).alias("first"),
-        F.max_by("value", valued).alias("last"),
-        F.min_by("unit", F.when(F.col("unit").isNotNull(), F.struct(*order))).alias("unit"),
+    earlier = Window.partitionBy(*keys).orderBy(*_IN_TIME).rowsBetween(Window.unboundedPreceding, -1)
+    step = rows.withColumn("_prev", F.last("value", ignorenulls=True).over(earlier))
+    valued = F.when(F.col("value").isNotNull(), F.struct(*_IN_TIME))
+    return step.groupBy(*keys).agg(
+        F.count("value").alias("n"), F.min_by("value", valued).alias("first"), F.max_by("value", valued).alias("last"),
+        F.min_by("unit", F.when(F.col("unit").isNotNull(), F.struct(*_IN_TIME))).alias("unit"),
         F.coalesce(F.bool_and(F.col("value") > F.col("_prev")), F.lit(True)).alias("up"),
         F.coalesce(F.bool_and(F.col("value") < F.col("_prev")), F.lit(True)).alias("down"))
-    along = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    chained = pieces.withColumn("_last", F.last("last", ignorenulls=True).over(along))
+
+
+def _chained(rows: DataFrame) -> DataFrame:
+    """The same for series of any length: rows are range-partitioned by (person, lab, time, id), so even one enormous
+    series is cut into consecutive pieces of different tasks, and the pieces of a series (at most one per partition)
+    are chained."""
+    cut = rows.repartitionByRange(*_SERIES, *_IN_TIME).withColumn("_piece", F.spark_partition_id())
+    along = Window.partitionBy(*_SERIES).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    chained = _runs(cut, [*_SERIES, "_piece"]).withColumn("_last", F.last("last", ignorenulls=True).over(along))
 
     def place(column: str) -> Column:
         return F.when(F.col(column).isNotNull(), F.col("_piece"))
 
-    series = chained.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.min_by("first", place("first")).alias("first_value"),
-        F.max_by("last", place("last")).alias("last_value"),
+    return chained.groupBy(*_SERIES).agg(
+        F.sum("n").alias("n"), F.min_by("first", place("first")).alias("first"), F.max_by("last", place("last")).alias("last"),
         F.min_by("unit", place("unit")).alias("unit"),
         F.bool_and(F.col("up") & F.coalesce(F.col("first") > F.col("_last"), F.lit(True))).alias("up"),
         F.bool_and(F.col("down") & F.coalesce(F.col("first") < F.col("_last"), F.lit(True))).alias("down"))
+
+
+def lab_trend(measurements: DataFrame, minimum: int = rules.MIN_TREND_LENGTH, by_person: bool = False) -> DataFrame:
+    """Per person and lab: series of non-NULL values that only rise or only fall over time.
+
+    ``by_person``: the rows lie by person, none of whom has very many, so series are read where they lie.
+    """
+    rows = measurements.select(*_SERIES, *_IN_TIME, F.col("value_as_number").alias("value"),
+                               F.nullif("unit_source_value", F.lit("")).alias("unit"))
+    series = _runs(rows, _SERIES) if by_person else _chained(rows)
     return series.where((F.col("n") >= minimum) & (F.col("up") | F.col("down"))).select(
-        *keys, "n", "first_value", "last_value",
+        *_SERIES, "n", F.col("first").alias("first_value"), F.col("last").alias("last_value"),
         F.when(F.col("up"), "rising").otherwise("declining").alias("direction"),
         F.coalesce("unit", F.lit("")).alias("unit"))
 
 
+def lab_trends(cdm: Cdm) -> DataFrame:
+    """The trends of stored tables."""
+    return cdm.each(lambda part: lab_trend(part.measurement, by_person=part.by_person))
+
+
 def trend_values(measurements: DataFrame, trends: DataFrame) -> DataFrame:
     """The member values of found series, one row per value."""
     keys = ["person_id", "measurement_source_value"]
@@ -168,10 +183,10 @@ def trend_actions(trends: DataFrame) -> DataFrame:
         "actions", F.coalesce("_actions", general)).drop("_lab", "_actions")
 
 
-def trend_findings(measurements: DataFrame) -> DataFrame:
+def trend_findings(measurements: DataFrame, by_person: bool = False) -> DataFrame:
     """Trend findings. Evidence names the number, first and last value and unit of a series, whatever its
     length; the values are the rows of :func:`trend_values`."""
-    rows = trend_actions(lab_display(lab_trend(measurements)))
+    rows = trend_actions(lab_display(lab_trend(measurements, by_person=by_person)))
     ends = [F.round(c, 2).cast("string") for c in ("first_value", "last_value")]
     rising = F.col("direction") == "rising"
     return finding(
@@ -200,13 +215,14 @@ def person_drugs(drugs: DataFrame) -> DataFrame:
 def drug_interactions(drugs: DataFrame) -> DataFrame:
     """Pairs of interacting drugs a person takes.
 
-    Only drugs named in a rule can pair up, so all others leave before the self-join.
+    Only drugs named in a rule can pair up, so all others leave first, and a person has a handful of them at most.
     """
-    pairs = constant_table("drug1 string, drug2 string, warning string", rules.DRUG_PAIRS)
+    pairs = F.array(*[F.struct(F.lit(a).alias("drug1"), F.lit(b).alias("drug2"), F.lit(text).alias("warning"))
+                      for a, b, text in rules.DRUG_PAIRS])
     named = sorted({d for a, b, _ in rules.DRUG_PAIRS for d in (a, b)})
-    taken = person_drugs(drugs).where(F.col("drug").isin(named))
-    first = taken.withColumnRenamed("drug", "drug1").join(pairs, "drug1")
-    return first.join(taken.withColumnRenamed("drug", "drug2"), ["person_id", "drug2"], "left_semi")
+    taken = person_drugs(drugs).where(F.col("drug").isin(named)).groupBy("person_id").agg(F.collect_set("drug").alias("taken"))
+    return taken.select("person_id", F.inline(F.filter(
+        pairs, lambda p: F.array_contains("taken", p["drug1"]) & F.array_contains("taken", p["drug2"]))))
 
 
 def interaction_findings(drugs: DataFrame) -> DataFrame:
@@ -293,13 +309,13 @@ def frequent_visits(visits: DataFrame) -> DataFrame:
 # --- all findings of a person ----------------------------------------------------------------
 
 def all_findings(cdm: Cdm, match: str = "source_value") -> DataFrame:
-    return union_all([
-        critical_lab_findings(cdm.measurement, match),
-        trend_findings(cdm.measurement),
-        interaction_findings(cdm.drug_exposure),
-        metformin_findings(cdm.drug_exposure, cdm.measurement, match),
-        diabetes_findings(cdm.condition_occurrence, cdm.measurement),
-        frequent_visits(cdm.visit_occurrence)])
+    return cdm.each(lambda part: union_all([
+        critical_lab_findings(part.measurement, match),
+        trend_findings(part.measurement, part.by_person),
+        interaction_findings(part.drug_exposure),
+        metformin_findings(part.drug_exposure, part.measurement, match),
+        diabetes_findings(part.condition_occurrence, part.measurement),
+        frequent_visits(part.visit_occurrence)]))
 
 
 def finding_titles(cdm: Cdm, match: str = "source_value") -> DataFrame:
@@ -310,7 +326,11 @@ def finding_titles(cdm: Cdm, match: str = "source_value") -> DataFrame:
 def of_people(cdm: Cdm, people: DataFrame) -> Cdm:
     """The tables cut to some persons, so that rules run on a cohort only."""
     ids = people.select("person_id")
-    return Cdm(**{name: table.join(ids, "person_id", "left_semi") for name, table in cdm.tables().items()})
+
+    def cut(part: Cdm) -> dict[str, DataFrame]:
+        return {name: table.join(ids, "person_id", "left_semi") for name, table in part.tables().items()}
+
+    return Cdm(**cut(cdm), by_person=cdm.by_person, parts=tuple(Cdm(**cut(p), by_person=p.by_person) for p in cdm.parts))
 
 
 def risk_score(cdm: Cdm, findings: DataFrame) -> DataFrame:
@@ -348,6 +368,10 @@ def _few_values(rows: DataFrame, column: str, out: str, k: int) -> DataFrame:
 def patient_summary(cdm: Cdm, as_of: dt.date = DEFAULT_AS_OF, k: int = 10) -> DataFrame:
     """Age, sex, visit figures, up to ``k`` conditions and drugs, and the number of labs per person. All
     conditions and drugs are the rows of :func:`person_values`."""
+    return cdm.each(lambda part: _summary(part, as_of, k))
+
+
+def _summary(cdm: Cdm, as_of: dt.date, k: int) -> DataFrame:
     visits = cdm.visit_occurrence.groupBy("person_id").agg(
         F.count("*").alias("total_visits"),
         F.min("visit_start_date").cast("string").alias("earliest_visit"),
@@ -373,7 +397,7 @@ def patient_summary(cdm: Cdm, as_of: dt.date = DEFAULT_AS_OF, k: int = 10) -> Da
 
 def analyze_patients(cdm: Cdm, as_of: dt.date = DEFAULT_AS_OF, match: str = "source_value") -> DataFrame:
     """Summary and risk of every person; the findings themselves are :func:`all_findings`."""
-    return patient_summary(cdm, as_of).join(risk_score(cdm, finding_titles(cdm, match)), "person_id")
+    return cdm.each(lambda part: patient_summary(part, as_of).join(risk_score(part, finding_titles(part, match)), "person_id"))
 
 
 def analysis_log(cdm: Cdm, match: str = "source_value") -> DataFrame:
@@ -446,9 +470,9 @@ def quality_metrics(cdm: Cdm) -> DataFrame:
             if table == "measurement_below_140":
                 hit = hit & (F.col("value_as_number") < 140)
             lab[f"ok_{key}"] = hit
-    people = (flags(cdm.condition_occurrence, has)
-              .join(flags(cdm.measurement, lab), "person_id", "left")
-              .join(flags(cdm.drug_exposure, drug), "person_id", "left"))
+    people = cdm.each(lambda part: flags(part.condition_occurrence, has)
+                      .join(flags(part.measurement, lab), "person_id", "left")
+                      .join(flags(part.drug_exposure, drug), "person_id", "left"))
     counts = people.agg(*[
         F.count_if(c).alias(n)
         for key, *_ in rules.QUALITY_MEASURES
@@ -488,16 +512,18 @@ def readmission_risk(cdm: Cdm, as_of: dt.date = DEFAULT_AS_OF, match: str = "sou
     critical = ((_is_lab("creatinine", match) & (value > 4.0))
                 | (_is_lab("potassium", match) & ((value < 3.0) | (value > 6.0)))
                 | (_is_lab("hemoglobin", match) & (value < 8.0)))
-    parts = [
-        visit_counts(cdm.visit_occurrence).select("person_id", "inpatient"),
-        cdm.drug_exposure.groupBy("person_id").agg(F.count_distinct("drug_source_value").alias("drugs")),
-        cdm.condition_occurrence.groupBy("person_id").agg(
-            F.count_distinct("condition_source_value").alias("conditions")),
-        cdm.measurement.groupBy("person_id").agg(F.bool_or(critical).alias("critical")),
-    ]
-    rows = cdm.person.select("person_id", (F.lit(as_of.year) - F.col("year_of_birth")).alias("age"))
-    for part in parts:
-        rows = rows.join(part, "person_id", "left")
+
+    def figures(part: Cdm) -> DataFrame:
+        rows = part.person.select("person_id", (F.lit(as_of.year) - F.col("year_of_birth")).alias("age"))
+        for counted in (
+                visit_counts(part.visit_occurrence).select("person_id", "inpatient"),
+                part.drug_exposure.groupBy("person_id").agg(F.count_distinct("drug_source_value").alias("drugs")),
+                part.condition_occurrence.groupBy("person_id").agg(F.count_distinct("condition_source_value").alias("conditions")),
+                part.measurement.groupBy("person_id").agg(F.bool_or(critical).alias("critical"))):
+            rows = rows.join(counted, "person_id", "left")
+        return rows
+
+    rows = cdm.each(figures)
     # FIXED VALUES: factor name, condition, detail, points
     factors = [
         ("Frequent Hospitalizations", F.col("inpatient") >= 2,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from clinspan.config import DeidConfig, TokenConfig
 from clinspan.fixed import concepts as fixed
 from clinspan.operators import analytics, cdm, deid, ingest, linkage, notes
-from clinspan.operators.tables import side_by_side
-from clinspan.session import active, shared_dir
+from clinspan.operators.tables import side_by_side, union_all
+from clinspan.session import active, shared_dir, sql_literal
 from clinspan.sources import csv_in
 
 
@@ -24,21 +25,59 @@ def person_links(patients: DataFrame, tokens: TokenConfig) -> DataFrame:
     return links.join(cdm.person_index(links), "patient_token")
 
 
-def write_cdm(tables: cdm.Cdm, folder: str) -> cdm.Cdm:
+#: A person with more rows than this in one table lies apart from the others.
+MANY_ROWS = 1_000_000
+
+
+def crowded_persons(*facts: DataFrame) -> DataFrame:
+    """Persons with very many rows in one of the tables; only a few can have them."""
+    counts = [t.groupBy("person_id").agg(F.count("*").alias("n")) for t in facts]
+    return union_all(counts).where(F.col("n") > MANY_ROWS).select("person_id").distinct()
+
+
+def _named(folder: str, name: str) -> str:
+    """The name of a stored table in the session's catalog, which knows how its rows lie."""
+    return f"cdm_{hashlib.sha256(folder.encode()).hexdigest()[:16]}_{name}"
+
+
+def write_cdm(tables: cdm.Cdm, folder: str, crowded: DataFrame | None = None, buckets: int | None = None) -> cdm.Cdm:
     """Write the five tables, with all their declared columns, as Parquet and return readers over them.
 
-    Later queries start from these files: they read only the columns they use, and losing an
-    executor costs a re-read instead of a re-run of linkage and de-identification.
+    Rows lie in ``buckets`` by person (as many as shuffle partitions), so that what groups or joins by person later reads
+    its columns and shuffles nothing; losing an executor costs a re-read instead of a re-run of linkage and
+    de-identification. A bucket is read by one task, so the rows of ``crowded`` persons lie apart, in no buckets.
     """
+    buckets = buckets or int(active().conf.get("spark.sql.shuffle.partitions"))
+    apart = crowded is not None and not crowded.isEmpty()
     for name, table in tables.tables().items():
-        cdm.conform(table, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        table = rows = cdm.conform(table, name)
+        if apart:
+            rows = table.join(F.broadcast(crowded), "person_id", "left_anti")
+            table.join(F.broadcast(crowded), "person_id", "left_semi").write.mode("overwrite").parquet(f"{folder}/crowded/{name}")
+        rows.repartition(buckets, "person_id").write.mode("overwrite").bucketBy(buckets, "person_id").sortBy("person_id").option(
+            "path", f"{folder}/{name}").saveAsTable(_named(folder, name))
+    active().range(1).select(F.lit(buckets).alias("buckets"), F.lit(apart).alias("apart")).write.mode("overwrite").parquet(
+        f"{folder}/layout")
     return read_cdm(folder)
 
 
 def read_cdm(folder: str) -> cdm.Cdm:
+    """The tables stored in a folder, also by another session."""
     spark = active()
-    return cdm.Cdm(**{name: spark.read.parquet(f"{folder}/{name}")
-                      for name in cdm.Cdm.__dataclass_fields__})
+    layout = spark.read.parquet(f"{folder}/layout").first()
+
+    def table(name: str) -> DataFrame:
+        if not spark.catalog.tableExists(_named(folder, name)):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{folder}/{name}").schema)
+            spark.sql(f"CREATE TABLE {_named(folder, name)} ({columns}) USING parquet CLUSTERED BY (person_id) SORTED BY (person_id)"
+                      f" INTO {layout.buckets} BUCKETS LOCATION {sql_literal(f'{folder}/{name}')}")
+        return spark.table(_named(folder, name))
+
+    even = cdm.Cdm(**{name: table(name) for name in cdm.TABLES}, by_person=True)
+    if not layout.apart:
+        return even
+    rest = cdm.Cdm(**{name: spark.read.parquet(f"{folder}/crowded/{name}") for name in cdm.TABLES})
+    return cdm.Cdm(**{n: t.unionByName(getattr(rest, n)) for n, t in even.tables().items()}, parts=(even, rest))
 
 
 #: What an upload has no values of: column and type of an observation.
@@ -76,8 +115,9 @@ def process(patients: DataFrame, encounters: DataFrame, observations: DataFrame
     links = keep("person_links", person_links(patients, tokens))
     people = keep("deid_patient", deid.deid_patient(patients, links, settings))
     visits = keep("deid_encounter", deid.deid_encounter(encounters, links, settings))
-    tables = cdm.build(people, visits, deid.deid_observation(observations, links, settings), keep, unique)
-    return Processed(write_cdm(tables, folder), people, visits)
+    facts = keep("deid_observation", deid.deid_observation(observations, links, settings))
+    tables = cdm.build(people, visits, facts, keep, unique)
+    return Processed(write_cdm(tables, folder, keep("crowded_persons", crowded_persons(visits, facts))), people, visits)
 
 
 def run(patients: DataFrame, encounters: DataFrame, observations: DataFrame | None,

@@ -412,19 +412,19 @@ def _(x):
 
 @query("lab_trend", "SELECT person_id, measurement_source_value, n, first_value, last_value, direction, unit FROM trend")
 def _(x):
-    return insights.lab_trend(x.cdm.measurement)
+    return insights.lab_trends(x.cdm)
 
 
 @query("lab_trend_values", """SELECT s.person_id, s.measurement_source_value, s.measurement_id,
     round(s.value_as_number, 2) AS value, t.n FROM steps s JOIN trend t USING (person_id, measurement_source_value)""")
 def _(x):
-    found = insights.lab_trend(x.cdm.measurement)
+    found = insights.lab_trends(x.cdm)
     return insights.trend_values(x.cdm.measurement, found).drop("measurement_datetime")
 
 
 @query("recommendation_lookup", "SELECT person_id, measurement_source_value, direction, advice AS actions FROM trend_actions")
 def _(x):
-    return insights.trend_actions(insights.lab_display(insights.lab_trend(x.cdm.measurement))).select(
+    return insights.trend_actions(insights.lab_display(insights.lab_trends(x.cdm))).select(
         "person_id", "measurement_source_value", "direction", joined("actions"))
 
 
