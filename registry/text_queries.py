@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clinspan.fixed import patterns, vocabularies
 from clinspan.functions import spans
 from clinspan.functions.normalize import word_count
-from clinspan.operators import notes, phi, records, terminology
+from clinspan.operators import lookup, notes, phi, records, terminology
 from clinspan.plans import pipeline
 from clinspan.session import shared_dir
 from clinspan.sources import export, text_in
@@ -330,3 +330,48 @@ def _(x):
 @query("step_report", sql.PIPELINE)
 def _(x):
     return pipeline.step_report(x.patient, x.encounter, x.observation, x.cdm, x.people, x.tokens_config)
+
+
+# --- vocabularies and dictionaries that are tables ---------------------------------------------
+
+_PART_NAMES = "(SELECT p_partkey AS ord, lower(p_name || ' ' || p_type || ' ' || p_brand) AS name FROM part)"
+_PART_TEXTS = """(SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 0 THEN upper(p_name) || '  old ' || p_brand
+    WHEN l_linenumber % 4 = 1 THEN p_type || ' ' || p_name WHEN l_linenumber % 4 = 2 THEN 'a ' || p_brand || ' of ' || l_suppkey || ' ' || p_type
+    ELSE p_name || ' ' || p_type || ' ' || p_brand END AS t FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+
+@query("vocabulary_match", f"""SELECT * FROM (WITH texts AS (SELECT DISTINCT t, list_distinct(regexp_extract_all(lower(t), '\\S+')) AS mine FROM {_PART_TEXTS}),
+    names AS (SELECT ord, list_distinct(string_split(name, ' ')) AS theirs FROM {_PART_NAMES}),
+    pairs AS (SELECT t, ord, len(list_intersect(mine, theirs)) AS shared, len(mine) AS n, greatest(len(mine), len(theirs)) AS most FROM texts, names),
+    best AS (SELECT t, arg_min(ord, (-shared / most, ord)) AS ord FROM pairs
+        WHERE shared >= least(2, n) AND shared >= n * 0.6 GROUP BY t)
+    SELECT l_orderkey, l_linenumber, cast(ord AS varchar) AS code FROM {_PART_TEXTS} LEFT JOIN best USING (t))""")
+def _(x):
+    """Lines of text about parts, matched to the names of all parts by shared words."""
+    parts = x._derive("SELECT p_partkey AS ord, cast(p_partkey AS string) AS code, p_name || ' ' || p_type || ' ' || p_brand AS description,"
+                      " CAST(NULL AS string) AS long_description FROM {part}", "part")
+    texts = x._derive(f"SELECT * FROM {_PART_TEXTS}".replace("FROM lineitem JOIN part", "FROM {lineitem} JOIN {part}"), "lineitem", "part")
+    return lookup.match(texts, "icd10", parts, "t").select("l_orderkey", "l_linenumber", F.col("match.code").alias("code"))
+
+
+_PHRASES = """(SELECT DISTINCT array_to_string(w[s:s + 1], ' ') AS phrase FROM (SELECT w, unnest(range(1, len(w))) AS s
+    FROM (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark)) WHERE lower(w[s]) <> lower(w[s + 1]))"""
+
+
+@query("phrase_table_match", f"""SELECT * FROM (WITH pieces AS (SELECT doc_id, phrase, string_split(lower(text), lower(phrase)) AS p, length(phrase) AS size
+        FROM documents JOIN {_PHRASES} ON contains(lower(text), lower(phrase))),
+    cut AS (SELECT doc_id, phrase, size, unnest(range(1, len(p))) AS i, p FROM pieces),
+    hits AS (SELECT doc_id, phrase, list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * size AS start FROM cut
+        WHERE NOT regexp_matches(CASE WHEN p[i] = '' AND i > 1 THEN 'x' ELSE right(p[i], 1) END, '[A-Za-z0-9]')
+        AND NOT regexp_matches(CASE WHEN p[i + 1] = '' AND i + 1 < len(p) THEN 'x' ELSE left(p[i + 1], 1) END, '[A-Za-z0-9]'))
+    SELECT lower(phrase) AS phrase, count(DISTINCT doc_id) AS documents, count(*) AS hits, cast(sum(start) AS bigint) AS starts
+    FROM (SELECT DISTINCT doc_id, lower(phrase) AS phrase, start FROM hits) GROUP BY 1)""")
+def _(x):
+    """Pairs of different words of the benchmark, looked up in all documents."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)
+    pairs = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
+    dictionary = x.table("benchmark").select(F.explode(pairs).alias("phrase")).select(F.lower("phrase").alias("phrase")).where(
+        F.split("phrase", " ")[0] != F.element_at(F.split("phrase", " "), -1)).distinct()
+    found = lookup.phrases(x.table("documents").select("doc_id", "text"), dictionary)
+    return found.groupBy("phrase").agg(
+        F.count_distinct("doc_id").alias("documents"), F.count("*").alias("hits"), F.sum("start").cast("bigint").alias("starts"))
