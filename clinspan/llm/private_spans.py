@@ -8,8 +8,8 @@ for its kind) is scored by features of the whole span, the rest of the run goes
 dynamic programming chooses boundaries and kinds of the run jointly. Segments that touch no base span
 are added; base spans always stay.
 
-The weights are fitted by likelihood on at most ``SAMPLE_RUNS`` runs of the given texts, those of least
-hash, with base spans as the truth.
+The weights are fitted by likelihood on at most ``SAMPLE_RUNS`` different runs of up to ``LEARNED_RUN`` characters,
+those of least hash, with base spans as the truth.
 
 Offsets are code points, ends exclusive. Defined cases: null and empty texts have no spans; very long
 texts are read whole, in time linear in their length; a run of any length is cut with segments of at
@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from clinspan.llm.stored import discard, store
+
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_RUNS = 1500
-FEW_TASKS = 8  # each sends the driver its least, so their number may not grow with the input
+LEARNED_RUN = 200  # characters of a run that is learned from at most; runs of any length are searched
 ROUNDS, RATE, SHRINK = 6, 0.1, 1e-4
 MOST_TOKENS = 12
 LEAST_RUN_DIGITS = 9
@@ -224,12 +226,11 @@ def all_spans(text: str, weights: dict[str, float]) -> list[tuple[str, int, int,
     for low, high in runs(text):  # ascending, as are the base spans
         while at < len(taken) and taken[at][0] < low and not any(z > low for _, z in taken[at:at + 4]):
             at += 1
-        near = []
-        for a, z in taken[at:]:
-            if a >= high:
-                break
-            if z > low:
-                near.append((a, z))
+        near, k = [], at
+        while k < len(taken) and taken[k][0] < high:
+            if taken[k][1] > low:
+                near.append(taken[k])
+            k += 1
         starts, spans = segments(text[low:high], text[max(low - 1, 0):low], text[high:high + 1])
         for i, j, kind in best(len(starts) - 1, spans, weights):
             a, z = low + starts[i], low + starts[j]
@@ -239,33 +240,39 @@ def all_spans(text: str, weights: dict[str, float]) -> list[tuple[str, int, int,
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """Weights from at most ``SAMPLE_RUNS`` runs of the texts, those of least hash."""
+    """Weights from at most ``SAMPLE_RUNS`` different runs of up to ``LEARNED_RUN`` characters, those of least hash.
+
+    The driver gets a share of the hashes that holds just over so many runs, whatever the number of tasks.
+    """
+    names = ["run", "left", "right", "spans", "hash"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows = set()
             for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
                 found = None
-                for low, high in runs(text):
+                for low, high in runs(text) if text else ():
+                    if high - low > LEARNED_RUN:
+                        continue
                     found = found or base_spans(text)
                     inside = [f"{kind}:{a - low}:{z - low}" for kind in KINDS[1:] for a, z in found[kind]
                               if low <= a and z <= high]
-                    line = "\t".join([text[low:high], text[max(low - 1, 0):low], text[high:high + 1], *inside])
-                    if len(line) < 200:
-                        rows.append((line, hashlib.md5(line.encode()).hexdigest()))
+                    rows.add((text[low:high], text[max(low - 1, 0):low], text[high:high + 1], " ".join(inside)))
+            hashes = [int.from_bytes(hashlib.md5(repr(r).encode()).digest()[:7]) for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["line", "hash"])
-
-    rows = (docs.select(text_col).mapInArrow(run, "line string, hash string").distinct()
-            .coalesce(FEW_TASKS).orderBy("hash").limit(SAMPLE_RUNS).collect())
+                [*[pa.array([r[k] for r in rows], pa.string()) for k in range(4)], pa.array(hashes, pa.int64())], names)
+
+    found = store(docs.select(text_col).mapInArrow(
+        run, "run string, left string, right string, spans string, hash long").distinct(), "runs")
+    share = 2 * SAMPLE_RUNS / max(found.count(), 1)
+    rows = found.where(F.col("hash") < int(min(share, 1.0) * (1 << 56))).collect()
+    if len(rows) < SAMPLE_RUNS and share < 1:  # hashes as uneven as this do not happen; the exact way for them
+        rows = found.orderBy("hash").limit(SAMPLE_RUNS).collect()
+    discard(found)
     samples = []
-    for row in rows:
-        fields = row.line.split("\t")
-        if len(fields) < 3:
-            continue
-        truth = frozenset((k, int(a), int(z)) for k, a, z in (f.split(":") for f in fields[3:] if f.count(":") == 2))
-        samples.append((fields[0], fields[1], fields[2], truth))
+    for row in sorted(rows, key=lambda r: (r["hash"], r["run"], r["left"], r["right"], r["spans"]))[:SAMPLE_RUNS]:
+        truth = frozenset((k, int(a), int(z)) for k, a, z in (f.split(":") for f in row["spans"].split()))
+        samples.append((row["run"], row["left"], row["right"], truth))
     return fit_runs(samples)
 
 

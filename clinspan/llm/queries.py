@@ -87,7 +87,7 @@ def op3(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold != 1)
     model = toxicity.fit(docs, labels)
     return toxicity.score_documents(docs, model).select(
-        "doc_id", (fold == 1).alias("held_out"), "score",
+        "doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
 
 

@@ -38,7 +38,6 @@ from clinspan.llm.stored import discard, store
 PERCENT = 75
 SAMPLE_ONE_IN = 64      # texts read for the frequent shingles
 MOST_FREQUENT = 20_000  # frequent shingles known to all tasks at most
-FEW_TASKS = 8           # each sends the driver its best, so their number may not grow with the input
 PIECE = 1024            # members of a list that one task compares with as many others
 CLOSEST = 8             # candidates a class meets in the first walk
 LEAF, FAN = 16, 8
@@ -307,11 +306,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent(texts: DataFrame) -> np.ndarray:
-    """Codes of shingles that are frequent in one of ``SAMPLE_ONE_IN`` texts, at most ``MOST_FREQUENT``, sorted."""
-    rows = (
+    """Codes of shingles that are frequent in one of ``SAMPLE_ONE_IN`` texts, at most ``MOST_FREQUENT``, sorted: all that
+    are seen more often than a number which the counts of counts tell, so the driver gets no more than it keeps."""
+    counted = store(
         texts.where(F.pmod(F.crc32(F.encode("__text", "UTF-8")), F.lit(SAMPLE_ONE_IN)) == 0).select("__text")
-        .mapInArrow(_map_frequent, "code long, times long").groupBy("code").agg(F.sum("times").alias("times"))
-        .coalesce(FEW_TASKS).orderBy(F.desc("times"), "code").limit(MOST_FREQUENT).collect())
+        .mapInArrow(_map_frequent, "code long, times long").groupBy("code").agg(F.sum("times").alias("times")), "frequent")
+    more = Window.orderBy(F.desc("times")).rowsBetween(Window.unboundedPreceding, 0)
+    sizes = counted.groupBy("times").agg(F.count("*").alias("codes")).withColumn("upto", F.sum("codes").over(more))
+    least = sizes.where(F.col("upto") <= MOST_FREQUENT).agg(F.min("times")).first()[0]
+    rows = [] if least is None else counted.where(F.col("times") >= least).select("code").collect()
+    discard(counted)
     return np.sort(np.array([r.code for r in rows], np.int64).astype(np.uint64))
 
 

@@ -1,6 +1,6 @@
 """Toxicity by compression distance: which of two zstandard dictionaries shortens a text's windows more.
 
-Fitting reads a bounded sample of labelled texts. A string's evidence for a class is the likelihood
+Fitting reads the whole texts of a bounded sample of labels. A string's evidence for a class is the likelihood
 ratio of the number of different words it follows in each class, so a passage that is only copied
 counts once. The toxic dictionary holds the words with evidence for the toxic class, the ordinary one
 those with evidence for the other; both end in the same words that are common in ordinary text, at the
@@ -27,14 +27,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from clinspan.llm import octets
+from clinspan.llm import octets, packed
+from clinspan.llm.stored import discard, store
 
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 2500, 5000  # labelled texts read for fitting at most, those of least hash
-SAMPLE_BYTES = 8_000      # of each of them, from its start
+MOST_STRINGS = 20_000     # of each class that the driver chooses among; a dictionary holds some hundreds
 LEAST_CONTEXTS = 4        # different words a string with evidence follows
 LEAST_EVIDENCE = 25.0     # likelihood ratio statistic
 LEAST_RATIO = 5.0         # of its rates in the two classes
@@ -69,17 +70,6 @@ def plain(text: bytes) -> bytes:
     return b" " + text.translate(_PLAIN) + b" "
 
 
-@dataclass(frozen=True)
-class Contexts:
-    """Words and word starts of some texts, and the number of different words each follows."""
-
-    data: bytes
-    keys: np.ndarray    # hashes of the strings, in order
-    counts: np.ndarray
-    spans: np.ndarray   # where each string stands first
-    words: int          # sum of the counts of whole words
-
-
 def _strings(data: bytes, base: int, size: int | None) -> tuple[np.ndarray, ...]:
     """Of whole words, or starts of ``size`` bytes: hash of string and word before, hash, where it stands."""
     octet = np.frombuffer(data, np.uint8)
@@ -93,56 +83,98 @@ def _strings(data: bytes, base: int, size: int | None) -> tuple[np.ndarray, ...]
     return octets.mix(name * octets.BASE ^ before[fits]), name, low[fits] + base, high[fits] + base
 
 
-def contexts(texts: list[bytes]) -> Contexts:
-    """Strings with the space before them: whole words with the space behind, and the starts of longer ones."""
-    parts, bases, at = [], [0], 0
-    texts = sorted(set(texts))
-    while at < len(texts):  # parts of a megabyte, and one kind of string after the other: the driver's memory is small
-        held, size = [], 0
-        while at < len(texts) and (not held or size + len(texts[at]) <= octets.SLICE_BYTES):
-            held.append(texts[at])
-            size += len(texts[at])
-            at += 1
-        parts.append(b"".join(held))
-        bases.append(bases[-1] + size)
-    keys, counts, spans, words = [], [], [], 0
-    for kind in (None, *START) if parts else ():
-        pair, name, low, high = (np.concatenate(x) for x in zip(*(_strings(d, b, kind) for d, b in zip(parts, bases))))
-        _, first = np.unique(pair, return_index=True)  # a string behind a word, once
-        key, place, count = np.unique(name[first], return_index=True, return_counts=True)
-        keys.append(key)
-        counts.append(count)
-        spans.append(np.stack((low[first[place]], high[first[place]]), axis=1))
-        words = words or int(count.sum())
-    if not keys:
-        return Contexts(b"", np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), 0)
-    keys, counts, spans = np.concatenate(keys), np.concatenate(counts), np.concatenate(spans)
-    order = np.argsort(keys, kind="stable")
-    return Contexts(b"".join(parts), keys[order], counts[order], spans[order], words)
-
-
-def _likelihood(k: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(k > 0, k * np.log(k / n / p), 0.0) + np.where(n > k, (n - k) * np.log((n - k) / n / (1 - p)), 0.0)
-
-
-def evidence(mine: Contexts, other: Contexts) -> list[bytes]:
-    """Strings that follow many more words in the one class, strongest first.
+def _map_pairs(buckets: int):
+    """Strings of (label, text) with the word before each, once a batch: whole words with the spaces around them, and the
+    starts of longer ones. Packed by string, so that all its pairs meet."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels, held = batch.column(0).to_numpy(), []
+            for at, to, data, offsets in octets.slices(batch.column(1)):
+                whole, ends = data.tobytes(), offsets.tolist()
+                for row, a, z in zip(range(at, to), ends[:-1], ends[1:]):
+                    text = plain(whole[a:z])
+                    for kind in (None, *START):
+                        pair, name, _, _ = _strings(text, 0, kind)
+                        _, first = np.unique(pair, return_index=True)
+                        held.append((pair[first], name[first], np.full(len(first), 2 * (kind is None) + labels[row], np.uint8)))
+            if not held:
+                continue
+            pair, name, kind = (np.concatenate(x) for x in zip(*held))
+            _, first = np.unique(np.stack((pair, kind.astype(np.uint64)), 1), axis=0, return_index=True)
+            pair, name, kind = pair[first], name[first], kind[first]
+            bucket, _ = packed.bucket_and_key(name, buckets)
+            yield packed.pack(bucket, {"pair": pair, "name": name, "kind": kind})
+    return run
+
+
+def _count_pairs(table: pa.Table) -> pa.Table:
+    """For each string of a bucket that follows enough different words in a class, how many it follows in each; and, with
+    no string, the sums over whole words of the bucket."""
+    pair, name, kind = (packed.unpack(table[n], k) for n, k in (("pair", np.uint64), ("name", np.uint64), ("kind", np.uint8)))
+    _, first = np.unique(np.stack((pair, kind.astype(np.uint64)), 1), axis=0, return_index=True)
+    name, kind = name[first], kind[first]
+    keys, place = np.unique(name, return_inverse=True)
+    toxic, ordinary = (np.bincount(place[kind & 1 == k], minlength=len(keys)) for k in (1, 0))
+    often = np.maximum(toxic, ordinary) >= LEAST_CONTEXTS
+    return pa.table({
+        "name": pa.array([*keys[often].view(np.int64).tolist(), None], pa.int64()),
+        "toxic": pa.array([*toxic[often].tolist(), int((kind == 3).sum())], pa.int64()),
+        "ordinary": pa.array([*ordinary[often].tolist(), int((kind == 2).sum())], pa.int64())})
+
+
+def _likelihood(k: Column, n: Column, p: Column) -> Column:
+    def part(x: Column, share: Column) -> Column:
+        return F.when(x > 0, x * F.ln(x / n / share)).otherwise(0.0)
+    return part(k, p) + part(n - k, 1 - p)
+
+
+def evidence(sample: DataFrame) -> tuple[dict[bytes, float], dict[bytes, float]]:
+    """Of stored (label, text), the strings that follow many more words in toxic texts with their evidence, and those that
+    do so in ordinary ones; the ``MOST_STRINGS`` strongest each."""
+    spark = sample.sparkSession
+    counts = store(
+        sample.select("label", "text").mapInArrow(_map_pairs(packed.bucket_count(spark)), packed.ddl(["pair", "name", "kind"]))
+        .groupBy("bucket").applyInArrow(_count_pairs, "name long, toxic long, ordinary long"), "toxic-counts")
+    words = counts.where("name IS NULL").agg(F.sum("toxic"), F.sum("ordinary")).first()
+    sides: list[dict[int, float]] = []
+    for mine, other, m, o in (("toxic", "ordinary", *words), ("ordinary", "toxic", *words[::-1])):
+        if not m or not o:
+            return {}, {}
+        k, j, m, o = F.col(mine), F.col(other), F.lit(float(m)), F.lit(float(o))
+        p = (k + j) / (m + o)
+        value = 2 * (_likelihood(k, m, p) + _likelihood(j, o, p))
+        good = counts.where(F.col("name").isNotNull() & (k >= LEAST_CONTEXTS) & (k / m >= LEAST_RATIO * (j + 1) / o))
+        rows = good.select("name", value.alias("value")).where(F.col("value") > LEAST_EVIDENCE)
+        # few tasks hold them: the counts of a sample of bounded size
+        sides.append({r.name: r.value for r in rows.orderBy(F.desc("value"), "name").limit(MOST_STRINGS).collect()})
+    discard(counts)
+    wanted = np.array(sorted({*sides[0], *sides[1]}), np.int64)
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, bytes] = {}
+        for batch in batches:
+            for _, _, data, offsets in octets.slices(batch.column(0)):
+                whole, ends = data.tobytes(), offsets.tolist()
+                for a, z in zip(ends[:-1], ends[1:]):
+                    text = plain(whole[a:z])
+                    for kind in (None, *START):
+                        _, name, low, high = _strings(text, 0, kind)
+                        for i in np.flatnonzero(np.isin(name.view(np.int64), wanted)).tolist():
+                            found.setdefault(int(name[i].view(np.int64)), text[low[i]:high[i]])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["name", "string"])
+
+    spelling = {r["name"]: bytes(r["string"]) for r in sample.select("text").mapInArrow(
+        spelled, "name long, string binary").groupBy("name").agg(F.min("string").alias("string")).collect()}
+    return tuple({spelling[n]: v for n, v in side.items()} for side in sides)
+
+
+def choose(found: dict[bytes, float]) -> list[bytes]:
+    """Strings for a dictionary, strongest first.
 
     Of strings that begin alike the strongest stands for all; it is a whole word if one word has nearly
     all of its evidence, as longer matches tell more, and else the common start of many words.
     """
-    m, o = mine.words, other.words
-    if not m or not o:
-        return []
-    often = mine.counts >= LEAST_CONTEXTS
-    k, spans, keys = mine.counts[often], mine.spans[often], mine.keys[often]
-    place = np.minimum(np.searchsorted(other.keys, keys), len(other.keys) - 1)
-    j = np.where(other.keys[place] == keys, other.counts[place], 0)
-    p = (k + j) / (m + o)
-    value = 2 * (_likelihood(k, m, p) + _likelihood(j, o, p))
-    good = (k / m >= LEAST_RATIO * (j + 1) / o) & (value > LEAST_EVIDENCE)
-    found = {mine.data[a:z]: v for (a, z), v in zip(spans[good].tolist(), value[good].tolist())}
     taken, covered, chosen = set(), set(), []
     for string in sorted(found, key=lambda x: (-found[x], len(x), x)):
         starts = [string[:n] for n in range(START[0], len(string) + 1)]
@@ -155,25 +187,37 @@ def evidence(mine: Contexts, other: Contexts) -> list[bytes]:
     return [next((w for w in words if w.startswith(x) and found[w] >= WHOLE * found[x]), x) for x in chosen]
 
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+def _map_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of a task each longer word is."""
+    seen: Counter = Counter()
+    for batch in batches:
+        for _, _, data, offsets in octets.slices(batch.column(0)):
+            whole, ends = data.tobytes(), offsets.tolist()
+            for a, z in zip(ends[:-1], ends[1:]):
+                seen.update({w for w in plain(whole[a:z]).split() if len(w) > 4})
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "texts"])
+
+
+def dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
     """The toxic and the ordinary dictionary, of equal length and with the same end.
 
     Long strings lose the space behind them, so that a match leaves the next word's start to match.
     """
-    t, o = contexts(toxic), contexts(ordinary)
     sides = []
-    for strings in (evidence(t, o), evidence(o, t)):
+    for found in evidence(sample):
         held, size = [], 0
-        for string in strings:
+        for string in choose(found):
             string = string if len(string) < 7 else string.rstrip()
             size += len(string) + 1
             if size > EVIDENCE_BYTES:
                 break
             held.append(string + GLUE)
         sides.append(b"".join(reversed(held)))
-    seen = Counter(word for text in ordinary for word in set(text.split()) if len(word) > 4)
-    common = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:COMMON_WORDS]]
-    end = b"".join(b" " + w + GLUE for w in reversed(common)) + CARRIER
+    common = (
+        sample.where("label = 0").select("text").mapInArrow(_map_words, "word binary, texts long").groupBy("word")
+        .agg(F.sum("texts").alias("texts")).orderBy(F.desc("texts"), "word").limit(COMMON_WORDS).collect())
+    end = b"".join(b" " + bytes(r["word"]) + GLUE for r in reversed(common)) + CARRIER
     size = max(8, *map(len, sides))
     return tuple(GLUE * (size - len(side)) + side + end for side in sides)
 
@@ -214,13 +258,8 @@ def score(texts: list[bytes], model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ np.array(model.weight[:-1]) + model.weight[-1], -50, 50)))
 
 
-def fit_texts(toxic: list[bytes], ordinary: list[bytes]) -> Model:
-    """A model out of plain texts of both classes."""
-    if not toxic or not ordinary:
-        return Model(b"", b"", base=float(bool(toxic)))
-    model = Model(*dictionaries(toxic, ordinary))
-    x = describe(toxic + ordinary, model)
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
+def fit_figures(x: np.ndarray, y: np.ndarray, model: Model) -> Model:
+    """The logistic function of texts' figures, whose classes are ``y``."""
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
     ridge = 1e-2 * np.eye(z.shape[1])
@@ -231,23 +270,44 @@ def fit_texts(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     return Model(model.toxic, model.ordinary, tuple(mean), tuple(scale), tuple(weight))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most ``TOXIC_SAMPLE`` and ``ORDINARY_SAMPLE`` labelled texts, those of least hash of the id.
-
-    The ids are chosen among the labels alone, so only that bounded list meets the texts.
-    """
+def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(label, text): the whole texts of the labels of least hash of the id. The ids are chosen among the labels alone, so
+    only that bounded list meets the texts. Copies weigh as often as they are labelled."""
     chosen = None
     for label, most in ((1, TOXIC_SAMPLE), (0, ORDINARY_SAMPLE)):
         some = labels.where((F.col(label_col) == label) & F.col(id_col).isNotNull()).select(
-            F.col(id_col).alias("__id"), F.lit(label).alias("__label")).distinct().orderBy(
+            F.col(id_col).alias("__id"), F.lit(label).alias("label")).distinct().orderBy(
             F.xxhash64("__id"), "__id").limit(most)
         chosen = some if chosen is None else chosen.union(some)
-    rows = (
-        docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text is not null")
-        .join(F.broadcast(chosen), "__id")
-        .select("__label", F.substring(F.encode("__text", "UTF-8"), 1, SAMPLE_BYTES).alias("__text"))
-        .orderBy(F.xxhash64("__text"), "__label").limit(TOXIC_SAMPLE + ORDINARY_SAMPLE).collect())
-    return fit_texts(*([plain(bytes(r["__text"])) for r in rows if r["__label"] == label] for label in (1, 0)))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).where("text is not null")
+    return rows.join(F.broadcast(chosen), "__id").select("label", "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fit on the whole texts of at most ``TOXIC_SAMPLE`` and ``ORDINARY_SAMPLE`` labels.
+
+    Strings are counted and windows compressed where the texts lie; counts and figures come to the driver, no texts.
+    """
+    sample = store(sample_of(docs, labels, id_col, text_col, label_col).repartition(
+        docs.sparkSession.sparkContext.defaultParallelism, F.xxhash64("text")), "toxic-sample")
+    present = {r.label for r in sample.select("label").distinct().collect()}
+    if len(present) < 2:
+        discard(sample)
+        return Model(b"", b"", base=float(1 in present))
+    model = Model(*dictionaries(sample))
+
+    def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for _, _, data, offsets in octets.slices(batch.column(1)):
+                whole, ends = data.tobytes(), offsets.tolist()
+                found += describe([plain(whole[a:z]) for a, z in zip(ends[:-1], ends[1:])], model).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["label", "figures"])
+
+    rows = sample.select("label", "text").mapInArrow(figures, "label int, figures array<double>").collect()
+    rows = sorted((r["label"], r["figures"]) for r in rows)  # sums do not depend on the order of tasks
+    discard(sample)
+    return fit_figures(np.array([f for _, f in rows]), np.array([float(y) for y, _ in rows]), model)
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:

@@ -38,14 +38,51 @@ def test_toxicity_held_out(rude):
     assert all(0 <= r.score <= 1 for r in scored)
 
 
-def test_toxicity_evidence_is_counted_by_context():
+def test_toxicity_evidence_is_counted_by_context(spark):
     rng = random.Random(1)
-    copied = toxicity.plain(b"glorious copied passage")
-    toxic = [toxicity.plain(sentences(rng, 4).encode()) + copied for _ in range(60)]
-    ordinary = [toxicity.plain(sentences(rng, 0).encode()) for _ in range(120)]
-    found = toxicity.evidence(toxicity.contexts(toxic), toxicity.contexts(ordinary))
-    found = {x.strip().decode() for x in found}
-    assert set(INSULTS) <= found and not {"copied", "passage"} & found
+    rows = [(1, sentences(rng, 4) + " glorious copied passage") for _ in range(60)] + [(0, sentences(rng, 0)) for _ in range(120)]
+    found = toxicity.evidence(spark.createDataFrame(rows, "label int, text string").repartition(4))[0]
+    # the same by brute force: different words before each whole word
+    before, total = [{}, {}], [0, 0]
+    for label, text in rows:
+        words = ["", *toxicity.plain(text.encode()).split()]
+        for a, b in zip(words, words[1:]):
+            before[label].setdefault(b, set()).add(a)
+    total = [sum(map(len, x.values())) for x in before]
+    for word, contexts in before[1].items():
+        k, j = len(contexts), len(before[0].get(word, ()))
+        p = (k + j) / sum(total)
+        value = 2 * sum(x * np.log(x / n / q) for x, n, q in (
+            (k, total[1], p), (total[1] - k, total[1], 1 - p), (j, total[0], p), (total[0] - j, total[0], 1 - p)) if x)
+        good = k >= 4 and k / total[1] >= toxicity.LEAST_RATIO * (j + 1) / total[0] and value > toxicity.LEAST_EVIDENCE
+        key = b" " + word + b" "
+        assert (key in found) == good and (not good or abs(found[key] - value) < 1e-6)
+    chosen = {x.strip().decode() for x in toxicity.choose(found)}
+    assert set(INSULTS) <= chosen and not {"copied", "passage"} & chosen
+
+
+def test_toxicity_is_learned_from_the_end_of_long_texts(spark):
+    """Insults stand behind 20,000 bytes of ordinary words, in fitting and in scoring."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(sentences(rng, 0) for _ in range(40)) + " " + sentences(rng, 6 * (i % 2)), i % 2) for i in range(160)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert min(len(t) for _, t, _ in rows) > 15_000
+    model = toxicity.fit(frame.select("doc_id", "text"), frame.where("doc_id < 100").select("doc_id", "toxic"))
+    scored = toxicity.score_documents(frame.where("doc_id >= 100"), model).collect()
+    assert np.mean([(r.score >= toxicity.REJECT) == bool(r.toxic) for r in scored]) > 0.95
+
+
+def test_toxicity_query_on_held_out_labels(spark):
+    """Precision and recall on labels that were not learned from, also of texts over 8,000 bytes."""
+    folder = SF.replace("0.001", "0.1")
+    rows = QUERIES["op3_toxicity"](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").join(
+        spark.read.parquet(f"{folder}/documents.parquet").selectExpr("doc_id", "octet_length(text) AS size"), "doc_id").collect()
+    for least in (0, 8_000):
+        some = [r for r in rows if r.size >= least and r.toxic is not None]
+        right = sum(r.predicted and r.toxic for r in some)
+        print("precision, recall", least, right / max(1, sum(r.predicted for r in some)), right / max(1, sum(r.toxic for r in some)), len(some))
+        # some 300 toxic texts are learned from here; measured 0.98 and 0.82, over 8,000 bytes 1.0 and 0.9
+        assert right >= 0.9 * sum(r.predicted for r in some) and right >= 0.75 * sum(r.toxic for r in some)
 
 
 def test_toxicity_without_two_classes(rude):
