@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clinspan.session import active, complete, exists
+
 HEX_DIGITS = 4
 BLOCK_ROWS = 100_000
 
@@ -118,3 +120,35 @@ def number_in_order(df: DataFrame, group: str, position: str, flag: Column, out:
     placed = bucketed.withColumn("_place", F.count_if("_flag").over(inside)).join(offsets, ["_name", "_bucket"])
     return placed.withColumn(out, F.when(F.col("_flag"), F.col("_offset") + F.col("_place"))).drop(
         "_flag", "_bucket", "_place", "_offset", "_name")
+
+
+def _batches(path: str) -> list[str]:
+    """Folders of the committed batches of an id map."""
+    spark = active()
+    if not exists(path):
+        return []
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    names = sorted(f.getPath().getName() for f in found)
+    return [f"{path}/{n}" for n in names if n.startswith("batch-") and complete(f"{path}/{n}")]
+
+
+def remembered_ids(rows: DataFrame, key: str, path: str, out: str, key_hash: Column | None = None) -> DataFrame:
+    """The map (``key``, ``out``) of all keys met so far, stored at ``path``; keys of ``rows`` that are new get the next ids.
+
+    Ids never change: new keys are those an anti-join with the map leaves, numbered in the order of their hash from its
+    last id on, and written as a further batch. A batch counts once it is committed, so a run that failed or is
+    repeated leaves no gap and numbers no key twice. One run at a time may write a map. Null keys get no id.
+    """
+    spark = active()
+    batches = _batches(path)
+    known = spark.read.parquet(*batches) if batches else None
+    new = rows.select(key).where(F.col(f"`{key}`").isNotNull()).distinct()
+    last = 0
+    if known is not None:
+        new, last = new.join(known, key, "left_anti"), known.agg(F.max(out)).first()[0] or 0
+    digest = F.sha2(F.col(key).cast("string"), 256) if key_hash is None else key_hash
+    numbered = dense_id(new, digest, out, unique=True).withColumn(out, F.col(out) + last)
+    folder = f"{path}/batch-{len(batches):06d}"
+    numbered.write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(*batches, folder)

@@ -11,18 +11,22 @@ from pyspark.sql import functions as F
 from clinspan.config import DeidConfig, TokenConfig
 from clinspan.fixed import concepts as fixed
 from clinspan.operators import analytics, cdm, deid, ingest, linkage, notes
+from clinspan.operators.ids import remembered_ids
 from clinspan.operators.tables import side_by_side, union_all
 from clinspan.session import active, shared_dir, sql_literal
 from clinspan.sources import csv_in
 
 
-def person_links(patients: DataFrame, tokens: TokenConfig) -> DataFrame:
+def person_links(patients: DataFrame, tokens: TokenConfig, id_map: str | None = None) -> DataFrame:
     """source_patient_id, patient_token, person_id: one join attaches both ids to a fact table.
 
-    Facts only keep tokens of this map, so numbering its tokens numbers all of them.
+    Facts only keep tokens of this map, so numbering its tokens numbers all of them. With ``id_map``, a folder, persons of
+    earlier runs keep their ids and new ones get the next.
     """
     links = linkage.token_map(linkage.with_token(patients, tokens))
-    return links.join(cdm.person_index(links), "patient_token")
+    index = cdm.person_index(links) if id_map is None else remembered_ids(
+        links, "patient_token", id_map, "person_id", F.substring("patient_token", 4, 16))
+    return links.join(index, "patient_token")
 
 
 #: A person with more rows than this in one table lies apart from the others.
@@ -98,11 +102,13 @@ class Processed:
 
 
 def process(patients: DataFrame, encounters: DataFrame, observations: DataFrame | None,
-            tokens: TokenConfig, settings: DeidConfig, folder: str | None = None, unique: tuple[str, ...] = ()) -> Processed:
+            tokens: TokenConfig, settings: DeidConfig, folder: str | None = None, unique: tuple[str, ...] = (),
+            id_map: str | None = None) -> Processed:
     """Link, de-identify, map and store.
 
     Whatever several tables start from is written once below ``folder`` and read back. There may be no
-    observations, and columns that a source lacks count as NULL. ``unique`` is explained at ``cdm.build``.
+    observations, and columns that a source lacks count as NULL. ``unique`` is explained at ``cdm.build``,
+    ``id_map`` at :func:`person_links`.
     """
     folder = folder or shared_dir("cdm")
     if observations is None:
@@ -112,7 +118,7 @@ def process(patients: DataFrame, encounters: DataFrame, observations: DataFrame
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
         return active().read.parquet(f"{folder}/{name}")
 
-    links = keep("person_links", person_links(patients, tokens))
+    links = keep("person_links", person_links(patients, tokens, id_map))
     people = keep("deid_patient", deid.deid_patient(patients, links, settings))
     visits = keep("deid_encounter", deid.deid_encounter(encounters, links, settings))
     facts = keep("deid_observation", deid.deid_observation(observations, links, settings))

@@ -53,11 +53,27 @@ def shared_dir(name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset: both are
     shared by the driver and all executors."""
     spark = active()
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if base.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     _MADE.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
     return _MADE[-1]
 
 
+def exists(path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    spark = active()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def complete(folder: str) -> bool:
+    """Whether a write to the folder was committed."""
+    return exists(f"{folder}/_SUCCESS")
+
+
 def stored(name: str, df: DataFrame) -> DataFrame:
     """``df`` written once to a shared folder and read back, for what several results start from."""
     folder = shared_dir(name)

@@ -10,7 +10,7 @@ from clinspan.fixed import rules
 from clinspan.functions import normalize as nz
 from clinspan.functions.redact import redact_note
 from clinspan.functions.secure import hashed_id, shift_days
-from clinspan.operators import analytics, cdm, cohort, deid, ingest, insights, linkage
+from clinspan.operators import analytics, cdm, cohort, deid, ids, ingest, insights, linkage
 from clinspan.session import shared_dir
 from clinspan.sources import export
 from registry.oracle_views import AGE, _redact, shift
@@ -444,6 +444,20 @@ def _(x):
     return cdm.person_index(x.deid_patient, x.deid_encounter, x.deid_observation)
 
 
+_KEPT = "row_number() OVER (ORDER BY sha256(patient_token))"
+
+
+@query("remembered_ids", f"""SELECT patient_token, {_KEPT} AS id FROM (SELECT DISTINCT patient_token FROM tok WHERE src_ord % 3 <> 0)
+    UNION ALL SELECT patient_token, {_KEPT} + (SELECT count(DISTINCT patient_token) FROM tok WHERE src_ord % 3 <> 0) AS id
+    FROM (SELECT DISTINCT patient_token FROM tok WHERE patient_token NOT IN (SELECT patient_token FROM tok WHERE src_ord % 3 <> 0))""")
+def _(x):
+    """Ids of the tokens of two uploads: those of the first stay when all records come."""
+    folder = shared_dir("id_map")
+    first = x.tokened.where(F.col("src_ord") % 3 != 0)
+    ids.remembered_ids(first, "patient_token", folder, "id")
+    return ids.remembered_ids(x.tokened, "patient_token", folder, "id")
+
+
 @query("row_ids", """SELECT encounter_id AS source, row_number() OVER (ORDER BY encounter_id) AS id FROM de
     UNION ALL SELECT observation_id, row_number() OVER (ORDER BY observation_id) FROM dob""")
 def _(x):
@@ -692,11 +706,12 @@ _RUNS = [(cohort.NAMED_COHORTS[n].name, m) for n, m in _MEMBERS.items()] * 2
     (SELECT count(*) FROM ({sql})) AS included, CAST(0 AS bigint) AS excluded, (SELECT count(*) FROM ({sql})) AS final_cohort"""
     for i, (name, sql) in enumerate(_RUNS, start=1)) + f") WHERE run > {len(_RUNS) - 10}")
 def _(x):
-    """Every named cohort twice, which is more than a report shows."""
+    """Every named cohort twice, which is more than a report shows; the run is logged again, which changes nothing."""
     folder = shared_dir("run_log")
     named = [cohort.NAMED_COHORTS[n] for n in _MEMBERS] * 2
-    cohort.append_log(cohort.run_log(x.cdm, named, x.as_of), folder)
-    return cohort.recent_runs(x.spark.read.parquet(folder))
+    for _ in range(2):
+        cohort.append_log(cohort.run_log(x.cdm, named, x.as_of), folder, "named")
+    return cohort.recent_runs(cohort.read_log(folder)).drop("batch", "run_id")
 
 
 @query("analysis_log", """SELECT 'all' AS item, '' AS patient_token, count(*) AS n FROM person
@@ -705,8 +720,8 @@ def _(x):
         WHERE person_id > (SELECT max(person_id) - 5 FROM person)""")
 def _(x):
     folder = shared_dir("analysis_log")
-    cohort.append_log(insights.analysis_log(x.cdm, "concept"), folder)
-    log = x.spark.read.parquet(folder)
+    cohort.append_log(insights.analysis_log(x.cdm, "concept"), folder, "all")
+    log = cohort.read_log(folder)
     total = log.agg(F.lit("all").alias("item"), F.lit("").alias("patient_token"), F.count("*").alias("n"))
     return total.unionByName(cohort.recent_runs(log, 5).select(
         F.lit("recent").alias("item"), "patient_token", F.col("insights_generated").alias("n")))
