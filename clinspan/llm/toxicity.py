@@ -281,7 +281,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
             F.xxhash64("__id"), "__id").limit(most)
         chosen = some if chosen is None else chosen.union(some)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).where("text is not null")
-    return rows.join(F.broadcast(chosen), "__id").select("label", "text")
+    found = rows.join(F.broadcast(chosen), "__id")
+    return found.repartition(docs.sparkSession.sparkContext.defaultParallelism, "__id").select("label", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -289,8 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Strings are counted and windows compressed where the texts lie; counts and figures come to the driver, no texts.
     """
-    sample = store(sample_of(docs, labels, id_col, text_col, label_col).repartition(
-        docs.sparkSession.sparkContext.defaultParallelism, F.xxhash64("text")), "toxic-sample")
+    sample = store(sample_of(docs, labels, id_col, text_col, label_col), "toxic-sample")
     present = {r.label for r in sample.select("label").distinct().collect()}
     if len(present) < 2:
         discard(sample)

@@ -233,3 +233,26 @@ def merkle(rows):
         for place, (known, i, leaf) in enumerate(sorted(groups[g])):
             out.setdefault((g, i if known else None, leaf), []).append((trees[g][-1][0], path(trees[g], place) + path(top, k)))
     return top[-1][0], out
+
+
+def best_fit(counts, lengths, overhead=64, attention=65536):
+    """{length: pieces} -> sorted [(capacity, tokens)] of the bins, piece by piece."""
+    bins, to_come = [], sum(n * c for n, c in counts.items())
+    for n in sorted(counts, reverse=True):
+        left = counts[n]
+        to_come -= n * left
+        while left and n:
+            rooms = [(c - used, k) for k, (c, used) in enumerate(bins) if c - used >= n]
+            if rooms:
+                bins[min(rooms)[1]][1] += n
+                left -= 1
+                continue
+
+            def price(c):
+                return (overhead + c + c * c / attention) / min(c, (left * n + to_come) / -(-left // (c // n)))
+
+            best = min((c for c in lengths if c >= n), key=lambda c: (price(c), c))
+            bins += [[best, 0] for _ in range(-(-left // (best // n)))]
+    if not bins and counts.get(0):
+        bins.append([lengths[0], 0])
+    return sorted((next(c for c in lengths if c >= used), used) for _, used in bins)

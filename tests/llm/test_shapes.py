@@ -318,6 +318,38 @@ def test_best_fit_takes_the_least_room_that_holds():
     assert number.tolist() == [0, 1, 0, 1]
 
 
+def test_packing_query_against_brute_force(spark):
+    docs = {r.doc_id: len(brute.words(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    counts, most = {}, max(packing.LENGTHS)
+    for n in docs.values():
+        for piece in [most] * (n // most) + [n % most] * (n % most > 0 or n == 0):
+            counts[piece] = counts.get(piece, 0) + 1
+    bins = {}
+    for r in QUERIES["op7_best_fit_pack"](spark, SF).collect():
+        bins.setdefault((r.bin_id, r.capacity), []).append(r.n_tokens)
+    assert sorted((c, sum(n)) for (_, c), n in bins.items()) == brute.best_fit(counts, packing.LENGTHS)
+
+
+def test_mixing_query_against_a_walk(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text")
+    place = mixing.place([F.col(c) for c in docs.columns])
+    placed = [dict(id=r.doc_id, source=r.source, n=len(brute.words(r.text)), place=r.place, block=r.block)
+              for r in docs.withColumn("place", place).withColumn("block", mixing.block_of(place)).collect()]
+    tokens = {}
+    for r in placed:
+        tokens[r["source"]] = tokens.get(r["source"], 0) + r["n"]
+    made = mixing.plan(tokens)
+    want = {i: sum(v) for i, v in plain_mix(placed, docs.columns, "source", made, tokens).items()}
+    rows = QUERIES["op9_temperature_mix"](spark, SF).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, []).append(r["pass"])
+    assert {i: len(v) for i, v in got.items()} == {i: n for i, n in want.items() if n}
+    assert all(sorted(v) == list(range(len(v))) for v in got.values())
+    lengths = {r["id"]: (r["source"], r["n"]) for r in placed}
+    assert all((r.source, r.n_tokens) == lengths[r.doc_id] for r in rows)
+
+
 def test_packing_of_odd_documents(odd):
     out = packing.pack(odd, lengths=(8, 64, 256)).collect()
     want = []
