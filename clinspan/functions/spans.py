@@ -65,10 +65,15 @@ def _starts(pieces: str, length: str) -> str:
     return _let(local, "ls", _let(bases, "os", shifted))
 
 
-def _located(text: str, pattern: str, group: int, inserted: bool, fields: str, kind: str) -> str:
-    close = sql_literal(CLOSE)
-    marked = (f"regexp_replace({unmarked(text)}, {sql_literal(pattern)}, "
+def _cut(unmarked_text: str, pattern: str, group: int) -> str:
+    """The text, free of markers, cut before each match; each piece but the first starts with its match and ``CLOSE``."""
+    marked = (f"regexp_replace({unmarked_text}, {sql_literal(pattern)}, "
               f"{sql_literal(f'{OPEN}${group}{CLOSE}')})")
+    return f"split({marked}, {sql_literal(OPEN)}, -1)"
+
+
+def _placed(pieces: str, inserted: bool, fields: str, kind: str) -> str:
+    close = sql_literal(CLOSE)
     width = f"(instr(q, {close}) - 1)"
     # the first piece has no bracket; an inserted match is a copy that takes no room
     room = f"if(instr(q, {close}) = 0, length(q), length(q) - " + (f"1 - {width})" if inserted else "1)")
@@ -76,8 +81,27 @@ def _located(text: str, pattern: str, group: int, inserted: bool, fields: str, k
     made = fields.format(start=start, end=f"({start} + {width})", text=f"substring_index(q, {close}, 1)")
     found = _let(f"named_struct('p', p, 'at', {_starts('p', room)})", "b",
                  f"transform(slice(b.p, 2, size(b.p)), (q, i) -> {made})")
-    return _let(f"split({marked}, {sql_literal(OPEN)}, -1)", "p",
-                f"if(size(p) > 1, {found}, cast(array() AS array<{kind}>))")
+    return _let(pieces, "p", f"if(size(p) > 1, {found}, cast(array() AS array<{kind}>))")
+
+
+def _located(text: str, pattern: str, group: int, inserted: bool, fields: str, kind: str) -> str:
+    return _placed(_cut(unmarked(text), pattern, group), inserted, fields, kind)
+
+
+def find_each_sql(unmarked_text: str, patterns: list[tuple[str, str | None, str]], fields: str, kind: str) -> str:
+    """The matches of each of the (pattern, condition, label) rows, one array per row.
+
+    ``condition`` is SQL that says whether the pattern can match at all; ``label`` is a struct that ``fields`` reads as
+    ``g.label``. Offsets are worked out by one expression for all patterns: with one for each, making the plan of some
+    dozens of patterns takes longer than running them. ``unmarked_text`` has been through :func:`unmarked`.
+    """
+    def pieces(pattern: str, condition: str | None) -> str:
+        cut = _cut(unmarked_text, pattern, 0)
+        return cut if condition is None else f"if({condition}, {cut}, cast(array() AS array<string>))"
+
+    rows = ", ".join(f"named_struct('label', {label}, 'p', {pieces(pattern, condition)})"
+                     for pattern, condition, label in patterns)
+    return f"transform(array({rows}), g -> {_placed('g.p', False, fields, kind)})"
 
 
 def find_sql(text: str, pattern: str, fields: str = SPAN_FIELDS, kind: str = SPAN) -> str:
@@ -180,8 +204,12 @@ def only_if_any(folded: str, needed: list[str], found: str, kind: str) -> str:
 
     A pattern that cannot match without a literal part is not run on texts that lack it.
     """
-    some = " or ".join(f"contains({folded}, {sql_literal(part)})" for part in needed)
-    return f"if({some}, {found}, cast(array() AS array<{kind}>))"
+    return f"if({holds_any(folded, needed)}, {found}, cast(array() AS array<{kind}>))"
+
+
+def holds_any(folded: str, needed: list[str]) -> str:
+    """Whether the folded text holds one of the needed parts."""
+    return "(" + " or ".join(f"contains({folded}, {sql_literal(part)})" for part in needed) + ")"
 
 
 def slice_text(text: Column, start: Column, end: Column) -> Column:

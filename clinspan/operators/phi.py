@@ -16,9 +16,13 @@ HIT = "struct<start:int,rank:double,place:int,`end`:int,type:string,text:string,
 _ORDERED = f"struct<start:int,back:int,place:int,`end`:int,hit:{HIT}>"
 
 
-def _shape(place: int, kind: str, confidence: float) -> str:
-    return (f"named_struct('start', {{start}}, 'rank', {-confidence!r}D, 'place', {place}, "
-            f"'end', {{end}}, 'type', '{kind}', 'text', {{text}}, 'confidence', {confidence!r}D)")
+_LABEL = "named_struct('rank', {rank!r}D, 'place', {place}, 'type', '{kind}', 'confidence', {confidence!r}D)"
+_MADE = ("named_struct('start', {start}, 'rank', g.label.rank, 'place', g.label.place, 'end', {end}, "
+         "'type', g.label.type, 'text', {text}, 'confidence', g.label.confidence)")
+
+
+def _label(place: int, kind: str, confidence: float) -> str:
+    return _LABEL.format(rank=-confidence, place=place, kind=kind, confidence=confidence)
 
 
 def _known_names(text: str, folded: str, known: Sequence[str]) -> str:
@@ -27,26 +31,27 @@ def _known_names(text: str, folded: str, known: Sequence[str]) -> str:
         return f"cast(array() AS array<{HIT}>)"
     names = [name.lower() for name in known]
     starts = spans.starts_sql(text, "(?iu)" + spans.phrase_pattern(names, "", ""))
-    made = _shape(0, "name", fixed.KNOWN_NAME_CONFIDENCE).format(start="n.start", end="n.`end`", text="n.text")
-    return spans.only_if_any(folded, names, f"transform({starts}, n -> {made})", HIT)
+    made = _MADE.format(start="n.start", end="n.`end`", text="n.text")
+    label = f"named_struct('label', {_label(0, 'name', fixed.KNOWN_NAME_CONFIDENCE)}, 'found', {starts})"
+    found = f"get(transform(array({label}), g -> transform(g.found, n -> {made})), 0)"
+    return spans.only_if_any(folded, names, found, HIT)
 
 
-def _hits(text: str, folded: str, digits: str, known: Sequence[str]) -> list[str]:
-    """Raw hits as SQL: the known names, then each pattern in detection order."""
-    found = [_known_names(text, folded, known)]
+def _hits(text: str, folded: str, digits: str, unmarked: str, known: Sequence[str]) -> str:
+    """Raw hits as SQL, one array each: the known names, then each pattern in detection order."""
+    rows = []
     for i, (kind, pattern) in enumerate(fixed.PHI_PATTERNS):
-        run = "(?iuU)" + fixed.PHI_FLAT_FORMS.get(pattern, pattern)
-        sql = spans.find_sql(text, run, _shape(i + 1, kind, fixed.PHI_CONFIDENCE), HIT)
-        none = f"cast(array() AS array<{HIT}>)"
-        if pattern in fixed.PHI_REQUIRED_TAILS:
-            tail = sql_literal("(?iuU)" + fixed.PHI_REQUIRED_TAILS[pattern])
-            sql = f"if(rlike({text}, {tail}), {sql}, {none})"
-        if i in fixed.PHI_NEEDS:
-            sql = spans.only_if_any(folded, fixed.PHI_NEEDS[i], sql, HIT)
+        needs = []
         if i in fixed.PHI_NEEDS_DIGITS:
-            sql = f"if({digits}, {sql}, {none})"
-        found.append(sql)
-    return found
+            needs.append(digits)
+        if i in fixed.PHI_NEEDS:
+            needs.append(spans.holds_any(folded, fixed.PHI_NEEDS[i]))
+        if pattern in fixed.PHI_REQUIRED_TAILS:
+            needs.append(f"rlike({text}, {sql_literal('(?iuU)' + fixed.PHI_REQUIRED_TAILS[pattern])})")
+        first = f"(?=[{fixed.PHI_FIRST[i]}])" if i in fixed.PHI_FIRST else ""
+        run = "(?iuU)" + first + fixed.PHI_FLAT_FORMS.get(pattern, pattern)
+        rows.append((run, " and ".join(needs) or None, _label(i + 1, kind, fixed.PHI_CONFIDENCE)))
+    return f"concat(array({_known_names(text, folded, known)}), {spans.find_each_sql(unmarked, rows, _MADE, HIT)})"
 
 
 def detect(notes: DataFrame, text: str = "text", out: str = "phi", known_names: Sequence[str] = ()) -> DataFrame:
@@ -56,16 +61,14 @@ def detect(notes: DataFrame, text: str = "text", out: str = "phi", known_names:
     hit lies in a kept one, so it is enough to compare with the raw earlier hits. Of the rest, hits
     are taken by start, then confidence, then pattern order, as long as they do not overlap.
     """
-    hits = _hits(text, "_folded", "_digits", known_names)
-    names = [f"_hits_{i}" for i in range(len(hits))]
-    folded = notes.select("*", F.expr(spans.folded_sql(text)).alias("_folded"),
+    folded = notes.select("*", F.expr(spans.folded_sql(text)).alias("_folded"), F.expr(spans.unmarked(text)).alias("_unmarked"),
                           F.rlike(F.col(text), F.lit(r"(?U)\d{3}")).alias("_digits"))
-    # a projection of its own: each pattern runs once, whatever refers to its hits below
-    raw = folded.select(*notes.columns, *[F.expr(sql).alias(n) for n, sql in zip(names, hits)])
-    ordered = (f"array_sort(transform(flatten(array({', '.join(names)})), h -> "
+    # a projection of its own: the patterns run once, whatever refers to their hits below
+    raw = folded.select(*notes.columns, F.expr(_hits(text, "_folded", "_digits", "_unmarked", known_names)).alias("_hits"))
+    ordered = ("array_sort(transform(flatten(_hits), h -> "
                "named_struct('start', h.start, 'back', -h.`end`, 'place', h.place, 'end', h.`end`, 'hit', h)))")
     # the furthest end of each pattern's hits so far: at least the same start, and longer ones first
-    first = f"array_repeat(-1, {len(names)})"
+    first = f"array_repeat(-1, {len(fixed.PHI_PATTERNS) + 1})"
     following = "transform(t.v, (m, i) -> if(i = x.place, greatest(m, x.`end`), m))"
     outside = "not exists(slice(t.v, 1, x.place), m -> m >= x.`end`)"
     free = spans.walked_sql(ordered, _ORDERED, first, following, outside)
