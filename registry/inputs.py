@@ -143,19 +143,24 @@ class Inputs:
         return cdm.build(self.deid_patient, self.deid_encounter, self.deid_observation, unique=("encounter_id",))
 
     @cached_property
-    def _stored(self) -> tuple[cdm.Cdm, DataFrame]:
-        return pipeline.run(self.patient, self.encounter, self.observation, self.tokens_config,
-                            self.deid_config, unique=("encounter_id",))
+    def _stored(self) -> pipeline.Processed:
+        return pipeline.process(self.patient, self.encounter, self.observation, self.tokens_config,
+                                self.deid_config, unique=("encounter_id",))
 
     @property
     def cdm(self) -> cdm.Cdm:
         """The CDM tables as the pipeline stored them in the shared folder."""
-        return self._stored[0]
+        return self._stored.tables
 
     @property
     def people(self) -> DataFrame:
         """The stored de-identified patient records."""
-        return self._stored[1]
+        return self._stored.people
+
+    @property
+    def counts(self) -> dict[str, int]:
+        """The rows of the stored tables, counted as they were written."""
+        return self._stored.counts
 
 
 def portable(df: DataFrame) -> DataFrame:

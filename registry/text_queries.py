@@ -329,7 +329,7 @@ def _(x):
 
 @query("step_report", sql.PIPELINE)
 def _(x):
-    return pipeline.step_report(x.patient, x.encounter, x.observation, x.cdm, x.people, x.tokens_config)
+    return pipeline.step_report(x.patient, x.encounter, x.observation, x.cdm, x.people, x.tokens_config, counts=x.counts)
 
 
 # --- vocabularies and dictionaries that are tables ---------------------------------------------

@@ -121,3 +121,22 @@ def test_all_cohorts_in_one_pass(given):
     plan = log._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert len(re.findall(r"FileScan parquet \S+_measurement\[", plan)) == 1
     assert len(re.findall(r"FileScan parquet \S+_condition_occurrence\[", plan)) == 1
+
+
+@pytest.mark.parametrize("many", [pipeline.MANY_ROWS, 25])
+def test_rows_are_counted_as_tables_are_written(spark, given, tmp_path, monkeypatch, many):
+    monkeypatch.setattr(pipeline, "MANY_ROWS", many)
+    folder = str(tmp_path / "cdm")
+    done = pipeline.process(given.patient, given.encounter, given.observation, TOKENS, DEID, folder)
+    assert {n: t.count() for n, t in done.tables.tables().items()}.items() <= done.counts.items()
+    assert done.counts["deid_patient"] == done.people.count() and pipeline.read_counts(folder) == done.counts
+    sources = given.patient, given.encounter, given.observation, done.tables, done.people, TOKENS
+    told, counted = (pipeline.step_report(*sources, counts=c) for c in (done.counts, None))
+    assert sorted(told.collect()) == sorted(counted.collect())
+    assert folder not in told._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_upload_reports_rows_it_counted(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("patient_id,first_name,last_name,date_of_birth,gender\n1,Ann,Lee,1980-01-02,F\n2,Bob,Ray,1970-01-02,M\n")
+    _, done = pipeline.upload(str(tmp_path / "in.csv"), TOKENS, DEID, str(tmp_path / "out"))
+    assert (done.counts["patients"], done.counts["person_index"], done.counts["observations"], done.counts["measurement"]) == (2, 2, 0, 0)
