@@ -4,24 +4,14 @@ FIXED VALUES: thresholds, drug pairs and sentences must equal the published rule
 stated here as plain rows in their natural order.
 """
 
-# lab, low, high, unit
+# lab, low, high, unit; limits as they are printed (some whole numbers carry no decimal point)
 CRITICAL_LABS = [
-    ("hemoglobin", 7.0, 20.0, "g/dL"),
-    ("potassium", 2.5, 6.5, "mEq/L"),
-    ("sodium", 120.0, 160.0, "mEq/L"),
-    ("glucose", 50.0, 500.0, "mg/dL"),
-    ("creatinine", None, 10.0, "mg/dL"),
-    ("platelets", 20.0, None, "10*9/L"),
-]
-
-# how the thresholds above are printed (whole numbers carry no decimal point in some rows)
-CRITICAL_LIMIT_TEXT = [
-    ("hemoglobin", "7.0", "20.0"),
-    ("potassium", "2.5", "6.5"),
-    ("sodium", "120", "160"),
-    ("glucose", "50", "500"),
-    ("creatinine", None, "10.0"),
-    ("platelets", "20", None),
+    ("hemoglobin", "7.0", "20.0", "g/dL"),
+    ("potassium", "2.5", "6.5", "mEq/L"),
+    ("sodium", "120", "160", "mEq/L"),
+    ("glucose", "50", "500", "mg/dL"),
+    ("creatinine", None, "10.0", "mg/dL"),
+    ("platelets", "20", None, "10*9/L"),
 ]
 
 # drug, drug, warning

@@ -61,14 +61,13 @@ def _critical_actions(lab: str, direction: str) -> list[str]:
 
 def critical_labs(measurements: DataFrame, match: str = "source_value") -> DataFrame:
     """Values beyond a critical limit, one row per value and limit crossed."""
-    texts = {lab: (low, high) for lab, low, high in rules.CRITICAL_LIMIT_TEXT}
     limits = []
     for lab, low, high, unit in rules.CRITICAL_LABS:
-        for direction, limit, limit_text in (("low", low, texts[lab][0]), ("high", high, texts[lab][1])):
-            if limit is not None:
+        for direction, limit_text in (("low", low), ("high", high)):
+            if limit_text is not None:
                 limits.append(F.struct(
                     F.lit(lab).alias("lab"), F.lit(direction).alias("direction"),
-                    F.lit(limit).alias("limit"), F.lit(limit_text).alias("limit_text"),
+                    F.lit(float(limit_text)).alias("limit"), F.lit(limit_text).alias("limit_text"),
                     F.lit(unit).alias("unit"),
                     F.lit(LAB_CONCEPT[lab]).cast("bigint").alias("concept"),
                     _texts(_critical_actions(lab, direction)).alias("actions")))

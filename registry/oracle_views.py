@@ -176,8 +176,9 @@ VIEWS: dict[str, str] = {
     "vcount": """SELECT person_id, count(*) AS visits,
         count(*) FILTER (WHERE visit_concept_id = 9201) AS inpatient,
         count(*) FILTER (WHERE visit_concept_id = 9203) AS emergency FROM visit GROUP BY 1""",
-    "limits": rows("lab, low, high, unit", rules.CRITICAL_LABS),
-    "limit_text": rows("lab, low_text, high_text", rules.CRITICAL_LIMIT_TEXT),
+    "limits": rows("lab, low, high, unit", [
+        (lab, low and float(low), high and float(high), unit) for lab, low, high, unit in rules.CRITICAL_LABS]),
+    "limit_text": rows("lab, low_text, high_text", [row[:3] for row in rules.CRITICAL_LABS]),
     "lab_ids": rows("lab, cid", [("hemoglobin", 3000963), ("potassium", 3023103), ("sodium", 3019550),
                                  ("glucose", 3004501), ("creatinine", 3016723), ("platelets", 3024929)]),
     "crit": """SELECT person_id, measurement_id, lab, 'low' AS direction, value_as_number, unit, low_text AS limit_text
