@@ -77,6 +77,35 @@ def window_hash(prefix: np.ndarray, width: int) -> np.ndarray:
     return mix((prefix[width:] - prefix[:-width]) * down[:n])
 
 
+def words_at(data: bytes) -> np.ndarray:
+    """The 8 bytes from each place on as one number, without a copy; ``data`` ends in 7 bytes to spare."""
+    return np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
+
+
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``size`` bytes (8 at most; 0 or less: none) from each start, as one number each."""
+    return words[np.minimum(start, len(words) - 1)] & _LOW_BYTES[np.clip(size, 0, 8)]
+
+
+def name_ranges(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each range of bytes, by its words: for short ranges that overlap."""
+    out = mix(size.astype(np.uint64))
+    for k in range(0, int(size.max(initial=0)), 8):
+        out = mix(out ^ word(words, start + k, size - k))
+    return out
+
+
+def equal_ranges(words: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of both ranges of each pair are equal."""
+    same = np.ones(len(one), bool)
+    for k in range(0, int(size.max(initial=0)), 8):
+        same &= word(words, one + k, size - k) == word(words, two + k, size - k)
+    return same
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z."""
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)

@@ -9,11 +9,14 @@ further left in the same one. Every byte covered by a repeat goes.
    least hash, the rightmost of equals. Equal windows have equal anchors at equal places, so anchors
    seen once are dropped without losing a repeat (packed entries, one shuffle by hash range).
 3. The region of windows around each remaining anchor is sent to the anchor's bucket. Equal regions
-   collapse onto the earliest. The rest are cut into ``BLOCK``-byte blocks aligned at the anchor, each
-   block a symbol, and all regions of the bucket form one text whose suffixes are sorted by linear
-   grouping (:mod:`clinspan.llm.suffix_groups`). A window holds ``SHARED`` whole blocks, so suffixes
-   that agree in fewer symbols cannot hold equal windows; inside each run of neighbours that do agree
-   the windows are compared as a whole, and all but the earliest are marked.
+   collapse onto the earliest, first inside each batch of texts, so that a passage of millions of
+   documents arrives once per batch, then in the bucket; their bytes are compared. The rest are cut
+   into ``BLOCK``-byte blocks aligned at the anchor, each block a symbol, and all regions of the bucket
+   form one text whose suffixes are sorted by linear grouping (:mod:`clinspan.llm.suffix_groups`). A
+   window holds ``SHARED`` whole blocks, so equal windows lie around suffixes in one run of neighbours
+   of which each shares ``SHARED`` blocks with the next. Inside a run only the bytes around the shared
+   blocks are left to compare: up to 15 before them and up to 20 behind. Windows equal there are
+   repeats, and all but the earliest are marked. No hash decides: hashes only bring rows together.
 4. Marks go back to their documents.
 
 Defined cases: null text is empty; texts shorter than ``WIDTH`` bytes stay whole; a null id counts as
@@ -40,6 +43,7 @@ BLOCK = 16
 SHARED = (WIDTH - BLOCK + 1) // BLOCK  # whole blocks in any window
 REACH = WIDTH - GRAM + 1  # grams in a window
 SEGMENT = 1 << 20
+TOLD = 255  # in place of an anchor's place: a region that its batch has shown to be a repeat
 _POSITION = np.uint64((1 << 21) - 1)
 
 ANCHORS = {"key": np.uint32, "doc": np.int64, "start": np.uint32, "windows": np.uint8, "at": np.uint8}
@@ -128,61 +132,85 @@ def _repeated(table: pa.Table) -> pa.Table:
                      "places": blob})
 
 
-def _map_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["bucket", *REGIONS, "octets"]
-    for batch in batches:
-        data, offsets = octets.buffers(batch["__text"])
-        keys, numbers = batch["__key"].to_numpy(), batch["__doc"].to_numpy()
-        bucket, row, place = [], [], []
-        for i, held in enumerate(batch["__places"].to_pylist()):
-            for item in held:
-                part = np.frombuffer(item["places"], _PLACE)
-                place.append(part)
-                bucket.append(np.full(len(part), item["bucket"], np.int32))
-                row.append(np.full(len(part), i, np.int64))
-        if not place:
-            continue
-        bucket, row, place = np.concatenate(bucket), np.concatenate(row), np.concatenate(place)
-        for low in range(0, len(row), 1 << 16):  # the regions overlap, so they hold more than the texts
-            some = slice(low, low + (1 << 16))
-            b, r, p = bucket[some], row[some], place[some]
-            low_byte = offsets[r] + p["start"]
-            fits = low_byte + p["windows"] + WIDTH - 1 <= offsets[r + 1]
-            b, r, p, low_byte = b[fits], r[fits], p[fits], low_byte[fits]
-            high = low_byte + p["windows"] + WIDTH - 1
-            whole = data.tobytes() if len(b) * 8 > len(data) else data
-            pieces = ([whole[x:y] for x, y in zip(low_byte.tolist(), high.tolist())] if isinstance(whole, bytes)
-                      else [whole[x:y].tobytes() for x, y in zip(low_byte.tolist(), high.tolist())])
-            out = packed.pack(b, {
-                "key": p["key"], "number": numbers[r], "doc": keys[r], "start": p["start"],
-                "windows": p["windows"], "at": p["at"]})
-            _, joined = packed.pack_bytes(b, pieces)
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(joined, pa.binary())], names)
+def _copies(words: np.ndarray, low: np.ndarray, size: np.ndarray, places: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Whether each range of bytes equals one at an earlier place; ``places`` hold the first key last.
+
+    Rows of the input that are equal stand at one place, and are no copies of each other.
+    """
+    name = octets.name_ranges(words, low, size)
+    order = np.lexsort((*places, name))
+    head = np.ones(len(order), bool)
+    head[1:] = name[order][1:] != name[order][:-1]
+    first = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    copy = np.zeros(len(order), bool)
+    copy[order] = ~head
+    copy[order] &= (size[order] == size[first]) & octets.equal_ranges(words, low[order], low[first], size[order])
+    copy[order] &= ~np.logical_and.reduce([x[order] == x[first] for x in places])
+    return copy
+
+
+def _map_regions(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", *REGIONS, "octets"]
+        for batch in batches:
+            data, offsets = octets.buffers(batch["__text"])
+            keys, numbers = batch["__key"].to_numpy(), batch["__doc"].to_numpy()
+            bucket, row, place = [], [], []
+            for i, held in enumerate(batch["__places"].to_pylist()):
+                for item in held:
+                    part = np.frombuffer(item["places"], _PLACE)
+                    place.append(part)
+                    bucket.append(np.full(len(part), item["bucket"], np.int32))
+                    row.append(np.full(len(part), i, np.int64))
+            if not place:
+                continue
+            bucket, row, place = np.concatenate(bucket), np.concatenate(row), np.concatenate(place)
+            order = np.lexsort((place["key"], bucket))  # equal regions have one key and meet in one slice
+            bucket, row, place = bucket[order], row[order], place[order]
+            base = int(offsets[0])
+            whole = data[base:offsets[-1]].tobytes() + bytes(8)
+            words = octets.words_at(whole)
+            for at in range(0, len(row), 1 << 16):  # the regions overlap, so they hold more than the texts
+                some = slice(at, at + (1 << 16))
+                b, r, p = bucket[some], row[some], place[some]
+                low = offsets[r] - base + p["start"]
+                size = p["windows"].astype(np.int64) + WIDTH - 1
+                fits = low + size <= offsets[r + 1] - base
+                b, r, p, low, size = b[fits], r[fits], p[fits], low[fits], size[fits]
+                told = _copies(words, low, size, (p["start"], keys[r], numbers[r]))
+                b = np.where(told, (keys[r] % buckets).astype(np.int32), b)
+                ends = np.where(told, low, low + size)
+                pieces = [whole[x:y] for x, y in zip(low.tolist(), ends.tolist())]
+                out = packed.pack(b, {
+                    "key": p["key"], "number": numbers[r], "doc": keys[r], "start": p["start"],
+                    "windows": p["windows"], "at": np.where(told, TOLD, p["at"]).astype(np.uint8)})
+                _, joined = packed.pack_bytes(b, pieces)
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(joined, pa.binary())], names)
+    return run
 
 
 def _marks(table: pa.Table) -> pa.Table:
     """Windows of one bucket that also start earlier, as ranges of bytes by document."""
     parts = {n: packed.unpack(table[n], kind) for n, kind in REGIONS.items()}
-    data = np.frombuffer(b"".join(table["octets"].to_pylist()), np.uint8)
+    words = octets.words_at(b"".join([*table["octets"].to_pylist(), bytes(8)]))
     length = parts["windows"].astype(np.int64) + WIDTH - 1
-    low = np.cumsum(length) - length
-    hashes = octets.prefix_hash(data)
-    region = octets.range_hash(hashes, low, low + length)
-    key = octets.mix(region ^ octets.mix(parts["key"].astype(np.uint64) << np.uint64(8) | parts["at"]))
-    order = np.lexsort((parts["start"], parts["doc"], parts["number"], key))
-    same = np.zeros(len(order), bool)  # equal rows of the input give the same region twice
-    same[1:] = np.logical_and.reduce([
-        x[order][1:] == x[order][:-1] for x in (key, parts["number"], parts["doc"], parts["start"])])
-    order = order[~same]
-    head = np.ones(len(order), bool)
-    head[1:] = key[order][1:] != key[order][:-1]
-    firsts, copies = order[head], order[~head]
+    told = parts["at"] == TOLD
+    held = np.where(told, 0, length)
+    low = np.cumsum(held) - held
+    left = np.flatnonzero(~told)
+    place = (parts["start"], parts["doc"], parts["number"])
+    left = left[np.lexsort((*(x[left] for x in place), parts["key"][left]))]
+    same = np.zeros(len(left), bool)  # equal rows of the input give the same region twice
+    same[1:] = np.logical_and.reduce([x[left][1:] == x[left][:-1] for x in (*place, parts["key"])])
+    left = left[~same]
+    copy = _copies(words, low[left], length[left], tuple(x[left] for x in place))
+    copies, firsts = np.r_[np.flatnonzero(told), left[copy]], left[~copy]
     out = [(parts["number"][copies], parts["doc"][copies], parts["start"][copies].astype(np.int64), length[copies])]
     _, inverse, times = np.unique(parts["key"][firsts], return_inverse=True, return_counts=True)
     firsts = firsts[times[inverse] > 1]
     if len(firsts):
-        firsts = firsts[np.lexsort((parts["start"][firsts], parts["doc"][firsts], parts["number"][firsts]))]
-        owner, shift = _repeated_windows(hashes, low[firsts], length[firsts], parts["at"][firsts].astype(np.int64))
+        firsts = firsts[np.lexsort(tuple(x[firsts] for x in place))]
+        owner, shift = _repeated_windows(words, low[firsts], length[firsts], parts["at"][firsts].astype(np.int64))
         run = np.ones(len(owner), bool)
         run[1:] = (owner[1:] != owner[:-1]) | (shift[1:] != shift[:-1] + 1)
         begin = np.flatnonzero(run)
@@ -195,7 +223,23 @@ def _marks(table: pa.Table) -> pa.Table:
         "start": pa.array(start, pa.int64()), "stop": pa.array(start + size, pa.int64())})
 
 
-def _repeated_windows(hashes, low, length, at) -> tuple[np.ndarray, np.ndarray]:
+def _equal_to_one_before(columns: list[np.ndarray]) -> np.ndarray:
+    """Whether each row equals an earlier one in all columns: met by a hash, told by the columns."""
+    name = np.zeros(len(columns[0]), np.uint64)
+    for x in columns:
+        name = octets.mix(name ^ x)
+    order = np.argsort(name, kind="stable")
+    met = name[order][1:] == name[order][:-1]
+    same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in columns])
+    if (met & ~same).any():  # unlike rows of one hash: an order of the columns themselves
+        order = np.lexsort(columns)
+        same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in columns])
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = same
+    return again
+
+
+def _repeated_windows(words, low, length, at) -> tuple[np.ndarray, np.ndarray]:
     """(region, window) of the windows equal to one of an earlier region; regions come in document order."""
     lead = at % BLOCK
     blocks = (length - lead) // BLOCK
@@ -203,9 +247,14 @@ def _repeated_windows(hashes, low, length, at) -> tuple[np.ndarray, np.ndarray]:
     region = np.repeat(np.arange(len(low)), blocks)
     step = np.arange(len(region)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     start = low[region] + lead[region] + BLOCK * step
-    _, symbol = np.unique(octets.range_hash(hashes, start, start + BLOCK), return_inverse=True)
+    one, two = words[start], words[start + 8]
+    order = np.lexsort((two, one))
+    new = np.ones(len(order), np.int64)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    symbol = np.empty(len(order), np.int64)
+    symbol[order] = np.cumsum(new)
     text = np.zeros(int((blocks + 1).sum()), np.int64)
-    text[base[region] + step] = symbol + 1  # 0 ends each region
+    text[base[region] + step] = symbol  # 0 ends each region
     order = np.array(suffix_array(text.tolist()), np.int64)
     ended = np.r_[text, np.zeros(SHARED, np.int64)]
     agree = np.ones(len(order) - 1, bool)
@@ -224,12 +273,13 @@ def _repeated_windows(hashes, low, length, at) -> tuple[np.ndarray, np.ndarray]:
     near = crowd[held] > 1
     owner, shift, block, held = owner[near], shift[near], block[near], held[near]
     begin = low[owner] + shift
-    content = octets.range_hash(hashes, begin, begin + WIDTH)
     ahead = lead[owner] + BLOCK * block - shift
-    name = octets.mix(content ^ octets.mix((held * BLOCK + ahead).astype(np.uint64)))
-    order = np.argsort(name, kind="stable")
-    again = np.zeros(len(order), bool)
-    again[order[1:]] = name[order][1:] == name[order][:-1]
+    behind = begin + ahead + SHARED * BLOCK
+    after = WIDTH - SHARED * BLOCK - ahead
+    around = [(held * BLOCK + ahead).astype(np.uint64)]
+    around += [octets.word(words, begin + k, ahead - k) for k in range(0, BLOCK, 8)]
+    around += [octets.word(words, behind + k, after - k) for k in range(0, WIDTH - SHARED * BLOCK, 8)]
+    again = _equal_to_one_before(around)
     return owner[again], shift[again]
 
 
@@ -296,7 +346,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .groupBy("__key").agg(F.collect_list(F.struct("bucket", "places")).alias("__places")))
     regions = (
         with_texts(places).where("__places is not null").select("__key", "__doc", "__text", "__places", "__id")
-        .mapInArrow(_map_regions, packed.ddl([*REGIONS, "octets"])))
+        .mapInArrow(_map_regions(buckets), packed.ddl([*REGIONS, "octets"])))
     marks = (
         regions.groupBy("bucket").applyInArrow(_marks, "__key long, __doc long, start long, stop long")
         .groupBy("__key", F.col("__doc").alias("__of"))

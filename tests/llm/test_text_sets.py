@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from odd_rows import PROSE, odd_documents
 
-from clinspan.llm import packed, repeats, signature_trees
+from clinspan.llm import octets, packed, repeats, signature_trees
 from clinspan.llm.queries import QUERIES
 from clinspan.llm.suffix_groups import lyndon_groups, suffix_array
 
@@ -37,8 +37,6 @@ def digest(out):
     return {r.doc_id: (r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in out.collect()}
 
 
-
-
 def test_repeats_query(spark):
     got = {r.doc_id: tuple(r[1:]) for r in QUERIES["op8_suffix_dedup"](spark, "/root/testdata/sf0.001").collect()}
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
@@ -67,6 +65,31 @@ def test_repeats_of_long_texts_across_segments(spark, monkeypatch):
     assert {i: v[:3] for i, v in digest(out).items()} == {i: v[:3] for i, v in want.items()}
 
 
+def test_repeats_do_not_rest_on_hashes(spark, monkeypatch):
+    rng = random.Random(8)
+    stem = bytes(rng.choice(b"abcd") for _ in range(400))
+    texts = [stem[:200], stem[50:300], b"x" + stem[:150] + b"y" + stem[150:], bytes(rng.choice(b"ab") for _ in range(300)), stem]
+    data, low = b"".join(texts) + bytes(8), np.cumsum([0, *map(len, texts)])[:-1]
+    size = np.array([len(t) for t in texts])
+    at = np.array([20, 2, 5, 3, 4])  # aligned alike for the parts of one text
+    args = (octets.words_at(data), low, size, at)
+    want = {tuple(x) for x in np.transpose(repeats._repeated_windows(*args)).tolist()}
+    copies = repeats._copies(args[0], np.array([0, 1, 0]), np.array([100, 100, 100]), (np.array([3, 2, 1]),)).tolist()
+    monkeypatch.setattr(octets, "mix", lambda x: x * np.uint64(0))
+    assert want and {tuple(x) for x in np.transpose(repeats._repeated_windows(*args)).tolist()} == want
+    assert copies == [True, False, False]
+    assert repeats._copies(args[0], np.array([0, 300, 0]), np.array([100, 100, 100]), (np.array([1, 1, 1]),)).sum() == 0
+
+
+def test_repeats_of_a_passage_that_most_documents_hold(spark):
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    rows = [(i, f"{i} own words {i * 7919} " * (i % 3) + passage[i % 2:] + f" end {i} " * (i % 4)) for i in range(900)]
+    frame = spark.createDataFrame(rows + rows[5:8], "doc_id long, text string").repartition(3)
+    want = brute.repeats(rows)
+    assert {i: v[:3] for i, v in digest(repeats.remove_repeats(frame)).items()} == {i: v[:3] for i, v in want.items()}
+
+
 def test_repeats_of_odd_documents(odd):
     rows = [r for r in repeats.remove_repeats(odd).collect()]
     assert len(rows) == odd.count()
