@@ -7,14 +7,17 @@ Two texts link when ``100 * |common| >= 75 * |either|`` over their distinct shin
 2. Linked sets share a shingle among the first ``n - ceil(0.75 n) + 1`` of each in one order of all
    shingles, so classes meet in the lists of those shingles. The order is by hash, with shingles that
    are frequent in a bounded sample last, which shortens the lists; any order is complete. Lists are
-   built in packed buckets, equal ones kept once, and long ones dealt out as pairs of pieces.
+   built in packed buckets and equal ones kept once. Long ones are cut into pieces by size; a piece
+   is walked with itself and with the next.
 3. Over each list a tree is built: a leaf is a class, a node holds the OR of its bitmaps and the range
    of its sizes. Two trees are walked at once from their roots; a pair of nodes is dropped when the
    largest overlap any of its members can have is too small for the least sizes below it.
 4. Pairs that remain at the leaves are compared exactly on the whole sets. In a crowd of near copies
-   each class first meets its closest candidates only; components are formed, and a second walk over
-   the crowded lists compares every candidate pair that they have not joined. No link between
-   components is lost, and a crowd costs far less than its square.
+   each class first meets its closest candidates only; components are formed. In lists that were not
+   walked in full (crowds, and more than two pieces) the members outside the list's largest component
+   then meet each other and that component, as pairs of pieces made by a join. Every candidate pair
+   that components have not joined is compared, so no link between components is lost; a crowd never
+   meets itself in full, and costs a number of pieces, not its square.
 
 Defined cases: a text of fewer than five words is one shingle of all of them; null text, or text
 without words, has an empty set, links with nothing and is its own component; rows with equal sets are
@@ -24,6 +27,7 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +42,7 @@ from clinspan.llm.stored import discard, store
 PERCENT = 75
 SAMPLE_ONE_IN = 64      # texts read for the frequent shingles
 MOST_FREQUENT = 20_000  # frequent shingles known to all tasks at most
-PIECE = 1024            # members of a list that one task compares with as many others
+PIECE = 1024            # members of a list that are walked with as many others
 CLOSEST = 8             # candidates a class meets in the first walk
 LEAF, FAN = 16, 8
 
@@ -107,41 +111,40 @@ def _map_prefixes(buckets: int, last: np.ndarray):
     return run
 
 
-def _lists(table: pa.Table) -> pa.Table:
-    """Lists of one bucket: classes that share a prefix shingle and have another of fitting size there."""
-    key, name, size = (packed.unpack(table[n], k) for n, k in (("key", "u4"), ("class", "i8"), ("size", "u4")))
-    order = np.lexsort((name, size, key))
-    key, name, size = key[order], name[order], size[order].astype(np.int64)
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-    key, name, size = key[new], name[new], size[new]
-    fits = np.zeros(len(key) + 1, bool)
-    fits[1:-1] = (key[1:] == key[:-1]) & (size[:-1] * 100 >= size[1:] * PERCENT)
-    keep = fits[1:] | fits[:-1]
-    key, name, size = key[keep], name[keep], size[keep]
-    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    ends = np.r_[edge, len(key)]
-    out: dict[int, tuple[np.ndarray, int]] = {}
-    for a, z in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        whole = hash(name[a:z].tobytes())
-        if whole in out:
-            continue
-        out[whole] = None
-        for i in range(a, z, PIECE):
-            for j in range(i, z, PIECE):
-                mine, other = slice(i, min(i + PIECE, z)), slice(j, min(j + PIECE, z))
-                if size[mine][-1] * 100 < size[other][0] * PERCENT:
-                    break
-                if i == j:
-                    members, cut = name[mine], 0
-                else:
-                    members, cut = np.r_[name[mine], name[other]], mine.stop - mine.start
-                out[(whole, i - a, j - a)] = (members, cut)
-    rows = [x for x in out.values() if x is not None]
-    ids = [octets.name(m.view(np.uint64), c) for m, c in rows]
-    return pa.table({
-        "list": pa.array(ids, pa.int64()), "cut": pa.array([c for _, c in rows], pa.int32()),
-        "members": pa.array([m for m, _ in rows], pa.list_(pa.int64()))})
+def _lists(size_of_piece: int):
+    """Lists of one bucket: classes that share a prefix shingle and have another of fitting size there, in pieces by size,
+    each piece once alone and once with the next."""
+    def run(table: pa.Table) -> pa.Table:
+        key, name, size = (packed.unpack(table[n], k) for n, k in (("key", "u4"), ("class", "i8"), ("size", "u4")))
+        order = np.lexsort((name, size, key))
+        key, name, size = key[order], name[order], size[order].astype(np.int64)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+        key, name, size = key[new], name[new], size[new]
+        fits = np.zeros(len(key) + 1, bool)
+        fits[1:-1] = (key[1:] == key[:-1]) & (size[:-1] * 100 >= size[1:] * PERCENT)
+        keep = fits[1:] | fits[:-1]
+        key, name, size = key[keep], name[keep], size[keep]
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        ends = np.r_[edge, len(key)]
+        seen: set[int] = set()
+        rows = []
+        for a, z in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            whole = octets.name(name[a:z].view(np.uint64), 0)
+            if whole in seen:
+                continue
+            seen.add(whole)
+            pieces = -(-(z - a) // size_of_piece)
+            for piece in range(pieces):
+                low = a + piece * size_of_piece
+                middle, high = min(low + size_of_piece, z), min(low + 2 * size_of_piece, z)
+                rows.append((whole, piece, pieces, 0, name[low:middle]))
+                if middle < high and size[middle - 1] * 100 >= size[middle] * PERCENT:
+                    rows.append((whole, piece, pieces, middle - low, name[low:high]))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
+                        ["of", "piece", "pieces", "cut", "members"])
+    return run
 
 
 def fold(bits: np.ndarray, width: int) -> np.ndarray:
@@ -248,24 +251,24 @@ def candidates(bits: list[bytes], sizes: np.ndarray, side: np.ndarray) -> tuple[
     return i, j, overlap / (sizes[i] + sizes[j] - overlap)
 
 
-def _closest(i, j, value, members: int) -> np.ndarray:
-    """Pairs among the ``CLOSEST`` best of either end."""
+def _closest(i, j, value, members: int, closest: int) -> np.ndarray:
+    """Pairs among the ``closest`` best of either end."""
     keep = np.zeros(len(i), bool)
     for end in (i, j):
         order = np.lexsort((-value, end))
         begin = np.searchsorted(end[order], np.arange(members))
         rank = np.arange(len(order)) - begin[end[order]]
-        keep[order[rank < CLOSEST]] = True
+        keep[order[rank < closest]] = True
     return keep
 
 
-def _walk_lists(second: bool):
-    """Candidate pairs of many lists: the closest of each class, or all that components have not joined."""
+def _walk_lists(second: bool, closest: int):
+    """Candidate pairs of many pieces: the closest of each class, or all that components have not joined."""
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("list", "ascending"), ("n_shingles", "ascending"), ("class", "ascending")])
         table = table.combine_chunks()
         lists, cuts, names, sizes, places = (table[c].to_numpy() for c in ("list", "cut", "class", "n_shingles", "place"))
-        roots = table["root"].to_numpy()
+        roots, wholes = table["root"].to_numpy(), table["of"].to_numpy()
         bits = table["bits"].to_pylist()
         edge = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]]) if len(lists) else np.zeros(0, np.int64)
         ends = np.r_[edge, len(lists)].tolist()
@@ -281,8 +284,8 @@ def _walk_lists(second: bool):
                 apart = root[i] != root[j]
                 i, j = i[apart], j[apart]
             else:
-                keep = _closest(i, j, value, z - a)
-                crowd = lists[a] if not keep.all() else 0
+                keep = _closest(i, j, value, z - a, closest)
+                crowd = wholes[a] if not keep.all() else 0
                 i, j = i[keep], j[keep]
             if len(i):
                 x, y = names[a:z][i], names[a:z][j]
@@ -325,6 +328,42 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ).withColumn("__key", F.xxhash64("__id", "__text"))
 
 
+def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    joined = members.join(roots, F.col("class") == F.col("node"), "left")
+    return joined.withColumn("root", F.coalesce("root", "class")).drop("node")
+
+
+def _apart(crowds: DataFrame) -> DataFrame:
+    """What is left to compare in crowded lists: members outside the list's largest component, among themselves and with
+    the pieces of that component. Rows are pairs of pieces whose sizes fit (``list``, ``of``, ``cut``, ``members``).
+
+    Members outside are dealt out by band of size (sets that link differ by one band at most) and hash.
+    """
+    largest = (
+        crowds.groupBy("of", "root").agg(F.count("*").alias("many"))
+        .groupBy("of").agg(F.max(F.struct("many", "root")).alias("top"), F.sum("many").alias("all"))
+        .where("top.many < all").select("of", F.col("top.root").alias("largest")))
+    members = crowds.join(largest, "of")
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / PERCENT))
+    outside = members.where("root <> largest").withColumn("band", band)
+    pieces = outside.groupBy("of", "band").agg(F.ceil(F.count("*") / PIECE).alias("parts"))
+    outside = outside.join(pieces, ["of", "band"]).withColumn("part", F.pmod(F.xxhash64("class"), "parts"))
+    piece = (F.collect_list("class").alias("members"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    mine = outside.groupBy("of", "band", "part").agg(*piece).withColumn("name", F.xxhash64("band", "part", F.lit(1)))
+    other = members.where("root = largest").groupBy("of", "piece").agg(*piece).withColumn("name", F.xxhash64("piece", F.lit(2)))
+    columns = ["of", "name", "members", "low", "high"]
+    mine, other = mine.select(columns), other.select(columns)
+    a, b = mine.alias("a"), mine.select(*columns, F.lit(True).alias("outside")).union(
+        other.select(*columns, F.lit(False))).alias("b")
+    fit = (F.col("a.high") * 100 >= F.col("b.low") * PERCENT) & (F.col("b.high") * 100 >= F.col("a.low") * PERCENT)
+    once = ~F.col("b.outside") | (F.col("a.name") <= F.col("b.name"))
+    itself = F.col("b.outside") & (F.col("a.name") == F.col("b.name"))
+    return a.join(b, (F.col("a.of") == F.col("b.of")) & fit & once).select(
+        F.xxhash64("a.of", "a.name", "b.name").alias("list"), "a.of",
+        F.when(itself, 0).otherwise(F.size("a.members")).alias("cut"),
+        F.when(itself, F.col("a.members")).otherwise(F.concat("a.members", "b.members")).alias("members"))
+
+
 def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a row per document: ``__id``, ``__key``, ``n_shingles``, ``class``; the ``root`` of each class)."""
     spark = texts.sparkSession
@@ -337,25 +376,27 @@ def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = (
         texts.select("__text").mapInArrow(
             _map_prefixes(buckets, frequent(texts)), packed.ddl(["key", "class", "size"]))
-        .groupBy("bucket").applyInArrow(_lists, "list long, cut int, members array<long>")
-        .groupBy("list").agg(F.first("cut").alias("cut"), F.first("members").alias("members")))
+        .groupBy("bucket").applyInArrow(_lists(PIECE), "of long, piece int, pieces int, cut int, members array<long>")
+        .groupBy("of", "piece", (F.col("cut") > 0).alias("across"))
+        .agg(*(F.first(c).alias(c) for c in ("pieces", "cut", "members")))
+        .withColumn("list", F.xxhash64("of", "piece", "across")))
     lists = store(lists, "lists")
 
     def walked(some: DataFrame, second: bool, roots: DataFrame | None) -> DataFrame:
-        members = some.select("list", "cut", F.posexplode("members").alias("place", "class")).join(classes, "class")
-        if roots is None:
-            members = members.withColumn("root", F.col("class"))
-        else:
-            members = members.join(roots, F.col("class") == F.col("node"), "left").withColumn(
-                "root", F.coalesce("root", "class"))
+        members = some.select("list", "of", "cut", F.size("members").alias("many"), F.posexplode("members").alias("place", "class"))
+        members = members.join(classes, "class")
+        members = members.withColumn("root", F.col("class")) if roots is None else _with_roots(members, roots)
+        # A long piece is a group of its own; short lists share one.
+        bucket = F.when(F.col("many") > PIECE // 2, F.col("list")).otherwise(F.pmod("list", F.lit(buckets)))
         return (
-            members.withColumn("bucket", F.pmod("list", F.lit(buckets)))
-            .select("bucket", "list", "cut", "place", "class", "n_shingles", "bits", "root")
-            .groupBy("bucket").applyInArrow(_walk_lists(second), "a long, b long, crowd long"))
+            members.withColumn("bucket", bucket)
+            .select("bucket", "list", "of", "cut", "place", "class", "n_shingles", "bits", "root")
+            .groupBy("bucket").applyInArrow(_walk_lists(second, CLOSEST), "a long, b long, crowd long"))
 
     found = store(walked(lists, False, None), "pairs")
     pairs = found.select("a", "b").distinct()
-    crowded = lists.join(found.where("crowd <> 0").select(F.col("crowd").alias("list")).distinct(), "list", "left_semi")
+    cut_short = found.where("crowd <> 0").select(F.col("crowd").alias("of")).union(lists.where("pieces > 2").select("of"))
+    crowded = lists.where("cut = 0").join(cut_short.distinct(), "of", "left_semi")
     in_crowds = crowded.select(F.explode("members").alias("class"))
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(in_crowds).distinct()
     held = store(
@@ -370,10 +411,13 @@ def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     links = store(linked(pairs), "links")
     roots = components(links)
-    rest = walked(crowded, True, roots).select("a", "b").distinct()
+    crowds = store(_with_roots(
+        crowded.select("of", "piece", F.explode("members").alias("class"))
+        .join(classes.select("class", "n_shingles"), "class"), roots), "crowds")
+    rest = walked(_apart(crowds), True, roots).select("a", "b").distinct()
     more = store(linked(rest), "links")
     roots = components(links.union(more))
-    for done in (lists, found, held, links, more):
+    for done in (lists, found, held, links, crowds, more):
         discard(done)
     named = classes.select("class").join(roots, F.col("class") == F.col("node"), "left").select(
         "class", F.coalesce("root", "class").alias("root"))

@@ -135,6 +135,37 @@ def test_jaccard_of_crowds(spark, monkeypatch, piece, closest):
     assert jaccard(spark.createDataFrame(rows, "doc_id long, text string")) == brute.jaccard(rows)
 
 
+@pytest.mark.parametrize("piece", [2, 5])
+def test_jaccard_of_long_lists_with_several_components(spark, monkeypatch, piece):
+    """All texts share a passage that is in every prefix; tails of several lengths make components of several sizes."""
+    monkeypatch.setattr(signature_trees, "PIECE", piece)
+    monkeypatch.setattr(signature_trees, "CLOSEST", 1)
+    rng = random.Random(13)
+    rows = []
+    for family in range(9):
+        tail = [f"f{family}t{k}" for k in range(rng.choice((8, 25, 60)))]
+        for i in range(rng.choice((1, 2, 14))):
+            rows.append((len(rows), " ".join(PROSE.split()[:14] + tail + [f"end{i % 7}", f"own{i}"][:rng.randint(0, 2)])))
+    rng.shuffle(rows)
+    assert jaccard(spark.createDataFrame(rows, "doc_id long, text string")) == brute.jaccard(rows)
+
+
+def test_pieces_of_crowded_lists_cover_all_pairs_apart(spark, monkeypatch):
+    monkeypatch.setattr(signature_trees, "PIECE", 3)
+    rng = random.Random(17)
+    rows = [(of, k // 3, of * 100 + k, 20 + k + rng.randint(0, 3), rng.choice((1, 1, 1, 2, 3, 100 + k)))
+            for of in (1, 2) for k in range(30)] + [(3, 0, 900 + k, 30, 5) for k in range(3)]
+    frame = spark.createDataFrame(rows, "of long, piece int, class long, n_shingles long, root long")
+    met = set()
+    for r in signature_trees._apart(frame).collect():
+        assert r.of != 3 and len(r.members) == len(set(r.members))
+        mine, other = (r.members[:r.cut], r.members[r.cut:]) if r.cut else (r.members, r.members)
+        met |= {(min(x, y), max(x, y)) for x in mine for y in other if x != y}
+    want = {(x[2], y[2]) for x in rows for y in rows
+            if x[0] == y[0] and x[2] < y[2] and x[4] != y[4] and min(x[3], y[3]) * 100 >= 75 * max(x[3], y[3])}
+    assert want <= met
+
+
 def test_jaccard_order_of_shingles_is_free(spark, monkeypatch):
     monkeypatch.setattr(signature_trees, "SAMPLE_ONE_IN", 1)
     rows = [(i, " ".join(PROSE.split()[i % 5:]) + f" end{i % 3}") for i in range(30)]
