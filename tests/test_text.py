@@ -230,3 +230,25 @@ def test_a_repeated_id_stays_one_row_each(spark):
         out = build(found)
         assert out.count() == 3
         assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+
+
+def test_one_file_per_document_is_written_by_tasks_without_files_beside_it(spark, tmp_path, monkeypatch):
+    from registry import text_queries
+    from registry.queries import QUERIES
+
+    monkeypatch.setattr(text_queries, "shared_dir", lambda name: str(tmp_path / name))
+    row = QUERIES["text_read"](spark, "/root/testdata/sf0.001").first()
+    files = [p.name for p in (tmp_path / "records").rglob("*") if p.is_file()]
+    assert sum(f.startswith("part-") for f in files) == row.files == 200 and not any(f.endswith(".crc") for f in files)
+    # more folders than the driver lists by itself
+    assert sum(p.is_dir() for p in (tmp_path / "records").iterdir()) > int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.threshold"))
+
+
+def test_records_are_read_as_they_are(spark, tmp_path):
+    from clinspan.sources import text_in
+
+    texts = {"a.txt": "one\r\ntwo\x00 ا\n\n", "b.txt": "﻿no end", "c.txt": " "}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    rows = text_in.read_records(str(tmp_path)).collect()
+    assert {r.doc_id.rsplit("/", 1)[1]: r.text for r in rows} == texts and all(r.doc_id.startswith("file:///") for r in rows)
