@@ -5,8 +5,8 @@ is the same as for the built-in vocabularies (``terminology``), whose matchers a
 
 Texts are matched once however often they occur. Candidates come from an inverted index of the names, the rarest key first:
 
-- shared words (``by_words``): a match needs a number of shared words that the text alone decides, so one of its rarest
-  words, as many as may be missing and one more, is in the name. Only those are looked up;
+- shared words (``by_words``): a match needs a number of shared words that the text alone decides, so two of its rarest
+  words, as many as may be missing and two more, are in the name. Only pairs of those are looked up;
 - containment (``by_part``): the text's rarest run of three characters is looked up among all runs of the names;
 - equality and beginnings (``by_name``): whole names, then their first three characters.
 
@@ -22,6 +22,7 @@ from clinspan.fixed import patterns
 from clinspan.functions import spans
 from clinspan.operators import terminology
 from clinspan.operators.notes import phrase_key
+from clinspan.session import stored
 
 BROADCAST_BYTES = 64 << 20  # of a table that travels to all tasks
 RUN = 3                     # characters of a looked-up run
@@ -30,7 +31,12 @@ _BORDER = "A-Za-z0-9"
 
 def sized(table: DataFrame) -> DataFrame:
     """``table``, marked for broadcast if its size, which is added up first, allows that."""
-    width = [F.coalesce(F.octet_length(c), F.lit(0)) + 16 if t == "string" else F.lit(16) for c, t in table.dtypes]
+    def bytes_of(c: str, kind: str) -> Column:
+        if kind.startswith(("array", "struct")):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16 if kind == "string" else F.lit(16)
+
+    width = [bytes_of(c, kind) for c, kind in table.dtypes]
     size = table.agg(F.sum(sum(width, F.lit(0)))).first()[0]
     return F.broadcast(table) if (size or 0) <= BROADCAST_BYTES else table
 
@@ -53,25 +59,49 @@ def _best(found: DataFrame, score: Column | None = None) -> DataFrame:
     return found.groupBy("text").agg(F.min_by("match", rank).alias("match"))
 
 
+def _pairs(words: Column) -> Column:
+    """Hashes of the pairs of different words, whichever comes first in ``words``."""
+    def with_later(w: Column, i: Column) -> Column:
+        return F.transform(F.slice(words, i + 2, F.size(words)), lambda v: F.xxhash64(F.least(w, v), F.greatest(w, v)))
+
+    return F.flatten(F.transform(words, with_later))
+
+
 def by_words(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(text, match): names that share at least two (or all) words and 60 % of the text's words with it, best share first."""
-    theirs = names.withColumn("theirs", F.array_distinct(F.filter(F.split("name", r"(?U)\s+"), lambda w: w != "")))
-    postings = theirs.select("ord", "place", F.explode("theirs").alias("word"))
-    counts = postings.groupBy("word").agg(F.count("*").alias("names"))
+    """(text, match): names that share at least two (or all) words and 60 % of the text's words with it, best share first.
+
+    What matches depends on the words of a name and, of a text, on its number of words and those that any name has. So
+    names with the same words compete as one, the first of them, and texts with the same such words are matched once.
+    """
+    split = names.withColumn("theirs", F.array_sort(F.array_distinct(F.filter(F.split("name", r"(?U)\s+"), lambda w: w != ""))))
+    sets = split.groupBy("theirs").agg(F.min(F.struct("ord", "place")).alias("at"), F.min_by("match", F.struct("ord", "place")).alias("match"))
+    sets = sets.select("theirs", "at.*", "match")
+    postings = sets.select(F.explode("theirs").alias("word"), F.size("theirs").alias("most"), "ord", "place", "match")
+    # the best name of a text of one word is the shortest with that word
+    one = postings.groupBy("word").agg(
+        F.count("*").alias("names"), F.min_by("match", F.struct("most", "ord", "place")).alias("only"))
     mine = texts.select("text", terminology.words(terminology._lower(F.col("text"))).alias("mine"))
-    words = mine.select("text", F.explode("mine").alias("word")).join(sized(counts), "word", "left")
-    size = F.size("ranked")
-    needed = F.greatest(F.least(F.lit(2), size), F.ceil(size * 6 / F.lit(10)).cast("int"))
-    ranked = words.groupBy("text").agg(F.sort_array(F.collect_list(
-        F.struct(F.coalesce("names", F.lit(0)).alias("names"), "word"))).alias("ranked"))
-    asked = ranked.select("text", F.transform("ranked", lambda r: r["word"]).alias("mine"), F.explode(
-        F.filter(F.slice("ranked", F.lit(1), size - needed + 1), lambda r: r["names"] > 0)).alias("rare"))
-    pairs = asked.select("text", "mine", F.col("rare.word").alias("word")).join(sized(postings), "word").select(
-        "text", "mine", "ord", "place").distinct()
-    held = pairs.join(sized(theirs.select("ord", "place", "theirs", "match")), ["ord", "place"])
-    shared, n = F.size(F.array_intersect("mine", "theirs")), F.size("mine")
-    held = held.withColumn("shared", shared).where((F.col("shared") >= F.least(F.lit(2), n)) & (F.col("shared") >= n * 0.6))
-    return _best(held, F.col("shared") / F.greatest(n, F.size("theirs")))
+    words = mine.select("text", F.size("mine").alias("n"), F.explode("mine").alias("word")).join(
+        sized(one.select("word", "names")), "word", "left")
+    ranked = words.groupBy("text", "n").agg(F.sort_array(F.collect_list(
+        F.when(F.col("names").isNotNull(), F.struct("names", "word")))).alias("known"))
+    needed = F.greatest(F.least(F.lit(2), F.col("n")), F.ceil(F.col("n") * 6 / F.lit(10)).cast("int"))
+    forms = stored("lookup-forms", ranked.select(
+        "text", "n", needed.alias("needed"), F.transform("known", lambda k: k["word"]).alias("known")).where(
+        F.size("known") >= F.col("needed")))
+    distinct = forms.select("n", "needed", "known").distinct()
+    single = distinct.where("n = 1").join(
+        sized(one.select(F.array("word").alias("known"), F.col("only").alias("match"))), "known").select("n", "known", "match")
+    # a match lacks so few of the known words that two of the rarest, as many as it may lack and two more, are in the name
+    asked = distinct.where("n > 1").select("n", "known", F.explode(F.array_distinct(_pairs(
+        F.slice("known", F.lit(1), F.size("known") - F.col("needed") + 2)))).alias("pair"))
+    indexed = sets.select("ord", "place", "theirs", "match", F.explode(F.array_distinct(_pairs(F.col("theirs")))).alias("pair"))
+    held = asked.join(sized(indexed), "pair").withColumn("shared", F.size(F.array_intersect("known", "theirs"))).where(
+        (F.col("shared") >= 2) & (F.col("shared") >= F.col("n") * 0.6))
+    score = F.col("shared") / F.greatest(F.col("n"), F.size("theirs"))
+    several = held.groupBy("n", "known").agg(
+        F.min_by("match", F.struct((-score).alias("score"), "ord", "place")).alias("match"))
+    return forms.join(single.unionByName(several), ["n", "known"]).select("text", "match")
 
 
 def _runs(text: Column, size: Column | int) -> Column:

@@ -1,6 +1,7 @@
 """Vocabularies and dictionaries as tables give what the built-in constants give."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +82,31 @@ def test_many_phrases(spark, monkeypatch, bound):
     text = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("x alpha "), (F.col("id") * 150).cast("string"), F.lit(" Omega y alpha 7 beta")).alias("text"))
     got = {r.doc_id: r.id for r in lookup.phrases(text, dictionary).collect()}
     assert got == {i: i * 150 for i in range(500)}
+
+
+def test_copies_of_names_and_of_forms_of_texts_meet_once(spark):
+    n = 40_000  # all pairs of them would be 1.6 billion
+    names = spark.range(n).select((F.lit(n) - F.col("id")).alias("ord"), F.concat(F.lit("c"), "id").alias("code"), F.lit("Red large ring").alias(
+        "description"), F.lit(None).cast("string").alias("long_description"))
+    texts = spark.range(n).select("id", F.concat(F.lit("large "), F.col("id").cast("string"), F.lit(" RING  red")).alias("text"))
+    started = time.time()
+    got = lookup.match(texts, "icd10", names).groupBy("match.code").count().collect()
+    assert [tuple(r) for r in got] == [(f"c{n - 1}", n)] and time.time() - started < 60
+
+
+def test_words_match_as_a_plain_search_does(spark):
+    rng = random.Random(9)
+    pool = [f"w{i}" for i in range(9)]
+    names = [" ".join(rng.choices(pool, k=rng.randint(1, 7))) for _ in range(60)] + ["", " "]
+    texts = [" ".join(rng.choices([*pool, "x", "y", "z"], k=rng.randint(0, 8))) for _ in range(300)]
+    want = {}
+    for text in texts:
+        mine, best = set(text.split()), None
+        for i, name in enumerate(names):
+            shared = len(mine & set(name.split()))
+            if mine and shared >= min(2, len(mine)) and shared >= len(mine) * 0.6:
+                best = min(best or (0, 0), (-shared / max(len(mine), len(set(name.split()))), i))
+        want[text] = best and f"c{best[1]}"
+    vocabulary = spark.createDataFrame([(i, f"c{i}", n, None) for i, n in enumerate(names)], "ord int, code string, description string, long_description string")
+    rows = lookup.match(spark.createDataFrame([(t,) for t in texts], "text string"), "icd10", vocabulary).collect()
+    assert {r.text: r.match and r.match.code for r in rows} == want and len(rows) == len(texts)
