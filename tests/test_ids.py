@@ -86,3 +86,17 @@ def test_generated_numbers_go_file_by_file_without_one_window(spark):
     files = [r.file for r in rows]
     assert len(set(files)) == 9 and sum(a != b for a, b in zip(files, files[1:])) == 8
     assert all(a.row < b.row for a, b in zip(rows, rows[1:]) if a.file == b.file)
+
+
+def test_rows_are_shuffled_once_and_only_as_they_are(spark):
+    import re
+
+    df = spark.range(5000).select((F.col("id") % 4000).alias("k"), F.lit("x").alias("v"))
+    for unique in (True, False):
+        numbered = dense_id(df, digest("k"), "n", unique=unique, digits=2)
+        numbered.collect()
+        final = numbered._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        whole = [line for line in final.splitlines() if re.search(r"Exchange hashpartitioning\(.*REPARTITION", line)]
+        assert len(whole) == 1 and "SortMergeJoin" not in final and "_lane" not in final
+        ids = sorted(r.n for r in numbered.collect())
+        assert ids == list(range(1, 5001))
