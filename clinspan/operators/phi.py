@@ -43,9 +43,11 @@ def _hits(text: str, folded: str, digits: str, unmarked: str, known: Sequence[st
     for i, (kind, pattern) in enumerate(fixed.PHI_PATTERNS):
         needs = []
         if i in fixed.PHI_NEEDS_DIGITS:
-            needs.append(digits)
+            needs.append(f"{digits} >= {fixed.PHI_NEEDS_DIGITS[i]}")
         if i in fixed.PHI_NEEDS:
             needs.append(spans.holds_any(folded, fixed.PHI_NEEDS[i]))
+        if i in fixed.PHI_NEEDS_PART:
+            needs.append(f"rlike({text}, {sql_literal('(?iuU)' + fixed.PHI_NEEDS_PART[i])})")
         if pattern in fixed.PHI_REQUIRED_TAILS:
             needs.append(f"rlike({text}, {sql_literal('(?iuU)' + fixed.PHI_REQUIRED_TAILS[pattern])})")
         first = f"(?=[{fixed.PHI_FIRST[i]}])" if i in fixed.PHI_FIRST else ""
@@ -54,6 +56,15 @@ def _hits(text: str, folded: str, digits: str, unmarked: str, known: Sequence[st
     return f"concat(array({_known_names(text, folded, known)}), {spans.find_each_sql(unmarked, rows, _MADE, HIT)})"
 
 
+def _digits_in_a_row(text: str) -> str:
+    """The most digits in a row in a text, as far as patterns ask for them; longer runs are looked for where shorter ones are."""
+    found, longer = "", sorted(set(fixed.PHI_NEEDS_DIGITS.values()), reverse=True)
+    for run in longer:
+        pattern = sql_literal(f"(?U)\\d{{{run}}}")
+        found = f"if(rlike({text}, {pattern}), {f'greatest({run}, {found})' if found else run}, 0)"
+    return found
+
+
 def detect(notes: DataFrame, text: str = "text", out: str = "phi", known_names: Sequence[str] = ()) -> DataFrame:
     """Add the identifiers of a text in reading order; ``known_names`` are found wherever they stand.
 
@@ -62,13 +73,15 @@ def detect(notes: DataFrame, text: str = "text", out: str = "phi", known_names:
     are taken by start, then confidence, then pattern order, as long as they do not overlap.
     """
     folded = notes.select("*", F.expr(spans.folded_sql(text)).alias("_folded"), F.expr(spans.unmarked(text)).alias("_unmarked"),
-                          F.rlike(F.col(text), F.lit(r"(?U)\d{3}")).alias("_digits"))
+                          F.expr(_digits_in_a_row(text)).alias("_digits"))
     # a projection of its own: the patterns run once, whatever refers to their hits below
     raw = folded.select(*notes.columns, F.expr(_hits(text, "_folded", "_digits", "_unmarked", known_names)).alias("_hits"))
-    ordered = ("array_sort(transform(flatten(_hits), h -> "
-               "named_struct('start', h.start, 'back', -h.`end`, 'place', h.place, 'end', h.`end`, 'hit', h)))")
+    # only the patterns that hit are walked, by their place among those
+    hit = "filter(_hits, g -> size(g) > 0)"
+    ordered = (f"array_sort(flatten(transform({hit}, (g, n) -> transform(g, h -> "
+               "named_struct('start', h.start, 'back', -h.`end`, 'place', n, 'end', h.`end`, 'hit', h)))))")
     # the furthest end of each pattern's hits so far: at least the same start, and longer ones first
-    first = f"array_repeat(-1, {len(fixed.PHI_PATTERNS) + 1})"
+    first = f"array_repeat(-1, size({hit}))"
     following = "transform(t.v, (m, i) -> if(i = x.place, greatest(m, x.`end`), m))"
     outside = "not exists(slice(t.v, 1, x.place), m -> m >= x.`end`)"
     free = spans.walked_sql(ordered, _ORDERED, first, following, outside)

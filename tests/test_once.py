@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from clinspan.fixed import patterns
 from clinspan.functions import normalize as nz
-from clinspan.operators import ids, ingest
+from clinspan.operators import ids, ingest, phi
 from clinspan.session import stored
 from clinspan.sources import csv_in
 
@@ -55,3 +56,24 @@ def test_a_shape_never_hides_a_date(spark):
     assert [(r[0], r[2]) for r in got] == [(r[1], r[3]) for r in got] and sum(r[0] is not None for r in got) >= 7
     # a text is only tried by the layouts it has the shape of
     assert "RLIKE" in plan(rows.select(nz.parse_date(F.col("t"))))
+
+
+NOTES = [
+    "Mr. Karim Haddad, MRN: 884213 DOB: 03/14/1956 National ID: 1098765432 Phone: 555-123-4567 or +966 12 345 6789, fax: (555) 123-4567.",
+    "Lives at 12 Palm Street, Springfield, TX 12345-6789. Aged 93 years. age 9, aged 104. SSN: 123-45-6789, SSN 123 45 6789, AB-123456, AB12345.",
+    "Account #: 77 acct number: 5 Billing Number: X-1 License #: L1 Driver's License: D5 Member ID: M7 Policy Number: P9 Serial #: S3 device id: q",
+    "fe80:0:0:1:2:3:4:ab at 10.20.30.40 or 10.20.30 1F2E3D4C-AAAA-BBBB-CCCC-0123456789AB; VIN: 1HGCM82633A004352 Born: March 4, 1956 born 1956-03-04",
+    "Lee, Ann met ٣٣٣٣٣ and ١.٢.٣; 1098765432 5551234 123456789 Subscriber Number: 9, NPI Number: 3, Smith, ſo", "", None,
+]
+
+
+def test_short_parts_never_hide_an_identifier(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(NOTES)], "doc_id int, text string")
+    got = phi.detect(rows, known_names=["Karim Haddad"])
+    # the walk over hits keeps an end for each pattern that hit, not for each there is
+    assert f"array_repeat(-1, {len(patterns.PHI_PATTERNS) + 1})" not in plan(got)
+    got = got.orderBy("doc_id").collect()
+    monkeypatch.setattr(patterns, "PHI_NEEDS_PART", {})
+    monkeypatch.setattr(patterns, "PHI_NEEDS_DIGITS", {0: 0})
+    assert got == phi.detect(rows, known_names=["Karim Haddad"]).orderBy("doc_id").collect()
+    assert len({d.type for r in got for d in r.phi or []}) >= 13
