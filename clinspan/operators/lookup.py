@@ -15,6 +15,8 @@ Candidates are then compared in full. Index and counts are broadcast after a che
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from clinspan.session import stored
 BROADCAST_BYTES = 64 << 20  # of a table that travels to all tasks
 RUN = 3                     # characters of a looked-up run
 _BORDER = "A-Za-z0-9"
+_WORDS = list(string.ascii_letters + string.digits)  # the same, one by one
+_BLANK = " \t\n\x0b\f\r"  # what \\s is in a pattern
 
 
 def sized(table: DataFrame) -> DataFrame:
@@ -175,8 +179,9 @@ def tokens(text: str) -> Column:
     Each has ``start``, ``raw`` (with the white space after it), ``bare`` and ``word`` (whether it is such a run).
     """
     pieces = spans.find_spans(text, rf"(?:[{_BORDER}]+|[^{_BORDER}\s])\s*")
-    bare = F.transform(pieces, lambda p: F.struct(p["start"], p["text"].alias("raw"), F.regexp_replace(p["text"], r"\s+$", "").alias("bare")))
-    return F.transform(bare, lambda p: F.struct(p["start"], p["raw"], p["bare"], p["bare"].rlike(f"^[{_BORDER}]").alias("word")))
+    # a pattern for each token would take longer than finding them all
+    bare = F.transform(pieces, lambda p: F.struct(p["start"], p["text"].alias("raw"), F.rtrim(p["text"], F.lit(_BLANK)).alias("bare")))
+    return F.transform(bare, lambda p: F.struct(p["start"], p["raw"], p["bare"], F.substring(p["bare"], 1, 1).isin(_WORDS).alias("word")))
 
 
 def _windows(tokens: Column, sizes: Column) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from clinspan.fixed import patterns
 from clinspan.functions import normalize as nz
-from clinspan.operators import ids, ingest, phi
+from clinspan.operators import ids, ingest, lookup, phi
 from clinspan.session import stored
 from clinspan.sources import csv_in
 
@@ -77,3 +77,12 @@ def test_short_parts_never_hide_an_identifier(spark, monkeypatch):
     monkeypatch.setattr(patterns, "PHI_NEEDS_DIGITS", {0: 0})
     assert got == phi.detect(rows, known_names=["Karim Haddad"]).orderBy("doc_id").collect()
     assert len({d.type for r in got for d in r.phi or []}) >= 13
+
+
+def test_tokens_use_one_pattern_a_text(spark):
+    rows = spark.createDataFrame([("Ab  c\n-é \x0b9\x85\xa0z \t\x1c",), ("",), (None,)], "text string")
+    found = rows.select(lookup.tokens("text").alias("t"))
+    got = [(t.start, t.raw, t.bare, t.word) for t in found.first().t]
+    assert got == [(0, "Ab  ", "Ab", True), (4, "c\n", "c", True), (6, "-", "-", False), (7, "é \x0b", "é", False), (10, "9", "9", True),
+                   (11, "\x85", "\x85", False), (12, "\xa0", "\xa0", False), (13, "z \t", "z", True), (16, "\x1c", "\x1c", False)]
+    assert plan(found).count("regexp_replace(") == 1 and "RLIKE" not in plan(found)
