@@ -1,7 +1,10 @@
 """Chat formatting, images, vectors, mixing, packing and the pipeline."""
 
+import contextlib
 import json
 import random
+import threading
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -210,6 +213,90 @@ def test_images_that_share_crowded_descriptors_only(spark, monkeypatch, crowded)
     assert got == {i: 0 if i < 2 else i for i in range(len(held))}
 
 
+def drawn_points(rng, kinds, n):
+    """Keypoints of an image, each of one of a few kinds of corners."""
+    points = np.zeros(n, images._KEYPOINT)
+    points["bits"] = kinds[rng.integers(0, len(kinds), n)].view("V32")[:, 0]
+    points["x"], points["y"] = rng.integers(10, 200, (2, n))
+    points["scale"], points["turn"] = rng.integers(0, 3, n), rng.integers(0, 3, n)
+    return points
+
+
+def blocks_of(held, parts):
+    out = []
+    for part in np.array_split(np.arange(len(held)), parts):
+        ends = np.cumsum([len(held[i]) for i in part])
+        out.append(images._Block(part.astype(np.int64).tobytes(), ends.astype(np.int64).tobytes(), b"".join(held[i].tobytes() for i in part)))
+    return out
+
+
+@pytest.mark.parametrize("small, most, piece, wide", [(256, 1 << 21, 1 << 14, 64), (3, 40, 50, 5), (256, 7, 1, 1)])
+def test_blocks_of_images_meet_in_full(monkeypatch, small, most, piece, wide):
+    """All pairs, judged one by one, give the same components, and every link told is one of theirs."""
+    for name, value in (("SMALL", small), ("MOST", most), ("PIECE", piece), ("WIDE", wide)):
+        monkeypatch.setattr(images, name, value)
+    rng = np.random.default_rng(31)
+    kinds = rng.integers(0, 256, (40, 32), dtype=np.uint8)
+    kinds[20:, :24] = kinds[:20, :24] ^ np.uint8(1) * (np.arange(24) % 8 < 2)     # near in the last table only, and
+    kinds[20:, 24:] = kinds[:20, 24:]
+    kinds[30:, :24] = rng.integers(0, 256, (10, 24), dtype=np.uint8)              # far in the others
+    held = [drawn_points(rng, kinds, int(n)) for n in rng.integers(1, 25, 50)]
+    for i in range(14):
+        moved = held[i % 9].copy()
+        moved["x"], moved["y"] = 200 - moved["y"] + rng.uniform(-1, 1, len(moved)), moved["x"] + 5
+        moved["turn"] = (moved["turn"] + 18 + rng.integers(-1, 2, len(moved))) % images.TURNS
+        held.append(moved[:len(moved) - i % 3])
+    links = set()
+    for a, x in enumerate(held):
+        for b, y in enumerate(held[:a]):
+            u, v = (np.ascontiguousarray(k["bits"]).view(np.uint64).reshape(-1, images.TABLES) for k in (x, y))
+            i, j = np.nonzero((u[:, None] == v[None]).any(-1))
+            near = np.bitwise_count(u[i] ^ v[j]).sum(-1) <= images.MOST_BITS_APART
+            if images.agreeing(y[j[near]], x[i[near]]) >= images.LEAST_AGREEING:
+                links.add((b, a))
+    want = brute.roots(range(len(held)), links)
+    assert 5 < len(set(want.values())) < len(held)
+    blocks = blocks_of(held, 3)
+    got = [link for k, one in enumerate(blocks) for m, two in enumerate(blocks[k:]) for link in images._Meeting(one, two, not m).links()]
+    assert {tuple(sorted(x)) for x in got} <= links
+    assert brute.roots(range(len(held)), got) == want
+
+
+def test_images_that_look_alike_are_not_shuffled_by_pairs(spark, monkeypatch):
+    """Images of three corners each, the same in all, are no copies: what is shuffled follows the images, not their pairs."""
+    def points_are_pixels(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch["__id"], batch["class"], batch["pixels"]], ["__id", "class", "points"])
+
+    monkeypatch.setattr(images, "_map_keypoints", points_are_pixels)
+    rng = np.random.default_rng(32)
+    kinds = rng.integers(0, 256, (3, 32), dtype=np.uint8)
+    rows = []
+    for i in range(700):
+        points = drawn_points(rng, kinds, 3)
+        points["bits"] = kinds.view("V32")[:, 0]
+        rows.append((i, points.tobytes(), len(points.tobytes()), 1))
+    top = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    most, over = [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            with contextlib.suppress(OSError):    # a file may go meanwhile
+                most[0] = max(most[0], sum(f.stat().st_size for d in top for f in Path(d).rglob("shuffle_*.data")))
+
+    frame = spark.createDataFrame(rows, "media_id long, pixels binary, width int, height int")
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = images.copies(frame).collect()
+    finally:
+        over.set()
+        watcher.join()
+    assert {r.media_id: r.component_id for r in got} == {i: i for i in range(700)}
+    assert 0 < most[0] < 20 * sum(len(r[1]) for r in rows)
+
+
 def test_corners_of_a_pale_part_are_kept(spark):
     """A crop that shows none of the strongest corners of its original."""
     rows = []
