@@ -252,3 +252,20 @@ def test_records_are_read_as_they_are(spark, tmp_path):
         (tmp_path / name).write_bytes(text.encode())
     rows = text_in.read_records(str(tmp_path)).collect()
     assert {r.doc_id.rsplit("/", 1)[1]: r.text for r in rows} == texts and all(r.doc_id.startswith("file:///") for r in rows)
+
+
+def test_tasks_write_documents_without_hadoop_and_only_whole_attempts_are_read(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from clinspan.sources import text_in
+    from registry.inputs import write_texts
+
+    monkeypatch.setattr(DataFrameWriter, "text", lambda *args, **kwargs: pytest.fail("Hadoop starts a process for each file"))
+    texts = [None, "", "one\r\ntwo ا", "same", "same"]
+    rows = spark.createDataFrame([(k % 2 or None, t) for k, t in enumerate(texts)], "part int, text string")
+    folders = write_texts(rows.repartition(3), str(tmp_path / "records"))
+    left = tmp_path / "records" / "part=failed-0"
+    left.mkdir()
+    (left / "part-000000000.txt").write_bytes(b"half")
+    read = [r.text for r in text_in.read_records(*folders).collect()]
+    assert sorted(read) == sorted(f"{t or ''}\x00" for t in texts)
