@@ -269,3 +269,21 @@ def test_tasks_write_documents_without_hadoop_and_only_whole_attempts_are_read(s
     (left / "part-000000000.txt").write_bytes(b"half")
     read = [r.text for r in text_in.read_records(*folders).collect()]
     assert sorted(read) == sorted(f"{t or ''}\x00" for t in texts)
+
+
+def test_cues_and_constants_are_found_in_one_step(spark):
+    from clinspan.functions.spans import constant_value
+
+    cues = [lexicon.NEGATION_BEFORE, lexicon.NEGATION_AFTER, lexicon.HISTORY_CUES, lexicon.FAMILY_CUES]
+    some = random.Random(3)
+    texts = ["", "No", "no", "s/p", "in 2", "in 20", "wild.type", "x"] + [c for cs in cues for c in cs] + [
+        "".join(some.choice(some.choice(some.choice(cues)).split(" ")) + " " for _ in range(3))[some.randrange(4):] for _ in range(400)]
+    rows = frame(spark, texts).select("text", *[notes._any_cue(F.col("text"), c).alias(f"c{k}") for k, c in enumerate(cues)])
+    assert all(list(r)[1:] == [any(c in r.text for c in cs) for cs in cues] for r in rows.collect())
+    for pairs in ({"ab": (1,), "ac": (2,), "b": (3,)}, {"ab": (1,), "é": (2,)}):
+        keys = ["ab", "ac", "b", "a", "", "é", "zz", None]
+        found = frame(spark, keys).select("text", constant_value(pairs, F.col("text")).alias("v")).collect()
+        assert {r.text: r.v for r in found} == {k: pairs.get(k, (None,))[0] for k in keys}
+    # a cue list is one pattern: a lambda over the cues would make the sentence's lower case anew for each of them
+    plan = notes.extract(frame(spark, texts))._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" not in plan
