@@ -174,6 +174,25 @@ def test_odd_images(spark):
     assert images.copies(frame.limit(0)).count() == 0
 
 
+def test_only_pairs_of_images_with_matches_of_one_scale_and_turn_are_judged():
+    rng = np.random.default_rng(5)
+    one, two = np.zeros(60, images._KEYPOINT), np.zeros(60, images._KEYPOINT)
+    for side in (one, two):
+        side["turn"], side["scale"] = rng.integers(0, images.TURNS, 60), rng.integers(0, len(images.SCALES), 60)
+    pair, left, right = rng.integers(0, 12, 700), rng.integers(0, 60, 700), rng.integers(0, 60, 700)
+    ways = [(p, int(two["scale"][r]) - int(one["scale"][k]), (int(two["turn"][r]) - int(one["turn"][k])) % images.TURNS)
+            for p, k, r in zip(pair.tolist(), left, right)]
+
+    def may(some, p):
+        return any(sum((q, s) == (p, scale) and (t - turn + 1) % images.TURNS <= 2 for q, s, t in some) >= images.LEAST_AGREEING
+                   for q0, scale, turn in some if q0 == p)
+
+    for size in (0, 60, 150, 700):
+        wanted = [k for k in range(size) if may(ways[:size], ways[k][0])]
+        assert images._one_way(pair[:size], one, two, left[:size], right[:size], 12).tolist() == wanted
+    assert 0 < len([k for k in range(150) if may(ways[:150], ways[k][0])]) < 150
+
+
 def test_crowds_of_images_stay_linear(spark, monkeypatch):
     monkeypatch.setattr(images, "SMALL", 4)
     rng = np.random.default_rng(7)
